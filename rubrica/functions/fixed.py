@@ -3,14 +3,24 @@
 Results agree with other users of these rules only if the values below stay as they are.
 """
 
-# Regular expressions, written for Java. (?U) makes \d \s \w \b Unicode-aware, (?d) keeps . and ^ to \n.
-SPACE = r"[\s\x1c-\x1f]"
+# Whitespace and decimal digits as every script writes them, for Java and RE2 alike.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_SET = (
+    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+S = f"[{_SET}]"
+D = r"\p{Nd}"
+
+# Regular expressions. (?d) keeps . and ^ to \n, (?U) makes \w and \b Unicode-aware.
 BOXED = r"\\boxed\{([^}]+)\}"
 FLAT_OBJECT = r"\{[^{}]*\}"
-NUMBER = r"(?U)-?\d+\.?\d*"
-ARITHMETIC = r"(?U)\d+\s*[+\-*/]\s*\d+\s*=\s*\d+"
-MARKDOWN = [r"(?dmU)^#+\s", r"(?dm)\*\*.*\*\*", r"```"]
-STEP_FORMATS = [r"(?U)步骤\s*\d", r"(?U)Step\s*\d", r"(?U)\d+\.\s+"]
+NUMBER = rf"-?{D}+\.?{D}*"
+ARITHMETIC = rf"{D}+{S}*[+\-*/]{S}*{D}+{S}*={S}*{D}+"
+MARKDOWN = [rf"(?dm)^#+{S}", r"(?dm)\*\*.*\*\*", r"```"]
+STEP_FORMATS = [rf"步骤{S}*{D}", rf"Step{S}*{D}", rf"{D}+\.{S}+"]
 
 # Answer markers, in the order they are tried.
 COMMON_MARKERS = ["####", "答案", "Answer:"]
@@ -19,27 +29,27 @@ GSPO_MARKERS = ["####", "答案:", "答案：", "Answer:", "answer:", "The answe
 
 # Reasoning steps: how many of these patterns occur (grpo), how often they occur (gspo).
 GRPO_STEPS = [
-    r"(?U)第[一二三四五六七八九十\d]+步",
-    r"(?U)Step\s*\d+",
-    r"(?U)\d+\.\s+",
+    rf"第[一二三四五六七八九十{D}]+步",
+    rf"Step{S}*{D}+",
+    rf"{D}+\.{S}+",
     r"首先|然后|接着|最后",
     r"First|Then|Next|Finally",
 ]
 GSPO_STEPS = [
-    r"(?U)第[一二三四五六七八九十\d]+步",
-    r"(?U)Step\s*\d+",
-    r"(?U)\d+\.\s+",
+    rf"第[一二三四五六七八九十{D}]+步",
+    rf"Step{S}*{D}+",
+    rf"{D}+\.{S}+",
     r"首先|然后|接着|最后|因此|所以",
     r"First|Then|Next|Finally|Therefore",
 ]
-GSPO_CALCULATION = [r"(?U)\d+\s*[+\-*/×÷]\s*\d+\s*=\s*\d+", r"(?U)=\s*\d+"]
+GSPO_CALCULATION = [rf"{D}+{S}*[+\-*/×÷]{S}*{D}+{S}*={S}*{D}+", rf"={S}*{D}+"]
 GSPO_EXPLANATIONS = [
     "因为", "由于", "根据", "可知", "得到",
     "because", "since", "therefore", "thus", "hence",
 ]
-GSPO_FUNCTION = r"(?U)def\s+\w+\s*\([^)]*\)\s*:"
+GSPO_FUNCTION = rf"(?U)def{S}+\w+{S}*\([^)]*\){S}*:"
 GSPO_DOCSTRINGS = [r'(?s)""".*?"""', r"(?s)'''.*?'''"]
-GSPO_RETURN_TYPE = r"(?U)->\s*\w+"
+GSPO_RETURN_TYPE = rf"(?U)->{S}*\w"
 GSPO_POLITE = ["请", "谢谢", "您", "please", "thank", "sorry"]
 GRPO_LABELS = ["positive", "negative", "neutral", "是", "否", "yes", "no"]
 
@@ -70,12 +80,12 @@ MARKER_BONUS = 0.1
 
 # Console log patterns, tried on every line.
 CONSOLE_PATTERNS = {
-    "step": r"(?iU)step[:\s\x1c-\x1f]+(\d+)",
-    "epoch": r"(?iU)epoch[:\s\x1c-\x1f]+(\d+)",
-    "loss": r"(?iU)loss[:\s\x1c-\x1f]+([\d.]+)",
-    "reward": r"(?iU)reward[:\s\x1c-\x1f]+([\d.]+)",
-    "kl": r"(?iU)kl[:\s\x1c-\x1f]+([\d.]+)",
-    "lr": r"(?iU)lr[:\s\x1c-\x1f]+([\d.e-]+)",
+    "step": rf"(?iu)step[:{_SET}]+({D}+)",
+    "epoch": rf"(?iu)epoch[:{_SET}]+({D}+)",
+    "loss": rf"(?iu)loss[:{_SET}]+([{D}.]+)",
+    "reward": rf"(?iu)reward[:{_SET}]+([{D}.]+)",
+    "kl": rf"(?iu)kl[:{_SET}]+([{D}.]+)",
+    "lr": rf"(?iu)lr[:{_SET}]+([{D}.e-]+)",
 }
 
 # Dashboard metric groups.

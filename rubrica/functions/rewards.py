@@ -43,10 +43,18 @@ def gspo_answer(solution: Column) -> Column:
 
 
 def math_reward(
-    answer: Column, truth: Column, correct: float = 1.0, mismatch: float = 0.0, wrong: float = 0.0
+    answer: Column,
+    truth: Column,
+    correct: float = 1.0,
+    mismatch: float = 0.0,
+    wrong: float = 0.0,
+    numbers: tuple[Column, Column] | None = None,
 ) -> Column:
-    """Score of an extracted answer: numbers within 1e-6, otherwise equal text."""
-    given, wanted = t.normalize_number(answer), t.normalize_number(truth)
+    """Score of an extracted answer: numbers within 1e-6, otherwise equal text.
+
+    ``numbers`` takes the two normalised numbers where they are columns already.
+    """
+    given, wanted = numbers or (t.normalize_number(answer), t.normalize_number(truth))
     numeric = given.isNotNull() & wanted.isNotNull()
     same_text = F.lower(t.strip(answer)) == F.lower(t.strip(F.coalesce(truth, F.lit(""))))
     equal = F.when(numeric, F.abs(given - wanted) < 1e-6).otherwise(same_text)
@@ -129,18 +137,16 @@ def model_rule_reward(model_score: Column, solution: Column) -> Column:
 # --- grpo and gspo rules -----------------------------------------------------------------------
 
 
-def answer_match(answer: Column, truth: Column) -> Column:
-    """NULL without an answer, else whether it equals the truth after normalisation."""
-    same = t.same_answer(t.normal_answer(answer), t.normal_answer(truth))
-    return F.when(answer.isNotNull(), same)
-
-
-def overlap_reward(solution: Column, truth: Column, bands: list[tuple[float, float]], low: float) -> Column:
-    """1 if the truth is part of the text, else the score of the first band its overlap exceeds."""
+def overlap_share(solution: Column, truth: Column) -> Column:
+    """1 if the truth is part of the text, else the share of its words found there."""
     said = t.strip(F.lower(solution))
     want = t.strip(F.lower(F.coalesce(truth, F.lit(""))))
-    share = t.word_overlap(want, said)
-    score = F.when(F.contains(said, want), _d(1.0))
+    return F.when(F.contains(said, want), _d(1.0)).otherwise(t.word_overlap(want, said))
+
+
+def banded(share: Column, bands: list[tuple[float, float]], low: float) -> Column:
+    """Score of the first band the share exceeds."""
+    score = F.when(share.isNull(), None)
     for above, value in bands:
         score = score.when(share > above, _d(value))
     return score.otherwise(_d(low))

@@ -13,21 +13,19 @@ from pyspark.sql import Column, functions as F
 
 from rubrica.functions import fixed
 
-_STRIP = f"(?U)^{fixed.SPACE}+|{fixed.SPACE}+$"
-_INTEGRAL = r"\d+(?:_\d+)*"
-_FINITE = (
-    rf"(?U)^[+-]?(?:{_INTEGRAL}(?:\.(?:{_INTEGRAL})?)?|\.{_INTEGRAL})(?:[eE][+-]?{_INTEGRAL})?$"
-)
+_PLAIN = r"^[+-]?[0-9]+(?:\.[0-9]*)?$"
+_DIGITS = rf"{fixed.D}+(?:_{fixed.D}+)*"
+_FINITE = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 _SPECIAL = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _STRIP, "")
+    return F.btrim(c, F.lit(fixed.SPACE_CHARS))
 
 
 def words(c: Column) -> Column:
     """Whitespace-separated words, no empty ones."""
-    return F.filter(F.split(c, f"(?U){fixed.SPACE}+"), lambda w: w != "")
+    return F.filter(F.split(c, f"{fixed.S}+"), lambda w: w != "")
 
 
 def matches_any(c: Column, patterns: list[str]) -> Column:
@@ -108,8 +106,9 @@ def to_float(c: Column, special: bool = True) -> Column:
     Accepts ``1_000`` and non-ASCII digits, refuses type suffixes such as ``1d``; ``special``
     also takes inf and nan.
     """
-    plain = ascii_digits(F.replace(c, F.lit("_"), F.lit("")))
-    value = F.when(c.rlike(_FINITE), plain.try_cast("double"))
+    other = ascii_digits(F.replace(c, F.lit("_"), F.lit("")))
+    value = F.when(c.rlike(_PLAIN), c.try_cast("double"))
+    value = value.when(c.rlike(_FINITE), other.try_cast("double"))
     return value.when(c.rlike(_SPECIAL), c.try_cast("double")) if special else value
 
 
@@ -122,22 +121,17 @@ def normalize_number(c: Column) -> Column:
     return to_float(without_commas(c))
 
 
-def normal_answer(c: Column) -> Column:
-    """Struct (num, txt) for comparing answers: a finite number, or else the lower-cased text.
-
-    NULL answers compare as the empty text; inf and nan compare as text.
-    """
-    bare = without_commas(F.coalesce(c, F.lit("")))
-    num = to_float(bare, special=False)
-    finite = F.when(F.abs(num) < F.lit(float("inf")), num)
-    return F.struct(finite.alias("num"), F.lower(bare).alias("txt"))
+def finite_number(c: Column) -> Column:
+    """Finite number written in ``c``, else NULL: inf and nan compare as text."""
+    value = to_float(c, special=False)
+    return F.when(c.rlike("[eE]") & (F.abs(value) == F.lit(float("inf"))), None).otherwise(value)
 
 
-def same_answer(a: Column, b: Column) -> Column:
-    """Equality of two ``normal_answer`` structs."""
+def same_answer(a: Column, b: Column, a_num: Column, b_num: Column) -> Column:
+    """Equality of two answers without commas: both numbers, or both other text, case ignored."""
     return (
-        F.when(a["num"].isNotNull() & b["num"].isNotNull(), a["num"] == b["num"])
-        .when(a["num"].isNull() & b["num"].isNull(), a["txt"] == b["txt"])
+        F.when(a_num.isNotNull() & b_num.isNotNull(), a_num == b_num)
+        .when(a_num.isNull() & b_num.isNull(), F.lower(a) == F.lower(b))
         .otherwise(F.lit(False))
     )
 

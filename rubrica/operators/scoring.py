@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from rubrica.functions import fixed, rewards as r
+from rubrica.functions import fixed, rewards as r, text as t
 
 
 def rule_of(source: Column, sources: dict[str, list[str]]) -> Column:
@@ -29,6 +29,16 @@ def _pass_rate(df: DataFrame) -> Column | None:
     return F.col("pass_rate") if "pass_rate" in df.columns else None
 
 
+def _numbers(df: DataFrame, normal: Callable[[Column], Column], number: Callable) -> DataFrame:
+    """Stage the normalised answer and truth, then their numbers, one evaluation each."""
+    truth = F.when(F.col("_answer").isNotNull(), F.coalesce("ground_truth", F.lit("")))
+    df = df.withColumn("_bare", normal(F.col("_answer"))).withColumn("_want", normal(truth))
+    return df.withColumn("_num", number(F.col("_bare"))).withColumn("_wnum", number(F.col("_want")))
+
+
+_STAGES = ("_text", "_rule", "_answer", "_bare", "_want", "_num", "_wnum", "_share")
+
+
 def score_common(df: DataFrame, out: str = "score") -> DataFrame:
     """Common rule set: math (also the default), code, qa, format."""
     text, truth, rule = F.col("_text"), F.col("ground_truth"), F.col("_rule")
@@ -36,26 +46,32 @@ def score_common(df: DataFrame, out: str = "score") -> DataFrame:
     staged = staged.withColumn(
         "_answer", F.when(rule.isin("math", "default"), r.common_answer(text))
     )
+    staged = _numbers(staged, t.without_commas, t.to_float)
+    numbers = (F.col("_num"), F.col("_wnum"))
     score = (
         F.when(rule == "code", r.code_reward(text, _pass_rate(df)))
         .when(rule == "qa", r.qa_reward(text, truth))
         .when(rule == "format", r.format_reward(text))
-        .otherwise(r.math_reward(F.col("_answer"), truth))
+        .otherwise(r.math_reward(F.col("_answer"), truth, numbers=numbers))
     )
-    return staged.withColumn(out, score).drop("_text", "_rule", "_answer")
+    return staged.withColumn(out, score).drop(*_STAGES)
 
 
 def _staged(df: DataFrame, sources: dict[str, list[str]], answer: Callable) -> DataFrame:
-    """Add _text, _rule, _match (NULL without an answer) and _parses (code only)."""
+    """Add _match (NULL without an answer), _share (qa only) and _parses (code only)."""
     rule, text = F.col("_rule"), F.col("_text")
     staged = _text(df).withColumn("_rule", rule_of(F.col("data_source"), sources))
+    staged = staged.withColumn("_parses", r.parses_as_python(F.when(rule == "code", text)))
     staged = staged.withColumn("_answer", F.when(rule.isin("math", "default"), answer(text)))
-    match = r.answer_match(F.col("_answer"), F.col("ground_truth"))
-    parses = r.parses_as_python(F.when(rule == "code", text))
-    return staged.withColumn("_match", match).withColumn("_parses", parses)
+    staged = staged.withColumn(
+        "_share", F.when(rule == "qa", r.overlap_share(text, F.col("ground_truth")))
+    )
+    staged = _numbers(staged, t.without_commas, t.finite_number)
+    same = t.same_answer(F.col("_bare"), F.col("_want"), F.col("_num"), F.col("_wnum"))
+    return staged.withColumn("_match", F.when(F.col("_answer").isNotNull(), same))
 
 
-_STAGES = ("_text", "_rule", "_answer", "_match", "_parses")
+_GROUP_STAGES = (*_STAGES, "_parses", "_match")
 
 
 def score_grpo(
@@ -70,41 +86,46 @@ def score_grpo(
     text, truth, rule, match = (F.col(c) for c in ("_text", "ground_truth", "_rule", "_match"))
     tests = _pass_rate(df)
     code = F.when(F.col("_parses"), near if tests is None else F.coalesce(tests, near)).otherwise(bad)
-    overlap = r.overlap_reward(text, truth, [(0.8, 1.0), (0.5, 0.1)], 0.0)
-    if (correct, mismatch, wrong) != (1.0, 0.1, 0.0):
-        overlap = F.when(overlap == 1.0, good).when(overlap == 0.1, near).otherwise(bad)
     score = (
         F.when(rule == "code", code)
-        .when(rule == "qa", overlap)
+        .when(rule == "qa", r.banded(F.col("_share"), [(0.8, correct), (0.5, mismatch)], wrong))
         .when(rule == "label", r.label_reward(text, truth, correct, wrong))
         .when(match.isNull(), bad)
         .when(match, good)
         .when(rule == "math", near)
         .otherwise(bad)
     )
-    return staged.withColumn(out, score).drop(*_STAGES)
+    return staged.withColumn(out, score).drop(*_GROUP_STAGES)
 
 
-def score_gspo(df: DataFrame, out: str = "score") -> DataFrame:
-    """GSPO rule set: correctness plus reasoning quality (1.0 right, 0.1 mismatch, 0.0 none)."""
+def score_gspo(
+    df: DataFrame,
+    out: str = "score",
+    correct: float = 1.0,
+    partial: float = 0.5,
+    mismatch: float = 0.1,
+    wrong: float = 0.0,
+) -> DataFrame:
+    """GSPO rule set: correctness plus the quality of the reasoning, at most 1.5."""
+    good, near, bad = (F.lit(float(v)) for v in (correct, mismatch, wrong))
     staged = _staged(df, fixed.GSPO_SOURCES, r.gspo_answer)
     text, truth, rule, match = (F.col(c) for c in ("_text", "ground_truth", "_rule", "_match"))
     staged = staged.withColumn("_quality", F.when(rule == "math", r.reasoning_quality(text)))
     quality = F.col("_quality")
     math = (
-        F.when(match.isNull(), F.lit(0.0) + quality * F.lit(0.5))
-        .when(match, F.least(F.lit(1.0) + quality, F.lit(1.5)))
-        .otherwise(F.lit(0.1) + quality)
+        F.when(match.isNull(), bad + quality * F.lit(0.5))
+        .when(match, F.least(good + quality, F.lit(1.5)))
+        .otherwise(near + quality)
     )
-    other = F.when(match.isNull(), F.lit(0.0)).when(match, F.lit(1.0)).otherwise(F.lit(0.1))
+    bands = [(0.8, correct), (0.5, partial), (0.2, mismatch)]
     score = (
         F.when(rule == "math", math)
         .when(rule == "code", r.code_quality(text, F.col("_parses"), _pass_rate(df)))
-        .when(rule == "qa", r.overlap_reward(text, truth, [(0.8, 1.0), (0.5, 0.5), (0.2, 0.1)], 0.0))
+        .when(rule == "qa", r.banded(F.col("_share"), bands, wrong))
         .when(rule == "dialogue", r.dialogue_reward(text, truth))
-        .otherwise(other)
+        .otherwise(F.when(match.isNull(), bad).when(match, good).otherwise(near))
     )
-    return staged.withColumn(out, score).drop(*_STAGES, "_quality")
+    return staged.withColumn(out, score).drop(*_GROUP_STAGES, "_quality")
 
 
 def score_with_process(df: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rubrica.session import spread, tune
+
 _GOT = "CAST(got AS STRING)"
 _NL, _BOX = "chr(10)", "chr(92) || 'boxed{'"
 _G5 = "CAST(want % 5 AS STRING)"
@@ -141,7 +143,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, stages = TABLES[name]
-    df = read(spark, sf_dir, source)
+    tune(spark)
+    df = spread(read(spark, sf_dir, source))
     for stage in stages:
         df = df.selectExpr(*_select(stage, "spark"))
     return df

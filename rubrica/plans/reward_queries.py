@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rubrica.functions import fixed, rewards as r, text as t
 from rubrica.operators import scoring
 from rubrica.plans import sqltext as q
 from rubrica.plans.inputs import cte, read, table
+from rubrica.session import spread
 
 KEYS = ["group_id", "response_id"]
 
@@ -90,7 +91,7 @@ FROM s"""
 
 def format_checks(spark: SparkSession, sf: str) -> DataFrame:
     x = F.col("text")
-    return read(spark, sf, "documents").select(
+    return spread(read(spark, sf, "documents")).select(
         "doc_id",
         r.format_reward(x, "json").alias("json"),
         r.format_reward(x, "markdown").alias("markdown"),

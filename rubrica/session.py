@@ -27,6 +27,24 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the scoring plans rely on.
+
+    A long CASE over many patterns makes one generated method that the JVM refuses to compile
+    (over 8000 bytes) and then interprets; above the limit Spark splits the expression instead.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores if the scan yields fewer splits than there are cores.
+
+    Large inputs have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
