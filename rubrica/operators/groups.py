@@ -6,17 +6,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from rubrica.operators.ordering import GROUP_LIMIT, first_rows, number_rows, with_group_values
+from rubrica.operators.ordering import (
+    GROUP_LIMIT,
+    first_rows,
+    has_large_group,
+    number_rows,
+    with_group_values,
+)
 
 #: Responses of one group that meet the same number of others in one join key.
 BLOCK_ROWS = 2_000
 
 
 def rank_responses(
-    df: DataFrame, group: str, index: str, score: str = "score", limit: int = GROUP_LIMIT
+    df: DataFrame,
+    group: str,
+    index: str,
+    score: str = "score",
+    limit: int = GROUP_LIMIT,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Rank within the group, best first; ties keep the order of ``index``."""
-    return number_rows(df, [group], [F.col(score).desc(), F.col(index).asc()], "rank", limit)
+    order = [F.col(score).desc(), F.col(index).asc()]
+    return number_rows(df, [group], order, "rank", limit, sizes)
 
 
 def best_responses(df: DataFrame, group: str, index: str, score: str = "score", n: int = 1) -> DataFrame:
@@ -38,7 +50,7 @@ def preference_levels(df: DataFrame, group: str, score: str = "score", margin: f
     a = levels.select(group, F.col(score).alias("chosen_score"), F.col("n").alias("n_chosen"))
     b = levels.select(group, F.col(score).alias("rejected_score"), F.col("n").alias("n_rejected"))
     diff = F.col("chosen_score") - F.col("rejected_score")
-    pairs = a.join(b, group).where(diff >= margin)
+    pairs = a.join(b.hint("merge"), group).where(diff >= margin)
     return pairs.withColumn("score_diff", diff).withColumn(
         "pairs", F.col("n_chosen") * F.col("n_rejected")
     )
@@ -52,30 +64,38 @@ def preference_pairs(
     margin: float = 0.1,
     carry: Sequence[str] = ("response",),
     block: int = BLOCK_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """(chosen, rejected, score_diff) for responses of a group whose scores differ by the margin.
 
-    The difference is taken on raw doubles, unrounded. Groups above ``block`` responses are cut
-    into blocks by a hash of ``index``; each pair of blocks is a join key of its own, so no key
-    holds more than about ``block`` rows of either side and every pair is met exactly once. Only
-    pairs within the margin leave the join. For groups too large to list use
+    The difference is taken on raw doubles, unrounded. Both sides read one shuffle of the scored
+    rows (hence the merge hint: a broadcast would score twice and grow with the data). Only pairs within the margin leave the
+    join. Groups above ``block`` responses are cut into blocks by a hash of ``index``; each pair
+    of blocks is a join key of its own, so no key holds more than about ``block`` rows of either
+    side and every pair is met exactly once. For groups too large to list use
     ``preference_levels``.
     """
-    blocks = (F.ceil(F.col("count") / F.lit(block))).cast("int").alias("_k")
-    large = df.groupBy(group).count().where(F.col("count") > block).select(group, blocks)
-    rows = df.select(group, index, score, *carry).join(large, group, "left")
-    rows = rows.withColumn("_k", F.coalesce("_k", F.lit(1)))
-    rows = rows.withColumn("_mine", F.expr(f"cast(pmod(xxhash64({index}), _k) as int)"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-
-    def side(name: str, mine: str, other: str) -> DataFrame:
-        cols = [F.col(c).alias(f"{name}_{c}") for c in (index, score, *carry)]
-        return rows.select(group, F.col("_mine").alias(mine), F.col("_other").alias(other), *cols)
-
-    pairs = side("chosen", "_i", "_j").join(side("rejected", "_j", "_i"), [group, "_i", "_j"])
+    measured = df if sizes is None else sizes
+    keys = [group]
+    chosen = rejected = df.select(group, index, score, *carry)
+    if has_large_group(measured, [group], block):
+        keys = [group, "_i", "_j"]
+        blocks = F.ceil(F.col("count") / F.lit(block)).cast("int").alias("_k")
+        large = measured.groupBy(group).count().where(F.col("count") > block).select(group, blocks)
+        rows = chosen.join(large, group, "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+        rows = rows.withColumn("_mine", F.pmod(F.xxhash64(index), F.col("_k")).cast("int"))
+        rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+        chosen = rows.withColumnsRenamed({"_mine": "_i", "_other": "_j"})
+        rejected = rows.withColumnsRenamed({"_mine": "_j", "_other": "_i"})
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in (index, score, *carry)])
+
+    pairs = side(chosen, "chosen").join(side(rejected, "rejected").hint("merge"), keys)
     diff = F.col(f"chosen_{score}") - F.col(f"rejected_{score}")
     earlier = (diff > 0) | ((diff == 0) & (F.col(f"chosen_{index}") < F.col(f"rejected_{index}")))
-    return pairs.where(earlier & (diff >= margin)).withColumn("score_diff", diff).drop("_i", "_j")
+    pairs = pairs.where(earlier & (diff >= margin)).withColumn("score_diff", diff)
+    return pairs.drop("_i", "_j")
 
 
 def group_advantages(
@@ -84,6 +104,7 @@ def group_advantages(
     reward: str = "score",
     by_std: bool = True,
     limit: int = GROUP_LIMIT,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Reward relative to its group: (r - mean) / sample std, or r - mean without ``by_std``.
 
@@ -91,7 +112,7 @@ def group_advantages(
     """
     r = F.nanvl(F.col(reward), F.lit(None).cast("double"))
     stats = {"group_mean": F.avg(r), "group_std": F.stddev_samp(r)}
-    out = with_group_values(df, [group], stats, limit)
+    out = with_group_values(df, [group], stats, limit, sizes)
     centred = r - F.col("group_mean")
     flat = F.col("group_std").isNull() | (F.col("group_std") < 1e-12)
     scaled = F.when(flat, F.lit(0.0)).otherwise(centred / F.col("group_std"))

@@ -34,15 +34,16 @@ def number_rows(
     order: Sequence[Column],
     out: str = "pos",
     limit: int = GROUP_LIMIT,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Exact 1-based position of each row within its group.
 
-    With a group above ``limit`` the table is range-partitioned on (group, order), which cuts
+    ``sizes`` is a cheaper table with the same groups to measure, by default ``df``. With a group above ``limit`` the table is range-partitioned on (group, order), which cuts
     inside a group; each range numbers its own rows and adds the rows of earlier ranges. The
     ranges come from a sample, so they are written once before two branches read them.
     """
     by, order = list(by), list(order)
-    if not has_large_group(df, by, limit):
+    if not has_large_group(df if sizes is None else sizes, by, limit):
         window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
         return df.withColumn(out, F.row_number().over(window).cast("bigint"))
     ranged = settle(
@@ -103,15 +104,16 @@ def with_group_values(
     by: Sequence[str],
     values: dict[str, Column],
     limit: int = GROUP_LIMIT,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add group aggregates to every row.
 
-    Small groups take one shuffle and a window. With a large group the aggregates are
+    ``sizes`` is a cheaper table with the same groups to measure, by default ``df``. Small groups take one shuffle and a window. With a large group the aggregates are
     pre-aggregated before their shuffle and joined back; the adaptive skew join splits the
     large group because its other side is one row.
     """
     by = list(by)
-    if not has_large_group(df, by, limit):
+    if not has_large_group(df if sizes is None else sizes, by, limit):
         window = Window.partitionBy(*by)
         return df.select("*", *[c.over(window).alias(n) for n, c in values.items()])
     stats = df.groupBy(*by).agg(*[c.alias(n) for n, c in values.items()])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from rubrica.functions import fixed, rewards as r, text as t
+from rubrica.session import once
 
 
 def rule_of(source: Column, sources: dict[str, list[str]]) -> Column:
@@ -33,7 +34,7 @@ def _numbers(df: DataFrame, normal: Callable[[Column], Column], number: Callable
     """Stage the normalised answer and truth, then their numbers, one evaluation each."""
     truth = F.when(F.col("_answer").isNotNull(), F.coalesce("ground_truth", F.lit("")))
     df = df.withColumn("_bare", normal(F.col("_answer"))).withColumn("_want", normal(truth))
-    return df.withColumn("_num", number(F.col("_bare"))).withColumn("_wnum", number(F.col("_want")))
+    return once(df, _num=number(F.col("_bare")), _wnum=number(F.col("_want")))
 
 
 _STAGES = ("_text", "_rule", "_answer", "_bare", "_want", "_num", "_wnum", "_share")
@@ -43,9 +44,7 @@ def score_common(df: DataFrame, out: str = "score") -> DataFrame:
     """Common rule set: math (also the default), code, qa, format."""
     text, truth, rule = F.col("_text"), F.col("ground_truth"), F.col("_rule")
     staged = _text(df).withColumn("_rule", rule_of(F.col("data_source"), fixed.COMMON_SOURCES))
-    staged = staged.withColumn(
-        "_answer", F.when(rule.isin("math", "default"), r.common_answer(text))
-    )
+    staged = once(staged, _answer=F.when(rule.isin("math", "default"), r.common_answer(text)))
     staged = _numbers(staged, t.without_commas, t.to_float)
     numbers = (F.col("_num"), F.col("_wnum"))
     score = (
@@ -54,7 +53,7 @@ def score_common(df: DataFrame, out: str = "score") -> DataFrame:
         .when(rule == "format", r.format_reward(text))
         .otherwise(r.math_reward(F.col("_answer"), truth, numbers=numbers))
     )
-    return staged.withColumn(out, score).drop(*_STAGES)
+    return once(staged, **{out: score}).drop(*_STAGES)
 
 
 def _staged(df: DataFrame, sources: dict[str, list[str]], answer: Callable) -> DataFrame:
@@ -62,9 +61,10 @@ def _staged(df: DataFrame, sources: dict[str, list[str]], answer: Callable) -> D
     rule, text = F.col("_rule"), F.col("_text")
     staged = _text(df).withColumn("_rule", rule_of(F.col("data_source"), sources))
     staged = staged.withColumn("_parses", r.parses_as_python(F.when(rule == "code", text)))
-    staged = staged.withColumn("_answer", F.when(rule.isin("math", "default"), answer(text)))
-    staged = staged.withColumn(
-        "_share", F.when(rule == "qa", r.overlap_share(text, F.col("ground_truth")))
+    staged = once(
+        staged,
+        _answer=F.when(rule.isin("math", "default"), answer(text)),
+        _share=F.when(rule == "qa", r.overlap_share(text, F.col("ground_truth"))),
     )
     staged = _numbers(staged, t.without_commas, t.finite_number)
     same = t.same_answer(F.col("_bare"), F.col("_want"), F.col("_num"), F.col("_wnum"))
@@ -95,7 +95,7 @@ def score_grpo(
         .when(rule == "math", near)
         .otherwise(bad)
     )
-    return staged.withColumn(out, score).drop(*_GROUP_STAGES)
+    return once(staged, **{out: score}).drop(*_GROUP_STAGES)
 
 
 def score_gspo(
@@ -110,7 +110,7 @@ def score_gspo(
     good, near, bad = (F.lit(float(v)) for v in (correct, mismatch, wrong))
     staged = _staged(df, fixed.GSPO_SOURCES, r.gspo_answer)
     text, truth, rule, match = (F.col(c) for c in ("_text", "ground_truth", "_rule", "_match"))
-    staged = staged.withColumn("_quality", F.when(rule == "math", r.reasoning_quality(text)))
+    staged = once(staged, _quality=F.when(rule == "math", r.reasoning_quality(text)))
     quality = F.col("_quality")
     math = (
         F.when(match.isNull(), bad + quality * F.lit(0.5))
@@ -125,13 +125,13 @@ def score_gspo(
         .when(rule == "dialogue", r.dialogue_reward(text, truth))
         .otherwise(F.when(match.isNull(), bad).when(match, good).otherwise(near))
     )
-    return staged.withColumn(out, score).drop(*_GROUP_STAGES, "_quality")
+    return once(staged, **{out: score}).drop(*_GROUP_STAGES, "_quality")
 
 
 def score_with_process(df: DataFrame) -> DataFrame:
     """GRPO outcome, process reward and their sum."""
     scored = score_grpo(df, "outcome_reward")
-    scored = scored.withColumn("process_reward", r.process_reward(F.coalesce("response", F.lit(""))))
+    scored = once(scored, process_reward=r.process_reward(F.coalesce("response", F.lit(""))))
     return scored.withColumn("total_reward", F.col("outcome_reward") + F.col("process_reward"))
 
 
@@ -141,7 +141,7 @@ def score_with_length_penalty(
     """GRPO score less the length penalty, at least 0."""
     text = F.coalesce("response", F.lit(""))
     penalised = r.length_penalty(text, F.col("_base"), shortest, longest, factor)
-    return score_grpo(df, "_base").withColumn(out, penalised).drop("_base")
+    return once(score_grpo(df, "_base"), **{out: penalised}).drop("_base")
 
 
 def score_composite(
@@ -150,7 +150,7 @@ def score_composite(
     """Weighted mean of the common rewards math, code, qa, format and length."""
     weights = weights or {"math": 1.0}
     text, truth = F.coalesce("response", F.lit("")), F.col("ground_truth")
-    staged = df.withColumn("_answer", r.common_answer(text))
+    staged = once(df, _answer=r.common_answer(text))
     rules = {
         "math": r.math_reward(F.col("_answer"), truth),
         "code": r.code_reward(text, _pass_rate(df)),
@@ -158,7 +158,7 @@ def score_composite(
         "format": r.format_reward(text),
         "length": r.length_penalty_reward(text),
     }
-    return staged.withColumn(out, r.weighted_mean(rules, weights)).drop("_answer")
+    return once(staged, **{out: r.weighted_mean(rules, weights)}).drop("_answer")
 
 
 def pass_rates(results: DataFrame, by: str = "response_id") -> DataFrame:

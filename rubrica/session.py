@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSession:
@@ -36,6 +36,16 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once, where they stand.
+
+    Ordinary projections are merged, and a later filter on a scored column is pushed down into
+    every one of them, repeating long expressions many times over. Neither passes a generator.
+    """
+    fields = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(fields)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out over all cores if the scan yields fewer splits than there are cores.
 
