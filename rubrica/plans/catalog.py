@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rubrica.plans import group_queries, reward_queries
+from rubrica.plans import group_queries, prep_queries, reward_queries
 
-_MODULES = [reward_queries, group_queries]
+_MODULES = [reward_queries, group_queries, prep_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
