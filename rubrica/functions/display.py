@@ -44,13 +44,30 @@ def sample_text(
     return F.concat_ws(
         "\n\n",
         part("Step", step.cast("string")),
-        part("Reward", F.when(reward.isNotNull(), F.format_string("%.4f", reward))),
+        part("Reward", F.when(reward.isNotNull(), fixed_point(reward, 4))),
         part("Prompt", clipped(prompt, 200)),
         part("Response", clipped(response, 500)),
         part("Ground Truth", ground_truth),
     )
 
 
+def fixed_point(x: Column, places: int) -> Column:
+    """Number with ``places`` decimals, rounded by its exact binary value, ties to even.
+
+    ``format_string`` rounds the shortest decimal spelling instead and so lifts 0.15 to 0.2. Near
+    a tie the distance to it is computed without error, from two halves of the number.
+    """
+    scale = F.lit(2.0 * 10**places)
+    high = x.cast("float").cast("double")
+    tie = F.rint(x * scale)
+    off = (high * scale - tie) + (x - high) * scale
+    down, up = (tie - 1) / F.lit(2.0), (tie + 1) / F.lit(2.0)
+    even = F.when(F.pmod(down, F.lit(2.0)) == 0, down).otherwise(up)
+    nearest = F.when(off < 0, down).when(off > 0, up).otherwise(even) / F.lit(10.0**places)
+    near = (F.pmod(tie, F.lit(2.0)) == 1) & (F.abs(off) < 0.01)
+    return F.format_string(f"%.{places}f", F.when(near, nearest).otherwise(x))
+
+
 def clock(seconds: Column) -> Column:
     """HH:MM:SS; hours may exceed 24."""
     whole = F.floor(seconds).cast("bigint")
@@ -66,10 +83,14 @@ def progress_text(
     percent = step / F.lit(total) * F.lit(100.0)
     eta = F.when(step > 0, F.try_divide(elapsed, step) * (F.lit(total) - step)).otherwise(F.lit(0.0))
     shown = [
-        F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), F.format_string("%.4f", c)))
+        F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), fixed_point(c, 4)))
         for name, c in metrics
     ]
     return F.concat(
-        F.format_string(f"Step %d/{total} (%.1f%%) | ETA: %.1fmin | ", step, percent, eta / F.lit(60.0)),
+        F.format_string(f"Step %d/{total} (", step),
+        fixed_point(percent, 1),
+        F.lit("%) | ETA: "),
+        fixed_point(eta / F.lit(60.0), 1),
+        F.lit("min | "),
         F.concat_ws(" | ", *shown) if shown else F.lit(""),
     )

@@ -125,8 +125,8 @@ def parse_score(content: Column) -> Column:
         .when(kind == "BOOLEAN", F.try_variant_get(value, "$.score", "boolean").cast("double"))
         .otherwise(F.try_variant_get(value, "$.score", "double"))
     )
-    clamped = F.when(F.isnan(number), number).otherwise(
-        F.least(F.greatest(number, F.lit(1.0)), F.lit(10.0)) / F.lit(10.0)
+    clamped = F.when(F.isnan(number), number).when(
+        number.isNotNull(), F.least(F.greatest(number, F.lit(1.0)), F.lit(10.0)) / F.lit(10.0)
     )
     unusable = (kind == "VOID") | kind.startswith("ARRAY") | kind.startswith("OBJECT")
     free = t.to_float(F.regexp_extract(content, r"(?U)\b(\p{Nd}+(?:\.\p{Nd}+)?)\b", 1))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from rubrica.plans import group_queries, prep_queries, reward_queries
+from rubrica.plans import (
+    group_queries,
+    judge_queries,
+    prep_queries,
+    reward_queries,
+    run_queries,
+)
 
-_MODULES = [reward_queries, group_queries, prep_queries]
+_MODULES = [reward_queries, group_queries, prep_queries, judge_queries, run_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
