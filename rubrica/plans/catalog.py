@@ -8,9 +8,10 @@ from rubrica.plans import (
     prep_queries,
     reward_queries,
     run_queries,
+    stat_queries,
 )
 
-_MODULES = [reward_queries, group_queries, prep_queries, judge_queries, run_queries]
+_MODULES = [reward_queries, group_queries, prep_queries, judge_queries, run_queries, stat_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
