@@ -9,9 +9,10 @@ from rubrica.plans import (
     reward_queries,
     run_queries,
     stat_queries,
+    stream_queries,
 )
 
-_MODULES = [reward_queries, group_queries, prep_queries, judge_queries, run_queries, stat_queries]
+_MODULES = [reward_queries, group_queries, prep_queries, judge_queries, run_queries, stat_queries, stream_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

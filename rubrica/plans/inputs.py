@@ -114,7 +114,7 @@ _TOKENS = (
             "old_logp": "-l_tax - l_quantity / 100e0",
             "ref_logp": "-l_tax / 2e0 - l_quantity / 90e0",
             "reward": "l_discount - 5e-2",
-            "value": "l_tax + l_quantity / 200e0",
+            "value": "l_tax + l_quantity / 300e0",
             "advantage": "l_extendedprice / 50000e0 - 1e0",
         },
     ],
@@ -141,13 +141,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_of(source: DataFrame, name: str) -> DataFrame:
+    """Derive a table from a batch or streaming DataFrame of its driver table."""
+    for stage in TABLES[name][1]:
+        source = source.selectExpr(*_select(stage, "spark"))
+    return source
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, stages = TABLES[name]
     tune(spark)
-    df = spread(read(spark, sf_dir, source))
-    for stage in stages:
-        df = df.selectExpr(*_select(stage, "spark"))
-    return df
+    return table_of(spread(read(spark, sf_dir, TABLES[name][0])), name)
 
 
 def cte(*names: str) -> str:
