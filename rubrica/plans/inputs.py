@@ -114,7 +114,7 @@ _TOKENS = (
             "old_logp": "-l_tax - l_quantity / 100e0",
             "ref_logp": "-l_tax / 2e0 - l_quantity / 90e0",
             "reward": "l_discount - 5e-2",
-            "value": "l_tax + l_quantity / 300e0",
+            "value": "l_tax + l_quantity / 313e0",
             "advantage": "l_extendedprice / 50000e0 - 1e0",
         },
     ],
