@@ -80,9 +80,12 @@ _PAIRS = f"""{_GSPO}, pairs AS (
  FROM scored a JOIN scored b ON a.group_id = b.group_id AND a.score > b.score
  WHERE a.score - b.score >= 1e-1)"""
 
-_LEVELS = f"""{_PAIRS} SELECT group_id, chosen_score, rejected_score, score_diff, count(*) AS pairs,
- count(DISTINCT chosen_response_id) AS n_chosen, count(DISTINCT rejected_response_id) AS n_rejected
-FROM pairs GROUP BY group_id, chosen_score, rejected_score, score_diff"""
+_LEVELS = f"""{_PAIRS}, n AS (SELECT group_id, score, count(*) AS n FROM scored GROUP BY ALL)
+SELECT p.group_id, chosen_score, rejected_score, score_diff, count(*) AS pairs,
+ any_value(a.n) AS n_chosen, any_value(b.n) AS n_rejected
+FROM pairs p JOIN n a ON a.group_id = p.group_id AND a.score = chosen_score
+JOIN n b ON b.group_id = p.group_id AND b.score = rejected_score
+GROUP BY p.group_id, chosen_score, rejected_score, score_diff"""
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,7 +22,7 @@ _GAE = f"""{_TOKENS}, n AS (SELECT *, row_number() OVER w AS pos,
  WINDOW w AS (PARTITION BY seq_id ORDER BY token_id)),
  a AS (SELECT x.seq_id, x.token_id, any_value(x.delta) AS delta, any_value(x.value) AS value,
  sum(pow(99e-2 * 95e-2, y.pos - x.pos) * y.delta) AS advantage
- FROM n x JOIN n y ON x.seq_id = y.seq_id AND y.pos >= x.pos GROUP BY x.seq_id, x.token_id)
+ FROM n x JOIN n y ON x.seq_id = y.seq_id AND y.pos >= x.pos GROUP BY x.seq_id, x.token_id, x.pos)
 SELECT seq_id, token_id, round(delta, 10) + 0e0 AS delta, round(advantage, 10) + 0e0 AS advantage,
  round(advantage + value, 10) + 0e0 AS "return" FROM a"""
 
