@@ -108,31 +108,42 @@ def reply_content(provider: str, reply: Column) -> Column:
     return F.get_json_object(reply, "$.choices[0].message.content")
 
 
-def parse_score(content: Column) -> Column:
-    """Score in 0.1..1 from a judge's text, 0.5 where it cannot be read.
+def first_object(content: Column) -> Column:
+    """First flat ``{...}`` of a judge's text if it is JSON, else NULL."""
+    found = F.nullif(F.regexp_extract(content, r"\{[^}]+\}", 0), F.lit(""))
+    return F.when(F.try_parse_json(found).isNotNull(), found)
+
+
+def object_score(found: Column) -> Column:
+    """The object's score as a VARIANT: 5 if it has none, NULL without an object."""
+    has = F.array_contains(F.json_object_keys(found), "score")
+    score = F.try_variant_get(F.try_parse_json(found), "$.score", "variant")
+    return F.when(has, score).when(found.isNotNull(), F.lit(5).cast("variant"))
+
 
-    The first flat JSON object counts if it parses: its score (5 if missing) is clamped to 1..10.
-    Otherwise the first free-standing number counts if it lies in 1..10.
+def free_number(content: Column) -> Column:
+    """First free-standing number of a text."""
+    return t.to_float(F.regexp_extract(content, r"(?U)\b(\p{Nd}+(?:\.\p{Nd}+)?)\b", 1))
+
+
+def score_of(found: Column, value: Column, kind: Column, free: Column) -> Column:
+    """Score in 0.1..1 from the parts of a judge's text, 0.5 where they say nothing usable.
+
+    A score in an object is clamped to 1..10. Without an object, or with a text for a score that
+    is no number, a free-standing number counts if it lies in 1..10.
     """
-    found = F.nullif(F.regexp_extract(content, r"\{[^}]+\}", 0), F.lit(""))
-    value = F.try_variant_get(F.try_parse_json(found), "$", "variant")
-    score = F.try_variant_get(value, "$.score", "variant")
-    kind = F.schema_of_variant(score)
-    written = t.to_float(t.strip(F.try_variant_get(value, "$.score", "string")))
     number = (
-        F.when(~F.array_contains(F.json_object_keys(found), "score"), F.lit(5.0))
-        .when(kind == "STRING", written)
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$.score", "boolean").cast("double"))
-        .otherwise(F.try_variant_get(value, "$.score", "double"))
+        F.when(kind == "STRING", t.to_float(t.strip(F.try_variant_get(value, "$", "string"))))
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
+        .otherwise(F.try_variant_get(value, "$", "double"))
     )
     clamped = F.when(F.isnan(number), number).when(
         number.isNotNull(), F.least(F.greatest(number, F.lit(1.0)), F.lit(10.0)) / F.lit(10.0)
     )
     unusable = (kind == "VOID") | kind.startswith("ARRAY") | kind.startswith("OBJECT")
-    free = t.to_float(F.regexp_extract(content, r"(?U)\b(\p{Nd}+(?:\.\p{Nd}+)?)\b", 1))
     fallback = F.when(free.between(1, 10), free / F.lit(10.0)).otherwise(F.lit(DEFAULT_SCORE))
     return (
-        F.when(value.isNull(), fallback)
+        F.when(found.isNull(), fallback)
         .when(unusable, F.lit(DEFAULT_SCORE))
         .otherwise(F.coalesce(clamped, fallback))
     )

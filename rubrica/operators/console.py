@@ -9,7 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rubrica.functions import fixed, text as t
-from rubrica.operators.ordering import GROUP_LIMIT, SLICE_ROWS, number_rows, with_carry
+from rubrica.operators.ordering import (
+    GROUP_LIMIT,
+    SLICE_ROWS,
+    slice_window,
+    sliced_rows,
+    with_carry,
+)
+from rubrica.session import once
 
 
 def line_values(line: Column, patterns: dict[str, str]) -> dict[str, Column]:
@@ -38,7 +45,7 @@ def parse_console(
     """
     patterns = patterns or fixed.CONSOLE_PATTERNS
     keys = list(patterns)
-    found = lines.select(file, order, *[c.alias(k) for k, c in line_values(F.col(value), patterns).items()])
+    found = once(lines.select(file, order, value), **line_values(F.col(value), patterns)).drop(value)
     other = F.coalesce(*[F.col(k) for k in keys if k != "step"]).isNotNull()
     kind = (
         F.when(F.col("step").isNotNull() & other, F.lit("b"))
@@ -46,22 +53,22 @@ def parse_console(
         .when(other, F.lit("o"))
     )
     rows = found.withColumn("_x", kind).where("_x IS NOT NULL")
-    rows = number_rows(rows, [file], [F.col(order)], "_n", limit)
-    rows = rows.withColumn("_slice", F.floor((F.col("_n") - 1) / F.lit(slice_rows)).cast("bigint"))
-    here = Window.partitionBy(file, "_slice").orderBy("_n")
+    sizes = lines.select(file)
+    rows, cut = sliced_rows(rows, [file], [F.col(order)], limit, slice_rows, sizes)
+    here = slice_window([file], cut)
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
 
-    rows = with_carry(rows, [file], "_slice", [("max", F.max(F.struct("_n", "_x")), "_end")])
+    rows = with_carry(rows, [file], cut, [("max", F.max(F.struct("_n", "_x")), "_end")])
     before = F.coalesce(F.lag("_x").over(here), F.col("_end")["_x"])
     fresh = before.isNull() | (before == "b") | (before == F.col("_x"))
     rows = rows.withColumn("_start", F.when(fresh, F.col("_n"))).drop("_end")
 
-    rows = with_carry(rows, [file], "_slice", [("max", F.max("_start"), "_open")])
+    rows = with_carry(rows, [file], cut, [("max", F.max("_start"), "_open")])
     start = F.coalesce(F.max("_start").over(upto), F.col("_open"))
     done = (F.col("_x") == "b") | ((F.col("_n") - start) % 2 == 1)
     rows = rows.withColumn("_done", done.cast("int")).drop("_open", "_start")
 
-    rows = with_carry(rows, [file], "_slice", [("sum", F.sum("_done"), "_past")])
+    rows = with_carry(rows, [file], cut, [("sum", F.sum("_done"), "_past")])
     complete = F.sum("_done").over(upto) - F.col("_done") + F.coalesce("_past", F.lit(0))
     rows = rows.withColumn("record", complete.cast("bigint"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from rubrica.operators.ordering import (
     GROUP_LIMIT,
     first_rows,
-    has_large_group,
+    group_bound,
     number_rows,
     with_group_values,
 )
@@ -78,7 +78,7 @@ def preference_pairs(
     measured = df if sizes is None else sizes
     keys = [group]
     chosen = rejected = df.select(group, index, score, *carry)
-    if has_large_group(measured, [group], block):
+    if group_bound(measured, [group], block) > block:
         keys = [group, "_i", "_j"]
         blocks = F.ceil(F.col("count") / F.lit(block)).cast("int").alias("_k")
         large = measured.groupBy(group).count().where(F.col("count") > block).select(group, blocks)

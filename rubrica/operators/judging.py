@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from rubrica.functions import judge
+from rubrica.session import once
 
 _REQUEST = ("preset", "prompt", "response", "ground_truth")
 
@@ -64,10 +65,19 @@ def call_judge(
     return df.withColumn(out, ask_all.asNondeterministic()("body"))
 
 
+def parse_scores(df: DataFrame, content: str = "content", out: str = "score") -> DataFrame:
+    """Score of each judge text; every reply is parsed once."""
+    df = once(df, _found=judge.first_object(F.col(content)))
+    df = once(df, _value=judge.object_score(F.col("_found")))
+    df = once(df, _kind=F.schema_of_variant("_value"), _free=judge.free_number(F.col(content)))
+    score = judge.score_of(F.col("_found"), F.col("_value"), F.col("_kind"), F.col("_free"))
+    return once(df, **{out: score}).drop("_found", "_value", "_kind", "_free")
+
+
 def judged(df: DataFrame, provider: str = "openai", reply: str = "reply", out: str = "score") -> DataFrame:
     """Score of each reply, 0.5 where there is none."""
     content = judge.reply_content(provider, F.col(reply))
-    return df.withColumn(out, F.coalesce(judge.parse_score(content), F.lit(judge.DEFAULT_SCORE)))
+    return parse_scores(df.withColumn("_content", content), "_content", out).drop("_content")
 
 
 def fresh(cache: DataFrame, now: float | None = None, ttl: float = 3600.0) -> DataFrame:

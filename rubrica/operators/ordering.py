@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from rubrica.session import settle
 
@@ -19,13 +19,12 @@ GROUP_LIMIT = 2_000_000
 SLICE_ROWS = 100_000
 
 
-def has_large_group(df: DataFrame, by: Sequence[str], limit: int = GROUP_LIMIT) -> bool:
-    """True if some group of ``by`` has more than ``limit`` rows."""
-    if df.count() <= limit:
-        return False
-    if not by:
-        return True
-    return not df.groupBy(*by).count().where(F.col("count") > limit).isEmpty()
+def group_bound(df: DataFrame, by: Sequence[str], enough: int) -> int:
+    """Rows of the largest group, or the row count where that is ``enough`` or less."""
+    total = df.count()
+    if total <= enough or not by:
+        return total
+    return df.groupBy(*by).count().agg(F.max("count")).first()[0]
 
 
 def number_rows(
@@ -35,50 +34,75 @@ def number_rows(
     out: str = "pos",
     limit: int = GROUP_LIMIT,
     sizes: DataFrame | None = None,
+    bound: int | None = None,
 ) -> DataFrame:
     """Exact 1-based position of each row within its group.
 
-    ``sizes`` is a cheaper table with the same groups to measure, by default ``df``. With a group above ``limit`` the table is range-partitioned on (group, order), which cuts
-    inside a group; each range numbers its own rows and adds the rows of earlier ranges. The
-    ranges come from a sample, so they are written once before two branches read them.
+    ``sizes`` is a cheaper table with the same groups to measure, by default ``df``; ``bound`` is
+    the size of the largest group where the caller knows it. With a group above ``limit`` the
+    table is range-partitioned on (group, order), which cuts inside a group; each range numbers
+    its own rows and adds the rows of earlier ranges. The ranges come from a sample, so they are
+    written once before two branches read them.
     """
     by, order = list(by), list(order)
-    if not has_large_group(df if sizes is None else sizes, by, limit):
+    if bound is None:
+        bound = group_bound(df if sizes is None else sizes, by, limit)
+    if bound <= limit:
         window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
         return df.withColumn(out, F.row_number().over(window).cast("bigint"))
-    ranged = settle(
-        df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(
-            "_slice", F.spark_partition_id()
-        ),
-        "ranged",
-    )
-    local = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order))
-    sums = [("sum", F.count(F.lit(1)), "_before")]
-    numbered = with_carry(ranged, by, "_slice", sums).withColumn(
-        out, (local + F.coalesce("_before", F.lit(0))).cast("bigint")
-    )
-    return numbered.drop("_slice", "_before")
+    ranged = df.repartitionByRange(*[F.col(c) for c in by], *order)
+    ranged = ranged.withColumn("_range", F.spark_partition_id())
+    ranged = with_carry(ranged, by, "_range", [("sum", F.count(F.lit(1)), "_before")])
+    local = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    position = (local + F.coalesce("_before", F.lit(0))).cast("bigint")
+    return ranged.withColumn(out, position).drop("_range", "_before")
+
+
+def sliced_rows(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    limit: int,
+    slice_rows: int,
+    sizes: DataFrame | None = None,
+) -> tuple[DataFrame, str | None]:
+    """Number the rows as ``_n`` and cut groups into slices of ``slice_rows``.
+
+    Returns the rows and the slice column, None where every group fits into one slice.
+    """
+    bound = group_bound(df if sizes is None else sizes, by, min(limit, slice_rows))
+    rows = number_rows(df, by, order, "_n", limit, bound=bound)
+    if bound <= slice_rows:
+        return rows, None
+    at = F.floor((F.col("_n") - 1) / F.lit(slice_rows)).cast("bigint")
+    return rows.withColumn("_slice", at), "_slice"
+
+
+def slice_window(by: Sequence[str], slice_col: str | None, *order: Column) -> WindowSpec:
+    keys = [*by, slice_col] if slice_col else list(by)
+    return Window.partitionBy(*keys).orderBy(*(order or ("_n",)))
 
 
 def with_carry(
     df: DataFrame,
     by: Sequence[str],
-    slice_col: str,
+    slice_col: str | None,
     carries: Sequence[tuple[str, Column, str]],
     reverse: bool = False,
 ) -> DataFrame:
-    """Join to each row what the slices before its own add up to.
+    """Add to each row what the slices before its own add up to (after it, with ``reverse``).
 
     ``carries`` holds (combine, per-slice aggregate, output name) with combine one of sum, max,
-    min, last. One summary row per slice crosses the window; NULL in the first slice.
+    last. NULL in the first slice, and everywhere without slices. The rows are written once, for
+    the per-slice summary and the join to it; one summary row per slice crosses the window.
     """
     by = list(by)
-    fold = {
-        "sum": F.sum,
-        "max": F.max,
-        "min": F.min,
-        "last": lambda c: F.last(c, ignorenulls=True),
-    }
+    if slice_col is None:
+        kinds = df.agg(*[agg.alias(name) for _, agg, name in carries]).schema
+        nulls = {f.name: F.lit(None).cast(f.dataType) for f in kinds}
+        return df.withColumns(nulls)
+    df = settle(df, "slices")
+    fold = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
     order = F.col(slice_col).desc() if reverse else F.col(slice_col).asc()
     window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     summary = df.groupBy(*by, slice_col).agg(*[agg.alias(name) for _, agg, name in carries])
@@ -113,7 +137,7 @@ def with_group_values(
     large group because its other side is one row.
     """
     by = list(by)
-    if not has_large_group(df if sizes is None else sizes, by, limit):
+    if group_bound(df if sizes is None else sizes, by, limit) <= limit:
         window = Window.partitionBy(*by)
         return df.select("*", *[c.over(window).alias(n) for n, c in values.items()])
     stats = df.groupBy(*by).agg(*[c.alias(n) for n, c in values.items()])

@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rubrica.operators.ordering import GROUP_LIMIT, number_rows, with_carry
+from rubrica.operators.ordering import GROUP_LIMIT, slice_window, sliced_rows, with_carry
+from rubrica.session import settle
 
 
 def _slice_rows(decay: float, most: int = 4096) -> int:
@@ -36,27 +37,28 @@ def gae(
     """
     decay = gamma * lam
     n = slice_rows or (_slice_rows(decay) if decay > 0 else 4096)
-    rows = number_rows(tokens, [seq], [F.col(order)], "_n", limit)
-    at = (F.col("_n") - 1).cast("bigint")
-    rows = rows.withColumn("_slice", F.floor(at / F.lit(n)).cast("bigint")).withColumn("_i", at % n)
+    rows, cut = sliced_rows(tokens, [seq], [F.col(order)], limit, n)
+    rows = rows.withColumn("_i", (F.col("_n") - 1) % n)
     first_value = F.min_by(F.col(value), F.col("_n"))
-    rows = with_carry(rows, [seq], "_slice", [("last", first_value, "_after")], reverse=True)
-    back = Window.partitionBy(seq, "_slice").orderBy(F.col("_n").desc())
-    upto = back.rowsBetween(Window.unboundedPreceding, 0)
+    rows = with_carry(rows, [seq], cut, [("last", first_value, "_after")], reverse=True)
+    back = slice_window([seq], cut, F.col("_n").desc())
     following = F.coalesce(F.lag(value).over(back), F.col("_after"), F.lit(0.0))
     rows = rows.withColumn("delta", F.col(reward) + F.lit(gamma) * following - F.col(value))
-    if decay <= 0:
-        rows = rows.withColumn("advantage", F.col("delta"))
-        return rows.withColumn("return", F.col("advantage") + F.col(value)).drop("_n", "_slice", "_i", "_after")
-    weight = F.pow(F.lit(decay), F.col("_i"))
-    rows = rows.withColumn("_own", F.sum(F.col("delta") * weight).over(upto) / weight)
-    later = rows.where("_i = 0 AND _slice > 0").select(seq, "_slice", "_own")
-    later = _chain(later, seq, decay**n).withColumn("_slice", F.col("_slice") - 1)
-    rows = rows.join(later, [seq, "_slice"], "left")
-    rest = F.coalesce("_next", F.lit(0.0)) * F.pow(F.lit(decay), F.lit(n) - F.col("_i"))
-    rows = rows.withColumn("advantage", F.col("_own") + rest)
+    own = F.col("delta")
+    if decay > 0:
+        weight = F.pow(F.lit(decay), F.col("_i"))
+        upto = back.rowsBetween(Window.unboundedPreceding, 0)
+        own = F.sum(F.col("delta") * weight).over(upto) / weight
+    rows = rows.withColumn("advantage", own)
+    if cut and decay > 0:
+        rows = settle(rows, "slices")
+        later = rows.where("_i = 0 AND _slice > 0").select(seq, "_slice", "advantage")
+        later = _chain(later, seq, decay**n).withColumn("_slice", F.col("_slice") - 1)
+        rows = rows.join(later, [seq, "_slice"], "left")
+        rest = F.coalesce("_next", F.lit(0.0)) * F.pow(F.lit(decay), F.lit(n) - F.col("_i"))
+        rows = rows.withColumn("advantage", F.col("advantage") + rest)
     rows = rows.withColumn("return", F.col("advantage") + F.col(value))
-    return rows.drop("_n", "_slice", "_i", "_after", "_own", "_next")
+    return rows.drop("_n", "_slice", "_i", "_after", "_next")
 
 
 def _chain(starts: DataFrame, seq: str, step: float) -> DataFrame:
@@ -71,7 +73,7 @@ def _chain(starts: DataFrame, seq: str, step: float) -> DataFrame:
         current, total = None, 0.0
         for batch in batches:
             out = []
-            for key, own in zip(batch[seq], batch["_own"]):
+            for key, own in zip(batch[seq], batch["advantage"]):
                 total = own if key != current else own + step * total
                 current = key
                 out.append(total)

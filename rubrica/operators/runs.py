@@ -17,6 +17,8 @@ from rubrica.operators.ordering import (
     SLICE_ROWS,
     first_rows,
     number_rows,
+    slice_window,
+    sliced_rows,
     with_carry,
 )
 
@@ -237,26 +239,18 @@ def health(long: DataFrame, ranges: Sequence[tuple] = tuple(fixed.HEALTH_RANGES)
     return long.join(F.broadcast(table), "metric").withColumn("healthy", inside)
 
 
-def _sliced(
-    df: DataFrame, order: str, limit: int, slice_rows: int, sizes: DataFrame | None = None
-) -> DataFrame:
-    """Number the rows of each run and cut it into slices of ``slice_rows``."""
-    rows = number_rows(df, ["experiment"], [F.col(order)], "_n", limit, sizes)
-    return rows.withColumn("_slice", F.floor((F.col("_n") - 1) / F.lit(slice_rows)).cast("bigint"))
-
-
 def _records(
-    df: DataFrame, metric: str, order: str, sign: int, limit: int, slice_rows: int
-) -> DataFrame:
-    """Add ``_v`` (signed value) and ``_record``: whether it exceeds all earlier ones of the run."""
+    df: DataFrame, metric: str, order: str, sign: float, limit: int, slice_rows: int
+) -> tuple[DataFrame, str | None]:
+    """Add ``_v`` (signed value), ``_n`` and ``_record``: whether it exceeds all earlier values."""
     rows = df.where(_number(F.col(metric)).isNotNull())
-    rows = _sliced(rows.withColumn("_v", F.col(metric) * F.lit(float(sign))), order, limit, slice_rows)
-    rows = with_carry(rows, ["experiment"], "_slice", [("max", F.max("_v"), "_before")])
-    window = Window.partitionBy("experiment", "_slice").orderBy("_n").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    best = F.greatest(F.max("_v").over(window), F.col("_before"))
-    return rows.withColumn("_record", best.isNull() | (F.col("_v") > best))
+    rows = rows.withColumn("_v", F.col(metric) * F.lit(sign))
+    rows, cut = sliced_rows(rows, ["experiment"], [F.col(order)], limit, slice_rows)
+    rows = with_carry(rows, ["experiment"], cut, [("max", F.max("_v"), "_before")])
+    earlier = slice_window(["experiment"], cut).rowsBetween(Window.unboundedPreceding, -1)
+    best = F.greatest(F.max("_v").over(earlier), F.col("_before"))
+    record = best.isNull() | (F.col("_v") > best)
+    return rows.withColumn("_record", record).drop("_before"), cut
 
 
 def stagnation(
@@ -273,12 +267,10 @@ def stagnation(
     before them, which is the case exactly if no new best fell into those rows. NULL values are
     left out.
     """
-    rows = _records(df, metric, order, 1, limit, slice_rows)
+    rows, cut = _records(df, metric, order, 1.0, limit, slice_rows)
     last = F.max(F.when(F.col("_record"), F.col("_n")))
-    rows = with_carry(rows.drop("_before"), ["experiment"], "_slice", [("max", last, "_before")])
-    running = Window.partitionBy("experiment", "_slice").orderBy("_n").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
+    rows = with_carry(rows, ["experiment"], cut, [("max", last, "_before")])
+    running = slice_window(["experiment"], cut).rowsBetween(Window.unboundedPreceding, 0)
     best = F.greatest(last.over(running), F.col("_before"))
     rows = rows.withColumn("since_best", F.col("_n") - best)
     rows = rows.withColumn("stagnant", F.col("since_best") >= window)
@@ -305,19 +297,19 @@ def early_stop(
     per run.
     """
     sign = 1.0 if mode == "max" else -1.0
-    records = _records(df, metric, order, int(sign), limit, slice_rows).where("_record")
-    records = records.select("experiment", "_n", "_v")
+    rows, _ = _records(df, metric, order, sign, limit, slice_rows)
+    records = rows.where("_record").select("experiment", "_n", "_v")
     gains = (
         records.repartition("experiment")
         .sortWithinPartitions("experiment", "_n")
         .mapInPandas(_gains(min_delta), records.schema)
     )
     counted = _number(F.col(metric)).isNotNull()
-    rows = df.where(counted).groupBy("experiment").agg(F.count("*").alias("rows"))
+    totals = df.where(counted).groupBy("experiment").agg(F.count("*").alias("rows"))
     window = Window.partitionBy("experiment").orderBy("_n")
     until = F.coalesce(F.lead("_n").over(window) - 1, F.col("rows"))
     stop = F.when(until - F.col("_n") >= patience, F.col("_n") + patience)
-    spans = gains.join(rows, "experiment").withColumn("_stop", stop)
+    spans = gains.join(totals, "experiment").withColumn("_stop", stop)
     return spans.groupBy("experiment").agg(
         (F.max_by("_v", "_n") * F.lit(sign)).alias("best_value"),
         F.max("_n").alias("best_row"),

@@ -49,13 +49,17 @@ _LABEL = """CASE line % 4 WHEN 0 THEN 'I feel positive' WHEN 1 THEN 'NEGATIVE mo
 _JSON = f"""CASE line % 5 WHEN 0 THEN '{{"a": 1}}' WHEN 1 THEN 'x {{"a": ' || {_GOT} || '}} y'
  WHEN 2 THEN 'x {{}} y' WHEN 3 THEN 'none' ELSE '[1, 2' END"""
 
+_LINE_ID = (
+    "l_linenumber * 100000000000000000 + l_partkey * 1000000000 + l_suppkey * 100 + CAST(l_quantity AS INT)"
+)
+
 #: One row per model response: 8 kinds of task by order, 7 text shapes by line number.
 _ROLLOUTS = (
     "lineitem",
     [
         {
             "group_id": "l_orderkey",
-            "response_id": "l_linenumber * 1000000000000000 + l_partkey * 10000000 + l_suppkey",
+            "response_id": _LINE_ID,
             "line": "l_linenumber",
             "want": "CAST(l_orderkey % 50 + 1 AS INT)",
             "quantity": "CAST(l_quantity AS INT)",
@@ -109,7 +113,7 @@ _TOKENS = (
     [
         {
             "seq_id": "l_orderkey",
-            "token_id": "l_linenumber * 1000000000000000 + l_partkey * 10000000 + l_suppkey",
+            "token_id": _LINE_ID,
             "logp": "-l_discount - l_quantity / 100e0",
             "old_logp": "-l_tax - l_quantity / 100e0",
             "ref_logp": "-l_tax / 2e0 - l_quantity / 90e0",

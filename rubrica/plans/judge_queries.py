@@ -107,8 +107,7 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
     for provider in ("openai", "claude", "gemini"):
         unwrapped = judge.reply_content(provider, F.col(provider))
         rows = rows.withColumn("same", F.col("same") & (unwrapped == text))
-    score = judge.parse_score(text)
-    return rows.withColumn("score", score).select(
+    return judging.parse_scores(rows).select(
         *_KEYS.split(", "),
         "same",
         "score",
@@ -133,7 +132,7 @@ SELECT {_KEYS}, true AS same, CASE CAST(l_partkey % 12 AS INT)
 
 def cache(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the first two responses are cached, some too old; what is left to ask, once each."""
-    asked = judging.request_key(_asked(spark, sf).withColumn("line", F.expr("response_id div 1000000000000000")))
+    asked = judging.request_key(_asked(spark, sf).withColumn("line", F.expr("response_id div 100000000000000000")))
     known = asked.where("line <= 2").select(
         "request_key",
         (F.col("line") / F.lit(10.0)).alias("score"),
@@ -152,7 +151,7 @@ HAVING NOT bool_or(line <= 2 AND group_id % 3 <> 0)"""
 
 
 def cached_scores(spark: SparkSession, sf: str) -> DataFrame:
-    asked = judging.request_key(_asked(spark, sf).withColumn("line", F.expr("response_id div 1000000000000000")))
+    asked = judging.request_key(_asked(spark, sf).withColumn("line", F.expr("response_id div 100000000000000000")))
     known = asked.where("line <= 2").select(
         "request_key", (F.col("line") / F.lit(10.0)).alias("score"), F.lit(9_000.0).alias("scored_at")
     )

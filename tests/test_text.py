@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rubrica.functions import fixed, judge, rewards as r, text as t
 from rubrica.functions.display import clock, fixed_point
+from rubrica.operators.judging import parse_scores
 
 
 def values(spark, texts, column):
@@ -79,7 +80,8 @@ def test_judge_scores(spark):
         '{"score": 11}', '{"score": "8"}', '{"score": "8/10"}', "得分8分", "15", "", '{"reason": "x"}',
         '{"score": null} 9', "I give 7.5 of 10", '{"score": [1]}', '{"score": -3}', "{bad} 4", None,
     ]
-    assert values(spark, texts, judge.parse_score) == [
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+    assert [row["score"] for row in parse_scores(df).orderBy("i").collect()] == [
         1.0, 0.8, 0.8, 0.5, 0.5, 0.5, 0.5, 0.5, 0.75, 0.5, 0.1, 0.4, 0.5,
     ]
 
