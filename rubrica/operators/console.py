@@ -55,20 +55,20 @@ def parse_console(
     rows = found.withColumn("_x", kind).where("_x IS NOT NULL")
     sizes = lines.select(file)
     rows, cut = sliced_rows(rows, [file], [F.col(order)], limit, slice_rows, sizes)
-    here = slice_window([file], cut)
+    here = slice_window([file], cut, F.col(order))
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
 
-    rows = with_carry(rows, [file], cut, [("max", F.max(F.struct("_n", "_x")), "_end")])
+    rows = with_carry(rows, [file], cut, [("max", F.max(F.struct("_n", "_x")), "_end", "struct<_n: bigint, _x: string>")])
     before = F.coalesce(F.lag("_x").over(here), F.col("_end")["_x"])
     fresh = before.isNull() | (before == "b") | (before == F.col("_x"))
     rows = rows.withColumn("_start", F.when(fresh, F.col("_n"))).drop("_end")
 
-    rows = with_carry(rows, [file], cut, [("max", F.max("_start"), "_open")])
+    rows = with_carry(rows, [file], cut, [("max", F.max("_start"), "_open", "bigint")])
     start = F.coalesce(F.max("_start").over(upto), F.col("_open"))
     done = (F.col("_x") == "b") | ((F.col("_n") - start) % 2 == 1)
     rows = rows.withColumn("_done", done.cast("int")).drop("_open", "_start")
 
-    rows = with_carry(rows, [file], cut, [("sum", F.sum("_done"), "_past")])
+    rows = with_carry(rows, [file], cut, [("sum", F.sum("_done"), "_past", "bigint")])
     complete = F.sum("_done").over(upto) - F.col("_done") + F.coalesce("_past", F.lit(0))
     rows = rows.withColumn("record", complete.cast("bigint"))
 

@@ -52,7 +52,7 @@ def number_rows(
         return df.withColumn(out, F.row_number().over(window).cast("bigint"))
     ranged = df.repartitionByRange(*[F.col(c) for c in by], *order)
     ranged = ranged.withColumn("_range", F.spark_partition_id())
-    ranged = with_carry(ranged, by, "_range", [("sum", F.count(F.lit(1)), "_before")])
+    ranged = with_carry(ranged, by, "_range", [("sum", F.count(F.lit(1)), "_before", "bigint")])
     local = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
     position = (local + F.coalesce("_before", F.lit(0))).cast("bigint")
     return ranged.withColumn(out, position).drop("_range", "_before")
@@ -79,37 +79,37 @@ def sliced_rows(
 
 
 def slice_window(by: Sequence[str], slice_col: str | None, *order: Column) -> WindowSpec:
+    """Window over a slice, or the whole group without slices. Ordered as the rows were numbered,
+    it needs no further sort."""
     keys = [*by, slice_col] if slice_col else list(by)
-    return Window.partitionBy(*keys).orderBy(*(order or ("_n",)))
+    return Window.partitionBy(*keys).orderBy(*order)
 
 
 def with_carry(
     df: DataFrame,
     by: Sequence[str],
     slice_col: str | None,
-    carries: Sequence[tuple[str, Column, str]],
+    carries: Sequence[tuple[str, Column, str, str]],
     reverse: bool = False,
 ) -> DataFrame:
     """Add to each row what the slices before its own add up to (after it, with ``reverse``).
 
-    ``carries`` holds (combine, per-slice aggregate, output name) with combine one of sum, max,
-    last. NULL in the first slice, and everywhere without slices. The rows are written once, for
+    ``carries`` holds (combine, per-slice aggregate, output name, type) with combine one of sum,
+    max, last. NULL in the first slice, and everywhere without slices. The rows are written once, for
     the per-slice summary and the join to it; one summary row per slice crosses the window.
     """
     by = list(by)
     if slice_col is None:
-        kinds = df.agg(*[agg.alias(name) for _, agg, name in carries]).schema
-        nulls = {f.name: F.lit(None).cast(f.dataType) for f in kinds}
-        return df.withColumns(nulls)
+        return df.withColumns({name: F.lit(None).cast(kind) for _, _, name, kind in carries})
     df = settle(df, "slices")
     fold = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
     order = F.col(slice_col).desc() if reverse else F.col(slice_col).asc()
     window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summary = df.groupBy(*by, slice_col).agg(*[agg.alias(name) for _, agg, name in carries])
+    summary = df.groupBy(*by, slice_col).agg(*[agg.alias(name) for _, agg, name, _ in carries])
     summary = summary.select(
         *by,
         slice_col,
-        *[fold[combine](F.col(name)).over(window).alias(name) for combine, _, name in carries],
+        *[fold[combine](F.col(name)).over(window).alias(name) for combine, _, name, _ in carries],
     )
     return df.join(summary, [*by, slice_col], "left")
 

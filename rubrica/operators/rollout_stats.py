@@ -39,9 +39,9 @@ def gae(
     n = slice_rows or (_slice_rows(decay) if decay > 0 else 4096)
     rows, cut = sliced_rows(tokens, [seq], [F.col(order)], limit, n)
     rows = rows.withColumn("_i", (F.col("_n") - 1) % n)
-    first_value = F.min_by(F.col(value), F.col("_n"))
-    rows = with_carry(rows, [seq], cut, [("last", first_value, "_after")], reverse=True)
-    back = slice_window([seq], cut, F.col("_n").desc())
+    first_value = F.min_by(F.col(value), F.col("_n")).cast("double")
+    rows = with_carry(rows, [seq], cut, [("last", first_value, "_after", "double")], reverse=True)
+    back = slice_window([seq], cut, F.col(order).desc())
     following = F.coalesce(F.lag(value).over(back), F.col("_after"), F.lit(0.0))
     rows = rows.withColumn("delta", F.col(reward) + F.lit(gamma) * following - F.col(value))
     own = F.col("delta")

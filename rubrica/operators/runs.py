@@ -246,8 +246,8 @@ def _records(
     rows = df.where(_number(F.col(metric)).isNotNull())
     rows = rows.withColumn("_v", F.col(metric) * F.lit(sign))
     rows, cut = sliced_rows(rows, ["experiment"], [F.col(order)], limit, slice_rows)
-    rows = with_carry(rows, ["experiment"], cut, [("max", F.max("_v"), "_before")])
-    earlier = slice_window(["experiment"], cut).rowsBetween(Window.unboundedPreceding, -1)
+    rows = with_carry(rows, ["experiment"], cut, [("max", F.max("_v"), "_before", "double")])
+    earlier = slice_window(["experiment"], cut, F.col(order)).rowsBetween(Window.unboundedPreceding, -1)
     best = F.greatest(F.max("_v").over(earlier), F.col("_before"))
     record = best.isNull() | (F.col("_v") > best)
     return rows.withColumn("_record", record).drop("_before"), cut
@@ -269,8 +269,8 @@ def stagnation(
     """
     rows, cut = _records(df, metric, order, 1.0, limit, slice_rows)
     last = F.max(F.when(F.col("_record"), F.col("_n")))
-    rows = with_carry(rows, ["experiment"], cut, [("max", last, "_before")])
-    running = slice_window(["experiment"], cut).rowsBetween(Window.unboundedPreceding, 0)
+    rows = with_carry(rows, ["experiment"], cut, [("max", last, "_before", "bigint")])
+    running = slice_window(["experiment"], cut, F.col(order)).rowsBetween(Window.unboundedPreceding, 0)
     best = F.greatest(last.over(running), F.col("_before"))
     rows = rows.withColumn("since_best", F.col("_n") - best)
     rows = rows.withColumn("stagnant", F.col("since_best") >= window)

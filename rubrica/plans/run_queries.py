@@ -9,7 +9,7 @@ from rubrica.operators import console, runs
 from rubrica.operators.ordering import number_rows
 from rubrica.plans import sqltext as q
 from rubrica.plans.inputs import cte, read, table
-from rubrica.session import fresh_path
+from rubrica.session import fresh_path, spread
 from rubrica.sources import logs
 
 _STEPS = f"""{cte('metrics')}, steps AS (SELECT experiment, seq, reward_mean, kl_divergence, gpu_utilization, epoch,
@@ -222,7 +222,7 @@ FROM long WHERE metric = 'gpu_utilization'"""
 
 
 def stagnation(spark: SparkSession, sf: str) -> DataFrame:
-    out = runs.stagnation(steps(spark, sf), "reward_mean", 10, "seq", slice_rows=16)
+    out = runs.stagnation(steps(spark, sf), "reward_mean", 10, "seq")
     return out.select("experiment", "step", "since_best", "stagnant")
 
 
@@ -236,7 +236,7 @@ SELECT experiment, step, step - max(CASE WHEN best IS NULL OR reward_mean > best
 
 
 def early_stop(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.early_stop(steps(spark, sf), "reward_mean", 8, 2.5, "max", "seq", slice_rows=16)
+    return runs.early_stop(steps(spark, sf), "reward_mean", 8, 2.5, "max", "seq")
 
 
 def early_stop_min(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,7 +270,7 @@ _LINE = """CASE WHEN event_id % 50 = 7 THEN 'broken {' WHEN event_id % 50 = 9 TH
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "events").selectExpr(
+    return spread(read(spark, sf, "events")).selectExpr(
         "'run_' || CAST(user_id AS STRING) AS experiment", "event_id AS pos", "event_type", f"{_LINE} AS value"
     )
 
@@ -395,10 +395,10 @@ _CONSOLE = """CASE CAST(event_id % 7 AS INT) WHEN 0 THEN 'Step: ' || CAST(event_
 
 
 def console_records(spark: SparkSession, sf: str) -> DataFrame:
-    lines = read(spark, sf, "events").selectExpr(
+    lines = spread(read(spark, sf, "events")).selectExpr(
         "'run_' || CAST(user_id AS STRING) AS file", "event_id AS pos", f"{_CONSOLE} AS value"
     )
-    out = console.parse_console(lines, slice_rows=16)
+    out = console.parse_console(lines)
     return out.withColumn("raw", F.coalesce(F.element_at("raw", "loss"), F.lit("")))
 
 

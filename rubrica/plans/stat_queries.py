@@ -12,7 +12,7 @@ _TOKENS = cte("tokens")
 
 def gae(spark: SparkSession, sf: str) -> DataFrame:
     tokens = table(spark, sf, "tokens").select("seq_id", "token_id", "reward", "value")
-    out = stats.gae(tokens, "seq_id", "token_id", gamma=0.99, lam=0.95, slice_rows=4)
+    out = stats.gae(tokens, "seq_id", "token_id", gamma=0.99, lam=0.95)
     names = ["delta", "advantage", "return"]
     return out.select("seq_id", "token_id", *[(F.round(c, 10) + 0.0).alias(c) for c in names])
 
