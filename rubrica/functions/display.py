@@ -44,13 +44,23 @@ def sample_text(
     return F.concat_ws(
         "\n\n",
         part("Step", step.cast("string")),
-        part("Reward", F.when(reward.isNotNull(), fixed_point(reward, 4))),
+        part("Reward", fixed_point(reward, 4)),
         part("Prompt", clipped(prompt, 200)),
         part("Response", clipped(response, 500)),
         part("Ground Truth", ground_truth),
     )
 
 
+def sample_card(number: Column, step: Column, reward: Column, prompt: Column, response: Column) -> Column:
+    """Sample as a dashboard card; prompt and response are cut and always end in dots."""
+    return F.concat(
+        F.lit("**样本 "), number.cast("string"), F.lit("** (Step "), F.coalesce(step.cast("string"), F.lit("N/A")),
+        F.lit(", Reward: "), F.coalesce(fixed_point(reward, 2), F.lit("N/A")), F.lit(")\n\n**Prompt:** "),
+        F.substring(F.coalesce(prompt, F.lit("N/A")), 1, 200), F.lit("...\n\n**Response:** "),
+        F.substring(F.coalesce(response, F.lit("N/A")), 1, 300), F.lit("...\n\n---\n\n"),
+    )
+
+
 def fixed_point(x: Column, places: int) -> Column:
     """Number with ``places`` decimals, rounded by its exact binary value, ties to even.
 
@@ -65,7 +75,7 @@ def fixed_point(x: Column, places: int) -> Column:
     even = F.when(F.pmod(down, F.lit(2.0)) == 0, down).otherwise(up)
     nearest = F.when(off < 0, down).when(off > 0, up).otherwise(even) / F.lit(10.0**places)
     near = (F.pmod(tie, F.lit(2.0)) == 1) & (F.abs(off) < 0.01)
-    return F.format_string(f"%.{places}f", F.when(near, nearest).otherwise(x))
+    return F.when(x.isNotNull(), F.format_string(f"%.{places}f", F.when(near, nearest).otherwise(x)))
 
 
 def clock(seconds: Column) -> Column:
@@ -83,7 +93,7 @@ def progress_text(
     percent = step / F.lit(total) * F.lit(100.0)
     eta = F.when(step > 0, F.try_divide(elapsed, step) * (F.lit(total) - step)).otherwise(F.lit(0.0))
     shown = [
-        F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), fixed_point(c, 4)))
+        F.concat(F.lit(f"{name}: "), fixed_point(c, 4))
         for name, c in metrics
     ]
     return F.concat(

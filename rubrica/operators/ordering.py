@@ -119,6 +119,9 @@ def first_rows(
 ) -> DataFrame:
     """First ``n`` rows per group. Spark limits each task to n rows per group before the shuffle,
     so a group of any size is safe."""
+    if not by:
+        few = df.orderBy(*order).limit(n)
+        return few.withColumn(out, F.row_number().over(Window.orderBy(*order)))
     window = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= n)
 

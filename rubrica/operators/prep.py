@@ -93,28 +93,33 @@ def missing_columns(df: DataFrame, required: Sequence[str] = ("prompt", "chosen"
     return [c for c in required if c not in df.columns]
 
 
+def _missing_keys(required: Sequence[str], raw: str) -> Column:
+    wanted = F.array(*[F.lit(k) for k in required])
+    present = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
+    return F.filter(wanted, lambda k: ~F.array_contains(present, k))
+
+
 def violations(lines: DataFrame, required: Sequence[str], raw: str = "value", row: str = "row_id") -> DataFrame:
     """Rows whose JSON line lacks required keys, with the missing keys in the order required.
 
     A key holding null counts as present. A line that is no object lacks every key.
     """
-    wanted = F.array(*[F.lit(k) for k in required])
-    present = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
-    missing = F.filter(wanted, lambda k: ~F.array_contains(present, k))
-    return lines.select(row, missing.alias("missing")).where(F.size("missing") > 0)
+    checked = lines.select(row, _missing_keys(required, raw).alias("missing"))
+    return checked.where(F.size("missing") > 0)
 
 
 def validate(lines: DataFrame, required: Sequence[str], raw: str = "value", row: str = "row_id") -> DataFrame:
     """One row: valid, rows, and the first violation (row id and missing keys). Empty is invalid."""
-    bad = violations(lines, required, raw, row).agg(
-        F.count("*").alias("bad"),
-        F.min(row).alias("first_bad"),
-        F.min_by("missing", row).alias("missing"),
-    )
-    total = lines.agg(F.count("*").alias("rows"))
-    return total.join(F.broadcast(bad)).select(
-        ((F.col("bad") == 0) & (F.col("rows") > 0)).alias("valid"), "rows", "bad", "first_bad", "missing"
+    checked = lines.select(row, _missing_keys(required, raw).alias("missing"))
+    bad_row = F.when(F.size("missing") > 0, F.col(row))
+    found = checked.agg(
+        F.count("*").alias("rows"),
+        F.count(bad_row).alias("bad"),
+        F.min(bad_row).alias("first_bad"),
+        F.min_by("missing", bad_row).alias("missing"),
     )
+    valid = (F.col("bad") == 0) & (F.col("rows") > 0)
+    return found.select(valid.alias("valid"), "rows", "bad", "first_bad", "missing")
 
 
 def whitespace_tokens(c: Column) -> Column:
@@ -169,18 +174,19 @@ def split_train_val(
     hash bucket tell in which bucket the cut falls, and only that bucket is ranked. Unshuffled,
     rows keep the order of the key.
     """
-    total = df.count()
-    cut = int(total * (1 - val_ratio))
     order = [F.col(k) for k in key]
     if not shuffle:
+        cut = int(df.count() * (1 - val_ratio))
         numbered = number_rows(df, [], order, "_pos", limit)
         split = F.when(F.col("_pos") <= cut, F.lit("train")).otherwise(F.lit("val"))
         return numbered.withColumn("split", split).drop("_pos")
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *order))
     hashed = hashed.withColumn("_bucket", F.shiftrightunsigned("_h", 48).cast("int"))
+    # at most 65,536 buckets, whatever the row count
     counts = sorted((r["_bucket"], r["count"]) for r in hashed.groupBy("_bucket").count().collect())
+    cut = int(sum(n for _, n in counts) * (1 - val_ratio))
     before, edge = 0, -1
-    for bucket, n in counts:  # at most 65,536 buckets, whatever the row count
+    for bucket, n in counts:
         if before + n > cut:
             edge = bucket
             break
@@ -189,9 +195,9 @@ def split_train_val(
         return df.withColumn("split", F.lit("train"))
     sure = F.when(F.col("_bucket") < edge, F.lit("train")).otherwise(F.lit("val"))
     rest = hashed.where(F.col("_bucket") != edge).withColumn("split", sure)
-    ranked = number_rows(
-        hashed.where(F.col("_bucket") == edge), [], [F.col("_h"), *order], "_pos", limit
-    )
+    inner = hashed.where(F.col("_bucket") == edge)
+    bound = dict(counts)[edge]
+    ranked = number_rows(inner, [], [F.col("_h"), *order], "_pos", limit, bound=bound)
     inside = F.when(F.col("_pos") <= cut - before, F.lit("train")).otherwise(F.lit("val"))
     edge_rows = ranked.withColumn("split", inside).drop("_pos")
     return rest.unionByName(edge_rows).drop("_h", "_bucket")

@@ -204,6 +204,14 @@ def last_samples(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
     return df if n == 0 else df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
+def sample_cards(df: DataFrame, order: Sequence[str], recent: int = 5, shown: int = 3) -> DataFrame:
+    """Dashboard cards of the first ``shown`` of the last ``recent`` samples."""
+    rows = last_samples(df, order, recent).orderBy(*order).limit(shown)
+    number = F.row_number().over(Window.orderBy(*order))  # over the few rows left
+    fields = [F.col(c) for c in ("step", "reward", "prompt", "response")]
+    return rows.select(*order, display.sample_card(number, *fields).alias("card"))
+
+
 def metric_categories(long: DataFrame) -> DataFrame:
     """Join each metric to its dashboard categories (a metric may have two)."""
     rows = [(m, category) for category, names in fixed.METRIC_CATEGORIES.items() for m in names]

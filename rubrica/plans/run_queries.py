@@ -198,6 +198,22 @@ _SHOWN = """SELECT doc_id, '**Step:** ' || doc_id
  || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || '**Ground Truth:** ' || lang ELSE '' END AS shown FROM documents"""
 
 
+def sample_cards(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "documents").select(
+        F.col("doc_id").alias("step"),
+        (F.col("n_chars") / F.lit(1000.0)).alias("reward"),
+        F.col("source").alias("prompt"),
+        F.col("text").alias("response"),
+    )
+    return runs.sample_cards(rows, ["step"])
+
+
+_CARDS = """WITH l AS (SELECT *, row_number() OVER (ORDER BY doc_id DESC) AS back FROM documents)
+SELECT doc_id AS step, '**样本 ' || (6 - back) || '** (Step ' || doc_id || ', Reward: ' || printf('%.2f', n_chars / 1000e0)
+ || ')' || chr(10) || chr(10) || '**Prompt:** ' || left(source, 200) || '...' || chr(10) || chr(10) || '**Response:** '
+ || left(text, 300) || '...' || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS card FROM l WHERE back BETWEEN 3 AND 5"""
+
+
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
     return runs.alerts(_long(spark, sf))
 
@@ -433,6 +449,7 @@ QUERIES = {
     "kept_checkpoints": checkpoints,
     "capped_samples": samples,
     "sample_texts": sample_texts,
+    "sample_cards": sample_cards,
     "threshold_alerts": alerts,
     "health_ranges": health,
     "stagnation": stagnation,
@@ -463,6 +480,7 @@ SQL = {
     "kept_checkpoints": _CHECKPOINTS,
     "capped_samples": _SAMPLES,
     "sample_texts": _SHOWN,
+    "sample_cards": _CARDS,
     "threshold_alerts": _ALERTS,
     "health_ranges": _HEALTH,
     "stagnation": _STAGNATION,

@@ -19,7 +19,7 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -8,7 +8,8 @@ file is read in blocks by many tasks and still has an order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,7 +22,9 @@ _SUMMARY = (
     "experiment_name string, total_epochs bigint, total_steps bigint, duration_seconds double,"
     " end_time string, final_metrics map<string, double>"
 )
-_CHECKPOINT = "step bigint, timestamp string, metrics map<string, double>"
+_CHECKPOINT = "experiment string, step bigint, timestamp string, metrics map<string, double>"
+_SUMMARY_TABLE = "run_summaries.jsonl"
+_CHECKPOINT_TABLE = "checkpoints.jsonl"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -126,9 +129,10 @@ def list_experiments(spark: SparkSession, log_dir: str) -> DataFrame:
     return experiments(_run_lines(spark, log_dir))
 
 
-def _lines_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def _or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """The table, or None where its path does not exist."""
     try:
-        return read_lines(spark, path)
+        return read()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -140,9 +144,9 @@ def read_samples(spark: SparkSession, log_dir: str, experiment: str = "") -> Dat
 
     (file, pos, value, record, experiment); malformed lines are left out. Empty without a file.
     """
-    lines = _lines_or_none(spark, f"{log_dir}/samples.jsonl")
+    lines = _or_none(lambda: read_lines(spark, f"{log_dir}/samples.jsonl"))
     if lines is None and experiment:
-        lines = _lines_or_none(spark, f"{log_dir}/{experiment}/samples.jsonl")
+        lines = _or_none(lambda: read_lines(spark, f"{log_dir}/{experiment}/samples.jsonl"))
     if lines is None:
         schema = "file string, pos struct<block: bigint, row: bigint>, value string"
         lines = spark.createDataFrame([], schema)
@@ -150,12 +154,24 @@ def read_samples(spark: SparkSession, log_dir: str, experiment: str = "") -> Dat
 
 
 def read_summaries(spark: SparkSession, log_dir: str) -> DataFrame:
-    return spark.read.schema(_SUMMARY).option("multiLine", True).json(f"{log_dir}/*_summary.json")
+    """Closing rows of all runs: single ``<run>_summary.json`` files and written tables."""
+    parts = [spark.createDataFrame([], _SUMMARY)]
+    for path, whole in ((f"{log_dir}/*_summary.json", True), (f"{log_dir}/{_SUMMARY_TABLE}", False)):
+        found = _or_none(lambda: spark.read.schema(_SUMMARY).option("multiLine", whole).json(path))
+        if found is not None:
+            parts.append(found)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_checkpoints(spark: SparkSession, checkpoint_dir: str) -> DataFrame:
-    reader = spark.read.schema(_CHECKPOINT).option("multiLine", True)
-    return reader.json(f"{checkpoint_dir}/checkpoint_step*_info.json")
+    """Checkpoint rows: single ``checkpoint_step<n>_info.json`` files and written tables."""
+    parts = [spark.createDataFrame([], _CHECKPOINT)]
+    files = (f"{checkpoint_dir}/checkpoint_step*_info.json", True)
+    for path, whole in (files, (f"{checkpoint_dir}/{_CHECKPOINT_TABLE}", False)):
+        found = _or_none(lambda: spark.read.schema(_CHECKPOINT).option("multiLine", whole).json(path))
+        if found is not None:
+            parts.append(found)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search_logs(
@@ -217,9 +233,17 @@ def _append(df: DataFrame, log_dir: str, line: Column) -> None:
 
 
 def write_summary(df: DataFrame, log_dir: str) -> None:
-    """One JSON object per run, from ``runs.run_summary``."""
+    """Append one JSON line per run, from ``runs.run_summary``."""
     rows = df.withColumnRenamed("experiment", "experiment_name")
-    rows.write.mode("append").json(f"{log_dir}/run_summary.json")
+    rows.write.mode("append").json(f"{log_dir}/{_SUMMARY_TABLE}")
+
+
+def append_checkpoints(df: DataFrame, checkpoint_dir: str) -> None:
+    """Append checkpoint rows: step, timestamp, metrics (map), and experiment if there is one.
+
+    Nothing is deleted; ``runs.kept_checkpoints`` tells which of them count.
+    """
+    df.write.mode("append").json(f"{checkpoint_dir}/{_CHECKPOINT_TABLE}")
 
 
 def append_samples(df: DataFrame, log_dir: str) -> None:

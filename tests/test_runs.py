@@ -169,6 +169,28 @@ def test_log_folder(spark, tmp_path):
     assert [r["value"][:3] for r in tail] == ["bad", '{"p']
 
 
+def test_written_summaries_samples_checkpoints(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [("a", i, 0, float(i), 0.5 * i) for i in range(1, 1001)]
+    df = spark.createDataFrame(rows, "experiment string, step int, epoch int, timestamp double, reward double")
+    logs.write_summary(runs.run_summary(df, "step"), folder)
+    summary = logs.read_summaries(spark, folder).first()
+    assert summary["total_steps"] == 1000 and summary["duration_seconds"] == 999.0
+    assert summary["final_metrics"] == {"reward": 500.0}
+    points = runs.every_n_steps(df, 100).select(
+        "experiment", "step", F.col("timestamp").cast("string").alias("timestamp"), F.create_map(F.lit("m"), "reward").alias("metrics")
+    )
+    logs.append_checkpoints(points, folder)
+    (tmp_path / "checkpoint_step50_info.json").write_text('{"step": 50, "timestamp": "t", "metrics": {}}')
+    found = logs.read_checkpoints(spark, folder)
+    assert found.count() == 11
+    kept = runs.kept_checkpoints(found.where("experiment = 'a'"))
+    assert sorted(r["step"] for r in kept.collect()) == [600, 700, 800, 900, 1000]
+    samples = df.select("step", F.lit("t").alias("timestamp"), F.lit("p").alias("prompt"), F.lit("r").alias("response"), "reward")
+    logs.append_samples(runs.capped_samples(samples, ["step"], [], 100).drop("pos"), folder)
+    assert logs.read_samples(spark, folder).count() == 100
+
+
 def test_lines_of_split_files_keep_their_order(spark, tmp_path):
     texts = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
     (tmp_path / "big.log").write_text("\n".join(texts) + "\n")
