@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from rubrica.session import settle
 
 #: Rows of one group that a single task may hold.
-GROUP_LIMIT = 2_000_000
-#: Rows per slice of a scan over a numbered group.
+GROUP_LIMIT = 1_000_000
+#: Rows per slice of a scan over a numbered group, and of a whole table numbered by one task.
 SLICE_ROWS = 100_000
 
 
@@ -45,6 +45,7 @@ def number_rows(
     written once before two branches read them.
     """
     by, order = list(by), list(order)
+    limit = limit if by else min(limit, SLICE_ROWS)
     if bound is None:
         bound = group_bound(df if sizes is None else sizes, by, limit)
     if bound <= limit:
