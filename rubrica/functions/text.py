@@ -25,7 +25,7 @@ def strip(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Whitespace-separated words, no empty ones."""
-    return F.filter(F.split(c, f"{fixed.S}+"), lambda w: w != "")
+    return F.array_remove(F.split(c, f"{fixed.S}+"), "")
 
 
 def matches_any(c: Column, patterns: list[str]) -> Column:

@@ -22,8 +22,7 @@ def with_request(df: DataFrame, provider: str = "openai", model: str = "judge")
     Reads preset, prompt, response, ground_truth.
     """
     preset, *rest = (F.col(c) for c in _REQUEST)
-    df = df.withColumn("system", judge.system_prompt(preset))
-    df = df.withColumn("user", judge.user_prompt(preset, *rest))
+    df = once(df, system=judge.system_prompt(preset), user=judge.user_prompt(preset, *rest))
     return df.withColumn("body", judge.request_body(provider, F.col("system"), F.col("user"), model))
 
 

@@ -23,11 +23,14 @@ def _sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: score, compare within the prompt group, keep the best response of each prompt."""
-    scored = _scored(spark, sf, "grpo")
-    compared = groups.group_advantages(scored, "group_id", sizes=_sizes(spark, sf))
-    best = groups.best_responses(compared, "group_id", "response_id")
-    return best.select(
+    """Flagship: score, compare within the prompt group, keep the best response of each prompt.
+
+    Ranked first, the rows are sorted as the group statistics need them: one shuffle, one sort.
+    """
+    sizes = _sizes(spark, sf)
+    ranked = groups.rank_responses(_scored(spark, sf, "grpo"), "group_id", "response_id", sizes=sizes)
+    compared = groups.group_advantages(ranked, "group_id", sizes=sizes)
+    return compared.where("rank = 1").select(
         "group_id", "response_id", "response", "score", (F.round("advantage", 6) + 0.0).alias("advantage")
     )
 
@@ -50,6 +53,12 @@ _RANKED = f"""{_GSPO} SELECT group_id, response_id, score,
  row_number() OVER (PARTITION BY group_id ORDER BY score DESC, response_id) AS rank FROM scored"""
 
 
+def top_responses(spark: SparkSession, sf: str) -> DataFrame:
+    scored = _scored(spark, sf, "grpo").select("group_id", "response_id", "score")
+    best = groups.best_responses(scored, "group_id", "response_id", n=3)
+    return best.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def advantages(spark: SparkSession, sf: str) -> DataFrame:
     scored = _scored(spark, sf, "grpo").select("group_id", "response_id", "score")
     out = groups.group_advantages(scored, "group_id", sizes=_sizes(spark, sf))
@@ -63,6 +72,10 @@ def advantages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_TOP = f"""{_GRPO}, w AS (SELECT group_id, response_id, score,
+  row_number() OVER (PARTITION BY group_id ORDER BY score DESC, response_id) AS rank FROM scored)
+SELECT * FROM w WHERE rank <= 3"""
+
 _ADVANTAGES = f"""{_GRPO}, w AS (SELECT *, avg(score) OVER (PARTITION BY group_id) AS mean,
   stddev_samp(score) OVER (PARTITION BY group_id) AS std FROM scored)
 SELECT group_id, response_id, round(mean, 6) AS group_mean, round(std, 6) AS group_std,
@@ -109,6 +122,7 @@ FROM scored GROUP BY data_source, step"""
 
 QUERIES = {
     "best_responses": best_responses,
+    "top_responses": top_responses,
     "ranked_responses": ranked,
     "group_advantages": advantages,
     "preference_levels": levels,
@@ -118,6 +132,7 @@ QUERIES = {
 
 SQL = {
     "best_responses": _BEST,
+    "top_responses": _TOP,
     "ranked_responses": _RANKED,
     "group_advantages": _ADVANTAGES,
     "preference_levels": _LEVELS,
