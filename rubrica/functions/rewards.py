@@ -199,9 +199,9 @@ def dialogue_reward(solution: Column, truth: Column) -> Column:
     n, said = F.length(solution), F.lower(solution)
     size = F.when(n.between(50, 500), _d(0.3)).when(n.between(20, 1000), _d(0.2)).otherwise(_d(0.0))
     polite = F.when(t.contains_any(said, fixed.GSPO_POLITE), _d(0.1)).otherwise(_d(0.0))
-    wanted = t.words(F.lower(F.coalesce(truth, F.lit(""))))
-    hits = [F.coalesce(F.contains(said, F.get(wanted, F.lit(i))), F.lit(False)) for i in range(5)]
-    related = reduce(lambda a, b: a | b, hits)
+    first = F.split(t.strip(F.lower(F.coalesce(truth, F.lit("")))), f"{fixed.S}+", 6)
+    words = [F.nullif(F.get(first, F.lit(i)), F.lit("")) for i in range(5)]
+    related = reduce(lambda a, b: a | b, [F.coalesce(F.contains(said, w), F.lit(False)) for w in words])
     return F.least(size + polite + F.when(related, _d(0.3)).otherwise(_d(0.0)), _d(1.0))
 
 

@@ -8,6 +8,7 @@ limit is cut into slices, worked on slice by slice, and stitched together with o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -112,7 +113,14 @@ def with_carry(
         slice_col,
         *[fold[combine](F.col(name)).over(window).alias(name) for combine, _, name, _ in carries],
     )
-    return df.join(summary, [*by, slice_col], "left")
+    return join_left(df, summary, [*by, slice_col])
+
+
+def join_left(df: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys of which NULL is a value like any other, as it is in a grouping."""
+    renamed = extra.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return df.join(renamed, same, "left").drop(*[f"_key_{k}" for k in keys])
 
 
 def first_rows(
@@ -145,4 +153,4 @@ def with_group_values(
         window = Window.partitionBy(*by)
         return df.select("*", *[c.over(window).alias(n) for n, c in values.items()])
     stats = df.groupBy(*by).agg(*[c.alias(n) for n, c in values.items()])
-    return df.join(stats, by, "left")
+    return join_left(df, stats, by)

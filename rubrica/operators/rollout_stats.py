@@ -6,7 +6,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rubrica.operators.ordering import GROUP_LIMIT, slice_window, sliced_rows, with_carry
+from rubrica.operators.ordering import (
+    GROUP_LIMIT,
+    join_left,
+    slice_window,
+    sliced_rows,
+    with_carry,
+)
 from rubrica.session import settle
 
 
@@ -54,7 +60,7 @@ def gae(
         rows = settle(rows, "slices")
         later = rows.where("_i = 0 AND _slice > 0").select(seq, "_slice", "advantage")
         later = _chain(later, seq, decay**n).withColumn("_slice", F.col("_slice") - 1)
-        rows = rows.join(later, [seq, "_slice"], "left")
+        rows = join_left(rows, later, [seq, "_slice"])
         rest = F.coalesce("_next", F.lit(0.0)) * F.pow(F.lit(decay), F.lit(n) - F.col("_i"))
         rows = rows.withColumn("advantage", F.col("advantage") + rest)
     rows = rows.withColumn("return", F.col("advantage") + F.col(value))

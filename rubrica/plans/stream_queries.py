@@ -13,9 +13,13 @@ _METRICS = ["reward_mean", "kl_divergence", "gpu_utilization"]
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of metric rows; the event id stands for the step."""
+    """The events table as a stream of metric rows; the event id stands for the step.
+
+    A micro-batch takes at most 1 GB of files, which bounds what a run brings in one go.
+    """
     schema = read(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    stream = reader.option("maxBytesPerTrigger", "1g").parquet(sf)
     return table_of(stream, "metrics").where("NOT is_event").drop("is_event", "event")
 
 

@@ -191,6 +191,17 @@ def test_written_summaries_samples_checkpoints(spark, tmp_path):
     assert logs.read_samples(spark, folder).count() == 100
 
 
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([(1, "loss", 0.5), (1, "kl", 0.1), (2, "loss", 0.4)], "step int, tag string, value double")
+    wide = logs.pivot_scalars(df, ["loss", "kl"]).orderBy("step").collect()
+    assert [tuple(r) for r in wide] == [(1, 0.5, 0.1), (2, 0.4, None)]
+    df.write.parquet(str(tmp_path / "h"))
+    df.write.option("header", True).csv(str(tmp_path / "h.csv"))
+    df.write.json(str(tmp_path / "h.jsonl"))
+    for name in ("h", "h.csv", "h.jsonl"):
+        assert logs.read_history(spark, str(tmp_path / name)).agg(F.sum("value")).first()[0] == 1.0
+
+
 def test_lines_of_split_files_keep_their_order(spark, tmp_path):
     texts = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
     (tmp_path / "big.log").write_text("\n".join(texts) + "\n")

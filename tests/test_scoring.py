@@ -122,6 +122,16 @@ def test_margin_on_raw_doubles(spark):
     assert [p["group_id"] for p in pairs.collect()] == [1]
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 2])
+def test_null_group_is_a_group(spark, limit):
+    rows = [(None, i, float(i)) for i in range(4)] + [(1, 9, 1.0)]
+    df = spark.createDataFrame(rows, "group_id int, i int, score double")
+    out = groups.group_advantages(df, "group_id", by_std=False, limit=limit).collect()
+    assert sorted(r["advantage"] for r in out) == [-1.5, -0.5, 0.0, 0.5, 1.5]
+    ranked = groups.rank_responses(df, "group_id", "i", limit=limit).collect()
+    assert sorted((r["rank"] for r in ranked if r["group_id"] is None)) == [1, 2, 3, 4]
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 5])
 def test_rank_and_advantages_with_a_large_group(spark, limit):
     import statistics
