@@ -16,7 +16,8 @@ from rubrica.functions import fixed
 _PLAIN = r"^[+-]?[0-9]+(?:\.[0-9]*)?$"
 _DIGITS = rf"{fixed.D}+(?:_{fixed.D}+)*"
 _FINITE = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-_SPECIAL = r"(?i)^[+-]?(?:inf|infinity|nan)$"
+_INFINITE = r"(?i)^[+-]?inf(?:inity)?$"
+_NAN = r"(?i)^[+-]?nan$"
 
 
 def strip(c: Column) -> Column:
@@ -109,7 +110,9 @@ def to_float(c: Column, special: bool = True) -> Column:
     other = ascii_digits(F.replace(c, F.lit("_"), F.lit("")))
     value = F.when(c.rlike(_PLAIN), c.try_cast("double"))
     value = value.when(c.rlike(_FINITE), other.try_cast("double"))
-    return value.when(c.rlike(_SPECIAL), c.try_cast("double")) if special else value
+    if not special:
+        return value
+    return value.when(c.rlike(_INFINITE), c.try_cast("double")).when(c.rlike(_NAN), F.lit(float("nan")))
 
 
 def without_commas(c: Column) -> Column:

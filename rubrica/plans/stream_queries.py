@@ -19,7 +19,7 @@ def _metrics(spark: SparkSession, sf: str) -> DataFrame:
     """
     schema = read(spark, sf, "events").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    stream = reader.option("maxBytesPerTrigger", "1g").parquet(sf)
+    stream = reader.option("maxBytesPerTrigger", str(1 << 30)).parquet(sf)
     return table_of(stream, "metrics").where("NOT is_event").drop("is_event", "event")
 
 
