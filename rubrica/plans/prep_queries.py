@@ -51,12 +51,12 @@ _LINES = {
 def rl_records(spark: SparkSession, sf: str) -> DataFrame:
     """RL records from raw lines: a missing key gives "", an explicit null stays NULL."""
     lines = read(spark, sf, "orders").selectExpr(*_exprs(_LINES))
-    return prep.prepare_rl(lines.where("value LIKE '{%'"), data_source="custom", raw="value")
+    return prep.prepare_rl(lines, data_source="custom", raw="value")
 
 
-_KEY = "CASE WHEN list_contains(json_keys(value), '{k}') THEN json_extract_string(value, '$.{k}') ELSE '' END"
+_KEY = "CASE WHEN coalesce(list_contains(json_keys(value), '{k}'), false) THEN json_extract_string(value, '$.{k}') ELSE '' END"
 _RL = f"""SELECT {_KEY.format(k='prompt')} AS prompt, {_KEY.format(k='ground_truth')} AS ground_truth,
- 'custom' AS data_source FROM (SELECT {_sql(_LINES)} FROM orders) WHERE value LIKE '{{%'"""
+ 'custom' AS data_source FROM (SELECT {_sql(_LINES)} FROM orders)"""
 
 
 def dpo_records(spark: SparkSession, sf: str) -> DataFrame:

@@ -72,18 +72,21 @@ _HISTORY = f"""{_STEPS}, w AS (SELECT experiment, seq, reward_mean AS value,
  row_number() OVER (PARTITION BY experiment ORDER BY seq DESC) AS from_end FROM steps)
 SELECT * FROM w WHERE from_end <= 20"""
 
-_COMPARED = ["run_1", "run_2", "run_3", "run_149"]
+_TEAMS = ["team_0", "team_1", "team_2", "team_3", "team_4"]
+_TEAM = "'team_' || CAST(CAST(substr(experiment, 5) AS BIGINT) % 5 AS STRING)"
 
 
 def compared(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "metrics").where("NOT is_event")
-    return runs.compare(rows, _COMPARED, "reward_mean", "seq")
+    """Five runs, one per residue of the user, that together hold every logged step."""
+    rows = table(spark, sf, "metrics").where("NOT is_event").withColumn("experiment", F.expr(_TEAM))
+    return runs.compare(rows, _TEAMS, "reward_mean", "seq")
 
 
 _COMPARE = (
-    f"{_STEPS} SELECT step AS ordinal, "
-    + ", ".join(f"max(CASE WHEN experiment = '{e}' THEN reward_mean END) AS {e}" for e in _COMPARED)
-    + f" FROM steps WHERE {q.in_list('experiment', _COMPARED)} GROUP BY step"
+    f"{_STEPS}, t AS (SELECT {_TEAM} AS team, reward_mean, row_number() OVER (PARTITION BY {_TEAM} ORDER BY seq)"
+    " AS ordinal FROM steps) SELECT ordinal, "
+    + ", ".join(f"max(CASE WHEN team = '{t}' THEN reward_mean END) AS {t}" for t in _TEAMS)
+    + " FROM t GROUP BY ordinal"
 )
 
 
