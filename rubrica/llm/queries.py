@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from rubrica.llm import quality
+from rubrica.llm import licenses, quality, urls
 
 QUERIES = {
+    "op2_url_filter": urls.op2_url_filter,
+    "op3_license_scan": licenses.op3_license_scan,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_url_filter": urls.OP2_SQL,
+}
