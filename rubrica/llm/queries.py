@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rubrica.llm import licenses, quality, urls
+from rubrica.llm import licenses, quality, secrets, urls
 
 QUERIES = {
     "op2_url_filter": urls.op2_url_filter,
     "op3_license_scan": licenses.op3_license_scan,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 SQL: dict[str, str] = {
