@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rubrica.session import fresh_path
@@ -36,3 +38,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def blocks(texts: Iterable[str], most: int) -> Iterator[list[str]]:
+    """Cut texts into runs of about ``most`` characters; a longer text is a run of its own."""
+    run: list[str] = []
+    size = 0
+    for text in texts:
+        if run and size + len(text) > most:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run

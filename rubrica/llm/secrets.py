@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rubrica.llm.common import read
+from rubrica.llm.common import blocks, read
 
 BLOCK_BYTES = 1 << 20
 
@@ -205,20 +205,6 @@ class Scanner:
         return [sorted(spans) for spans in found]
 
 
-def blocks(texts: Sequence[str], most: int = BLOCK_BYTES) -> Iterator[list[str]]:
-    """Cut a list into runs of about ``most`` characters; a longer text is a run of its own."""
-    run: list[str] = []
-    size = 0
-    for text in texts:
-        if run and size + len(text) > most:
-            yield run
-            run, size = [], 0
-        run.append(text)
-        size += len(text)
-    if run:
-        yield run
-
-
 def find_secrets(docs: DataFrame, keep: Sequence[str] = (), rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """``keep`` and ``spans``: array of (kind, start, end) by start, then rule; in characters of the text."""
     rules = list(rules)
@@ -230,7 +216,7 @@ def find_secrets(docs: DataFrame, keep: Sequence[str] = (), rules: Sequence[Rule
         scanner = Scanner(rules)
         for batch in batches:
             texts = [t or "" for t in batch.column("_text").to_pylist()]
-            spans = [s for block in blocks(texts) for s in scanner.scan(block)]
+            spans = [s for block in blocks(texts, BLOCK_BYTES) for s in scanner.scan(block)]
             rows = [[{"kind": rules[r].kind, "start": a, "end": b} for a, r, b in own] for own in spans]
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], names=[*keep, "spans"])
@@ -257,7 +243,7 @@ def mask_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "
         for batch in batches:
             at = batch.schema.get_field_index(text)
             texts = batch.column(at).to_pylist()
-            found = [s for block in blocks([t or "" for t in texts]) for s in scanner.scan(block)]
+            found = [s for block in blocks([t or "" for t in texts], BLOCK_BYTES) for s in scanner.scan(block)]
             clean = [_masked(t, spans, rules) if spans else t for t, spans in zip(texts, found)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 
