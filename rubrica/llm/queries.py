@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rubrica.llm import decontaminate, licenses, packing, quality, secrets, urls
+from rubrica.llm import decontaminate, licenses, packing, quality, secrets, tokenfiles, urls
 
 QUERIES = {
     "op2_url_filter": urls.op2_url_filter,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_packing": packing.op4_packing,
+    "op5_token_files": tokenfiles.op5_token_files,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_secret_scan": secrets.op10_secret_scan,
