@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rubrica.llm import decontaminate, licenses, packing, quality, secrets, tokenfiles, urls
+from rubrica.llm import decontaminate, licenses, packing, quality, secrets, sharding, tokenfiles, urls
 
 QUERIES = {
     "op2_url_filter": urls.op2_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_token_files": tokenfiles.op5_token_files,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
