@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -52,3 +53,17 @@ def blocks(texts: Iterable[str], most: int) -> Iterator[list[str]]:
         size += len(text)
     if run:
         yield run
+
+
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
+
+
+def cut_text(text: str, most: int) -> Iterator[str]:
+    """Cut a long text into pieces of about ``most`` characters, at white space."""
+    start = 0
+    while len(text) - start > most:
+        found = _BLANK.search(text, start + most)
+        end = found.start() if found else len(text)
+        yield text[start:end]
+        start = end
+    yield text[start:]

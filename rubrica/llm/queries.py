@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rubrica.llm import decontaminate, licenses, packing, quality, secrets, sharding, tokenfiles, urls
+from rubrica.llm import decontaminate, jaccard, licenses, packing, quality, secrets, sharding, tokenfiles, urls
 
 QUERIES = {
     "op2_url_filter": urls.op2_url_filter,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_packing": packing.op4_packing,
     "op5_token_files": tokenfiles.op5_token_files,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality.op9_quality_rules,

@@ -14,13 +14,12 @@ from itertools import chain, repeat
 
 import numpy as np
 
-from rubrica.llm.common import blocks
+from rubrica.llm.common import blocks, cut_text
 
 #: Words the cache holds before it is emptied.
 CACHE_WORDS = 1_000_000
 #: Characters encoded at a time; a longer text is cut at white space.
 PIECE = 1 << 20
-BLANK = re.compile(r"[\x20\x09-\x0D]")
 #: Sentence marks that end a word, behind a letter.
 _MARKS = re.compile(rb"(?<=[A-Za-z])([.,;:!?]+)\Z")
 
@@ -115,27 +114,16 @@ class WordEncoder:
         """Ids of each text in turn, about ``PIECE`` characters at a time."""
         for run in blocks((t or "" for t in texts), PIECE):
             if len(run) == 1 and len(run[0]) > PIECE:
-                yield np.concatenate([self.encode_many([piece])[0] for piece in _cut(run[0])])
+                yield np.concatenate([self.encode_many([piece])[0] for piece in cut_text(run[0], PIECE)])
             else:
                 yield from self.encode_many(run)
 
     def count_all(self, texts: Iterable[str | None], counts: np.ndarray) -> None:
         for run in blocks((t or "" for t in texts), PIECE):
-            for part in [[piece] for piece in _cut(run[0])] if len(run) == 1 else [run]:
+            for part in [[piece] for piece in cut_text(run[0], PIECE)] if len(run) == 1 else [run]:
                 self.count_many(part, counts)
 
 
-def _cut(text: str) -> Iterator[str]:
-    """Cut a long text at white space."""
-    start = 0
-    while len(text) - start > PIECE:
-        found = BLANK.search(text, start + PIECE)
-        end = found.start() if found else len(text)
-        yield text[start:end]
-        start = end
-    yield text[start:]
-
-
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
