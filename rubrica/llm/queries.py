@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rubrica.llm import decontaminate, jaccard, licenses, packing, quality, secrets, sharding, tokenfiles, urls
+from rubrica.llm import decontaminate, jaccard, licenses, packing, pii, quality, secrets, sharding, tokenfiles, urls
 
 QUERIES = {
+    "op1_personal_data": pii.op1_personal_data,
     "op2_url_filter": urls.op2_url_filter,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_packing": packing.op4_packing,
