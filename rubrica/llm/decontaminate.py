@@ -192,6 +192,26 @@ def _united(column: str) -> F.Column:
     return F.aggregate(runs, none, add).alias(column)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The documents without any hit, with all their columns; one part of the benchmark after the other
+    drops what it finds."""
+    for part in _parts(benchmark_windows(benchmark, width=width), max_bytes):
+        docs = _drop_part(docs, part, text)
+    return docs
+
+
+def _drop_part(docs: DataFrame, windows: Sequence[tuple[str, list[str]]], text: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(shared)
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            yield batch.filter(pa.array([not matcher.scan(v.as_py())[1] for v in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def cut_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The documents with every hit passage cut out; other columns and clean texts stay as they are.
 

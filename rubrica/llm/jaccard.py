@@ -372,12 +372,24 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "t
 
 
 def keep_representatives(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one of least id, with all its columns; a document whose rows
-    are repeated stays once, one with a NULL id stays where nothing else has its set."""
-    found = similar_documents(docs, id_column, text)
-    stay = found.where("component = doc OR component IS NULL").select(F.col("doc").alias("_doc")).distinct()
-    rows = docs.join(stay, F.col(id_column).cast("bigint").eqNullSafe(F.col("_doc")), "left_semi")
-    return rows.dropDuplicates([id_column])
+    """One document of each component, the one of least id, with all its columns.
+
+    Rows of one id are one document and repeated rows of it stay once; rows with a NULL id all stay.
+    """
+    found = similar_documents(docs, id_column, text).where("doc IS NOT NULL")
+    gone = written(found.where("component <> doc").select(F.col("doc").alias("_gone")).distinct(), "gone")
+    twice = written(found.groupBy("doc").count().where("count > 1").select(F.col("doc").alias("_twice")), "repeated")
+    key = F.col(id_column).cast("bigint")
+    rows = docs.join(_bounded(gone), key == F.col("_gone"), "left_anti")
+    if twice.isEmpty():
+        return rows
+    repeated = rows.join(_bounded(twice), key == F.col("_twice"), "left_semi").dropDuplicates([id_column, text])
+    return rows.join(_bounded(twice), key == F.col("_twice"), "left_anti").unionByName(repeated)
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    """Ids marked for broadcast while they are few; a shuffle join takes more."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
