@@ -52,6 +52,8 @@ MOST_COMMON = 2_000_000
 LOW = 1 << 62
 #: Most document ids broadcast to pick the texts to compare; beyond it, a shuffle join does.
 MOST_IDS = 2_000_000
+#: Remaining pairs per document up to which all are compared at once.
+FEW = 2
 #: Members of a pivot group compared by one task.
 GROUP = 4096
 PIECE = 1 << 20
@@ -194,10 +196,10 @@ def block_of(n: Column) -> Column:
 
 
 def index_entries(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """The index lists that can yield a pair: (h, node, doc, n, most), ``most`` being the largest partner
-    that the entry's position allows. A node's entries are made once however many copies it has."""
+    """The index lists that can yield a pair: (h, node, doc, n, pos, most), ``most`` being the largest
+    partner that the entry's position allows. A node's entries are made once however many copies it has."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    kinds = {"h": pa.int64(), "node": pa.int64(), "doc": pa.int64(), "n": pa.int32(), "most": pa.int32(), "hot": pa.bool_()}
+    kinds = {"h": pa.int64(), "node": pa.int64(), "doc": pa.int64(), "n": pa.int32(), "pos": pa.int32(), "most": pa.int32(), "hot": pa.bool_()}
 
     def each(rows):
         seen: dict[int, int] = {}
@@ -214,21 +216,22 @@ def index_entries(docs: DataFrame, common: np.ndarray) -> DataFrame:
             most = np.minimum(n * 100 // SHARE, left * (100 + SHARE) // SHARE - n)
             use = most >= least_overlap(n)
             k = int(np.count_nonzero(use))
-            parts.append((h[use], np.full(k, name), np.full(k, d), np.full(k, n), most[use], hot[use]))
+            parts.append((h[use], np.full(k, name), np.full(k, d), np.full(k, n), np.flatnonzero(use), most[use], hot[use]))
         if not parts:
             return {k: [] for k in kinds}
-        h, node, doc, n, most, hot = (np.concatenate(c) for c in zip(*parts))
-        return {"h": _signed(h), "node": node, "doc": doc, "n": n.astype(np.int32), "most": most.astype(np.int32), "hot": hot}
+        h, node, doc, n, pos, most, hot = (np.concatenate(c) for c in zip(*parts))
+        small = {"n": n.astype(np.int32), "pos": pos.astype(np.int32), "most": most.astype(np.int32)}
+        return {"h": _signed(h), "node": node, "doc": doc, **small, "hot": hot}
 
     # a common shingle's list is spread over all partitions, by node so that copies still meet
     salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _over_texts(docs, each, kinds)
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod("node", F.lit(salts))).otherwise(F.lit(-1)).cast("int"))
     rows = rows.repartition("h", "salt")
-    rows = rows.groupBy("h", "salt", "node", "n", "most").agg(F.min("doc").alias("doc"))
+    rows = rows.groupBy("h", "salt", "node", "n", "pos", "most").agg(F.min("doc").alias("doc"))
     sizes = F.count(F.lit(1)).over(_by("h", "salt"))
     rows = rows.withColumn("size", sizes).where((F.col("size") > 1) | (F.col("salt") >= 0))
-    return rows.select("h", "node", "doc", "n", "most", block_of(F.col("n")).alias("block"))
+    return rows.select("h", "node", "doc", "n", "pos", "most", block_of(F.col("n")).alias("block"))
 
 
 def _by(*columns: str):
@@ -238,18 +241,31 @@ def _by(*columns: str):
 
 
 def pivot_pairs(entries: DataFrame) -> DataFrame:
-    """(a, a_doc, b, b_doc): each node with one pivot, the set with the least id in a block of a list;
-    of several, the one that most lists propose."""
-    pivots = entries.groupBy("h", "block").agg(F.min(F.struct("doc", "node", "n", "most")).alias("p"), F.count(F.lit(1)).alias("k"))
-    pivots = pivots.where("k > 1").select(F.col("h").alias("_h"), F.col("block").alias("_block"), "p.*")
+    """(a, a_doc, b, b_doc): each node with one pivot. A block's pivot is the set in which the block's shingle
+    stands first: it has the fewest rare shingles of its own, so most of the block lies close to it.
+    Of several pivots a node takes the one that most lists propose."""
+    first = F.min(F.struct("pos", "doc", "node", "n", "most"))
+    pivots = entries.groupBy("h", "block").agg(first.alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    pivots = pivots.select(F.col("h").alias("_h"), F.col("block").alias("_block"), "p.doc", "p.node", "p.n", "p.most")
     pivots = pivots.withColumnsRenamed({"doc": "a_doc", "node": "a", "n": "a_n", "most": "a_most"})
     near = entries.join(pivots, (F.col("h") == F.col("_h")) & (F.col("block") == F.col("_block")))
     near = near.where((F.col("node") != F.col("a")) & (F.col("n") <= F.col("a_most")) & (F.col("a_n") <= F.col("most")))
     votes = near.groupBy(F.col("node").alias("b"), F.col("doc").alias("b_doc"), "a", "a_doc").agg(F.count(F.lit(1)).alias("votes"))
+    return _favourite(votes)
+
+
+def _favourite(votes: DataFrame) -> DataFrame:
+    """For each b the a with the most votes, then the least id."""
     best = F.max(F.struct("votes", (-F.col("a_doc")).alias("least"), "a", "a_doc")).alias("best")
     return votes.groupBy("b", "b_doc").agg(best).select("best.a", "best.a_doc", "b", "b_doc")
 
 
+def hub_pairs(pairs: DataFrame) -> DataFrame:
+    """Of many pairs, one for each b: with the a that most pairs share."""
+    hubs = pairs.groupBy(F.col("a").alias("_a")).agg(F.count(F.lit(1)).alias("votes"))
+    return _favourite(pairs.join(hubs, F.col("a") == F.col("_a")))
+
+
 def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Intersection and union of each pair (a, a_doc, b, b_doc): (a, a_doc, b, b_doc, shared, total).
 
@@ -290,6 +306,10 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, a_doc bigint, b bigint, b_doc bigint, shared bigint, total bigint")
 
 
+def _edges(compared: DataFrame) -> DataFrame:
+    return compared.where(linked()).select(F.col("a_doc").alias("u"), F.col("b_doc").alias("v"))
+
+
 def linked() -> Column:
     return F.col("shared") * 100 >= F.col("total") * SHARE
 
@@ -338,14 +358,17 @@ def remaining_pairs(entries: DataFrame, known: DataFrame, compared: DataFrame) -
         & ((F.col("n") > F.col("x_n")) | (F.col("doc") > F.col("x_doc")))
         & (F.col("component") != F.col("x_component")))
     pairs = met.select(F.col("x_node").alias("a"), F.col("x_doc").alias("a_doc"), F.col("node").alias("b"), F.col("doc").alias("b_doc")).distinct()
+    # compared before
+    done = compared.select(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y"))
+    pairs = pairs.join(done, (F.least("a", "b") == F.col("_x")) & (F.greatest("a", "b") == F.col("_y")), "left_anti")
+    # told apart by their distances to one pivot; a hair over the threshold, so that rounding settles nothing
     far = 1 - F.col("shared") / F.col("total")
     of_a = compared.select(F.col("b").alias("_xb"), F.col("a").alias("_xa"), far.alias("_xd"))
     of_b = compared.select(F.col("b").alias("_yb"), F.col("a").alias("_ya"), far.alias("_yd"))
-    pairs = pairs.join(of_a, F.col("a") == F.col("_xb"), "left").join(of_b, F.col("b") == F.col("_yb"), "left")
-    done = (F.col("_xa") == F.col("b")) | (F.col("_ya") == F.col("a"))
-    # a hair over the threshold, so that rounding settles nothing
-    apart = (F.col("_xa") == F.col("_ya")) & (F.abs(F.col("_xd") - F.col("_yd")) > 1 - SHARE / 100 + 1e-9)
-    return pairs.where(~F.coalesce(done, F.lit(False)) & ~F.coalesce(apart, F.lit(False))).select("a", "a_doc", "b", "b_doc")
+    apart = F.abs(F.col("_xd") - F.col("_yd")) > 1 - SHARE / 100 + 1e-9
+    told = pairs.join(of_a, F.col("a") == F.col("_xb")).join(of_b, (F.col("b") == F.col("_yb")) & (F.col("_xa") == F.col("_ya")))
+    told = told.where(apart).select(F.col("a").alias("_ta"), F.col("b").alias("_tb"))
+    return pairs.join(told, (F.col("a") == F.col("_ta")) & (F.col("b") == F.col("_tb")), "left_anti")
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -354,20 +377,26 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     members = written(memberships(source), "members")
     entries = written(index_entries(source, common_shingles(source)), "entries")
     compared = written(compare(source, pivot_pairs(entries)), "compared")
-    edges = compared.where(linked()).select(F.col("a_doc").alias("u"), F.col("b_doc").alias("v"))
-    known = written(components(edges), "components")
-    rest = written(remaining_pairs(entries, known, compared), "remaining")
-    if not rest.isEmpty():
-        more = compare(source, rest).where(linked()).select(F.col("a_doc").alias("u"), F.col("b_doc").alias("v"))
-        again = written(more, "links")
-        if not again.isEmpty():
-            stars = known.select(F.col("doc").alias("u"), F.col("component").alias("v"))
-            known = written(components(stars.unionByName(again)), "components")
+    known = written(components(_edges(compared)), "components")
+    nodes = members.count()
+    while not (rest := written(remaining_pairs(entries, known, compared), "remaining")).isEmpty():
+        # many pairs left: compare with the hubs first, which settles most; few, or nothing gained: compare them all
+        whole = rest.count() <= FEW * nodes
+        more = written(compare(source, rest if whole else hub_pairs(rest)), "compared")
+        gained = written(_edges(more), "links")
+        if gained.isEmpty() and not whole:
+            whole, more = True, written(compare(source, rest), "compared")
+            gained = written(_edges(more), "links")
+        stars = known.select(F.col("doc").alias("u"), F.col("component").alias("v"))
+        known = written(components(stars.unionByName(gained)), "components")
+        if whole:
+            break
+        compared = compared.unionByName(more)
     # of a node, the least id stands for all
-    nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"))
-    nodes = nodes.join(known, F.col("least") == F.col("doc"), "left")
-    nodes = nodes.select(F.col("node").alias("_node"), F.coalesce("component", "least").alias("component"))
-    rows = members.join(nodes, F.col("node") == F.col("_node"), "left")
+    classes = members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"))
+    classes = classes.join(known, F.col("least") == F.col("doc"), "left")
+    classes = classes.select(F.col("node").alias("_node"), F.coalesce("component", "least").alias("component"))
+    rows = members.join(classes, F.col("node") == F.col("_node"), "left")
     return rows.select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
 
