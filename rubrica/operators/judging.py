@@ -26,9 +26,11 @@ def with_request(df: DataFrame, provider: str = "openai", model: str = "judge")
     return df.withColumn("body", judge.request_body(provider, F.col("system"), F.col("user"), model))
 
 
-def request_key(df: DataFrame, out: str = "request_key") -> DataFrame:
-    """Key of a request: a digest of everything the judge gets to see."""
-    fields = [F.coalesce(F.col(c), F.lit("")) for c in _REQUEST]
+def request_key(
+    df: DataFrame, out: str = "request_key", provider: str = "openai", model: str = "judge"
+) -> DataFrame:
+    """Key of a request: a digest of the judge asked and of everything it gets to see."""
+    fields = [F.lit(provider), F.lit(model), *[F.coalesce(F.col(c), F.lit("")) for c in _REQUEST]]
     sized = [F.concat(F.length(f).cast("string"), F.lit(":"), f) for f in fields]
     return df.withColumn(out, F.sha2(F.concat(*sized), 256))
 
@@ -86,14 +88,23 @@ def fresh(cache: DataFrame, now: float | None = None, ttl: float = 3600.0) -> Da
     return recent.groupBy("request_key").agg(F.max_by("score", "scored_at").alias("cached_score"))
 
 
-def unscored(requests: DataFrame, cached: DataFrame) -> DataFrame:
+def unscored(
+    requests: DataFrame, cached: DataFrame, provider: str = "openai", model: str = "judge"
+) -> DataFrame:
     """One row per request the cache cannot answer; copies of a request are asked once."""
-    keyed = requests if "request_key" in requests.columns else request_key(requests)
+    keyed = _keyed(requests, provider, model)
     distinct = keyed.select("request_key", *_REQUEST).dropDuplicates(["request_key"])
     return distinct.join(cached, "request_key", "left_anti")
 
 
-def with_cached(requests: DataFrame, cached: DataFrame) -> DataFrame:
+def with_cached(
+    requests: DataFrame, cached: DataFrame, provider: str = "openai", model: str = "judge"
+) -> DataFrame:
     """Requests with their cached score, NULL where there is none."""
-    keyed = requests if "request_key" in requests.columns else request_key(requests)
-    return keyed.join(cached, "request_key", "left")
+    return _keyed(requests, provider, model).join(cached, "request_key", "left")
+
+
+def _keyed(requests: DataFrame, provider: str, model: str) -> DataFrame:
+    if "request_key" in requests.columns:
+        return requests
+    return request_key(requests, provider=provider, model=model)

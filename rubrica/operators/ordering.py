@@ -135,22 +135,11 @@ def first_rows(
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= n)
 
 
-def with_group_values(
-    df: DataFrame,
-    by: Sequence[str],
-    values: dict[str, Column],
-    limit: int = GROUP_LIMIT,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
+def with_group_values(df: DataFrame, by: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """Add group aggregates to every row.
 
-    ``sizes`` is a cheaper table with the same groups to measure, by default ``df``. Small groups take one shuffle and a window. With a large group the aggregates are
-    pre-aggregated before their shuffle and joined back; the adaptive skew join splits the
-    large group because its other side is one row.
+    The aggregates are added up before their shuffle and joined back, one row per group: a group of any
+    size is split by the adaptive skew join.
     """
     by = list(by)
-    if group_bound(df if sizes is None else sizes, by, limit) <= limit:
-        window = Window.partitionBy(*by)
-        return df.select("*", *[c.over(window).alias(n) for n, c in values.items()])
-    stats = df.groupBy(*by).agg(*[c.alias(n) for n, c in values.items()])
-    return join_left(df, stats, by)
+    return join_left(df, df.groupBy(*by).agg(*[c.alias(n) for n, c in values.items()]), by)

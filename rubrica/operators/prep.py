@@ -74,18 +74,12 @@ def conversations(
     turn: str = "turn",
     role: str = "role",
     content: str = "text",
-    part_turns: int = 10_000,
 ) -> DataFrame:
-    """Turns to one array of (role, content) per conversation, in turn order.
-
-    A conversation longer than ``part_turns`` continues in further rows (``part`` 1, 2, ...), so
-    that an array stays bounded however long the conversation is.
-    """
+    """Turns to one row per conversation: an array of (role, content) in turn order."""
     message = F.struct(F.col(turn), F.col(role).alias("role"), F.col(content).alias("content"))
-    part = F.floor(F.col(turn) / F.lit(part_turns)).cast("bigint").alias("part")
-    arrays = turns.groupBy(conversation, part).agg(F.array_sort(F.collect_list(message)).alias("m"))
+    arrays = turns.groupBy(conversation).agg(F.array_sort(F.collect_list(message)).alias("m"))
     messages = F.transform("m", lambda x: F.struct(x["role"], x["content"]))
-    return arrays.select(conversation, "part", messages.alias("conversations"))
+    return arrays.select(conversation, messages.alias("conversations"))
 
 
 def missing_columns(df: DataFrame, required: Sequence[str] = ("prompt", "chosen", "rejected")) -> list[str]:
@@ -160,6 +154,20 @@ def truncate(c: Column, limit: int, mode: str = "right") -> Column:
     raise ValueError(f"unknown truncation mode {mode!r}")
 
 
+def truncate_tokens(c: Column, limit: int, mode: str = "right") -> Column:
+    """Cut to ``limit`` words between white space, joined by single blanks; modes as in ``truncate``."""
+    words = t.words(c)
+    n = F.size(words)
+    if mode in ("right", "keep_start"):
+        return F.array_join(F.slice(words, 1, limit), " ")
+    if mode in ("left", "keep_end"):
+        return F.array_join(F.slice(words, F.greatest(n - limit, F.lit(0)) + 1, F.lit(limit)), " ")
+    if mode == "error":
+        message = F.concat(F.lit(f"text longer than {limit} tokens: "), n.cast("string"))
+        return F.when(n > limit, F.raise_error(message).cast("string")).otherwise(c)
+    raise ValueError(f"unknown truncation mode {mode!r}")
+
+
 def split_train_val(
     df: DataFrame,
     key: Sequence[str],

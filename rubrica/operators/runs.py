@@ -16,6 +16,7 @@ from rubrica.operators.ordering import (
     GROUP_LIMIT,
     SLICE_ROWS,
     first_rows,
+    join_left,
     number_rows,
     slice_window,
     sliced_rows,
@@ -70,9 +71,11 @@ def summary_stats_long(df: DataFrame, order: str = "pos") -> DataFrame:
     """The same statistics per (experiment, metric) of a long table.
 
     A metric counts as numeric in a run if none of its values there is something else
-    (``numeric`` false); others are left out.
+    (``numeric`` false); others are left out. The latest value is that of the run's last row, NULL where
+    the row lacks the metric.
     """
     v = _number(F.col("value"))
+    ends = df.groupBy("experiment").agg(F.max(order).alias("_end"))
     rows = df.where(~F.col("metric").isin(*NOT_METRICS))
     stats = rows.groupBy("experiment", "metric").agg(
         F.bool_and("numeric").alias("_numeric"),
@@ -82,8 +85,11 @@ def summary_stats_long(df: DataFrame, order: str = "pos") -> DataFrame:
         F.max(v).alias("max"),
         F.max_by("value", order).alias("latest"),
         F.count(v).alias("values"),
+        F.max(order).alias("_last"),
     )
-    return stats.where("_numeric AND values > 0").drop("_numeric")
+    stats = join_left(stats.where("_numeric AND values > 0"), ends, ["experiment"])
+    latest = F.when(F.col("_last") == F.col("_end"), F.col("latest"))
+    return stats.withColumn("latest", latest).drop("_numeric", "_last", "_end")
 
 
 def latest_metrics(df: DataFrame, order: str = "pos", ts: str = "timestamp") -> DataFrame:

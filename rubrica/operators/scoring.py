@@ -60,7 +60,9 @@ def _staged(df: DataFrame, sources: dict[str, list[str]], answer: Callable) -> D
     """Add _match (NULL without an answer), _share (qa only) and _parses (code only)."""
     rule, text = F.col("_rule"), F.col("_text")
     staged = _text(df).withColumn("_rule", rule_of(F.col("data_source"), sources))
-    staged = staged.withColumn("_parses", r.parses_as_python(F.when(rule == "code", text)))
+    # only code rows leave the JVM
+    code = staged.where(rule == "code").withColumn("_parses", r.parses_as_python(text))
+    staged = staged.where(rule != "code").withColumn("_parses", F.lit(None).cast("boolean")).unionByName(code)
     staged = once(
         staged,
         _answer=F.when(rule.isin("math", "default"), answer(text)),
@@ -128,9 +130,9 @@ def score_gspo(
     return once(staged, **{out: score}).drop(*_GROUP_STAGES, "_quality")
 
 
-def score_with_process(df: DataFrame) -> DataFrame:
-    """GRPO outcome, process reward and their sum."""
-    scored = score_grpo(df, "outcome_reward")
+def score_with_process(df: DataFrame, **rewards: float) -> DataFrame:
+    """GRPO outcome, process reward and their sum; ``rewards`` go to the outcome's rule."""
+    scored = score_grpo(df, "outcome_reward", **rewards)
     scored = once(scored, process_reward=r.process_reward(F.coalesce("response", F.lit(""))))
     return scored.withColumn("total_reward", F.col("outcome_reward") + F.col("process_reward"))
 
@@ -167,12 +169,14 @@ def pass_rates(results: DataFrame, by: str = "response_id") -> DataFrame:
     return results.groupBy(by).agg(F.avg(passed).alias("pass_rate"), F.count("*").alias("tests"))
 
 
-RewardRule = Callable[[DataFrame, str], DataFrame]
+RewardRule = Callable[..., DataFrame]
 _REWARDS: dict[str, RewardRule] = {
     "common": score_common,
     "grpo": score_grpo,
     "gspo": score_gspo,
     "length_penalty": score_with_length_penalty,
+    "process": lambda df, out, **rewards: score_with_process(df, **rewards).withColumnRenamed("total_reward", out),
+    "composite": lambda df, out, weights=None: score_composite(df, weights, out),
 }
 
 
@@ -181,10 +185,11 @@ def register_reward(name: str, rule: RewardRule) -> None:
     _REWARDS[name] = rule
 
 
-def score(df: DataFrame, reward: str = "grpo", out: str = "score") -> DataFrame:
+def score(df: DataFrame, reward: str = "grpo", out: str = "score", **kwargs) -> DataFrame:
+    """Score with a registered reward; further arguments (``correct``, ``weights``, ...) are the rule's."""
     if reward not in _REWARDS:
         raise KeyError(f"unknown reward {reward!r}; known: {sorted(_REWARDS)}")
-    return _REWARDS[reward](df, out)
+    return _REWARDS[reward](df, out, **kwargs)
 
 
 def python_reward(

@@ -25,12 +25,10 @@ def _sizes(spark: SparkSession, sf: str) -> DataFrame:
 def best_responses(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: score, compare within the prompt group, keep the best response of each prompt.
 
-    Ranked first, the rows are sorted as the group statistics need them: one shuffle, one sort.
+    One aggregation: no sort, and one row per prompt and task in the shuffle.
     """
-    sizes = _sizes(spark, sf)
-    ranked = groups.rank_responses(_scored(spark, sf, "grpo"), "group_id", "response_id", sizes=sizes)
-    compared = groups.group_advantages(ranked, "group_id", sizes=sizes)
-    return compared.where("rank = 1").select(
+    best = groups.best_response_advantages(_scored(spark, sf, "grpo"), "group_id", "response_id")
+    return best.select(
         "group_id", "response_id", "response", "score", (F.round("advantage", 6) + 0.0).alias("advantage")
     )
 
@@ -61,7 +59,7 @@ def top_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 def advantages(spark: SparkSession, sf: str) -> DataFrame:
     scored = _scored(spark, sf, "grpo").select("group_id", "response_id", "score")
-    out = groups.group_advantages(scored, "group_id", sizes=_sizes(spark, sf))
+    out = groups.group_advantages(scored, "group_id")
     return out.select(
         "group_id",
         "response_id",

@@ -78,25 +78,24 @@ SELECT 'order ' || CAST(group_id AS STRING) AS prompt, max(CASE WHEN a = 1 THEN
 
 
 def sft_chat(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation arrays, shown as text; long conversations continue in a further part."""
-    rows = prep.conversations(read(spark, sf, "conversations"), part_turns=4)
+    """Conversation arrays, shown as text."""
+    rows = prep.conversations(read(spark, sf, "conversations"))
     shown = F.transform("conversations", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
     return rows.select(
         "conv_id",
-        "part",
         F.size("conversations").cast("bigint").alias("turns"),
         F.array_join(shown, "\n").alias("dialogue"),
     )
 
 
-_CHAT = """SELECT conv_id, turn // 4 AS part, count(*) AS turns,
+_CHAT = """SELECT conv_id, count(*) AS turns,
  string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY ALL"""
 
 _SYSTEM = "CASE conv_id % 3 WHEN 0 THEN 'You are helpful.' WHEN 1 THEN '' ELSE NULL END"
 
 
 def chat_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    turns = read(spark, sf, "conversations").where("role = 'user'")
+    turns = read(spark, sf, "conversations")
     turns = turns.withColumn("system", F.expr(_SYSTEM))
     shown = [
         display.chat_prompt(F.col("text"), F.col("system"), name).alias(name)
@@ -112,7 +111,7 @@ _PROMPTS = f"""SELECT conv_id, turn,
   ELSE '' END || text || ' [/INST]' AS llama,
  CASE WHEN sys <> '' THEN sys || chr(10) || chr(10) ELSE '' END || '用户: ' || text || chr(10) || chr(10)
   || '助手: ' AS "default"
-FROM (SELECT *, {_SYSTEM} AS sys FROM conversations WHERE role = 'user')"""
+FROM (SELECT *, {_SYSTEM} AS sys FROM conversations)"""
 
 
 def key_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,11 +148,14 @@ def truncated(spark: SparkSession, sf: str) -> DataFrame:
         prep.truncate(text, 100, "right").alias("start"),
         prep.truncate(text, 100, "left").alias("ending"),
         prep.truncate(text, 10_000_000, "error").alias("checked"),
+        prep.truncate_tokens(text, 20, "right").alias("first_words"),
+        prep.truncate_tokens(text, 20, "left").alias("last_words"),
     )
 
 
-_TRUNCATED = """SELECT doc_id, left(text, 100) AS start, right(text, 100) AS ending, text AS checked
-FROM documents"""
+_TRUNCATED = f"""SELECT doc_id, left(text, 100) AS start, right(text, 100) AS ending, text AS checked,
+ array_to_string(w[1:20], ' ') AS first_words, array_to_string(w[-20:], ' ') AS last_words
+FROM (SELECT *, {q.words('text')} AS w FROM documents)"""
 
 
 def split_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,7 +178,9 @@ def split_ordered(spark: SparkSession, sf: str) -> DataFrame:
 _ORDERED = """SELECT o_orderkey, o_orderpriority, CASE WHEN row_number() OVER (ORDER BY o_orderkey)
  <= floor(count(*) OVER () * 75e-2) THEN 'train' ELSE 'val' END AS split FROM orders"""
 
-_COUNTED = ("documents", "labels", "conversations", "lineitem", "events")
+_COUNTED = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 
 
 def row_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -49,14 +49,18 @@ SELECT b, round(avg(d), 6) AS kl, round(avg(abs(d)), 6) AS abs, round(avg(d * d
 
 
 def preference(spark: SparkSession, sf: str) -> DataFrame:
-    """Losses of (first, last token) pairs of every sequence, and the share ordered as preferred."""
-    tokens = table(spark, sf, "tokens")
-    pairs = tokens.groupBy("seq_id").agg(
-        F.min_by("logp", "token_id").alias("chosen_logp"),
-        F.max_by("logp", "token_id").alias("rejected_logp"),
-        F.min_by("ref_logp", "token_id").alias("chosen_ref_logp"),
-        F.max_by("ref_logp", "token_id").alias("rejected_ref_logp"),
-    )
+    """Losses of a pair of responses per prompt, and the share ordered as preferred.
+
+    The odd tokens of a prompt are its chosen response, the even ones the rejected; a response's
+    log-probability sums all its tokens'.
+    """
+    tokens = table(spark, sf, "tokens").withColumn("odd", F.expr("token_id % 2 = 1"))
+    sums = [
+        F.coalesce(F.sum(F.when(F.col("odd") == odd, F.col(c))), F.lit(0.0)).alias(f"{side}_{c}")
+        for side, odd in (("chosen", True), ("rejected", False))
+        for c in ("logp", "ref_logp")
+    ]
+    pairs = tokens.groupBy("seq_id").agg(*sums)
     out = stats.preference_loss(pairs, 0.1, "sigmoid", 0.1)
     for loss in ("hinge", "ipo"):
         out = stats.preference_loss(out.withColumnRenamed("loss", f"_{loss}"), 0.1, loss)
@@ -64,8 +68,10 @@ def preference(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("seq_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("margin", "loss", "hinge", "ipo")])
 
 
-_PAIRS = f"""{_TOKENS}, p AS (SELECT seq_id, (arg_min(logp, token_id) - arg_min(ref_logp, token_id))
- - (arg_max(logp, token_id) - arg_max(ref_logp, token_id)) AS x FROM tokens GROUP BY seq_id),
+_PAIRS = f"""{_TOKENS}, p AS (SELECT seq_id,
+ coalesce(sum(logp) FILTER (token_id % 2 = 1), 0e0) - coalesce(sum(ref_logp) FILTER (token_id % 2 = 1), 0e0)
+ - (coalesce(sum(logp) FILTER (token_id % 2 <> 1), 0e0) - coalesce(sum(ref_logp) FILTER (token_id % 2 <> 1), 0e0)) AS x
+ FROM tokens GROUP BY seq_id),
  m AS (SELECT seq_id, x, 1e-1 * x AS m FROM p)"""
 _PREFERENCE = f"""{_PAIRS} SELECT seq_id, round(m, 6) + 0e0 AS margin,
  round(ln(1 + exp(-m)) * 9e-1 + ln(1 + exp(m)) * 1e-1, 6) + 0e0 AS loss, round(greatest(1 - m, 0), 6) + 0e0 AS hinge,

@@ -18,8 +18,9 @@ def _metrics(spark: SparkSession, sf: str) -> DataFrame:
     A micro-batch takes at most 1 GB of files, which bounds what a run brings in one go.
     """
     schema = read(spark, sf, "events").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    stream = reader.option("maxBytesPerTrigger", str(1 << 30)).parquet(sf)
+    # a pattern finds the table whether it is one file or a folder of part files
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(1 << 30))
+    stream = reader.parquet(f"{sf}/events[.]parquet")
     return table_of(stream, "metrics").where("NOT is_event").drop("is_event", "event")
 
 

@@ -69,10 +69,10 @@ def load_dataset(spark: SparkSession, path: str, schema: str | StructType | None
 def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Result table by suffix: ``.csv``, ``.parquet``, else JSON lines. Returns the path written.
 
-    Spreadsheets hold one machine's data; ``.xlsx`` and ``.xls`` become JSON under ``.json``.
+    Spreadsheets hold one machine's data and are refused.
     """
     if path.endswith((".xlsx", ".xls")):
-        path = path.rsplit(".", 1)[0] + ".json"
+        raise ValueError(f"spreadsheets are not written: {path}")
     if path.endswith(".csv"):
         df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
     elif path.endswith(".parquet"):

@@ -2,12 +2,14 @@
 
 A log folder holds ``<run>_metrics.jsonl`` (metric and event lines mixed), ``<run>_summary.json``,
 ``samples.jsonl`` and ``checkpoint_step<n>_info.json``, or directories of those names with part
-files. Lines keep their order as ``pos`` = (block start in the file, row within the block): a large
-file is read in blocks by many tasks and still has an order.
+files. Lines keep their order as ``pos`` = (append, part file, block start, row within the block): a
+large file is read in blocks by many tasks, a log is appended to many times, and the lines still
+have an order.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -16,8 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rubrica.functions import text as t
 from rubrica.operators.ordering import GROUP_LIMIT, number_rows
-
-_RUN = r"(?:run=)?([^/]+?)_metrics\.jsonl(?:/[^/]*)?$"
+from rubrica.session import once
+
+#: How JSON writers spell numbers that are not finite.
+NOT_FINITE = ("NaN", "Infinity", "-Infinity", "+Infinity", "INF", "-INF", "+INF")
+_RUN = r"(?:run=)?([^/]+?)_metrics\.jsonl(?:/.*)?$"
+#: Part files of a log that is a folder, each append in a folder of its own.
+_PARTS = r"/(?:append=[^/]*/)?part-[^/]*$"
+_POS = "struct<append: bigint, part: bigint, block: bigint, row: bigint>"
 _SUMMARY = (
     "experiment_name string, total_epochs bigint, total_steps bigint, duration_seconds double,"
     " end_time string, final_metrics map<string, double>"
@@ -28,12 +36,21 @@ _CHECKPOINT_TABLE = "checkpoints.jsonl"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, pos, value), one row per line."""
+    """(file, pos, value), one row per line; ``file`` is the folder of a log of part files."""
+    name = F.col("_metadata.file_path")
+
+    def number(pattern: str) -> Column:
+        found = F.regexp_extract(name, pattern, 1)
+        return F.when(found == "", F.lit(0)).otherwise(found).cast("bigint")
+
     pos = F.struct(
+        number(r"/append=([0-9]{1,18})/part-[^/]*$").alias("append"),
+        number(r"/part-([0-9]{1,18})[^/]*$").alias("part"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), pos.alias("pos"), "value")
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return lines.select(F.regexp_replace(name, _PARTS, "").alias("file"), pos.alias("pos"), "value")
 
 
 def line_numbers(lines: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
@@ -51,19 +68,29 @@ def run_name(file: Column) -> Column:
 def records(lines: DataFrame, value: str = "value") -> DataFrame:
     """Lines that hold one JSON object, as ``record``, a map of VARIANT values.
 
-    Other lines (malformed, or JSON but no object) are left out; ``malformed`` returns them.
+    As trainers write them: NaN and Infinity are values (as text), and of a repeated key the last
+    copy counts. Other lines (malformed, or JSON but no object) are left out; ``malformed`` returns
+    them. Each line is parsed once.
     """
-    good = lines.where(_is_object(F.col(value)))
-    return good.withColumn("record", F.from_json(F.col(value), "map<string, variant>"))
+    found = once(lines, _parsed=_objects(F.col(value)))
+    good = once(found.where(F.size("_parsed") == 1), _first=F.get("_parsed", F.lit(0)))
+    entries = F.map_entries("_first")
+    keys = F.map_keys("_first")
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    single = F.size(F.array_distinct(keys)) == F.size(keys)
+    record = F.when(single, F.col("_first")).otherwise(F.map_from_entries(last))
+    return good.withColumn("record", record).drop("_parsed", "_first")
 
 
 def malformed(lines: DataFrame, value: str = "value") -> DataFrame:
-    return lines.where(~_is_object(F.col(value)))
+    found = once(lines, _parsed=_objects(F.col(value)))
+    return found.where(~F.coalesce(F.size("_parsed") == 1, F.lit(False))).drop("_parsed")
 
 
-def _is_object(line: Column) -> Column:
-    line = F.coalesce(line, F.lit(""))
-    return line.rlike(r"^\s*\{") & t.is_json(line)
+def _objects(line: Column) -> Column:
+    """The objects on a line; inside brackets, text behind an object no longer parses."""
+    inside = F.concat(F.lit("["), line, F.lit("]"))
+    return F.when(line.rlike(r"^\s*\{"), F.from_json(inside, "array<map<string, variant>>"))
 
 
 def metric_lines(records: DataFrame) -> DataFrame:
@@ -89,14 +116,21 @@ def long_metrics(metric_rows: DataFrame, keys: Sequence[str] = ("experiment", "p
     rows = metric_rows.select(*keys, F.explode("record").alias("metric", "_value"))
     kind = F.schema_of_variant("_value")
     number = (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL")
+    text = F.when(kind == "STRING", F.try_variant_get("_value", "$", "string"))
+    odd = F.coalesce(text.isin(*NOT_FINITE), F.lit(False))
     return rows.select(
         *keys,
         "metric",
-        F.when(number, F.try_variant_get("_value", "$", "double")).alias("value"),
-        (number | (kind == "VOID")).alias("numeric"),
+        F.when(number, F.try_variant_get("_value", "$", "double")).when(odd, _not_finite(text)).alias("value"),
+        (number | odd | (kind == "VOID")).alias("numeric"),
     )
 
 
+def _not_finite(text: Column) -> Column:
+    value = F.when(text == "NaN", float("nan")).when(text.startswith("-"), float("-inf"))
+    return value.otherwise(float("inf")).cast("double")
+
+
 def wide_metrics(metric_rows: DataFrame, metrics: dict[str, str]) -> DataFrame:
     """One typed column per requested metric, e.g. ``{"step": "bigint", "reward_mean": "double"}``."""
     keep = [c for c in metric_rows.columns if c not in ("record", "value")]
@@ -148,8 +182,7 @@ def read_samples(spark: SparkSession, log_dir: str, experiment: str = "") -> Dat
     if lines is None and experiment:
         lines = _or_none(lambda: read_lines(spark, f"{log_dir}/{experiment}/samples.jsonl"))
     if lines is None:
-        schema = "file string, pos struct<block: bigint, row: bigint>, value string"
-        lines = spark.createDataFrame([], schema)
+        lines = spark.createDataFrame([], f"file string, pos {_POS}, value string")
     return records(lines).withColumn("experiment", F.lit(experiment))
 
 
@@ -208,7 +241,7 @@ def append_metrics(df: DataFrame, log_dir: str) -> None:
     Reads experiment, step, epoch, timestamp and ``logs`` (map of string to double); an entry of
     ``logs`` overrides step, epoch or timestamp.
     """
-    _append(df, log_dir, metric_json())
+    _append(df, log_dir, metric_json(), F.col("step"))
 
 
 def metric_json() -> Column:
@@ -220,16 +253,20 @@ def metric_json() -> Column:
 
 def append_events(df: DataFrame, log_dir: str) -> None:
     """Append events: experiment, event, timestamp (text), data (map of string to string)."""
-    _append(df, log_dir, F.to_json(F.struct("event", "timestamp", "data")))
+    _append(df, log_dir, F.to_json(F.struct("event", "timestamp", "data")), F.col("timestamp"))
 
 
-def _append(df: DataFrame, log_dir: str, line: Column) -> None:
-    """One directory of part files per run, named like the run's log file.
+def _append(df: DataFrame, log_dir: str, line: Column, order: Column) -> None:
+    """One directory per run, named like the run's log file, with a folder of part files per append.
 
-    Rows are gathered by run so that few files are written; a large run is split over tasks.
+    Rows are dealt by ranges of (run, order): a large run is split over tasks, and its lines follow each
+    other from part to part. Folders are numbered by the time of the append.
     """
-    rows = df.select(F.concat("experiment", F.lit("_metrics.jsonl")).alias("run"), line.alias("value"))
-    rows.hint("rebalance", "run").write.mode("append").partitionBy("run").text(log_dir)
+    run = F.concat("experiment", F.lit("_metrics.jsonl")).alias("run")
+    append = F.lit(f"{time.time_ns() // 1000:018d}").alias("append")
+    rows = df.select(run, append, order.alias("_order"), line.alias("value"))
+    rows = rows.repartitionByRange("run", "_order").sortWithinPartitions("run", "_order").drop("_order")
+    rows.write.mode("append").partitionBy("run", "append").text(log_dir)
 
 
 def write_summary(df: DataFrame, log_dir: str) -> None:

@@ -73,15 +73,18 @@ def test_length_rules(spark):
     assert [r[0] for r in prep.drop_overlong(df, 4, tokens=counter).collect()] == ["a  b", ""]
     cut = df.select(*[prep.truncate(F.col("prompt"), 2, m).alias(m) for m in ("right", "left")]).collect()
     assert [tuple(r) for r in cut] == [("a ", " c"), ("a ", " b"), ("", "")]
+    cut = df.select(*[prep.truncate_tokens(F.col("prompt"), 2, m).alias(m) for m in ("right", "left")]).collect()
+    assert [tuple(r) for r in cut] == [("a b", "b c"), ("a b", "a b"), ("", "")]
+    with pytest.raises(Exception, match="longer than 2"):
+        df.select(prep.truncate_tokens(F.col("prompt"), 2, "error")).collect()
     with pytest.raises(Exception, match="longer than 2"):
         df.select(prep.truncate(F.col("prompt"), 2, "error")).collect()
 
 
 def test_conversations(spark):
     turns = spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(25)], "conv_id int, turn int, role string, text string")
-    out = rows(prep.conversations(turns, part_turns=10), "part")
-    assert [len(r[2]) for r in out] == [10, 10, 5]
-    assert [m["content"] for r in out for m in r[2]] == [f"t{t}" for t in range(25)]
+    (out,) = prep.conversations(turns).collect()
+    assert [m["content"] for m in out["conversations"]] == [f"t{t}" for t in range(25)]
 
 
 def test_json_files(spark, tmp_path):
@@ -101,7 +104,9 @@ def test_json_files(spark, tmp_path):
     (tmp_path / "empty.json").write_text("[]")
     assert datasets.load_dataset(spark, str(tmp_path / "empty.json"), datasets.SCHEMAS["rl"]).count() == 0
     df = spark.createDataFrame([("a\"b\nc", 1)], "x string, y int")
-    for name in ("r.csv", "r.parquet", "r.xlsx"):
+    with pytest.raises(ValueError):
+        datasets.write_results(df, str(tmp_path / "r.xlsx"))
+    for name in ("r.csv", "r.parquet", "r.json"):
         written = datasets.write_results(df, str(tmp_path / name))
         reader = datasets.read_json_lines if written.endswith(".json") else datasets.load_dataset
         assert reader(spark, written).first()["x"] == 'a"b\nc'

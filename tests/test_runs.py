@@ -191,6 +191,34 @@ def test_written_summaries_samples_checkpoints(spark, tmp_path):
     assert logs.read_samples(spark, folder).count() == 100
 
 
+def test_lines_as_trainers_write_them(spark):
+    rows = ['{"loss": 1.5, "kl": 0.1}', '{"loss": NaN, "kl": Infinity}', '{"loss": 2, "loss": 0.5}', '{"a": 1} x', '{"a": 1}{"b": 2}',
+            '{"a": 1}, {"b": 2}', "[1]", "", None, '{"a": [1, {"b": NaN}]} ']
+    lines = spark.createDataFrame([(k, "r", v) for k, v in enumerate(rows)], "pos int, experiment string, value string")
+    assert [r["pos"] for r in logs.records(lines).orderBy("pos").collect()] == [0, 1, 2, 9]
+    assert [r["pos"] for r in logs.malformed(lines).orderBy("pos").collect()] == [3, 4, 5, 6, 7, 8]
+    long = logs.long_metrics(logs.records(lines))
+    stats = {r["metric"]: r for r in runs.summary_stats_long(long, "pos").collect()}
+    assert (stats["loss"]["values"], stats["loss"]["mean"], stats["loss"]["latest"]) == (2, 1.0, None)
+    assert stats["kl"]["max"] == float("inf") and stats["kl"]["latest"] is None
+
+
+def test_appends_keep_their_order(spark, tmp_path):
+    schema = "experiment string, step int, epoch int, timestamp double, logs map<string, double>"
+
+    def rows(first, last):
+        return spark.createDataFrame([("a", k, 0, float(k), {"x": float(k)}) for k in range(first, last)], schema).repartition(7)
+
+    for first, last in ((0, 5), (5, 500), (500, 503)):
+        logs.append_metrics(rows(first, last), str(tmp_path))
+    metrics = logs.wide_metrics(logs.read_metrics(spark, str(tmp_path)), {"step": "bigint", "timestamp": "double", "x": "double"})
+    last = runs.latest_metrics(metrics.drop("file"), "pos").first()
+    assert (last["step"], last["elapsed_time"]) == (502, 502.0)
+    assert [r["step"] for r in metrics.orderBy("pos").collect()] == list(range(503))
+    numbered = logs.line_numbers(logs.read_lines(spark, f"{tmp_path}/*_metrics.jsonl")).orderBy("line").collect()
+    assert [r["line"] for r in numbered] == list(range(503)) and len({r["file"] for r in numbered}) == 1
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(1, "loss", 0.5), (1, "kl", 0.1), (2, "loss", 0.4)], "step int, tag string, value double")
     wide = logs.pivot_scalars(df, ["loss", "kl"]).orderBy("step").collect()

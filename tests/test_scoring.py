@@ -126,10 +126,13 @@ def test_margin_on_raw_doubles(spark):
 def test_null_group_is_a_group(spark, limit):
     rows = [(None, i, float(i)) for i in range(4)] + [(1, 9, 1.0)]
     df = spark.createDataFrame(rows, "group_id int, i int, score double")
-    out = groups.group_advantages(df, "group_id", by_std=False, limit=limit).collect()
+    out = groups.group_advantages(df, "group_id", by_std=False).collect()
     assert sorted(r["advantage"] for r in out) == [-1.5, -0.5, 0.0, 0.5, 1.5]
     ranked = groups.rank_responses(df, "group_id", "i", limit=limit).collect()
     assert sorted((r["rank"] for r in ranked if r["group_id"] is None)) == [1, 2, 3, 4]
+    pairs = groups.preference_pairs(df, "group_id", "i", carry=[], block=limit).collect()
+    assert sorted((p["chosen_i"], p["rejected_i"]) for p in pairs) == [(a, b) for a in range(4) for b in range(a)]
+    assert groups.preference_levels(df, "group_id").agg(F.sum("pairs")).first()[0] == 6
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 5])
@@ -143,7 +146,9 @@ def test_rank_and_advantages_with_a_large_group(spark, limit):
         order = [r["i"] for r in sorted((r for r in ranked if r["group_id"] == g), key=lambda r: r["rank"])]
         assert order == sorted(range(len(group)), key=lambda i: (-group[i], i))
         assert sorted(r["rank"] for r in ranked if r["group_id"] == g) == list(range(1, len(group) + 1))
-    out = groups.group_advantages(df, "group_id", limit=limit).collect()
+    out = groups.group_advantages(df, "group_id").collect()
+    best = {r["group_id"]: r for r in groups.best_response_advantages(df, "group_id", "i").collect()}
+    assert all(best[r["group_id"]]["i"] == r["i"] for r in ranked if r["rank"] == 1)
     for g, group in scores.items():
         mean = statistics.mean(group)
         std = statistics.stdev(group) if len(group) > 1 else 0.0
@@ -161,3 +166,17 @@ def test_python_reward(spark):
     assert rule(df).first()["score"] == 3.0
     with pytest.raises(KeyError):
         scoring.score(df, "nothing")
+
+
+def test_reward_arguments(spark):
+    df = spark.createDataFrame([(0, 0, "gsm8k", "#### 42", "42")], SCHEMA)
+    assert scoring.score(df, "grpo", correct=2.0).first()["score"] == 2.0
+    assert scoring.score(df, "process", correct=2.0).first()["score"] >= 2.0
+    assert 0 <= scoring.score(df, "composite", weights={"math": 1.0, "format": 1.0}).first()["score"] <= 1
+
+
+def test_only_code_rows_reach_python(spark):
+    df = spark.createDataFrame([(0, 0, "code", "x = 1", ""), (0, 1, "math", "#### 1", "1")], SCHEMA)
+    plan = scoring.score(df, "grpo")._jdf.queryExecution().optimizedPlan().toString()
+    python = plan[plan.index("ArrowEvalPython") :]
+    assert "Filter" in python and plan.count("ArrowEvalPython") == 1
