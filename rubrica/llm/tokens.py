@@ -17,7 +17,9 @@ import numpy as np
 from rubrica.llm.common import blocks, cut_text
 
 #: Words the cache holds before it is emptied.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+#: Words given to the tokenizer in one call.
+AT_ONCE = 4096
 #: Characters encoded at a time; a longer text is cut at white space.
 PIECE = 1 << 20
 #: Sentence marks that end a word, behind a letter.
@@ -46,9 +48,10 @@ class WordEncoder:
         parts = dict.fromkeys(p for w, k in parted for p in (w[:k], w[k:]))
         skip = {w for w, _ in parted}
         plain = [w for w in dict.fromkeys([*(w for w in words if w not in skip), *parts]) if w not in self.known]
-        text = [w.decode("utf-8", "surrogatepass") for w in plain]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
-        self._append(plain, found)
+        for k in range(0, len(plain), AT_ONCE):
+            some = plain[k : k + AT_ONCE]
+            text = [w.decode("utf-8", "surrogatepass") for w in some]
+            self._append(some, [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)])
         joined = []
         for w, k in parted:
             a, b = self.known[w[:k]], self.known[w[k:]]
