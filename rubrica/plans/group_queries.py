@@ -118,7 +118,36 @@ _BATCH = f"""{_GRPO} SELECT data_source, step, count(*) AS responses, round(avg(
  round(avg(CASE WHEN score > 0 THEN 1e0 ELSE 0e0 END), 9) AS format_accuracy
 FROM scored GROUP BY data_source, step"""
 
+#: Rollouts of which one prompt holds a third.
+_HOT = "CASE WHEN response_id % 3 = 0 THEN 0 ELSE group_id END"
+
+
+def hot_group(spark: SparkSession, sf: str) -> DataFrame:
+    """Advantages and best response where one prompt holds a third of all responses."""
+    rows = table(spark, sf, "rollouts").withColumn("group_id", F.expr(_HOT))
+    scored = scoring.score(rows, "grpo").select("group_id", "response_id", "score")
+    compared = groups.group_advantages(scored, "group_id")
+    best = groups.best_response_advantages(scored, "group_id", "response_id", carry=[])
+    best = best.select(F.col("group_id").alias("_g"), F.col("response_id").alias("best_id"))
+    out = compared.join(best, F.col("group_id") == F.col("_g"))
+    return out.groupBy("group_id").agg(
+        F.count("*").alias("n"),
+        F.max("best_id").alias("best_id"),
+        (F.round(F.max("advantage"), 6) + 0.0).alias("highest"),
+        (F.round(F.min("advantage"), 6) + 0.0).alias("lowest"),
+    )
+
+
+_HOT_SQL = f"""{cte('rollouts')}, hot AS (SELECT * REPLACE ({_HOT} AS group_id) FROM rollouts),
+ scored AS (SELECT group_id, response_id, {q.grpo()} AS score FROM hot),
+ g AS (SELECT group_id, avg(score) AS mean, stddev_samp(score) AS std, max(score) AS high, min(score) AS low,
+  count(*) AS n FROM scored GROUP BY group_id)
+SELECT g.group_id, n, (SELECT min(response_id) FROM scored s WHERE s.group_id = g.group_id AND s.score = g.high) AS best_id,
+ round({_ADVANTAGE.replace('score', 'high')}, 6) + 0e0 AS highest,
+ round({_ADVANTAGE.replace('score', 'low')}, 6) + 0e0 AS lowest FROM g"""
+
 QUERIES = {
+    "hot_group": hot_group,
     "best_responses": best_responses,
     "top_responses": top_responses,
     "ranked_responses": ranked,
@@ -129,6 +158,7 @@ QUERIES = {
 }
 
 SQL = {
+    "hot_group": _HOT_SQL,
     "best_responses": _BEST,
     "top_responses": _TOP,
     "ranked_responses": _RANKED,

@@ -28,8 +28,9 @@ _PARTS = r"/(?:append=[^/]*/)?part-[^/]*$"
 _POS = "struct<append: bigint, part: bigint, block: bigint, row: bigint>"
 _SUMMARY = (
     "experiment_name string, total_epochs bigint, total_steps bigint, duration_seconds double,"
-    " end_time string, final_metrics map<string, double>"
+    " end_time string, final_metrics map<string, double>, final_notes map<string, string>"
 )
+_SUMMARY_FILE = _SUMMARY.split(", final_metrics")[0] + ", final_metrics map<string, variant>"
 _CHECKPOINT = "experiment string, step bigint, timestamp string, metrics map<string, double>"
 _SUMMARY_TABLE = "run_summaries.jsonl"
 _CHECKPOINT_TABLE = "checkpoints.jsonl"
@@ -187,15 +188,31 @@ def read_samples(spark: SparkSession, log_dir: str, experiment: str = "") -> Dat
 
 
 def read_summaries(spark: SparkSession, log_dir: str) -> DataFrame:
-    """Closing rows of all runs: single ``<run>_summary.json`` files and written tables."""
+    """Closing rows of all runs: single ``<run>_summary.json`` files and written tables.
+
+    ``final_metrics`` holds the numbers among the final values, ``final_notes`` all others as text. A
+    broken file fails the query.
+    """
     parts = [spark.createDataFrame([], _SUMMARY)]
     for path, whole in ((f"{log_dir}/*_summary.json", True), (f"{log_dir}/{_SUMMARY_TABLE}", False)):
-        found = _or_none(lambda: spark.read.schema(_SUMMARY).option("multiLine", whole).json(path))
+        reader = spark.read.schema(_SUMMARY_FILE).option("mode", "FAILFAST").option("multiLine", whole)
+        found = _or_none(lambda: reader.json(path))
         if found is not None:
-            parts.append(found)
+            parts.append(_with_numbers(found))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _with_numbers(summaries: DataFrame) -> DataFrame:
+    """Split the final values into numbers and texts."""
+    numbers = F.map_filter(
+        F.transform_values("_all", lambda _, v: F.try_variant_get(v, "$", "double")), lambda _, v: v.isNotNull()
+    )
+    texts = F.transform_values("_all", lambda _, v: F.try_variant_get(v, "$", "string"))
+    notes = F.map_filter(texts, lambda k, v: v.isNotNull() & ~F.map_contains_key("final_metrics", k))
+    found = summaries.withColumnRenamed("final_metrics", "_all").withColumn("final_metrics", numbers)
+    return found.withColumn("final_notes", notes).drop("_all")
+
+
 def read_checkpoints(spark: SparkSession, checkpoint_dir: str) -> DataFrame:
     """Checkpoint rows: single ``checkpoint_step<n>_info.json`` files and written tables."""
     parts = [spark.createDataFrame([], _CHECKPOINT)]

@@ -142,7 +142,7 @@ def test_log_folder(spark, tmp_path):
     )
     (tmp_path / "b_metrics.jsonl").write_text('{"step": 7, "timestamp": 1, "flag": true}\n')
     (tmp_path / "samples.jsonl").write_text('{"step": 1, "prompt": "Alpha"}\nbad\n' + json.dumps({"p": "x" * 300}) + "\n")
-    (tmp_path / "b_summary.json").write_text(json.dumps({"experiment_name": "b", "final_metrics": {"m": 1}}, indent=2))
+    (tmp_path / "b_summary.json").write_text(json.dumps({"experiment_name": "b", "final_metrics": {"m": 1, "note": "x", "loss": 0.5}}, indent=2))
     folder = str(tmp_path)
     assert [r[0] for r in logs.list_experiments(spark, folder).collect()] == ["b", "a_metrics_x"]
     metrics = logs.read_metrics(spark, folder)
@@ -158,7 +158,8 @@ def test_log_folder(spark, tmp_path):
     assert stats["a_metrics_x", "reward_mean"]["latest"] == 1.0
     assert logs.read_samples(spark, folder).count() == 2
     assert logs.read_samples(spark, str(tmp_path / "none"), "b").count() == 0
-    assert logs.read_summaries(spark, folder).first()["final_metrics"] == {"m": 1.0}
+    summary = logs.read_summaries(spark, folder).first()
+    assert (summary["final_metrics"], summary["final_notes"]) == ({"m": 1.0, "loss": 0.5}, {"note": "x"})
     metric_lines = logs.line_numbers(logs.read_lines(spark, f"{folder}/a_metrics_x_metrics.jsonl"))
     sample_lines = logs.line_numbers(logs.read_lines(spark, f"{folder}/samples.jsonl"))
     hits = [r["hit"] for r in logs.search_logs(metric_lines, sample_lines, "ALPHA").collect()]
