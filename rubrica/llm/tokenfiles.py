@@ -197,8 +197,9 @@ def read_files(manifest: DataFrame, folder: str, by_rank: np.ndarray, id_column:
                 yield pa.RecordBatch.from_arrays(columns, names=[id_column, *numbers, *(["ids"] if with_ids else [])])
 
     schema = f"`{id_column}` bigint, " + ", ".join(f"{n} bigint" for n in numbers) + (", ids array<int>" if with_ids else "")
-    # the manifest is a few rows a task; dealt out, its files are read by all executors
-    return manifest.select("path", "start").repartition("path").mapInArrow(run, schema)
+    # the manifest is small, its files are not: a fixed number of partitions keeps them from being merged
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path", "start").repartition(tasks, "path").mapInArrow(run, schema)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
