@@ -243,3 +243,71 @@ def judged_documents(docs: DataFrame) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judged_documents(read(spark, sf_dir, "documents"))
     return judged.select("doc_id", *BASE, "base_failed", "kept", "failed")
+
+
+_SQL_MEASURES = ", ".join(f"('{m}', {least}, {str(both).lower()})" for m, (least, both) in MEASURES.items())
+
+OP9_SQL = rf"""
+WITH texts AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(len(w) - 4)) AS spot, w FROM texts WHERE len(w) >= 5
+), repeated AS (
+  SELECT doc_id, unnest(range(spot, spot + 5)) AS place
+  FROM (SELECT doc_id, spot, count(*) OVER (PARTITION BY doc_id, array_to_string(w[spot + 1 : spot + 5], ' ')) AS times FROM windows)
+  WHERE times > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM repeated GROUP BY doc_id
+), base AS (
+  SELECT t.doc_id, lang, source, len(w)::BIGINT AS n_words,
+    length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+    length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper, len(lines) AS n_lines
+  FROM texts t LEFT JOIN covered c USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base
+), long AS (
+  SELECT doc_id, lang, source, base_failed, unnest([
+    {{'m': 'word_length', 'v': 1000 * word_chars // greatest(n_words, 1)}},
+    {{'m': 'symbol_share', 'v': 1000 * n_symbols // greatest(n_words, 1)}},
+    {{'m': 'upper_share', 'v': 1000 * n_upper // greatest(word_chars, 1)}},
+    {{'m': 'dup_line_share', 'v': 1000 * n_dup_lines // greatest(n_lines, 1)}},
+    {{'m': 'repeat_share', 'v': 1000 * n_repeat_words // greatest(n_words, 1)}}], recursive := true)
+  FROM judged
+), buckets AS (
+  SELECT *, (v >> greatest(length(bin(v)) - 6, 0)::INT) << greatest(length(bin(v)) - 6, 0)::INT AS b FROM long
+), cells AS (
+  SELECT m, coalesce(lang, chr(0)) AS l, coalesce(source, chr(0)) AS s, b FROM buckets WHERE NOT base_failed
+  UNION ALL SELECT m, coalesce(lang, chr(0)), NULL, b FROM buckets WHERE NOT base_failed
+  UNION ALL SELECT m, NULL, NULL, b FROM buckets WHERE NOT base_failed
+), counted AS (
+  SELECT m, l, s, b, sum(count(*)) OVER (PARTITION BY m, l, s ORDER BY b) AS upto, sum(count(*)) OVER (PARTITION BY m, l, s) AS total
+  FROM cells GROUP BY m, l, s, b
+), quarters AS (
+  SELECT m, l, s, any_value(total) AS total, min(b) FILTER (upto * 4 >= total) AS q1,
+    min(b) FILTER (upto * 4 >= total * 2) AS q2, min(b) FILTER (upto * 4 >= total * 3) AS q3
+  FROM counted GROUP BY m, l, s
+), chosen AS (
+  SELECT c.m, c.l, c.s, CASE WHEN c.total >= {MIN_ROWS} THEN c.q1 WHEN g.total >= {MIN_ROWS} THEN g.q1 ELSE a.q1 END AS q1,
+    CASE WHEN c.total >= {MIN_ROWS} THEN c.q2 WHEN g.total >= {MIN_ROWS} THEN g.q2 ELSE a.q2 END AS q2,
+    CASE WHEN c.total >= {MIN_ROWS} THEN c.q3 WHEN g.total >= {MIN_ROWS} THEN g.q3 ELSE a.q3 END AS q3
+  FROM quarters c JOIN quarters g ON g.m = c.m AND g.l = c.l AND g.s IS NULL
+  JOIN quarters a ON a.m = c.m AND a.l IS NULL WHERE c.s IS NOT NULL
+), fences AS (
+  SELECT c.m, l, s, CASE WHEN two_sided THEN q2 - {SPREADS} * greatest(q3 - q1, spread) ELSE 0 END AS low,
+    q2 + {SPREADS} * greatest(q3 - q1, spread) AS high
+  FROM chosen c JOIN (VALUES {_SQL_MEASURES}) x(m, spread, two_sided) USING (m)
+), failures AS (
+  SELECT doc_id, string_agg(b.m, ',' ORDER BY list_position({list(MEASURES)}, b.m)) AS failed
+  FROM buckets b JOIN fences f ON f.m = b.m AND f.l = coalesce(lang, chr(0)) AND f.s = coalesce(source, chr(0))
+  WHERE v < low OR v > high GROUP BY doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed
+FROM judged LEFT JOIN failures USING (doc_id)
+"""

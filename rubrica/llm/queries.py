@@ -19,5 +19,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_url_filter": urls.OP2_SQL,
+    "op6_jaccard_join": jaccard.OP6_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
+    "op9_quality_rules": quality.OP9_SQL,
 }
