@@ -75,10 +75,25 @@ def parse_scores(df: DataFrame, content: str = "content", out: str = "score") ->
     return once(df, **{out: score}).drop("_found", "_value", "_kind", "_free")
 
 
-def judged(df: DataFrame, provider: str = "openai", reply: str = "reply", out: str = "score") -> DataFrame:
-    """Score of each reply, 0.5 where there is none."""
+def judged(
+    df: DataFrame,
+    provider: str = "openai",
+    reply: str = "reply",
+    out: str = "score",
+    method: str | None = None,
+    **normalisation: float,
+) -> DataFrame:
+    """Score of each reply, 0.5 where there is none.
+
+    With a ``method`` the score is normalised (``judge.normalize_score``: bias, scale, default), and the
+    default stands in where no reply came.
+    """
     content = judge.reply_content(provider, F.col(reply))
-    return parse_scores(df.withColumn("_content", content), "_content", out).drop("_content")
+    scored = parse_scores(df.withColumn("_content", content), "_content", out).drop("_content")
+    if method is None:
+        return scored
+    answered = F.when(F.col(reply).isNotNull(), F.col(out))
+    return scored.withColumn(out, judge.normalize_score(answered, method, **normalisation))
 
 
 def fresh(cache: DataFrame, now: float | None = None, ttl: float = 3600.0) -> DataFrame:

@@ -159,7 +159,10 @@ def test_judge_calls_retry_and_cache(spark, tmp_path):
     left = judging.unscored(df, spark.createDataFrame([], "request_key string, cached_score double"))
     out = judging.judged(judging.call_judge(judging.with_request(left), client, tries=3, pause=0.0)).collect()
     assert {r["response"]: r["score"] for r in out} == {"fine": 0.7, "broken": 0.5}
-    assert len(log.read_text()) == 4
+    replies = spark.createDataFrame([(client("x"),), (None,)], "reply string")
+    normal = judging.judged(replies, method="linear", scale=0.5, bias=0.1, default=0.2).collect()
+    assert sorted(round(r["score"], 6) for r in normal) == [0.2, 0.45]
+    assert len(log.read_text()) == 5
     cache = judging.request_key(df.where("response = 'fine'")).select(
         "request_key", F.lit(0.7).alias("score"), F.lit(100.0).alias("scored_at")
     )
