@@ -67,20 +67,51 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: A random number per byte value, and powers of a multiplier per place in a word.
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
+_PLACES = np.cumprod(np.concatenate([[np.uint64(1)], np.full(1023, _ODD[1])]), dtype=np.uint64)
+_IN_WORD = np.ones(256, np.int8)
+_IN_WORD[[0x20, *range(0x09, 0x0E)]] = 0
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z lowered, between ASCII white space."""
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = _IN_WORD[data]
+    edge = np.diff(inside)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    chars = data[inside[1:-1].view(bool)]
+    place = np.arange(len(chars)) - np.repeat(first, sizes)
+    value = _BYTES[chars] * _PLACES[place & 1023]
+    hashed = _mixed(np.add.reduceat(value, first) + sizes.astype(np.uint64) * _ODD[2])
+    for k in np.flatnonzero(sizes > len(_PLACES)):  # places repeat in such a word
+        hashed[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+    return hashed
+
+
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text, A-Z lowered, words between ASCII white space."""
-    hashed = []
-    for piece in cut_text(text or "", PIECE):
-        words = piece.encode("utf-8", "surrogatepass").lower().split()
-        hashed.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
-    words = np.concatenate(hashed)
+    """Sorted distinct hashes of the shingles of a text."""
+    words = np.concatenate([word_hashes(piece) for piece in cut_text(text or "", PIECE)])
     if not len(words):
         return words
     span = min(width, len(words))
     total = np.full(len(words) - span + 1, span, np.uint64)
     for k in range(span):
-        total = _mixed(total * _ODD[0] + words[k : k + len(total)] * _ODD[k % 4] + np.uint64(k))
-    return np.unique(total)
+        total = total * _ODD[3] + words[k : k + len(total)]
+    return _distinct(_mixed(total))
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]
 
 
 def digest(own: np.ndarray) -> int:
