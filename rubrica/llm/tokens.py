@@ -2,12 +2,13 @@
 
 The vocabulary drops white space and never merges across it, so a text's ids are those of its words
 one after the other. Words repeat, and an id list once computed serves every later occurrence; only
-unseen words reach the tokenizer. The cache lives as long as the Python worker and is emptied when
-full, so memory does not grow with the corpus.
+unseen words reach the tokenizer. The cache lives as long as the Python worker and drops its less used
+half when full, so memory does not grow with the corpus.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, repeat
@@ -16,8 +17,8 @@ import numpy as np
 
 from rubrica.llm.common import blocks, cut_text
 
-#: Words the cache holds before it is emptied.
-CACHE_WORDS = 400_000
+#: Words the cache holds before the less used half goes.
+CACHE_WORDS = 800_000
 #: Words given to the tokenizer in one call.
 AT_ONCE = 4096
 #: Characters encoded at a time; a longer text is cut at white space.
@@ -28,6 +29,8 @@ _MARKS = re.compile(rb"(?<=[A-Za-z])([.,;:!?]+)\Z")
 
 class WordEncoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        # a task has one core: the tokenizer's own threads would only contend for it
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,6 +43,20 @@ class WordEncoder:
         self.size = np.zeros(1 << 16, dtype=np.int64)
         self.ids = np.zeros(1 << 18, dtype=np.uint32)
         self.used = 0
+        self.uses = np.zeros(0, np.int64)
+
+    def _halve(self) -> None:
+        """Keep the words used most since the last time."""
+        uses = np.concatenate([self.uses, np.zeros(len(self.known) - len(self.uses), np.int64)])
+        kept = np.zeros(len(uses), bool)
+        kept[np.argsort(uses, kind="stable")[len(uses) - self.cache_words // 2 :]] = True
+        words = [w for w, k in self.known.items() if kept[k]]
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        start, size, ids = self.start[at], self.size[at], self.ids
+        self._empty()
+        for low in range(0, len(words), 1 << 16):
+            some = range(low, min(low + (1 << 16), len(words)))
+            self._append([words[k] for k in some], [ids[start[k] : start[k] + size[k]].tolist() for k in some])
 
     def _learn(self, words: list[bytes]) -> None:
         """Add unseen words to the cache. Marks behind a letter are apart to the vocabulary, so a word
@@ -85,12 +102,14 @@ class WordEncoder:
             split.append((raw if b"<|" in raw else raw.lower()).split())
         words = list(chain.from_iterable(split))
         if len(self.known) > self.cache_words:
-            self._empty()
+            self._halve()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
             self._learn(list(dict.fromkeys(words[k] for k in missing)))
             at[missing] = [self.known[words[k]] for k in missing]
+        used = np.bincount(at, minlength=len(self.uses))
+        self.uses = np.concatenate([self.uses, np.zeros(len(used) - len(self.uses), np.int64)]) + used
         return at, [len(own) for own in split]
 
     def encode_many(self, texts: Sequence[str]) -> list[np.ndarray]:
