@@ -123,16 +123,18 @@ def _scan_part(docs: DataFrame, keep: Sequence[str], windows: Sequence[tuple[str
     return source.mapInArrow(run, ", ".join([*own, *extra]))
 
 
-_MATCHERS: dict[int, Matcher] = {}
+#: The windows last used by this worker and their automaton. The windows are held too: an address alone could come to be
+#: another list's once a reused worker drops a broadcast.
+_LATEST: list[tuple[Sequence[tuple[str, list[str]]], Matcher]] = []
 
 
 def _matcher(shared) -> Matcher:
     """The worker's automaton for a broadcast; only the latest is held."""
-    key = id(shared.value)
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(shared.value)
-    return _MATCHERS[key]
+    windows = shared.value
+    if not _LATEST or _LATEST[0][0] is not windows:
+        _LATEST.clear()
+        _LATEST.append((windows, Matcher(windows)))
+    return _LATEST[0][1]
 
 
 def _parts(windows: DataFrame, most: int) -> Iterator[list[tuple[str, list[str]]]]:

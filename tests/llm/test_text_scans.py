@@ -2,6 +2,7 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import pytest
 from plain import ascii_lower
@@ -105,6 +106,23 @@ def test_decontamination(spark, max_bytes):
     assert cut.columns == docs.columns and cut.count() == len(texts)
 
 
+def test_automaton_belongs_to_its_broadcast():
+    def shared(number, value):
+        value.append((f"w{number}", [str(number)]))
+        return SimpleNamespace(value=value)
+
+    first = shared(0, [])
+    address = id(first.value)
+    assert decontaminate._matcher(first).scan("a w0 b")[2] == ["0"]
+    assert decontaminate._matcher(first) is decontaminate._matcher(first)
+    held = []
+    del first
+    # of lists made after the first is dropped, the one at its address, if any
+    while len(held) < 1000 and (not held or id(held[-1]) != address):
+        held.append([])
+    assert decontaminate._matcher(shared(1, held[-1])).scan("a w0 w1 b")[2] == ["1"]
+
+
 def test_decontamination_on_awkward_rows(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and the cat sat"), (2, "no such text")], "item_id bigint, text string")
     found = {r.doc_id: r for r in decontaminate.scan(awkward, bench, ["doc_id"]).collect()}
