@@ -1,12 +1,13 @@
 """Licence scan over a positional index of rare words.
 
-Every template (a licence notice) is posted under its ``KEYS`` rarest words, rarity being the
-inverse document frequency in the scanned corpus, with the word's position in the template. A file
-looks up those of its words that are posted: these are its licence words of highest inverse
-frequency, and common words are never looked up. Each posting votes for a relative position (place
-in the file minus place in the template); a template whose postings intersect in at least
-``AGREE`` votes for one relative position is a candidate, and is reported where the file also holds
-its mandatory key phrases. The score is the candidate's share of key weight found in its place.
+Every template (a licence notice) is posted whole: each of its words with its position. A file looks
+up its own licence words of highest inverse document frequency in the scanned corpus, ``LOOKUPS`` of
+them, and the words of the mandatory key phrases it holds. Each posting votes for a relative position
+(place in the file minus place in the template); a template whose postings intersect in at least
+``AGREE`` votes for one relative position is a candidate there, and is reported where the file also
+holds all its key phrases. As a phrase's words agree with each other, no file with all phrases of a
+template is missed, however rare or common its words. The score is the share of the whole template's
+weight found in its place. Phrases are tried first, and only files with a template's phrases vote.
 
 Beside that, the fixed phrases of ``PHRASES`` are counted wherever their words stand consecutively.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -29,8 +31,8 @@ from rubrica.llm.common import NO_WORD_RUN, ascii_lower, read, text_of
 from rubrica.session import once
 
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-#: Words posted per template, and votes for one relative position that make a candidate.
-KEYS, AGREE = 4, 2
+#: Licence words looked up per file beside those of its phrases, and votes for one relative position that make a candidate.
+LOOKUPS, AGREE = 16, 2
 
 #: Label, notice, mandatory key phrases; all lower case.
 TEMPLATES = [
@@ -91,22 +93,28 @@ def document_frequencies(docs: DataFrame, words: Sequence[str], text: str = "tex
     return dict.fromkeys(words, 0) | {r["word"]: r["count"] for r in counted}
 
 
-def build_index(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> list[tuple[str, list[tuple[str, int, float]]]]:
-    """Per template its keys: (word, position in the template, share of the keys' weight)."""
+@dataclass(frozen=True)
+class Index:
+    """The words of all templates from the rarest on, and per template all its (word, position,
+    share of the template's weight)."""
+
+    ranked: list[str]
+    templates: list[tuple[str, list[tuple[str, int, float]]]]
+
+
+def build_index(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> Index:
     vocabulary = sorted({w for _, notice, _ in templates for w in notice.split()})
     frequency = document_frequencies(docs, vocabulary, text)
     most = max([1, *frequency.values()])
-    index = []
+    posted = []
     for label, notice, _ in templates:
         words = notice.split()
-        keys = sorted(set(words), key=lambda w: (frequency[w], w))[:KEYS]
-        places = [(w, k) for k, w in enumerate(words) if w in keys]
-        weights = [math.log2(2 + most / max(1, frequency[w])) for w, _ in places]
-        index.append((label, [(w, k, x / sum(weights)) for (w, k), x in zip(places, weights)]))
-    return index
+        weights = [math.log2(2 + most / max(1, frequency[w])) for w in words]
+        posted.append((label, [(w, k, x / sum(weights)) for k, (w, x) in enumerate(zip(words, weights))]))
+    return Index(sorted(vocabulary, key=lambda w: (frequency[w], w)), posted)
 
 
-def scan(docs: DataFrame, index, keep: Sequence[str] = (), templates=TEMPLATES, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, index: Index, keep: Sequence[str] = (), templates=TEMPLATES, text: str = "text") -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels and score to ``keep``."""
     df = once(docs.select(*keep, text_of(text).alias("_text")), _norm=_words(F.col("_text")))
     df = once(
@@ -125,23 +133,25 @@ def scan(docs: DataFrame, index, keep: Sequence[str] = (), templates=TEMPLATES,
         firsts.append(F.when(has, _spaces(F.get(cut, F.lit(0)))))
         lasts.append(F.when(has, F.col("n_words") - after - F.lit(size)))
         names.append(F.when(has, F.lit(label)))
-    votes = F.flatten(F.filter(F.transform("_list", lambda w, i: _postings(w, i, index)), lambda x: x.isNotNull()))
+    held = [reduce(lambda a, b: a & b, [F.contains(F.col("_padded"), F.lit(f" {p} ")) for p in phrases]) for _, _, phrases in templates]
     df = once(
         df,
         n_base=reduce(lambda a, b: a + b, counts),
         first_word=F.least(*firsts),
         last_word=F.greatest(*lasts),
         _base=F.array_compact(F.array(*names)),
-        _votes=F.sort_array(votes),
+        _held=F.array_compact(F.array(*[F.when(has, F.lit(number)) for number, has in enumerate(held)])),
     )
-    df = once(df, _found=_candidates(F.col("_votes")))
+    votes = F.size("_held") > 0
+    df = once(df, _chosen=F.when(votes, _lookups(F.col("_list"), F.col("_held"), index, templates)))
+    df = once(df, _votes=F.when(votes, _votes(F.col("_list"), F.col("_chosen"), F.col("_held"), index)))
+    df = once(df, _found=F.when(votes, _candidates(F.col("_votes"))))
     labels, scores = [], []
-    for number, (label, _, phrases) in enumerate(templates):
-        held = [F.contains(F.col("_padded"), F.lit(f" {p} ")) for p in phrases]
+    for number, (label, places) in enumerate(index.templates):
         own = F.filter("_found", _of(number))
-        sure = (F.size(own) > 0) & reduce(lambda a, b: a & b, held)
+        sure = F.size(own) > 0
         labels.append(F.when(sure, F.lit(label)))
-        scores.append(F.when(sure, F.array_max(F.transform(own, lambda c: c["share"]))))
+        scores.append(F.when(sure, F.array_max(F.transform(own, _share(F.col("_list"), places)))))
     found = F.array_compact(F.array(*labels))
     based = F.when(F.size("_base") > 0, 1.0).otherwise(0.0)
     return df.select(
@@ -160,40 +170,54 @@ def _of(number: int):
     return lambda candidate: candidate["t"] == number
 
 
-def _postings(word: Column, place: Column, index) -> Column:
-    """Votes of one word of a file: (template, relative position, weight) per posting."""
-    by_word: dict[str, list[Column]] = {}
-    for number, (_, places) in enumerate(index):
-        for key, position, weight in places:
-            vote = F.struct(
-                F.lit(number).alias("t"), (place - F.lit(position)).alias("at"), F.lit(float(weight)).alias("share")
-            )
-            by_word.setdefault(key, []).append(vote)
-    chain = None
-    for key, posted in sorted(by_word.items()):
-        chain = F.when(word == key, F.array(*posted)) if chain is None else chain.when(word == key, F.array(*posted))
-    return F.when(word.isin(sorted(by_word)), chain)
+def _share(words: Column, places: Sequence[tuple[str, int, float]]):
+    """The share of a template's weight that a file holds in place, for a candidate."""
+
+    def share(candidate: Column) -> Column:
+        held = [F.when(F.get(words, candidate["at"] + k) == word, float(weight)).otherwise(0.0) for word, k, weight in places]
+        return reduce(lambda a, b: a + b, held)
+
+    return share
+
+
+def _lookups(words: Column, held: Column, index: Index, templates) -> Column:
+    """The words a file looks up: its rarest licence words and those of the phrases it holds."""
+    rarest = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in index.ranked]), words), 1, LOOKUPS)
+    own = [
+        F.when(F.array_contains(held, number), F.array(*[F.lit(w) for p in phrases for w in p.split()]))
+        for number, (_, _, phrases) in enumerate(templates)
+    ]
+    return F.array_union(rarest, F.flatten(F.array_compact(F.array(*own))))
+
+
+def _votes(words: Column, chosen: Column, held: Column, index: Index) -> Column:
+    """Votes (template, relative position) of the chosen words for the held templates, sorted."""
+    by_word: dict[str, list[tuple[int, int]]] = {}
+    for number, (_, places) in enumerate(index.templates):
+        for word, position, _ in places:
+            by_word.setdefault(word, []).append((number, position))
+
+    def postings(word: Column, place: Column) -> Column:
+        chain = None
+        for key, posted in sorted(by_word.items()):
+            own = F.array(*[F.struct(F.lit(t).alias("t"), (place - F.lit(k)).alias("at")) for t, k in posted])
+            chain = F.when(word == key, own) if chain is None else chain.when(word == key, own)
+        return F.when(F.array_contains(chosen, word), chain)
+
+    cast = F.flatten(F.array_compact(F.transform(words, postings)))
+    return F.sort_array(F.filter(cast, lambda v: F.array_contains(held, v["t"])))
 
 
 def _candidates(votes: Column) -> Column:
-    """(template, share of weight) for every relative position with enough votes. Votes come sorted
-    by template and position, so those that agree are neighbours."""
-    most = 2 * max(len(notice.split()) for _, notice, _ in TEMPLATES)
-
-    def agreeing(rows: Column) -> Column:
-        def at(row: Column, k: Column) -> Column:
-            first = (k == 0) | ~_same(F.get(rows, k - 1), row)
-            enough = _same(F.get(rows, k + F.lit(AGREE - 1)), row)
-            share = F.aggregate(
-                F.filter(F.slice(rows, k + 1, F.lit(most)), lambda r: _same(r, row)),
-                F.lit(0.0),
-                lambda acc, r: acc + r["share"],
-            )
-            return F.when(first & F.coalesce(enough, F.lit(False)), F.struct(row["t"].alias("t"), share.alias("share")))
-
-        return F.filter(F.transform(rows, at), lambda x: x.isNotNull())
-
-    return F.get(F.transform(F.array(votes), agreeing), F.lit(0))
+    """(template, relative position) with enough votes. Votes come sorted by template and position,
+    so those that agree are neighbours."""
+
+    def at(vote: Column, k: Column) -> Column:
+        first = (k == 0) | ~_same(F.get(votes, k - 1), vote)
+        enough = _same(F.get(votes, k + F.lit(AGREE - 1)), vote)
+        return F.when(first & F.coalesce(enough, F.lit(False)), vote)
+
+    return F.array_compact(F.transform(votes, at))
 
 
 def _same(a: Column, b: Column) -> Column:

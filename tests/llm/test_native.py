@@ -90,6 +90,37 @@ def test_licences(spark, awkward, nothing):
     assert licenses.scan(awkward, index, ["doc_id"]).count() == awkward.count()
 
 
+def test_every_file_with_all_key_phrases_has_the_licence(spark):
+    """Whatever else of the notice a file lacks, and wherever its rarer words stand."""
+    rng = random.Random(3)
+    words = sorted({w for _, notice, _ in licenses.TEMPLATES for w in notice.split()})
+    texts = ["Redistribution and use in source and binary forms"]
+    for _, notice, phrases in licenses.TEMPLATES:
+        assert all(p in notice for p in phrases)
+        for _ in range(4):
+            parts = [*phrases, *rng.sample(words, rng.randint(0, len(words)))]
+            rng.shuffle(parts)
+            texts.append("\n".join(parts))
+    for corpus in (texts[:1], texts):
+        docs = spark.createDataFrame(list(enumerate(corpus)), "doc_id bigint, text string")
+        for r in licenses.scan(docs, licenses.build_index(docs), ["doc_id"]).collect():
+            padded = f" {' '.join(ascii_lower(corpus[r.doc_id]).split())} "
+            want = {label for label, _, phrases in licenses.TEMPLATES if all(f" {p} " in padded for p in phrases)}
+            assert {label for label in r.labels.split(",")} - set(r.base_labels.split(",")) == want
+            assert 0 < r.score <= 1
+
+
+def test_licence_score_is_the_share_of_the_whole_notice(spark):
+    _, notice, (phrase,) = next(t for t in licenses.TEMPLATES if t[0] == "bsd")
+    docs = spark.createDataFrame([(1, f"x {notice} y"), (2, f"{notice.split()[-1]} {phrase}")], "doc_id bigint, text string")
+    index = licenses.build_index(docs)
+    got = {r.doc_id: r for r in licenses.scan(docs, index, ["doc_id"]).collect()}
+    places = dict(index.templates)["bsd"]
+    assert [w for w, _, _ in places] == notice.split()
+    assert got[1].score == 1
+    assert got[2].score == pytest.approx(sum(x for _, _, x in places[: len(phrase.split())]), abs=1e-6)
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
