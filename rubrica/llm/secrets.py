@@ -43,6 +43,20 @@ class Rule:
     base: bool = False
 
 
+#: A line break, as it is, spelled as in JSON, or both, with what quoting and comments put around it.
+_BREAK = r"""(?:[\x20\t"'`,;+)]*+(?:(?:(?:\\r)?\\n[\x20\t"'`,;+)]*+)?(?:\r\n?|\n)|(?:\\r)?\\n)[\x20\t>#*|"'`,;:+/()-]*+)"""
+#: Behind a line of base64: the end of the line, of the text, or of a string.
+_ENDS = r"""(?=[\x20\t]*+(?:\r|\n|\\r|\\n|\Z)|["'`<])"""
+#: A private key from BEGIN to END. Where END is missing or another block comes first: to the last of the lines that
+#: follow and are base64 or armour headers; behind an empty line, or on the line of BEGIN, words are told from base64 by length.
+_PRIVATE_KEY = (
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:"
+    r"[^-]*+(?:-(?!----BEGIN |----END )[^-]*+)*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:[\x20\t]*+[A-Za-z0-9+/]{20,}+={0,2})*+"
+    rf"(?:{_BREAK}++(?:(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):[^\r\n\\]*+|[A-Za-z0-9+/=]{{20,}}+{_ENDS})"
+    rf"|{_BREAK}[A-Za-z0-9+/=]++{_ENDS})*+)"
+)
+
 RULES = [
     Rule(
         "assign",
@@ -53,13 +67,13 @@ RULES = [
     ),
     Rule("access", r"AKIA[A-Z0-9]+", 18, 0, True),
     Rule("hex", r"[0-9a-f]{16,}", 16, 0, True),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", _PRIVATE_KEY),
     Rule("repo_token", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pay_key", r"sk_live_[A-Za-z0-9]{16,}"),
-    Rule("url_password", r"://[A-Za-z0-9._-]{1,64}:[^\x00-\x20/@:]{6,64}@[A-Za-z0-9]"),
+    Rule("url_password", r"://[A-Za-z0-9._-]*:[^\x00-\x20/@:]{6,}@[A-Za-z0-9]"),
 ]
 
 #: A query is None (any text), ("and" | "or", parts), or a trigram in bytes.

@@ -53,6 +53,44 @@ def test_every_match_satisfies_its_query():
     assert all(any(number >= 3 for _, number, _ in spans) for spans in found)
 
 
+KEY = ["MIIEowIBAAKCAQEAx" + "Zz0+/" * 9, "Qk" * 32, "+a/b" * 16, "c2hvcnQ="]
+
+
+@pytest.mark.parametrize("kind", ["", "RSA ", "ENCRYPTED ", "OPENSSH ", "PGP "])
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\\n", "\\r\\n", "\n> ", "\n    ", "\n# ", '\\n" +\n  "'])
+@pytest.mark.parametrize("headers", [[], ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00", ""]])
+@pytest.mark.parametrize("end", [True, False])
+def test_a_private_key_is_masked_whole(kind, line, headers, end):
+    name = f"{kind}PRIVATE KEY{' BLOCK' if kind == 'PGP ' else ''}"
+    key = line.join([f"-----BEGIN {name}-----", *headers, *KEY, *([f"-----END {name}-----"] if end else [])])
+    text = f'see "{key}"\nSome more words, and a -----BEGIN CERTIFICATE-----\nMIIC\n-----END CERTIFICATE-----'
+    (spans,) = secrets.Scanner().scan([text])
+    assert secrets._masked(text, spans, secrets.RULES) == text.replace(key, "[PRIVATE_KEY]")
+
+
+def test_private_keys_side_by_side_and_cut_short():
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    flat = f"{begin} {' '.join(KEY[:3])}"
+    texts = {
+        f"{begin}\n{KEY[0]}\n{end}\n{begin}\n{KEY[1]}\n{end}\nwords": "[PRIVATE_KEY]\n[PRIVATE_KEY]\nwords",
+        f"{begin}\n{KEY[0]}\n{begin}\n{KEY[1]}": "[PRIVATE_KEY]\n[PRIVATE_KEY]",
+        f"{begin}\n{KEY[0]}\n\nThanks\n": "[PRIVATE_KEY]\n\nThanks\n",
+        f"{flat} {end} x": "[PRIVATE_KEY] x",
+        flat: "[PRIVATE_KEY]",
+        f"a {begin} line starts a key": "a [PRIVATE_KEY] line starts a key",
+        begin + "\n" + f"{KEY[1]}\n" * 50000 + end: "[PRIVATE_KEY]",
+    }
+    for text, spans in zip(texts, secrets.Scanner().scan(list(texts))):
+        assert secrets._masked(text, spans, secrets.RULES) == texts[text]
+
+
+@pytest.mark.parametrize("login", [":longenough", "user:" + "p" * 200, "u" * 100 + ":password"])
+def test_url_passwords_of_any_length(login):
+    text = f"redis://{login}@host/0"
+    (spans,) = secrets.Scanner().scan([text])
+    assert [(text[a:b], secrets.RULES[k].kind) for a, k, b in spans] == [(f"://{login}@h", "url_password")]
+
+
 def test_secrets_on_awkward_rows(spark, awkward, nothing, tables):
     rows = secrets.op10_secret_scan(spark, tables(documents=awkward)).collect()
     texts = {r.doc_id: r.text or "" for r in awkward.collect()}
