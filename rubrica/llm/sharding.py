@@ -23,12 +23,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rubrica.llm.common import read
+from rubrica.session import fresh_path
 
 SHARDS = 8
 #: Virtual slots. Fixed for the life of a data set: records keep their slot.
 SLOTS = 8192
 #: A shard may hold this much more than its share before slots move.
 TOLERANCE = 0.01
+FIRST_VERSION = 1
 MAP_SCHEMA = "version int, slot int, shard int, bytes bigint"
 
 
@@ -152,9 +154,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     content = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sums, rows = slot_totals(docs, size_of(F.col("text")))
+    folder = fresh_path(spark, "shard_map")
+    store_map(spark, first_map(sums), sums, folder, FIRST_VERSION)
+    version, placed, _ = load_map(spark, folder, FIRST_VERSION)
     # the text itself takes no part in the shuffle by slot
     slim = docs.select("doc_id", size_of(F.col("text")).alias("size"), F.crc32(content).alias("text_crc32"))
-    return assign(slim, first_map(sums), rows, "doc_id", "text_crc32").select(
+    return assign(slim, placed, rows, "doc_id", "text_crc32").select(
         "doc_id",
         "size",
         "text_crc32",
@@ -163,4 +168,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_place").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("_slot").alias("virtual_slot"),
+        F.lit(version).cast("int").alias("map_version"),
     )

@@ -53,3 +53,13 @@ def test_rows_and_versions(spark, awkward, nothing, tables, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == awkward.count() and set(awkward.columns) < set(back.columns)
     assert sharding.slot_totals(nothing, sharding.size_of(nothing.text))[0] == [0] * sharding.SLOTS
+
+
+def test_the_query_assigns_from_the_stored_map(spark, awkward, tables, tmp_path, monkeypatch):
+    folder = f"{tmp_path}/map"
+    monkeypatch.setattr(sharding, "fresh_path", lambda session, label: folder, raising=False)
+    rows = sharding.op8_sharding(spark, tables(documents=awkward)).collect()
+    version, placed, sums = sharding.load_map(spark, folder)
+    assert version == 1 and len(placed) == sharding.SLOTS and sum(sums) == sum(r["size"] for r in rows)
+    assert all((r.map_version, r.shard) == (version, placed[r.virtual_slot]) for r in rows)
+    assert sharding.rebalance(spark, awkward, folder, 3) == 2
