@@ -139,10 +139,6 @@ def shape_of(token: str, cue: int) -> tuple[int, ...]:
     )
 
 
-#: Most characters of a token that its shape looks at; longer runs are no single token of text.
-LONGEST_TOKEN = 256
-
-
 def nodes_of(text: str, base: Sequence[Span]) -> list[Node]:
     """The nodes of a document in order."""
     names = {text[s:e].partition("@")[0].lower() for s, kind, e in base if kind == 0}
@@ -153,7 +149,7 @@ def nodes_of(text: str, base: Sequence[Span]) -> list[Node]:
         raw = m[0]
         active = _ACTIVE.search(raw) is not None
         if active or names:
-            token = raw.strip(_EDGE.replace("(", "")) if len(raw) <= LONGEST_TOKEN else raw[:LONGEST_TOKEN]
+            token = raw.strip(_EDGE.replace("(", ""))
             low = token.lower()
             if active or low in names:
                 while at < len(base) and base[at][2] <= m.start():

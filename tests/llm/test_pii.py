@@ -85,3 +85,14 @@ def test_awkward_rows(spark, awkward, nothing, tables):
     assert masked.columns == awkward.columns
     assert "[EMAIL]" in masked.where("doc_id = 5").first().text
     assert pii.find_personal_data(nothing, pii.train(nothing), ["doc_id"]).count() == 0
+
+
+def test_long_tokens_are_read_whole():
+    start = "col,1," * 60
+    texts = [f"{start}a", f"{start}b", f"{start}5551234567", f"{start}c@d.org", f"{start}a"]
+    nodes = pii.nodes_of(" ".join(texts), [])
+    keys = [n.key for n in nodes]
+    assert len(set(keys)) == 4 and keys[0] == keys[4]
+    assert pii.skip_edges(nodes) == [(0, 4)]
+    assert nodes[3].shape != nodes[0].shape
+    assert pii.nodes_of("x" * 300 + "7", [])[0].shape == pii.shape_of("x" * 300 + "7", 0)
