@@ -201,13 +201,17 @@ class Trie:
         return places[first], np.maximum.reduceat(tfs[order], first)
 
     def branches(self, lo: int, hi: int) -> list[tuple[int, int]]:
-        """The branches below the common prefix of a run."""
+        """The branches below the common prefix of a run; those that end with the prefix make one, cut in halves."""
         shared = self.shared[lo + 1 : hi]
-        cuts = [lo, *(np.flatnonzero(shared == shared.min()) + lo + 1).tolist(), hi]
+        depth = int(shared.min())
+        ended = lo + int(np.count_nonzero(self.starts[lo + 1 : hi + 1] - self.starts[lo:hi] == depth))
+        if ended == hi:
+            return [(lo, (lo + hi) // 2), ((lo + hi) // 2, hi)]
+        cuts = [lo, *(at for at in (np.flatnonzero(shared == depth) + lo + 1).tolist() if at >= ended), hi]
         return list(zip(cuts[:-1], cuts[1:]))
 
     def search(self, items: Items, best: Best) -> None:
-        """Depth first; ``bounded`` is the size of the last branch above that was bounded."""
+        """Depth first, rare terms first; ``bounded`` is the size of the last branch above that was bounded."""
         stack = [(0, len(self.ids), np.ones(items.size, bool), 2 * len(self.ids))]
         while stack:
             lo, hi, active, bounded = stack.pop()
@@ -223,7 +227,7 @@ class Trie:
                 bounded = hi - lo
                 if not active.any():
                     continue
-            stack += [(a, b, active, bounded) for a, b in reversed(self.branches(lo, hi))]
+            stack += [(a, b, active, bounded) for a, b in self.branches(lo, hi)]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], items: Items, most: int) -> Iterator[list[tuple]]:
