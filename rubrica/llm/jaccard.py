@@ -198,18 +198,21 @@ def _counted(docs: DataFrame, choose: Callable[[np.ndarray], np.ndarray]) -> Dat
 def common_shingles(docs: DataFrame, least: int = COMMON, most: int = MOST_COMMON) -> np.ndarray:
     """Sorted hashes that occur more than ``least`` times; ``least`` doubles while they are more than ``most``."""
     spark = docs.sparkSession
-    found = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def collect(counted: DataFrame) -> np.ndarray:
+    def collect(counted: DataFrame, before: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, times) of what was collected before and of ``counted``, under one mark for both."""
         nonlocal least
         often = written(counted.where(F.col("times") > least), "common")
-        while often.where(F.col("times") > least).count() > most:
+        while np.count_nonzero(before[1] > least) + often.where(F.col("times") > least).count() > most:
             least *= 2
-        rows = often.where(F.col("times") > least).select("h").toArrow().column("h").to_numpy()
-        return np.sort(rows.astype(np.int64).view(np.uint64))
+        rows = often.where(F.col("times") > least).select("h", "times").toArrow()
+        h, times = (rows.column(c).to_numpy().astype(np.int64) for c in ("h", "times"))
+        kept = before[1] > least
+        return np.concatenate([before[0][kept], h.view(np.uint64)]), np.concatenate([before[1][kept], times])
 
-    found = collect(_counted(docs, lambda own: own[own < LOW]))
-    shared = spark.sparkContext.broadcast(found)
+    found = collect(_counted(docs, lambda own: own[own < LOW]), none)
+    shared = spark.sparkContext.broadcast(np.sort(found[0]))
 
     def beyond(own: np.ndarray) -> np.ndarray:
         low = own[own < LOW]
@@ -217,8 +220,7 @@ def common_shingles(docs: DataFrame, least: int = COMMON, most: int = MOST_COMMO
         enough = rare >= len(own) - least_overlap(len(own)) + 1
         return own[:0] if enough else own[own >= LOW]
 
-    more = collect(_counted(docs, beyond))
-    return np.sort(np.concatenate([found, more]))
+    return np.sort(collect(_counted(docs, beyond), found)[0])
 
 
 def block_of(n: Column) -> Column:

@@ -82,6 +82,20 @@ def test_marks_double_until_few_shingles_are_common(spark):
     assert len(jaccard.common_shingles(docs, least=1)) == 5
 
 
+def test_both_collections_keep_one_mark(spark, monkeypatch):
+    """Whatever the hashes, no more than ``most`` are held in all, and those are the most frequent."""
+    rows = [(k, " ".join(f"w{j}" for j in range(4 + k % 7))) for k in range(70)]
+    docs = spark.createDataFrame(rows, "_doc bigint, _text string").repartition(70)
+    times = Counter(int(h) for _, text in rows for h in jaccard.shingles(text))
+    for low in (0, 1 << 61, 1 << 62, 1 << 63, (1 << 64) - 1):
+        monkeypatch.setattr(jaccard, "LOW", low)
+        mark = 1
+        while sum(n > mark for n in times.values()) > 4:
+            mark *= 2
+        got = jaccard.common_shingles(docs, least=1, most=4)
+        assert set(got.tolist()) <= {h for h, n in times.items() if n > mark} and len(got) <= 4
+
+
 def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(5)
     for _ in range(300):
