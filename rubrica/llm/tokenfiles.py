@@ -1,7 +1,8 @@
 """Token ids in binary files: frequency-ranked ids, variable-length bytes, control bytes apart.
 
-Ids are counted over the whole table and replaced by their rank, so the 256 most frequent take one
-byte and nearly all others two. Four ranks share a control byte, two bits each for the number of
+Every text is encoded once, into ids in variable-length bytes that are written to the shared folder;
+ids are counted over that table and replaced by their rank, so the 256 most frequent take one
+byte and nearly all others two. Texts are not shuffled, their ids are. Four ranks share a control byte, two bits each for the number of
 bytes less one; control bytes and data bytes stand in blocks of their own. A reader looks the control
 bytes up in a table of 256 rows, sums the lengths, and gathers all ranks at once with numpy.
 
@@ -29,7 +30,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rubrica.llm.common import read, written
+from rubrica.llm.common import read, text_of, written
 from rubrica.llm.tokens import default_vocabulary, encoder
 from rubrica.session import fresh_path
 
@@ -89,52 +90,66 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [d if k else None for d, k in zip(ids, known)], lengths, decode(control, data, total)
 
 
-def ranked_ids(docs: DataFrame, text: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> np.ndarray:
-    """Ids by falling frequency over all texts, ties and unused ids by id. Each task counts into an
-    array of the vocabulary's size; only sums per id leave it."""
+def encoded(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """(doc, tie, n, control, data) of every document: its ids, the end id included, as bytes; ``tie`` orders equal ids.
+
+    The rows are written to the shared folder and read back, as counting and writing both need them.
+    """
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        counts = np.zeros(max(words.tokenizer.get_vocab_size(), end_id + 1), np.int64)
         for batch in batches:
-            words.count_all((v.as_py() for v in batch.column("_text")), counts)
-            counts[end_id] += batch.num_rows
+            n, control, data = [], [], []
+            for ids in words.encode_all(v.as_py() for v in batch.column("_text")):
+                own = encode(np.append(ids, np.uint32(end_id)))
+                n.append(len(ids) + 1)
+                control.append(own[0])
+                data.append(own[1])
+            columns = [batch.column("doc"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tie", "n", "control", "data"])
+
+    own = text_of(text)
+    source = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.crc32(own).alias("tie"), own.alias("_text"))
+    return written(source.mapInArrow(run, "doc bigint, tie bigint, n bigint, control binary, data binary"), "ids")
+
+
+def _ids_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for n, control, data in zip(batch.column("n").to_pylist(), batch.column("control"), batch.column("data")):
+        yield decode(control.as_py(), data.as_py(), n)
+
+
+def ranked_ids(rows: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> np.ndarray:
+    """Ids by falling frequency over all rows of ``encoded``, ties and unused ids by id. Each task counts into
+    an array of the vocabulary's size; only sums per id leave it."""
+    size = max(encoder(vocabulary or default_vocabulary()).tokenizer.get_vocab_size(), end_id + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
+        for batch in batches:
+            for ids in _ids_of(batch):
+                np.add.at(counts, ids, 1)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
-    counted = docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "id bigint, n bigint")
-    found = {r["id"]: r["n"] for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    size = max(encoder(path).tokenizer.get_vocab_size(), end_id + 1)
+    counted = rows.select("n", "control", "data").mapInArrow(run, "id bigint, n bigint")
     counts = np.zeros(size, np.int64)
-    for k, n in found.items():
-        counts[k] = n
+    for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[r["id"]] = r["n"]
     return np.lexsort((np.arange(size), -counts)).astype(np.uint32)
 
 
-def write_files(
-    docs: DataFrame,
-    folder: str,
-    by_rank: np.ndarray,
-    id_column: str = "doc_id",
-    text: str = "text",
-    vocabulary: str | None = None,
-    end_id: int = END_ID,
-    file_ids: int = FILE_IDS,
-) -> DataFrame:
-    """Write every document's ids to ``folder`` and return the manifest, in order of the files:
+def write_files(rows: DataFrame, folder: str, by_rank: np.ndarray, file_ids: int = FILE_IDS) -> DataFrame:
+    """Write the ids of every row of ``encoded`` to ``folder`` and return the manifest, in order of the files:
     part, file, path, n_docs, n_ids, start (ids before the file)."""
-    path = vocabulary or default_vocabulary()
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     rank = np.empty(len(by_rank), np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)
-    source = docs.select(F.col(id_column).cast("bigint").alias("_doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    source = source.withColumn("_tie", F.crc32("_text"))
-    ranged = source.repartitionByRange("_doc", "_tie").sortWithinPartitions("_doc", "_tie").select("_doc", "_text")
+    ranged = rows.repartitionByRange("doc", "tie").sortWithinPartitions("doc", "tie").select("doc", "n", "control", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ranks = encoder(path), shared.value
+        ranks = shared.value
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
@@ -152,12 +167,11 @@ def write_files(
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "file", "path", "n_docs", "n_ids"])
 
         for batch in batches:
-            texts = (v.as_py() for v in batch.column("_text"))
-            for doc, ids in zip(batch.column("_doc").to_pylist(), words.encode_all(texts)):
+            for doc, ids in zip(batch.column("doc").to_pylist(), _ids_of(batch)):
                 own[0].append(doc)
-                own[1].append(len(ids) + 1)
-                own[2].append(ranks[np.append(ids, np.uint32(end_id))])
-                held += len(ids) + 1
+                own[1].append(len(ids))
+                own[2].append(ranks[ids])
+                held += len(ids)
                 if held >= file_ids:
                     yield close()
         if held:
@@ -166,8 +180,13 @@ def write_files(
     found = ranged.mapInArrow(run, "part int, file int, path string, n_docs bigint, n_ids bigint")
     # written once: a second run of the tasks would write a second set of files
     files = written(found, "manifest")
-    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # a part's files are numbered by its own task; only one sum per part is added up in order
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("_own"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.withColumn("_within", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part")
+    return placed.select(*files.columns, (F.col("_start") + F.col("_within")).alias("start"))
 
 
 def read_files(manifest: DataFrame, folder: str, by_rank: np.ndarray, id_column: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -205,5 +224,6 @@ def read_files(manifest: DataFrame, folder: str, by_rank: np.ndarray, id_column:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     folder = fresh_path(spark, "tokens")
-    by_rank = ranked_ids(docs)
-    return read_files(write_files(docs, folder, by_rank), folder, by_rank, with_ids=False)
+    rows = encoded(docs)
+    by_rank = ranked_ids(rows)
+    return read_files(write_files(rows, folder, by_rank), folder, by_rank, with_ids=False)

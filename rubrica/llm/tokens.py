@@ -24,16 +24,19 @@ AT_ONCE = 4096
 #: Characters encoded at a time; a longer text is cut at white space.
 PIECE = 1 << 20
 #: Sentence marks that end a word, behind a letter.
-_MARKS = re.compile(rb"(?<=[A-Za-z])([.,;:!?]+)\Z")
+MARKS = b".,;:!?"
+#: Words of small letters of which each is one character in every normal form that composes.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class WordEncoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         # a task has one core: the tokenizer's own threads would only contend for it
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cache_words = cache_words
         self._empty()
 
@@ -52,42 +55,65 @@ class WordEncoder:
         kept[np.argsort(uses, kind="stable")[len(uses) - self.cache_words // 2 :]] = True
         words = [w for w, k in self.known.items() if kept[k]]
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        start, size, ids = self.start[at], self.size[at], self.ids
+        size, flat = self.size[at], self._flat(at)
         self._empty()
-        for low in range(0, len(words), 1 << 16):
-            some = range(low, min(low + (1 << 16), len(words)))
-            self._append([words[k] for k in some], [ids[start[k] : start[k] + size[k]].tolist() for k in some])
+        self._append(words, flat, size)
 
     def _learn(self, words: list[bytes]) -> None:
         """Add unseen words to the cache. Marks behind a letter are apart to the vocabulary, so a word
         with them takes the ids of its two parts."""
-        parted = [(w, m.start(1)) for w in words if (m := _MARKS.search(w))]
-        parts = dict.fromkeys(p for w, k in parted for p in (w[:k], w[k:]))
-        skip = {w for w, _ in parted}
-        plain = [w for w in dict.fromkeys([*(w for w in words if w not in skip), *parts]) if w not in self.known]
-        for k in range(0, len(plain), AT_ONCE):
-            some = plain[k : k + AT_ONCE]
+        parted, stems, marks, plain = [], [], [], []
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and stem[-1:].isalpha():
+                parted.append(w)
+                stems.append(stem)
+                marks.append(w[len(stem) :])
+            else:
+                plain.append(w)
+        unseen = [w for w in dict.fromkeys(chain(plain, stems, marks)) if w not in self.known]
+        rest: list[bytes] = []
+        letters: list[tuple[bytes, str]] = []
+        for w in unseen:
+            if w.isalpha() and w.islower():
+                letters.append((w, w.decode()))
+            elif _LETTERS.fullmatch(text := w.decode("utf-8", "surrogatepass")):
+                letters.append((w, self.as_bytes.pre_tokenize_str(text)[0][0]))
+            else:
+                rest.append(w)
+        self._learn_letters(letters)
+        for k in range(0, len(rest), AT_ONCE):
+            some = rest[k : k + AT_ONCE]
             text = [w.decode("utf-8", "surrogatepass") for w in some]
-            self._append(some, [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)])
-        joined = []
-        for w, k in parted:
-            a, b = self.known[w[:k]], self.known[w[k:]]
-            joined.append([*self._ids_of(a), *self._ids_of(b)])
-        self._append([w for w, _ in parted], joined)
-
-    def _ids_of(self, at: int) -> list[int]:
-        start = self.start[at]
-        return self.ids[start : start + self.size[at]].tolist()
-
-    def _append(self, words: list[bytes], ids: list[list[int]]) -> None:
-        flat = np.array([i for own in ids for i in own], dtype=np.uint32)
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+            self._append(some, np.array([i for own in ids for i in own], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        if parted:
+            place = self.known.__getitem__
+            both = np.fromiter(chain(map(place, stems), map(place, marks)), np.int64, 2 * len(parted)).reshape(2, -1)
+            self._append(parted, self._flat(both.T.ravel()), self.size[both[0]] + self.size[both[1]])
+
+    def _learn_letters(self, words: list[tuple[bytes, str]]) -> None:
+        """Words with nothing to normalise or to cut: the vocabulary's merges alone, over their bytes, give their ids."""
+        merge = self.tokenizer.model.tokenize
+        for k in range(0, len(words), AT_ONCE):
+            some = words[k : k + AT_ONCE]
+            ids = [[token.id for token in merge(text)] for _, text in some]
+            self._append([w for w, _ in some], np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _flat(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the words at these places, one after the other."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)]
+
+    def _append(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
         first, count = len(self.known), len(words)
         while first + count > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=count)
         self.size[first : first + count] = sizes
         self.start[first : first + count] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(flat)] = flat
@@ -115,10 +141,7 @@ class WordEncoder:
     def encode_many(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of short texts, together."""
         at, counts = self.places(texts)
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)]
+        flat, ends = self._flat(at), np.cumsum(self.size[at])
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
         return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
@@ -126,11 +149,7 @@ class WordEncoder:
         """Add the texts' ids to ``counts`` without listing them."""
         at, _ = self.places(texts)
         words, times = np.unique(at, return_counts=True)
-        sizes = self.size[words]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(self.start[words] - (ends - sizes), sizes) + np.arange(total)]
-        counts += np.bincount(flat, np.repeat(times, sizes), minlength=len(counts)).astype(np.int64)
+        counts += np.bincount(self._flat(words), np.repeat(times, self.size[words]), minlength=len(counts)).astype(np.int64)
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text in turn, about ``PIECE`` characters at a time."""

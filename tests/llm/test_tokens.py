@@ -30,6 +30,15 @@ def test_cached_words_equal_the_tokenizer(tokenizer):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_of_letters_equal_the_tokenizer(tokenizer):
+    rng = random.Random(9)
+    letters = "etaoinshrdlu" * 3 + "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100))) + "ÀÉİſΣ'"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 14))) + rng.choice(["", "", ".", "?!"]) for _ in range(200)) for _ in range(20)]
+    words = tokens.WordEncoder(tokens.default_vocabulary())
+    for text, ids in zip(texts, words.encode_all(texts)):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_counts_equal_the_ids(tokenizer):
     words = tokens.WordEncoder(tokens.default_vocabulary())
     texts = random_texts(2, 500)
@@ -116,8 +125,9 @@ def test_bytes_round_trip():
 
 
 def test_token_files(spark, awkward, nothing, tokenizer, tmp_path):
-    by_rank = tokenfiles.ranked_ids(awkward)
-    manifest = tokenfiles.write_files(awkward, f"file://{tmp_path}/t", by_rank, file_ids=50)
+    encoded = tokenfiles.encoded(awkward)
+    by_rank = tokenfiles.ranked_ids(encoded)
+    manifest = tokenfiles.write_files(encoded, f"file://{tmp_path}/t", by_rank, file_ids=50)
     rows = tokenfiles.read_files(manifest, f"file://{tmp_path}/t", by_rank).orderBy("start").collect()
     docs = sorted(((r.doc_id, r.text or "") for r in awkward.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     assert manifest.count() >= 3 and [r.doc_id for r in rows] == [d for d, _ in docs]
@@ -129,5 +139,6 @@ def test_token_files(spark, awkward, nothing, tokenizer, tmp_path):
         at += len(ids)
     frequent = np.bincount([i for _, t in docs for i in tokenizer.encode(t, add_special_tokens=False).ids])
     assert by_rank[0] == frequent.argmax()
-    none = tokenfiles.write_files(nothing, f"file://{tmp_path}/n", tokenfiles.ranked_ids(nothing))
+    empty = tokenfiles.encoded(nothing)
+    none = tokenfiles.write_files(empty, f"file://{tmp_path}/n", tokenfiles.ranked_ids(empty))
     assert tokenfiles.read_files(none, f"file://{tmp_path}/n", by_rank).count() == 0
