@@ -1,7 +1,6 @@
 """Token ids in binary files: frequency-ranked ids, variable-length bytes, control bytes apart.
 
-Every text is encoded once, into ids in variable-length bytes that are written to the shared folder;
-ids are counted over that table and replaced by their rank, so the 256 most frequent take one
+Every text is encoded once, into compressed ids that are written to the shared folder; ids are counted over that table and replaced by their rank, so the 256 most frequent take one
 byte and nearly all others two. Texts are not shuffled, their ids are. Four ranks share a control byte, two bits each for the number of
 bytes less one; control bytes and data bytes stand in blocks of their own. A reader looks the control
 bytes up in a table of 256 rows, sums the lengths, and gathers all ranks at once with numpy.
@@ -26,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -59,9 +59,11 @@ def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
     sizes = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count].astype(np.int64)
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     at = np.cumsum(sizes) - sizes
-    values = np.zeros(count, np.uint32)
-    for place in range(4):
+    values = raw[at].astype(np.uint32)
+    for place in range(1, 4):
         own = np.flatnonzero(sizes > place)
+        if not len(own):
+            break
         values[own] |= raw[at[own] + place].astype(np.uint32) << np.uint32(8 * place)
     return values
 
@@ -90,49 +92,50 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [d if k else None for d, k in zip(ids, known)], lengths, decode(control, data, total)
 
 
+def _width(vocabulary: str | None, end_id: int) -> tuple[int, str]:
+    """Number of ids, and the integers that hold them."""
+    size = max(encoder(vocabulary or default_vocabulary()).tokenizer.get_vocab_size(), end_id + 1)
+    return size, "<u2" if size <= 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc, tie, n, control, data) of every document: its ids, the end id included, as bytes; ``tie`` orders equal ids.
+    """(doc, tie, ids) of every document: its ids, the end id included, compressed; ``tie`` orders equal documents.
 
     The rows are written to the shared folder and read back, as counting and writing both need them.
     """
-    path = vocabulary or default_vocabulary()
+    path, (_, kind) = vocabulary or default_vocabulary(), _width(vocabulary, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
+        words, pack = encoder(path), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            n, control, data = [], [], []
-            for ids in words.encode_all(v.as_py() for v in batch.column("_text")):
-                own = encode(np.append(ids, np.uint32(end_id)))
-                n.append(len(ids) + 1)
-                control.append(own[0])
-                data.append(own[1])
-            columns = [batch.column("doc"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tie", "n", "control", "data"])
+            found = words.encode_all(v.as_py() for v in batch.column("_text"))
+            ids = [pack(np.append(own, np.uint32(end_id)).astype(kind).tobytes()) for own in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tie"), pa.array(ids, pa.binary())], names=["doc", "tie", "ids"])
 
     own = text_of(text)
     source = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.crc32(own).alias("tie"), own.alias("_text"))
-    return written(source.mapInArrow(run, "doc bigint, tie bigint, n bigint, control binary, data binary"), "ids")
+    return written(source.mapInArrow(run, "doc bigint, tie bigint, ids binary"), "ids")
 
 
-def _ids_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for n, control, data in zip(batch.column("n").to_pylist(), batch.column("control"), batch.column("data")):
-        yield decode(control.as_py(), data.as_py(), n)
+def _ids_of(batch: pa.RecordBatch, kind: str) -> Iterator[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for ids in batch.column("ids"):
+        yield np.frombuffer(unpack(ids.as_py()), kind)
 
 
 def ranked_ids(rows: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> np.ndarray:
     """Ids by falling frequency over all rows of ``encoded``, ties and unused ids by id. Each task counts into
     an array of the vocabulary's size; only sums per id leave it."""
-    size = max(encoder(vocabulary or default_vocabulary()).tokenizer.get_vocab_size(), end_id + 1)
+    size, kind = _width(vocabulary, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in _ids_of(batch):
-                np.add.at(counts, ids, 1)
+            counts += np.bincount(np.concatenate(list(_ids_of(batch, kind))), minlength=size) if batch.num_rows else 0
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
-    counted = rows.select("n", "control", "data").mapInArrow(run, "id bigint, n bigint")
+    counted = rows.select("ids").mapInArrow(run, "id bigint, n bigint")
     counts = np.zeros(size, np.int64)
     for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
@@ -143,10 +146,11 @@ def write_files(rows: DataFrame, folder: str, by_rank: np.ndarray, file_ids: int
     """Write the ids of every row of ``encoded`` to ``folder`` and return the manifest, in order of the files:
     part, file, path, n_docs, n_ids, start (ids before the file)."""
     spark = rows.sparkSession
+    kind = "<u2" if len(by_rank) <= 1 << 16 else "<u4"
     rank = np.empty(len(by_rank), np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)
-    ranged = rows.repartitionByRange("doc", "tie").sortWithinPartitions("doc", "tie").select("doc", "n", "control", "data")
+    ranged = rows.repartitionByRange("doc", "tie").sortWithinPartitions("doc", "tie").select("doc", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
@@ -167,7 +171,7 @@ def write_files(rows: DataFrame, folder: str, by_rank: np.ndarray, file_ids: int
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "file", "path", "n_docs", "n_ids"])
 
         for batch in batches:
-            for doc, ids in zip(batch.column("doc").to_pylist(), _ids_of(batch)):
+            for doc, ids in zip(batch.column("doc").to_pylist(), _ids_of(batch, kind)):
                 own[0].append(doc)
                 own[1].append(len(ids))
                 own[2].append(ranks[ids])

@@ -12,10 +12,11 @@ import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, repeat
+from string import ascii_letters
 
 import numpy as np
 
-from rubrica.llm.common import blocks, cut_text
+from rubrica.llm.common import BLANKS, blocks, cut_text
 
 #: Words the cache holds before the less used half goes.
 CACHE_WORDS = 800_000
@@ -27,6 +28,17 @@ PIECE = 1 << 20
 MARKS = b".,;:!?"
 #: Words of small letters of which each is one character in every normal form that composes.
 _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Stands behind every text among the words: bytes that no text has in UTF-8.
+_TEXT_END = b"\n\xff\n"
+_IS_MARK, _IS_LETTER, _IS_BLANK = (np.isin(np.arange(256), list(own)) for own in (MARKS, ascii_letters.encode(), BLANKS.encode()))
+
+
+def _marks_apart(raw: bytes) -> bytes:
+    """A blank before every single mark between a letter and a blank, so that the word and the mark are looked up apart."""
+    data = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(_IS_MARK[data[1:-1]]) + 1
+    at = at[_IS_LETTER[data[at - 1]] & _IS_BLANK[data[at + 1]]]
+    return np.insert(data, at, 32).tobytes() if len(at) else raw
 
 
 class WordEncoder:
@@ -44,15 +56,17 @@ class WordEncoder:
         self.known: dict[bytes, int] = {}
         self.start = np.zeros(1 << 16, dtype=np.int64)
         self.size = np.zeros(1 << 16, dtype=np.int64)
+        self.uses = np.zeros(1 << 16, dtype=np.int64)
         self.ids = np.zeros(1 << 18, dtype=np.uint32)
         self.used = 0
-        self.uses = np.zeros(0, np.int64)
+        self._append(_TEXT_END.split(), np.zeros(0, np.uint32), np.zeros(1, np.int64))  # place 0, no ids
 
     def _halve(self) -> None:
         """Keep the words used most since the last time."""
-        uses = np.concatenate([self.uses, np.zeros(len(self.known) - len(self.uses), np.int64)])
+        uses = self.uses[: len(self.known)]
         kept = np.zeros(len(uses), bool)
         kept[np.argsort(uses, kind="stable")[len(uses) - self.cache_words // 2 :]] = True
+        kept[0] = False  # the text end is there from the start
         words = [w for w, k in self.known.items() if kept[k]]
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         size, flat = self.size[at], self._flat(at)
@@ -60,10 +74,12 @@ class WordEncoder:
         self._append(words, flat, size)
 
     def _learn(self, words: list[bytes]) -> None:
-        """Add unseen words to the cache. Marks behind a letter are apart to the vocabulary, so a word
-        with them takes the ids of its two parts."""
+        """Add unseen words to the cache, each given once. Marks behind a letter are apart to the vocabulary, so
+        a word with them takes the ids of its two parts."""
+        small = [w for w in words if w.isalpha() and w.islower()]
+        self._learn_letters(small, b" ".join(small).decode().split())
         parted, stems, marks, plain = [], [], [], []
-        for w in words:
+        for w in words if len(small) < len(words) else []:
             stem = w.rstrip(MARKS)
             if len(stem) < len(w) and stem[-1:].isalpha():
                 parted.append(w)
@@ -71,17 +87,17 @@ class WordEncoder:
                 marks.append(w[len(stem) :])
             else:
                 plain.append(w)
-        unseen = [w for w in dict.fromkeys(chain(plain, stems, marks)) if w not in self.known]
         rest: list[bytes] = []
-        letters: list[tuple[bytes, str]] = []
-        for w in unseen:
-            if w.isalpha() and w.islower():
-                letters.append((w, w.decode()))
-            elif _LETTERS.fullmatch(text := w.decode("utf-8", "surrogatepass")):
-                letters.append((w, self.as_bytes.pre_tokenize_str(text)[0][0]))
+        letters, texts = [], []
+        for w in dict.fromkeys(chain(plain, stems, marks)):
+            if w in self.known:
+                continue
+            if _LETTERS.fullmatch(text := w.decode("utf-8", "surrogatepass")):
+                letters.append(w)
+                texts.append(self.as_bytes.pre_tokenize_str(text)[0][0])
             else:
                 rest.append(w)
-        self._learn_letters(letters)
+        self._learn_letters(letters, texts)
         for k in range(0, len(rest), AT_ONCE):
             some = rest[k : k + AT_ONCE]
             text = [w.decode("utf-8", "surrogatepass") for w in some]
@@ -92,13 +108,13 @@ class WordEncoder:
             both = np.fromiter(chain(map(place, stems), map(place, marks)), np.int64, 2 * len(parted)).reshape(2, -1)
             self._append(parted, self._flat(both.T.ravel()), self.size[both[0]] + self.size[both[1]])
 
-    def _learn_letters(self, words: list[tuple[bytes, str]]) -> None:
+    def _learn_letters(self, words: list[bytes], texts: list[str]) -> None:
         """Words with nothing to normalise or to cut: the vocabulary's merges alone, over their bytes, give their ids."""
         merge = self.tokenizer.model.tokenize
         for k in range(0, len(words), AT_ONCE):
-            some = words[k : k + AT_ONCE]
-            ids = [[token.id for token in merge(text)] for _, text in some]
-            self._append([w for w, _ in some], np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+            ids = [[token.id for token in merge(text)] for text in texts[k : k + AT_ONCE]]
+            flat, sizes = chain.from_iterable(ids), map(len, ids)
+            self._append(words[k : k + AT_ONCE], np.fromiter(flat, np.uint32), np.fromiter(sizes, np.int64, len(ids)))
 
     def _flat(self, at: np.ndarray) -> np.ndarray:
         """The ids of the words at these places, one after the other."""
@@ -112,6 +128,7 @@ class WordEncoder:
         while first + count > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.size[first : first + count] = sizes
@@ -120,13 +137,10 @@ class WordEncoder:
         self.used += len(flat)
         self.known.update(zip(words, range(first, first + count)))
 
-    def places(self, texts: Sequence[str]) -> tuple[np.ndarray, list[int]]:
-        """Cache places of the words of all texts, and the number of words per text."""
-        split = []
-        for text in texts:
-            raw = text.encode("utf-8", "surrogatepass")
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        words = list(chain.from_iterable(split))
+    def places(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cache places of the words of all texts, a text end behind each, and where the text ends stand."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        words = _marks_apart(b"".join([(r if b"<|" in r else r.lower()) + _TEXT_END for r in raw])).split()
         if len(self.known) > self.cache_words:
             self._halve()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
@@ -134,15 +148,14 @@ class WordEncoder:
         if missing:
             self._learn(list(dict.fromkeys(words[k] for k in missing)))
             at[missing] = [self.known[words[k]] for k in missing]
-        used = np.bincount(at, minlength=len(self.uses))
-        self.uses = np.concatenate([self.uses, np.zeros(len(used) - len(self.uses), np.int64)]) + used
-        return at, [len(own) for own in split]
+        np.add.at(self.uses, at, 1)
+        return at, np.flatnonzero(at == 0)
 
     def encode_many(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of short texts, together."""
-        at, counts = self.places(texts)
+        at, text_ends = self.places(texts)
         flat, ends = self._flat(at), np.cumsum(self.size[at])
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        bounds = np.concatenate([[0], ends[text_ends]])
         return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
     def count_many(self, texts: Sequence[str], counts: np.ndarray) -> None:
