@@ -28,6 +28,27 @@ def json_arrays(spark: SparkSession, sf: str) -> DataFrame:
     return datasets.load_dataset(spark, table_path).select("doc_id", "text", "lang")
 
 
+#: Appended to every text: all that a reader of blocks could take for structure.
+_NOISE = '"}], [{\\"{}:\\\\'
+
+
+def json_array_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as array files of 50,000 elements, each read by several tasks.
+
+    Every file is written by a task of its own, element after element.
+    """
+    path = fresh_path(spark, "blocks")
+    rows = _docs(spark, sf).withColumn("file", F.floor(F.col("doc_id") / 50_000))
+    firsts = rows.groupBy("file").agg(F.min("doc_id").alias("first"))
+    element = F.to_json(F.struct("doc_id", F.concat("text", F.lit(_NOISE)).alias("text"), "lang"))
+    opened = F.when(F.col("doc_id") == F.col("first"), "[").otherwise(",")
+    lines = rows.join(firsts, "file").select("file", "doc_id", F.concat(opened, element).alias("value"))
+    closed = firsts.select("file", F.lit((1 << 63) - 1).alias("doc_id"), F.lit("]").alias("value"))
+    ordered = lines.unionByName(closed).repartition("file").sortWithinPartitions("file", "doc_id")
+    ordered.select("file", "value").write.partitionBy("file").text(path)
+    return datasets.read_json(spark, f"{path}/file=*", _DOCS, split=True)
+
+
 def json_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Documents from Parquet to JSON lines, loaded by suffix; a null stays a null."""
     path = fresh_path(spark, "lines")
@@ -197,6 +218,7 @@ _COUNTED = f"SELECT doc_id, lang FROM documents WHERE len({q.words('text')}) <=
 
 QUERIES = {
     "json_arrays": json_arrays,
+    "json_array_blocks": json_array_blocks,
     "json_lines": json_lines,
     "result_files": result_files,
     "sample_files": sample_files,
@@ -211,6 +233,7 @@ QUERIES = {
 
 SQL = {
     "json_arrays": "SELECT doc_id, text, lang FROM documents",
+    "json_array_blocks": f"SELECT doc_id, text || '{_NOISE}' AS text, lang FROM documents",
     "json_lines": _LINES,
     "result_files": _RESULTS,
     "sample_files": "SELECT conv_id AS step, turn AS extra, role AS timestamp, text AS response FROM conversations",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from rubrica.sources import arrays
+
 #: Logical schemas of the training tables, as DDL.
 SCHEMAS = {
     "sft_raw": "instruction string, input string, output string",
@@ -15,16 +19,28 @@ SCHEMAS = {
 }
 
 
-def read_json(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
-    """JSON arrays, or files of one object each; a directory is read file by file.
+def read_json(
+    spark: SparkSession, path: str, schema: str | StructType | None = None, split: bool | None = None
+) -> DataFrame:
+    """JSON arrays, or files of one object each.
 
-    A JSON array cannot be split, so one file is one task. Large data belongs in JSON lines or
-    Parquet (``json_to_parquet``).
+    With ``split`` a file is read by many tasks, else by one; unless told, files longer than a scan
+    split are. Both give the same rows.
     """
+    if split is None:
+        split = arrays.longest_file(spark, path) > _split_bytes(spark)
+    if split:
+        return arrays.read_arrays(spark, path, schema)
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def _split_bytes(spark: SparkSession) -> int:
+    """The longest split of a scan, from a setting such as 134217728b or 128m."""
+    digits, unit = re.match(r"(\d+)\s*([a-z]?)", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return int(digits) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def read_json_lines(
     spark: SparkSession, path: str, schema: str | StructType | None = None
 ) -> DataFrame:
