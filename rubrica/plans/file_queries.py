@@ -10,6 +10,7 @@ from rubrica.plans.inputs import read
 from rubrica.session import fresh_path
 from rubrica.sources import datasets, logs
 from rubrica.streaming import live
+from rubrica.streaming.tail import Folder
 
 _DOCS = "doc_id bigint, text string, lang string"
 
@@ -185,8 +186,7 @@ def tailed_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = read(spark, sf, "events").selectExpr("'run_' || CAST(user_id AS STRING) AS value")
     lines.write.text(path)
     found = fresh_path(spark, "found")
-    local = path.removeprefix("file://").removeprefix("file:")
-    stream = live.watch_lines(spark, f"{local}/part-*")
+    stream = live.watch_lines(spark, f"{path}/part-*")
     query = (
         stream.writeStream.format("parquet").option("path", found)
         .option("checkpointLocation", fresh_path(spark, "checkpoint")).trigger(availableNow=True).start()
@@ -195,6 +195,42 @@ def tailed_lines(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(found).groupBy(F.col("value").alias("experiment")).agg(F.count("*").alias("n"))
 
 
+def rotated_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A run's log read before and after its files were renamed and new ones came in their place."""
+    path, spare, found, checkpoint = (fresh_path(spark, name) for name in ("rotating", "spare", "found", "checkpoint"))
+    lines = read(spark, sf, "events").selectExpr("'run_' || CAST(user_id AS STRING) AS value", "event_id % 2 AS half").repartition(4)
+    lines.where("half = 0").select("value").write.text(path)
+    lines.where("half = 1").select("value").write.text(spare)
+
+    def follow() -> None:
+        writer = live.watch_lines(spark, f"{path}/part-*").writeStream.format("parquet").option("path", found)
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    follow()
+    old, new = Folder(f"{path}/part-*"), Folder(f"{spare}/part-*")
+    parts = sorted(filter(old.matches, old.files()))
+    for name in parts:
+        old.store.move(name, f"{old.root}/rotated-{name.rsplit('/', 1)[1]}")
+    for k, name in enumerate(sorted(filter(new.matches, new.files()))):
+        old.store.move(name, parts[k] if k < len(parts) else f"{old.root}/part-more-{k}")
+    follow()
+    follow()
+    return spark.read.parquet(found).groupBy(F.col("value").alias("experiment")).agg(F.count("*").alias("n"))
+
+
+def complete_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of log files that are complete when they appear, handed on batch by batch."""
+    path, found = fresh_path(spark, "complete"), fresh_path(spark, "found")
+    read(spark, sf, "events").selectExpr("'run_' || CAST(user_id AS STRING) AS value").repartition(6).write.text(path)
+    lines = live.rotated_lines(spark, f"{path}/part-*", files_per_batch=2)
+    query = live.on_each_line(lines, lambda rows: rows.write.mode("append").parquet(found), fresh_path(spark, "checkpoint"))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(found).groupBy(F.col("value").alias("experiment")).agg(F.count("*").alias("n"))
+
+
 _TAILED = "SELECT 'run_' || CAST(user_id AS STRING) AS experiment, count(*) AS n FROM events GROUP BY ALL"
 
 
@@ -227,6 +263,8 @@ QUERIES = {
     "history_files": history_files,
     "appended_logs": appended_logs,
     "tailed_lines": tailed_lines,
+    "rotated_log": rotated_log,
+    "complete_files": complete_files,
     "missing_columns": missing_columns,
     "overlong_by_function": counted_by_function,
 }
@@ -242,6 +280,8 @@ SQL = {
     "history_files": _HISTORY,
     "appended_logs": _APPENDED,
     "tailed_lines": _TAILED,
+    "rotated_log": _TAILED,
+    "complete_files": _TAILED,
     "missing_columns": _MISSING,
     "overlong_by_function": _COUNTED,
 }

@@ -15,10 +15,18 @@ from rubrica.streaming.tail import NAME, register
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def watch_lines(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
-    """(file, offset, value): complete lines appended to the files of a glob."""
+def watch_lines(
+    spark: SparkSession, path: str, range_bytes: int = 64 << 20, max_bytes: int | None = None, state: str | None = None
+) -> DataFrame:
+    """(file, offset, value): complete lines appended to the files of a pattern, renamed, cut short or not.
+
+    With ``max_bytes`` a micro-batch takes about so many bytes, and ``state`` names a folder for the offsets.
+    """
     register(spark)
-    return spark.readStream.format(NAME).option("rangeBytes", str(range_bytes)).load(path)
+    reader = spark.readStream.format(NAME).option("rangeBytes", str(range_bytes))
+    if max_bytes:
+        reader = reader.option("maxBytesPerBatch", str(max_bytes)).option("state", state or "")
+    return reader.load(path)
 
 
 def rotated_lines(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rubrica.operators import runs
@@ -101,6 +102,82 @@ def test_tail_reads_appended_lines_once(spark, tmp_path):
     assert seen == [*texts[:50], "partial", *texts[50:]]
 
 
+def follow(reader, state):
+    """What one micro-batch reads, in the order of its partitions."""
+    end = reader.latestOffset()
+    rows = [row[2] for part in reader.partitions(state, end) for row in reader.read(part)]
+    state.clear()
+    state.update(end)
+    return rows
+
+
+def test_tail_survives_rotation(tmp_path):
+    log, state = tmp_path / "run.log", {}
+    reader = tail.TailReader({"path": f"{tmp_path}/*.log"})
+    assert follow(reader, state) == []
+    log.write_text("a1\na2\n")
+    assert follow(reader, state) == ["a1", "a2"]
+    with log.open("a") as file:  # written, then renamed before the next poll
+        file.write("a3\n")
+    log.rename(tmp_path / "run.log.1")
+    log.write_text("b1\n")
+    assert sorted(follow(reader, state)) == ["a3", "b1"]
+    log.write_text("c1\n")  # cut short and written anew, as long as before
+    assert follow(reader, state) == ["c1"]
+    log.write_text("")
+    assert follow(reader, state) == []
+    log.write_text("d1\nd2\nd3\n")
+    assert follow(reader, state) == ["d1", "d2", "d3"]
+    log.unlink()
+    assert follow(reader, state) == []
+    log.write_text("e1\n")
+    assert follow(reader, state) == ["e1"]
+    (tmp_path / "run.log.1").rename(tmp_path / "old.log")  # the pattern matches it now: nothing twice
+    assert follow(reader, state) == []
+
+
+def test_tail_finds_a_renamed_file_again_when_it_reads(tmp_path):
+    log = tmp_path / "run.log"
+    log.write_text("a1\na2\n")
+    reader = tail.TailReader({"path": str(log)})
+    parts = reader.partitions({}, reader.latestOffset())
+    log.rename(tmp_path / "run.log.1")
+    log.write_text("other\n")
+    assert [row[2] for part in parts for row in reader.read(part)] == ["a1", "a2"]
+    (tmp_path / "run.log.1").unlink()
+    with pytest.raises(FileNotFoundError):
+        list(reader.read(parts[0]))
+    lossy = tail.TailReader({"path": str(log), "failOnDataLoss": "false"})
+    assert list(lossy.read(parts[0])) == []
+
+
+def test_tail_takes_a_batch_at_a_time(tmp_path):
+    texts = [f"line {k} " + "x" * (1 + k % 50) for k in range(400)]
+    (tmp_path / "a.log").write_text("\n".join(texts[:300]) + "\n")
+    (tmp_path / "b.log").write_text("\n".join(texts[300:]) + "\nunfinished")
+    options = {"path": f"{tmp_path}/*.log", "maxBytesPerBatch": "900", "state": f"{tmp_path}/state"}
+    state, seen, reader = {}, [], tail.TailReader(options)
+    for k in range(200):
+        if k % 5 == 4:
+            reader = tail.TailReader(options)  # a restart: only the notes tell where it was
+        rows = follow(reader, state)
+        assert sum(map(len, rows)) <= 1000
+        seen += rows
+        if not rows:
+            break
+    assert sorted(seen) == sorted(texts) and k > 10
+    with pytest.raises(ValueError):
+        tail.TailReader({"path": "x", "maxBytesPerBatch": "5"})
+
+
+def test_patterns_and_addresses(tmp_path):
+    for name in ("a/x.log", "b/y.log", "b/y.txt", "b/c/z.log"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name + "\n")
+    for prefix in ("", "file:", "file://"):
+        assert sorted(follow(tail.TailReader({"path": f"{prefix}{tmp_path}/*/*.log"}), {})) == ["a/x.log", "b/y.log"]
+
+
 def test_ranges_cover_every_line_once(tmp_path):
     log = tmp_path / "x.log"
     texts = ["", "a", "bb" * 40, "c", "", "dd" * 7] * 9
