@@ -94,6 +94,73 @@ def stream_stagnation(spark: SparkSession, sf: str) -> DataFrame:
     return _to_table(out, "append", "stagnation").select("experiment", F.col("step").alias("seq"), "since_best")
 
 
+#: Parts in which late arrivals are written, and how late a row may come: a part of the month and a day.
+_PARTS, _LATE = 4, "9 days"
+
+
+def _arrivals(spark: SparkSession, sf: str, again: bool = True) -> DataFrame:
+    """Events as a stream in order of arrival: up to a day late, in any order within a part; ``again``: a third of them twice.
+
+    The last row lies a year ahead; it has no run and closes all that is open.
+    """
+    events = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = events.withColumn("_at", F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(86_400)))
+    repeats = late.where("event_id % 3 = 0").withColumn("_at", F.col("_at") + F.pmod(F.xxhash64("ts"), F.lit(3_600)))
+    rows = late.unionByName(repeats) if again else late
+    first, last = rows.agg(F.min("_at"), F.max("_at")).first()
+    path = fresh_path(spark, "arrivals")
+    width = (last - first) // _PARTS + 1
+    for part in range(_PARTS):  # one after the other: the stream takes files by age
+        own = rows.where(F.floor((F.col("_at") - first) / width) == part)
+        own.drop("_at").write.parquet(f"{path}/part={part}")
+    closing = events.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(last + 366 * 86_400))).withColumn("user_id", F.lit(None).cast("bigint"))
+    closing.write.parquet(f"{path}/part={_PARTS}")
+    schema = events.schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 50).parquet(f"{path}/part=*")
+    run = F.concat(F.lit("run_"), F.col("user_id").cast("string"))
+    return stream.where("user_id IS NULL OR event_type <> 'signup'").select(
+        F.coalesce(run, F.lit("")).alias("experiment"), F.col("event_id").alias("seq"), "ts", F.col("value").alias("reward_mean"), F.col("props").alias("response")
+    )
+
+
+def stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows delivered late and more than once, each kept once."""
+    path = fresh_path(spark, "distinct")
+    _finish(live.metric_sink(live.distinct_metrics(_arrivals(spark, sf), "ts", ["seq"], _LATE), path, fresh_path(spark, "checkpoint")))
+    found = spark.read.schema("seq bigint, reward_mean double, experiment string").parquet(path).where("experiment LIKE 'run%'")
+    return found.groupBy("experiment").agg(F.count("*").alias("n"), F.max_by("reward_mean", "seq").alias("latest"))
+
+
+def stream_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch metrics per day of event time over rows that come late and more than once."""
+    out = live.bucketed_metrics(_arrivals(spark, sf).withColumnRenamed("reward_mean", "score"), "ts", ["seq"], "1 day", lateness=_LATE)
+    rows = _to_table(out, "append", "buckets").drop("batch")
+    rows = batch._rounded(rows, ["reward_mean", "reward_std", "response_length_mean", "response_length_std"])
+    return rows.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
+
+
+_BUCKETS = """SELECT strftime(ts, '%Y-%m-%d') AS bucket, count(*) AS responses, round(avg(value), 6) AS reward_mean,
+ round(stddev_samp(value), 6) AS reward_std, max(value) AS reward_max, min(value) AS reward_min,
+ round(avg(length(props)), 6) AS response_length_mean, round(stddev_samp(length(props)), 6) AS response_length_std
+FROM events WHERE event_type <> 'signup' GROUP BY 1"""
+
+
+def late_early_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """Early stop over rows in any order, each given once."""
+    out = live.early_stop(_arrivals(spark, sf, again=False), "reward_mean", 8, 2.5, "max", "seq", "ts", _LATE, 5 * 86_400_000)
+    states = _to_table(out, "update", "early_stop").where("experiment LIKE 'run%'")
+    fields = [c for c in out.columns if c != "experiment"]
+    newest = states.groupBy("experiment").agg(F.max_by(F.struct(*fields), "rows").alias("s"))
+    return newest.select("experiment", "s.*")
+
+
+def late_stagnation(spark: SparkSession, sf: str) -> DataFrame:
+    """Stagnant rows over rows in any order."""
+    out = live.stagnation(_arrivals(spark, sf, again=False), "reward_mean", 10, "seq", "ts", _LATE, 5 * 86_400_000)
+    rows = _to_table(out, "append", "stagnation").where("experiment LIKE 'run%'")
+    return rows.select("experiment", F.col("step").alias("seq"), "since_best")
+
+
 _STAGNANT = batch._STAGNATION.replace("SELECT experiment, step, step - max", "SELECT experiment, seq, step - max")
 
 QUERIES = {
@@ -102,6 +169,10 @@ QUERIES = {
     "stream_alerts": stream_alerts,
     "stream_early_stop": stream_early_stop,
     "stream_stagnation": stream_stagnation,
+    "stream_distinct": stream_distinct,
+    "stream_buckets": stream_buckets,
+    "late_early_stop": late_early_stop,
+    "late_stagnation": late_stagnation,
 }
 
 SQL = {
@@ -110,4 +181,8 @@ SQL = {
     "stream_alerts": _ALERTS,
     "stream_early_stop": batch.SQL["early_stop"],
     "stream_stagnation": f"SELECT experiment, seq, since_best FROM ({_STAGNANT}) WHERE stagnant",
+    "stream_distinct": _SINK,
+    "stream_buckets": _BUCKETS,
+    "late_early_stop": batch.SQL["early_stop"],
+    "late_stagnation": f"SELECT experiment, seq, since_best FROM ({_STAGNANT}) WHERE stagnant",
 }

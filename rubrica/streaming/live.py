@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from rubrica.operators import runs
+from rubrica.operators import groups, runs
+from rubrica.session import settle
 from rubrica.streaming.tail import NAME, register
 
+#: Event time in milliseconds, for the processors (their rows lose names that begin with an underscore).
+MILLIS = "event_millis"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -52,26 +55,56 @@ def distinct_metrics(metrics: DataFrame, event_time: str, keys: list[str], laten
     return metrics.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(keys)
 
 
+def bucketed_metrics(
+    rows: DataFrame, event_time: str, keys: list[str], width: str = "1 hour", by: Sequence[str] = (), lateness: str = "1 hour"
+) -> DataFrame:
+    """Batch metrics per bucket of event time: re-delivered rows count once, rows up to ``lateness`` late count.
+
+    ``keys`` tell rows apart. A bucket is given once, when the watermark has passed its end; state is the
+    keys seen within the lateness and a row per open bucket and group. ``rows`` are as ``groups.batch_metrics`` takes them.
+    """
+    distinct = distinct_metrics(rows, event_time, keys, lateness).withColumn("bucket", F.window(event_time, width))
+    metrics = groups.batch_metrics(distinct, ["bucket", *by])
+    return metrics.withColumn("bucket", F.col("bucket.start"))
+
+
 def running_summary(metrics: DataFrame, columns: list[str], order: str = "step") -> DataFrame:
-    """The batch summary kept up to date; state is one row per run."""
+    """The batch summary kept up to date; state is one row per run, its moments merged row by row."""
     return runs.summary_stats(metrics, order, columns)
 
 
-def summary_sink(summary: DataFrame, path: str, checkpoint: str, refresh: str | None = "5 seconds") -> DataStreamWriter:
-    """Write the whole summary after every refresh to ``path/batch=<n>``; the newest one counts."""
+def summary_sink(summary: DataFrame, path: str, checkpoint: str, refresh: str | None = "5 seconds", compact_every: int = 100) -> DataStreamWriter:
+    """After every refresh write the runs that changed to ``path/batch=<n>``; a run's newest row counts.
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+    Every ``compact_every`` batches the newest row of every run is written with them, so that a reader
+    needs no batch before (``newest_summary`` looks no further back).
+    """
 
-    writer = summary.writeStream.outputMode("complete").foreachBatch(write)
+    def write(batch: DataFrame, number: int) -> None:
+        spark, target = batch.sparkSession, f"{path}/batch={number:012d}"
+        if number % compact_every or not number:
+            batch.write.mode("overwrite").parquet(target)
+            return
+        changed = settle(batch, "summary")  # the micro-batch is read twice
+        earlier = newest_summary(spark, path, before=number)
+        rest = earlier.join(changed.select("experiment"), "experiment", "left_anti")
+        changed.unionByName(rest).write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).parquet(target)
+
+    writer = summary.writeStream.outputMode("update").foreachBatch(write)
     writer = writer.option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=refresh) if refresh else writer.trigger(availableNow=True)
 
 
-def newest_summary(spark: SparkSession, path: str) -> DataFrame:
+def newest_summary(spark: SparkSession, path: str, before: int | None = None, compact_every: int = 100) -> DataFrame:
+    """The newest row of every run, from the last compacted batch on."""
     table = spark.read.parquet(path)
-    newest = table.agg(F.max("batch").alias("batch"))
-    return table.join(F.broadcast(newest), "batch").drop("batch")
+    if before is not None:
+        table = table.where(F.col("batch") < before)
+    last = table.agg(F.max("batch")).first()[0] or 0  # from the folders' names
+    table = table.where(F.col("batch") >= last - last % compact_every)
+    fields = [c for c in table.columns if c not in ("experiment", "batch")]
+    newest = table.groupBy("experiment").agg(F.max_by(F.struct(*fields), "batch").alias("row"))
+    return newest.select("experiment", "row.*")
 
 
 def live_alerts(long: DataFrame) -> DataFrame:
@@ -90,14 +123,64 @@ class _PerRun(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("run", self.state_schema)
 
-    def rows(self, batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # a run's rows of one micro-batch; maxFilesPerTrigger or the like bounds them
-        return pd.concat(list(batches)).dropna(subset=[self.metric]).sort_values(self.order)
+        yield self.fold(key[0], pd.concat(list(rows)).dropna(subset=[self.metric]).sort_values(self.order))
+
+    def fold(self, run: str, rows: pd.DataFrame) -> pd.DataFrame:
+        """Take in rows that follow all rows before; returns what to give out."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
+class _Released(StatefulProcessor):
+    """Rows in any order, released in order of their event time (``MILLIS``) when the watermark has passed.
+
+    Arriving rows are put away as they come, frame by frame, under the bucket of their event time; a timer
+    stands at the end of every bucket. When it fires, the bucket's rows are sorted and folded, and forgotten.
+    So a task holds one bucket of one run, and the state holds what is later than the watermark.
+    """
+
+    def __init__(self, fold: _PerRun, bucket_ms: int) -> None:
+        self.inner, self.bucket_ms = fold, bucket_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.inner.init(handle)
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "bucket bigint", "n bigint")
+        self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", "times array<bigint>, orders array<bigint>, values array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            frame = frame.dropna(subset=[self.inner.metric])
+            for bucket, own in frame.groupby(frame[MILLIS] // self.bucket_ms):
+                bucket = int(bucket)
+                known = self.parts.getValue((bucket,)) if self.parts.containsKey((bucket,)) else None
+                part = known[0] if known else 0
+                columns = own[MILLIS].tolist(), own[self.inner.order].tolist(), own[self.inner.metric].astype(float).tolist()
+                self.waiting.updateValue((bucket, part), columns)
+                self.parts.updateValue((bucket,), (part + 1,))
+                if not part:
+                    self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        bucket = expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms - 1
+        (count,) = self.parts.getValue((bucket,))
+        found = []
+        for part in range(count):
+            found += zip(*self.waiting.getValue((bucket, part)))
+            self.waiting.removeKey((bucket, part))
+        self.parts.removeKey((bucket,))
+        found.sort()
+        yield self.inner.fold(key[0], pd.DataFrame(found, columns=[MILLIS, self.inner.order, self.inner.metric]))
+
+    def close(self) -> None:
+        self.inner.close()
+
+
 class EarlyStop(_PerRun):
     """Best value, rows since it, and the latched stop of every run."""
 
@@ -109,20 +192,20 @@ class EarlyStop(_PerRun):
         self.patience, self.min_delta = patience, min_delta
         self.sign = 1.0 if mode == "max" else -1.0
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def fold(self, run: str, rows: pd.DataFrame) -> pd.DataFrame:
         best, best_row, n, stop = float("-inf"), 0, 0, -1
         if self.state.exists():
             best, best_row, n, stop = self.state.get()
-        for value in self.rows(rows)[self.metric]:
+        for value in rows[self.metric]:
             n += 1
             if value * self.sign > best + self.min_delta:
                 best, best_row = value * self.sign, n
             elif stop < 0 and n - best_row >= self.patience:
                 stop = n
         self.state.update((float(best), int(best_row), int(n), int(stop)))
-        yield pd.DataFrame(
+        return pd.DataFrame(
             {
-                "experiment": [key[0]],
+                "experiment": [run],
                 "best_value": [best * self.sign],
                 "best_row": [best_row],
                 "rows": [n],
@@ -142,27 +225,27 @@ class Stagnation(_PerRun):
         super().__init__(order, metric)
         self.window = window
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def fold(self, run: str, rows: pd.DataFrame) -> pd.DataFrame:
         best, best_row, n = self.state.get() if self.state.exists() else (float("-inf"), 0, 0)
         found = []
-        batch = self.rows(rows)
-        for step, value in zip(batch[self.order], batch[self.metric]):
+        for step, value in zip(rows[self.order], rows[self.metric]):
             n += 1
             if value > best or n == 1:
                 best, best_row = value, n
             elif n - best_row >= self.window:
-                found.append((key[0], int(step), n - best_row))
+                found.append((run, int(step), n - best_row))
         self.state.update((float(best), int(best_row), int(n)))
-        yield pd.DataFrame(found, columns=["experiment", "step", "since_best"])
+        return pd.DataFrame(found, columns=["experiment", "step", "since_best"])
 
 
-def _stateful(metrics: DataFrame, processor: _PerRun, mode: str) -> DataFrame:
+def _stateful(metrics: DataFrame, processor: _PerRun, mode: str, event_time: str | None, lateness: str, bucket_ms: int) -> DataFrame:
     metrics.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    output, fold, time_mode = processor.output, processor, "None"
+    if event_time:
+        metrics = metrics.withWatermark(event_time, lateness).withColumn(MILLIS, F.unix_millis(event_time))
+        fold, time_mode = _Released(processor, bucket_ms), "EventTime"
     return metrics.groupBy("experiment").transformWithStateInPandas(
-        statefulProcessor=processor,
-        outputStructType=processor.output,
-        outputMode=mode,
-        timeMode="None",
+        statefulProcessor=fold, outputStructType=output, outputMode=mode, timeMode=time_mode
     )
 
 
@@ -173,12 +256,27 @@ def early_stop(
     min_delta: float = 0.001,
     mode: str = "max",
     order: str = "epoch",
+    event_time: str | None = None,
+    lateness: str = "10 minutes",
+    bucket_ms: int = 60_000,
 ) -> DataFrame:
-    """The state of every run that got rows, after each micro-batch. Rows must arrive in order
-    from batch to batch; within a batch they are sorted."""
-    return _stateful(metrics, EarlyStop(metric, patience, min_delta, mode, order), "update")
+    """The state of every run that moved on, after each micro-batch.
 
+    With ``event_time`` rows may come in any order, up to ``lateness`` late: they are folded in order of event
+    time, then ``order``, a bucket of time at a time, once the watermark has passed it. Without, rows must
+    arrive in order from batch to batch; within a batch they are sorted.
+    """
+    return _stateful(metrics, EarlyStop(metric, patience, min_delta, mode, order), "update", event_time, lateness, bucket_ms)
 
-def stagnation(metrics: DataFrame, metric: str = "reward_mean", window: int = 100, order: str = "step") -> DataFrame:
+
+def stagnation(
+    metrics: DataFrame,
+    metric: str = "reward_mean",
+    window: int = 100,
+    order: str = "step",
+    event_time: str | None = None,
+    lateness: str = "10 minutes",
+    bucket_ms: int = 60_000,
+) -> DataFrame:
     """Stagnant rows as they arrive; order as for ``early_stop``."""
-    return _stateful(metrics, Stagnation(metric, window, order), "append")
+    return _stateful(metrics, Stagnation(metric, window, order), "append", event_time, lateness, bucket_ms)

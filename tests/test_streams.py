@@ -1,6 +1,7 @@
 """Streams against their batch twins, and the append-aware line source."""
 
 import json
+import os
 import random
 
 import pytest
@@ -47,8 +48,6 @@ def batches(spark, tmp_path, sizes=(7, 1, 30, 12)):
 
 
 def test_early_stop_equals_batch(spark, tmp_path):
-    import os
-
     stream, table = batches(spark, tmp_path)
     for k in range(4):  # files are taken in order of age
         os.utime(tmp_path / f"{k}.json", (1_000_000 + k, 1_000_000 + k))
@@ -61,8 +60,6 @@ def test_early_stop_equals_batch(spark, tmp_path):
 
 
 def test_stagnation_equals_batch(spark, tmp_path):
-    import os
-
     stream, table = batches(spark, tmp_path)
     for k in range(4):
         os.utime(tmp_path / f"{k}.json", (1_000_000 + k, 1_000_000 + k))
@@ -193,3 +190,64 @@ def test_dedup_within_watermark(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"k": 1, "t": "2024-01-01T00:00:00"}\n{"k": 1, "t": "2024-01-01T00:00:01"}\n')
     stream = spark.readStream.schema("k int, t timestamp").json(str(tmp_path))
     assert drain(live.distinct_metrics(stream, "t", ["k"]), spark).count() == 1
+
+
+def shuffled(spark, tmp_path):
+    """Rows of three runs in any order over five files; the last row only closes what is open."""
+    rng = random.Random(8)
+    rows = [(f"r{j}", k, None if k % 9 == 4 else round(rng.uniform(0, 1), 3), f"2024-01-01T00:{k:02d}:{7 * j:02d}") for j in range(3) for k in range(50)]
+    table = spark.createDataFrame(rows, f"{SCHEMA}, at string")
+    rng.shuffle(rows)
+    parts = [rows[k::4] for k in range(4)] + [[("end", 0, 0.0, "2025-01-01T00:00:00")]]
+    for k, part in enumerate(parts):
+        lines = "\n".join(json.dumps(dict(zip(("experiment", "epoch", "eval_reward", "at"), r))) for r in part)
+        (tmp_path / f"{k}.json").write_text(lines)
+        os.utime(tmp_path / f"{k}.json", (1_000_000 + k, 1_000_000 + k))
+    stream = spark.readStream.schema(f"{SCHEMA}, at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    return stream, table
+
+
+@pytest.mark.parametrize("bucket_ms", [60_000, 17 * 60_000])
+def test_shuffled_arrival_gives_the_batch_result(spark, tmp_path, bucket_ms):
+    stream, table = shuffled(spark, tmp_path)
+    timed = {"event_time": "at", "lateness": "2 hours", "bucket_ms": bucket_ms}
+    out = drain(live.early_stop(stream, patience=6, min_delta=0.01, **timed), spark, "update").where("experiment <> 'end'")
+    want = runs.early_stop(table, patience=6, min_delta=0.01)
+    newest = out.groupBy("experiment").agg(F.max_by(F.struct(*want.columns[1:]), "rows").alias("s"))
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(newest.select("experiment", "s.*")) == key(want)
+    found = drain(live.stagnation(stream, "eval_reward", 5, "epoch", **timed), spark).where("experiment <> 'end'")
+    stagnant = runs.stagnation(table, "eval_reward", 5, "epoch").where("stagnant").select("experiment", "epoch", "since_best")
+    assert key(found.select("experiment", "step", "since_best")) == key(stagnant)
+
+
+def test_buckets_close_once_and_count_a_row_once(spark, tmp_path):
+    stream, table = shuffled(spark, tmp_path)
+    for k in range(4):  # every file is delivered again
+        (tmp_path / f"again{k}.json").write_text((tmp_path / f"{k}.json").read_text())
+        os.utime(tmp_path / f"again{k}.json", (1_000_001 + k, 1_000_001 + k))
+    rows = stream.selectExpr("experiment", "epoch", "at", "eval_reward AS score", "experiment AS response")
+    out = drain(live.bucketed_metrics(rows, "at", ["experiment", "epoch"], "10 minutes", lateness="2 hours"), spark)
+    assert sorted(r.responses for r in out.collect()) == [30] * 5
+    by_run = live.bucketed_metrics(rows, "at", ["experiment", "epoch"], "1 hour", ["experiment"], "2 hours")
+    got = {r.experiment: (r.responses, r.reward_max) for r in drain(by_run, spark).where("experiment <> 'end'").collect()}
+    want = {r.experiment: (50, r.m) for r in table.groupBy("experiment").agg(F.max("eval_reward").alias("m")).collect()}
+    assert got == want
+
+
+def test_a_refresh_writes_the_changed_runs(spark, tmp_path):
+    source, path, checkpoint = tmp_path / "in", str(tmp_path / "summary"), str(tmp_path / "checkpoint")
+    source.mkdir()
+    seen = []
+    for k in range(5):
+        rows = [("all", k, float(k)), (f"r{k % 2}", k, 1.0 + k)]
+        (source / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("experiment", "epoch", "eval_reward"), r))) for r in rows))
+        seen += rows
+        stream = spark.readStream.schema(SCHEMA).json(str(source))
+        summary = live.running_summary(stream, ["eval_reward"], "epoch")
+        live.summary_sink(summary, path, checkpoint, refresh=None, compact_every=3).start().awaitTermination()
+    batches = {r["batch"]: r["n"] for r in spark.read.parquet(path).groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert batches == {0: 2, 1: 2, 2: 2, 3: 3, 4: 2}  # the fourth holds every run
+    want = runs.summary_stats(spark.createDataFrame(seen, SCHEMA), "epoch", ["eval_reward"])
+    newest = live.newest_summary(spark, path, compact_every=3)
+    assert sorted(newest.select(*want.columns).collect()) == sorted(want.collect())
