@@ -68,24 +68,19 @@ def gae(
 
 
 def _chain(starts: DataFrame, seq: str, step: float) -> DataFrame:
-    """Advantage at the start of every slice but the first, chained from the last slice back.
+    """Advantage at the start of every slice but the first: its own plus ``step`` times the next slice's.
 
-    One row per slice beyond a sequence's first, streamed in order with one number in memory.
+    Each slice is the map x -> own + step * x. In every round a slice takes over the map of as many
+    slices again as it has; after log2 of their number all are composed. One row per slice crosses the
+    window, and rounds end early where the power of ``step`` has vanished.
     """
-    kind = dict(starts.dtypes)[seq]
-    ordered = starts.repartition(seq).sortWithinPartitions(seq, F.col("_slice").desc())
-
-    def fold(batches):
-        current, total = None, 0.0
-        for batch in batches:
-            out = []
-            for key, own in zip(batch[seq], batch["advantage"]):
-                total = own if key != current else own + step * total
-                current = key
-                out.append(total)
-            yield batch[[seq, "_slice"]].assign(_next=out)
-
-    return ordered.mapInPandas(fold, f"{seq} {kind}, _slice bigint, _next double")
+    most = starts.agg(F.max("_slice")).first()[0] or 0
+    window = Window.partitionBy(seq).orderBy("_slice")
+    rows, reach, power = starts.withColumnRenamed("advantage", "_next"), 1, step
+    while reach < most and power:
+        rows = rows.withColumn("_next", F.col("_next") + F.lit(power) * F.coalesce(F.lead("_next", reach).over(window), F.lit(0.0)))
+        reach, power = 2 * reach, power * power
+    return rows
 
 
 def clipped_surrogate(

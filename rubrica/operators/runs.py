@@ -22,6 +22,7 @@ from rubrica.operators.ordering import (
     sliced_rows,
     with_carry,
 )
+from rubrica.session import settle
 
 #: Columns that are no metrics.
 NOT_METRICS = ("step", "epoch", "timestamp")
@@ -306,24 +307,28 @@ def early_stop(
     The best moves only on a gain above ``min_delta``, the counter of rows without one starts
     again there, and a stop stays. Rows lacking the metric do not count.
 
-    A gain must exceed every earlier value, so only running records can be gains. Records are
-    found slice by slice; the ordered fold streams over the records alone and holds one number
-    per run.
+    A gain must exceed every earlier value, so only running records can be gains. Where every run
+    fits into a slice they are folded in one expression per run. Else a record's successor, the next that
+    beats it by ``min_delta``, is found for all records at once, and the gains are those that successors reach
+    from the first record: in every round paths double in length, so a run of any size takes few rounds.
     """
     sign = 1.0 if mode == "max" else -1.0
-    rows, _ = _records(df, metric, order, sign, limit, slice_rows)
-    records = rows.where("_record").select("experiment", "_n", "_v")
-    gains = (
-        records.repartition("experiment")
-        .sortWithinPartitions("experiment", "_n")
-        .mapInPandas(_gains(min_delta), records.schema)
-    )
-    counted = _number(F.col(metric)).isNotNull()
-    totals = df.where(counted).groupBy("experiment").agg(F.count("*").alias("rows"))
+    rows, cut = _records(df, metric, order, sign, limit, slice_rows)
+    record = F.when(F.col("_record") & (F.col("_v") > float("-inf")), F.struct("_n", "_v"))
+    if cut is None:
+        runs = rows.groupBy("experiment").agg(F.count("*").alias("rows"), F.sort_array(F.collect_list(record)).alias("_records"))
+        runs = runs.withColumn("_end", _folded(F.col("_records"), F.col("rows"), patience, min_delta)).where("_end.row IS NOT NULL")
+        stop = F.col("_end.stop")
+        best = (F.col("_end.best") * F.lit(sign)).alias("best_value")
+        return runs.select("experiment", best, F.col("_end.row").alias("best_row"), "rows", stop.isNotNull().alias("should_stop"), stop.alias("stop_row"))
+    rows = settle(rows.select("experiment", "_n", record.alias("_found")), "records")
+    records = rows.where("_found IS NOT NULL").select("experiment", "_n", "_found._v")
+    gains = join_left(_reached(records, min_delta, limit, slice_rows), records, ["experiment", "_n"])
+    totals = rows.groupBy("experiment").agg(F.count("*").alias("rows"))
     window = Window.partitionBy("experiment").orderBy("_n")
+    spans = join_left(gains, totals, ["experiment"])
     until = F.coalesce(F.lead("_n").over(window) - 1, F.col("rows"))
-    stop = F.when(until - F.col("_n") >= patience, F.col("_n") + patience)
-    spans = gains.join(totals, "experiment").withColumn("_stop", stop)
+    spans = spans.withColumn("_stop", F.when(until - F.col("_n") >= patience, F.col("_n") + patience))
     return spans.groupBy("experiment").agg(
         (F.max_by("_v", "_n") * F.lit(sign)).alias("best_value"),
         F.max("_n").alias("best_row"),
@@ -333,19 +338,57 @@ def early_stop(
     )
 
 
-def _gains(min_delta: float):
-    """Keep of the records, sorted by run and row, those that beat the last kept by min_delta."""
+def _folded(records: Column, rows: Column, patience: int, min_delta: float) -> Column:
+    """(best, row, stop) of a run from its records in order: one number each at any time."""
+    none = F.lit(None).cast("bigint")
+    start = F.struct(F.lit(float("-inf")).alias("best"), none.alias("row"), none.alias("stop"))
+
+    def stopped(state: Column, last: Column) -> Column:
+        """The first row at which the run had waited long enough, with no gain up to ``last``."""
+        return F.coalesce(state["stop"], F.when(last - state["row"] >= patience, state["row"] + F.lit(patience).cast("bigint")))
+
+    def step(state: Column, record: Column) -> Column:
+        gain = F.struct(record["_v"].alias("best"), record["_n"].alias("row"), stopped(state, record["_n"] - 1).alias("stop"))
+        return F.when(record["_v"] > state["best"] + F.lit(min_delta), gain).otherwise(state)
+
+    def end(state: Column) -> Column:
+        return F.struct(state["best"].alias("best"), state["row"].alias("row"), stopped(state, rows).alias("stop"))
 
-    def fold(batches):
-        run, best = None, float("-inf")
-        for batch in batches:
-            keep = []
-            for experiment, value in zip(batch["experiment"], batch["_v"]):
-                if experiment != run:
-                    run, best = experiment, float("-inf")
-                gain = value > best + min_delta
-                best = value if gain else best
-                keep.append(gain)
-            yield batch[keep]
+    return F.aggregate(records, start, step, end)
 
-    return fold
+
+def _successors(records: DataFrame, min_delta: float, limit: int, slice_rows: int) -> DataFrame:
+    """(experiment, _n, _next): for each record the next one that beats it by ``min_delta``, if there is one.
+
+    Records rise, so that is the first in order of value behind the record's own value plus ``min_delta``.
+    """
+    own = records.select("experiment", F.col("_v").alias("_x"), F.lit(0).alias("_ask"), F.col("_n").alias("_of"))
+    asks = records.select("experiment", (F.col("_v") + F.lit(min_delta)).alias("_x"), F.lit(1).alias("_ask"), F.col("_n").alias("_of"))
+    order = [F.col("_x"), F.col("_ask"), F.col("_of")]
+    both, cut = sliced_rows(own.unionAll(asks), ["experiment"], order, limit, slice_rows)
+    record = F.when(F.col("_ask") == 0, F.col("_of"))
+    both = with_carry(both, ["experiment"], cut, [("last", F.min(record), "_after", "bigint")], reverse=True)
+    back = slice_window(["experiment"], cut, F.col("_n").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    following = F.coalesce(F.last(record, ignorenulls=True).over(back), F.col("_after"))
+    found = both.withColumn("_next", following).where("_ask = 1 AND _next IS NOT NULL")
+    return found.select("experiment", F.col("_of").alias("_n"), "_next")
+
+
+def _reached(records: DataFrame, min_delta: float, limit: int, slice_rows: int) -> DataFrame:
+    """(experiment, _n): the records on the way of successors from each run's first."""
+    reached = records.groupBy("experiment").agg(F.min("_n").alias("_n"))
+    jump = settle(_successors(records, min_delta, limit, slice_rows), "jumps")
+    while True:
+        # reached holds all within 2**k steps, jump leads 2**k steps on
+        more = settle(_jumped(reached, jump, "_n"), "reached").select("experiment", F.col("_next").alias("_n"))
+        if more.isEmpty():
+            return reached
+        reached = reached.unionAll(more)
+        jump = settle(_jumped(jump, jump, "_next"), "jumps")
+
+
+def _jumped(rows: DataFrame, jump: DataFrame, at: str) -> DataFrame:
+    """Where ``jump`` leads from the record in ``at``; rows without such a jump go."""
+    to = jump.select(F.col("experiment").alias("_run"), F.col("_n").alias("_from"), F.col("_next").alias("_to"))
+    both = rows.join(to, F.col("experiment").eqNullSafe(F.col("_run")) & (F.col(at) == F.col("_from")))
+    return both.select("experiment", "_n", F.col("_to").alias("_next"))
