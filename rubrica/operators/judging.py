@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from rubrica.functions import judge
 from rubrica.session import once
+from rubrica.sources.scores import ScoreCache
 
 _REQUEST = ("preset", "prompt", "response", "ground_truth")
 
@@ -119,6 +120,31 @@ def with_cached(
     return _keyed(requests, provider, model).join(cached, "request_key", "left")
 
 
+def score_with_cache(
+    requests: DataFrame,
+    cache: ScoreCache,
+    client: Callable[[str], str],
+    provider: str = "openai",
+    model: str = "judge",
+    ttl: float = 3600.0,
+    now: float | None = None,
+    **calls: float,
+) -> DataFrame:
+    """Requests with their ``score``; the judge is asked only what the cache cannot answer, and its answers are kept.
+
+    Copies of a request are asked once. Where no reply came the score is 0.5, and the request is asked
+    again next time. ``calls`` goes to ``call_judge``.
+    """
+    now = time.time() if now is None else now
+    keyed = _keyed(requests, provider, model)
+    asked = unscored(keyed, cache.fresh(now, ttl), provider, model)
+    answered = call_judge(with_request(asked, provider, model), client, **calls).where("reply IS NOT NULL")
+    scored = judged(answered, provider).select("request_key", "score", F.lit(float(now)).alias("scored_at"))
+    cache.append(scored)  # the one action that asks; what follows reads the cache
+    known = keyed.join(cache.fresh(now, ttl), "request_key", "left")
+    return known.withColumn("score", F.coalesce("cached_score", F.lit(0.5))).drop("cached_score")
+
+
 def _keyed(requests: DataFrame, provider: str, model: str) -> DataFrame:
     if "request_key" in requests.columns:
         return requests

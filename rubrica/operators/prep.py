@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from rubrica.functions import text as t
-from rubrica.operators.ordering import GROUP_LIMIT, number_rows
+from rubrica.operators.ordering import GROUP_LIMIT, SLICE_ROWS, number_rows, sliced_rows
 
 
 def _field(df: DataFrame, key: str, raw: str | None) -> Column:
@@ -82,6 +84,42 @@ def conversations(
     return arrays.select(conversation, messages.alias("conversations"))
 
 
+def context_replies(
+    turns: DataFrame,
+    conversation: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    content: str = "text",
+    replier: str = "assistant",
+    context_turns: int | None = None,
+    limit: int = GROUP_LIMIT,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """A row per turn of the replier: (conversation, turn, context, reply), the context an array of (role, content).
+
+    With ``context_turns`` the context holds that many turns before the reply; a long conversation is then
+    cut into slices, each of which also gets the last turns of the slice before. Without, it holds all earlier
+    turns, which for a conversation of n turns makes n * n / 2 by definition.
+    """
+    order = [F.col(turn), F.col(role), F.col(content)]
+    message = F.struct(F.col(role).alias("role"), F.col(content).alias("content"))
+    kept = [conversation, turn, "context", F.col(content).alias("reply")]
+    if context_turns is None:
+        earlier = Window.partitionBy(conversation).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return turns.withColumn("context", F.collect_list(message).over(earlier)).where(F.col(role) == replier).select(*kept)
+    size = max(slice_rows, context_turns)
+    rows, cut = sliced_rows(turns, [conversation], order, limit, size)
+    if cut is None:
+        rows = rows.withColumns({"_at": F.lit(0), "_own": F.lit(True)})
+    else:
+        last = F.col("_n") > (F.col(cut) + 1) * size - context_turns
+        both = F.when(last, F.array(F.col(cut), F.col(cut) + 1)).otherwise(F.array(F.col(cut)))
+        rows = rows.withColumn("_at", F.explode(both)).withColumn("_own", F.col("_at") == F.col(cut))
+    earlier = Window.partitionBy(conversation, "_at").orderBy("_n").rowsBetween(-context_turns, -1)
+    rows = rows.withColumn("context", F.collect_list(message).over(earlier))
+    return rows.where(F.col("_own") & (F.col(role) == replier)).select(*kept)
+
+
 def missing_columns(df: DataFrame, required: Sequence[str] = ("prompt", "chosen", "rejected")) -> list[str]:
     """Required columns the table lacks; reads the schema only."""
     return [c for c in required if c not in df.columns]
@@ -168,6 +206,55 @@ def truncate_tokens(c: Column, limit: int, mode: str = "right") -> Column:
     raise ValueError(f"unknown truncation mode {mode!r}")
 
 
+def word_offsets(text: str) -> list[tuple[int, int]]:
+    """Start and end of every word between white space."""
+    return [m.span() for m in re.finditer(r"\S+", text)]
+
+
+def tokenizer_offsets(path: str) -> Callable[[str], list[tuple[int, int]]]:
+    """Offsets by a tokenizer file (``tokenizers`` format), which must lie on every executor."""
+    return functools.partial(_file_offsets, path)
+
+
+def _file_offsets(path: str, text: str) -> list[tuple[int, int]]:
+    return [(a, b) for a, b in _tokenizer(path).encode(text, add_special_tokens=False).offsets if b > a]
+
+
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def cut_tokens(
+    limit: int, mode: str = "right", offsets: Callable[[str], list[tuple[int, int]]] = word_offsets
+) -> Callable[[Column], Column]:
+    """Cut texts to ``limit`` tokens where the tokens stand: the result is part of the text, unchanged.
+
+    ``offsets`` gives the start and end of a text's tokens; modes as in ``truncate``. A text within the limit
+    stays whole, white space and all; NULL stays NULL. Runs in Arrow batches.
+    """
+    if mode not in ("right", "keep_start", "left", "keep_end", "error"):
+        raise ValueError(f"unknown truncation mode {mode!r}")
+
+    def cut(text: str | None) -> str | None:
+        spans = [] if text is None else offsets(text)
+        if len(spans) <= limit:
+            return text
+        if mode == "error":
+            raise ValueError(f"text longer than {limit} tokens: {len(spans)}")
+        if not limit:
+            return ""
+        return text[: spans[limit - 1][1]] if mode in ("right", "keep_start") else text[spans[-limit][0] :]
+
+    @F.pandas_udf(StringType())
+    def cut_all(texts: pd.Series) -> pd.Series:
+        return texts.map(cut)
+
+    return cut_all
+
+
 def split_train_val(
     df: DataFrame,
     key: Sequence[str],

@@ -130,6 +130,33 @@ _CHECKPOINTS = f"""{run_queries._STEPS}, c AS (SELECT experiment, step, reward_m
 SELECT experiment, step, reward FROM c WHERE age <= 3"""
 
 
+def bounded_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation turns logged in three appends, each in order of the conversation; a role's log ends at 20."""
+    path = fresh_path(spark, "samples")
+    turns = read(spark, sf, "conversations")
+    for third in range(3):
+        rows = turns.where(F.col("conv_id") % 3 == third).select(
+            F.col("role").alias("experiment"), F.col("conv_id").alias("step"), F.col("turn").alias("extra"), F.col("text").alias("response")
+        )
+        logs.append_samples(rows, path, max_samples=20, order=["step", "extra"])
+    kinds = {"experiment": "string", "step": "bigint", "extra": "bigint", "response": "string"}
+    return logs.wide_metrics(logs.read_samples(spark, path).drop("pos", "file", "experiment"), kinds)
+
+
+_BOUNDED = """SELECT experiment, step, extra, response FROM (SELECT role AS experiment, conv_id AS step, turn AS extra, text AS response,
+ row_number() OVER (PARTITION BY role ORDER BY conv_id % 3, conv_id, turn) AS place FROM conversations) WHERE place <= 20"""
+
+
+def pruned_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """Checkpoint rows of every fifth step taken in by three writers in turn; the newest three are held."""
+    path = fresh_path(spark, "checkpoints")
+    steps = run_queries.steps(spark, sf)
+    rows = steps.select("experiment", "step", F.lit("t").alias("timestamp"), F.create_map(F.lit("reward"), F.col("reward_mean")).alias("metrics"))
+    for part in range(3):
+        logs.keep_checkpoints(rows.where(F.floor(F.col("step") / 25) % 3 == part), path, save_freq=5, keep=3)
+    return logs.read_checkpoints(spark, path).select("experiment", "step", F.col("metrics")["reward"].alias("reward"))
+
+
 def history_files(spark: SparkSession, sf: str) -> DataFrame:
     """Run histories exported as Parquet, CSV and JSON lines and read back."""
     path = fresh_path(spark, "history")
@@ -260,6 +287,8 @@ QUERIES = {
     "sample_files": sample_files,
     "summary_files": summary_files,
     "checkpoint_files": checkpoint_files,
+    "bounded_samples": bounded_samples,
+    "pruned_checkpoints": pruned_checkpoints,
     "history_files": history_files,
     "appended_logs": appended_logs,
     "tailed_lines": tailed_lines,
@@ -277,6 +306,8 @@ SQL = {
     "sample_files": "SELECT conv_id AS step, turn AS extra, role AS timestamp, text AS response FROM conversations",
     "summary_files": _SUMMARY,
     "checkpoint_files": _CHECKPOINTS,
+    "bounded_samples": _BOUNDED,
+    "pruned_checkpoints": _CHECKPOINTS,
     "history_files": _HISTORY,
     "appended_logs": _APPENDED,
     "tailed_lines": _TAILED,

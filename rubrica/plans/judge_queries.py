@@ -8,7 +8,8 @@ from rubrica.functions import judge, judge_prompts as jp
 from rubrica.operators import judging
 from rubrica.plans.inputs import cte, read, table
 from rubrica.plans.sqltext import lit
-from rubrica.session import spread
+from rubrica.session import fresh_path, spread
+from rubrica.sources.scores import ScoreCache
 
 _PRESET = """CASE data_source WHEN 'math_reasoning' THEN 'math' WHEN 'gsm8k' THEN 'math_plain'
  WHEN 'code' THEN 'code' WHEN 'dialogue' THEN 'dialogue' WHEN 'qa' THEN 'creative'
@@ -188,7 +189,32 @@ _CALLS = f"""{cte('rollouts')}, a AS (SELECT group_id, response_id, response, {_
  u AS (SELECT group_id, response_id, length({_USER}) AS n FROM a)
 SELECT group_id, response_id, CASE WHEN n % 7 = 0 THEN 5e-1 ELSE greatest(n % 10, 1) / 10e0 END AS score FROM u"""
 
+def cache_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of two runs over one cache: the second asks what failed in the first, and nothing else."""
+
+    def client(body: str) -> str:
+        import json
+
+        n = len(json.loads(body)["messages"][1]["content"])
+        if n % 7 == 0:
+            raise RuntimeError("no answer")
+        return json.dumps({"choices": [{"message": {"content": json.dumps({"score": n % 10})}}]})
+
+    def second(body: str) -> str:
+        return '{"choices": [{"message": {"content": "{\\"score\\": 10}"}}]}'
+
+    store = ScoreCache(spark, fresh_path(spark, "scores"))
+    asked = _asked(spark, sf)
+    judging.score_with_cache(asked, store, client, now=1_000.0, tries=1, pause=0.0)
+    store.compact(now=2_000.0)
+    out = judging.score_with_cache(asked, store, second, now=2_000.0, tries=1, pause=0.0)
+    return out.select("group_id", "response_id", "score")
+
+
+_RUNS = _CALLS.replace("THEN 5e-1 ELSE", "THEN 1e0 ELSE")
+
 QUERIES = {
+    "judge_cache_runs": cache_runs,
     "judge_requests": requests,
     "judge_scores": parsed,
     "judge_unscored": cache,
@@ -197,6 +223,7 @@ QUERIES = {
 }
 
 SQL = {
+    "judge_cache_runs": _RUNS,
     "judge_requests": _REQUESTS,
     "judge_scores": _PARSED,
     "judge_unscored": _CACHE,

@@ -91,6 +91,28 @@ def sft_chat(spark: SparkSession, sf: str) -> DataFrame:
 _CHAT = """SELECT conv_id, count(*) AS turns,
  string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY ALL"""
 
+def context_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistant turns with the four turns before them, shown as text."""
+    rows = prep.context_replies(read(spark, sf, "conversations"), context_turns=4)
+    shown = F.transform("context", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return rows.select("conv_id", "turn", F.array_join(shown, "\n").alias("context"), "reply")
+
+
+_REPLIES = """SELECT conv_id, turn, coalesce(context, '') AS context, text AS reply FROM (SELECT *,
+ string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS context
+ FROM conversations) WHERE role = 'assistant'"""
+
+
+def token_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents cut to twenty words, white space between them as it was."""
+    first, last = prep.cut_tokens(20, "right"), prep.cut_tokens(20, "left")
+    return read(spark, sf, "documents").select("doc_id", first(F.col("text")).alias("start"), last(F.col("text")).alias("ending"))
+
+
+_CUTS = r"""SELECT doc_id, CASE WHEN n <= 20 THEN text ELSE regexp_extract(text, '^\s*\S+(\s+\S+){19}') END AS start,
+ CASE WHEN n <= 20 THEN text ELSE regexp_extract(text, '(\S+\s+){19}\S+\s*$') END AS ending
+FROM (SELECT doc_id, text, len(regexp_extract_all(text, '\S+')) AS n FROM documents)"""
+
 _SYSTEM = "CASE conv_id % 3 WHEN 0 THEN 'You are helpful.' WHEN 1 THEN '' ELSE NULL END"
 
 
@@ -217,6 +239,8 @@ QUERIES = {
     "rl_records": rl_records,
     "dpo_records": dpo_records,
     "sft_chat": sft_chat,
+    "context_replies": context_replies,
+    "token_cuts": token_cuts,
     "chat_prompts": chat_prompts,
     "key_violations": key_violations,
     "validation": validation,
@@ -233,6 +257,8 @@ SQL = {
     "rl_records": _RL,
     "dpo_records": _DPO,
     "sft_chat": _CHAT,
+    "context_replies": _REPLIES,
+    "token_cuts": _CUTS,
     "chat_prompts": _PROMPTS,
     "key_violations": _VIOLATIONS,
     "validation": _VALIDATION,

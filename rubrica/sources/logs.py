@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rubrica.functions import text as t
-from rubrica.operators.ordering import GROUP_LIMIT, number_rows
+from rubrica.operators.ordering import GROUP_LIMIT, first_rows, join_left, number_rows
 from rubrica.session import once
 
 #: How JSON writers spell numbers that are not finite.
@@ -34,6 +34,7 @@ _SUMMARY_FILE = _SUMMARY.split(", final_metrics")[0] + ", final_metrics map<stri
 _CHECKPOINT = "experiment string, step bigint, timestamp string, metrics map<string, double>"
 _SUMMARY_TABLE = "run_summaries.jsonl"
 _CHECKPOINT_TABLE = "checkpoints.jsonl"
+_KEPT_TABLE = "kept_checkpoints"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -214,13 +215,17 @@ def _with_numbers(summaries: DataFrame) -> DataFrame:
 
 
 def read_checkpoints(spark: SparkSession, checkpoint_dir: str) -> DataFrame:
-    """Checkpoint rows: single ``checkpoint_step<n>_info.json`` files and written tables."""
+    """Checkpoint rows: single ``checkpoint_step<n>_info.json`` files, written tables, and kept ones."""
     parts = [spark.createDataFrame([], _CHECKPOINT)]
     files = (f"{checkpoint_dir}/checkpoint_step*_info.json", True)
     for path, whole in (files, (f"{checkpoint_dir}/{_CHECKPOINT_TABLE}", False)):
         found = _or_none(lambda: spark.read.schema(_CHECKPOINT).option("multiLine", whole).json(path))
         if found is not None:
             parts.append(found)
+    home = f"{checkpoint_dir}/{_KEPT_TABLE}"
+    last = _last_version(spark, home)
+    if last is not None:
+        parts.append(spark.read.schema(_CHECKPOINT).parquet(f"{home}/version={last}"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -295,15 +300,79 @@ def write_summary(df: DataFrame, log_dir: str) -> None:
 def append_checkpoints(df: DataFrame, checkpoint_dir: str) -> None:
     """Append checkpoint rows: step, timestamp, metrics (map), and experiment if there is one.
 
-    Nothing is deleted; ``runs.kept_checkpoints`` tells which of them count.
+    Nothing is deleted; ``runs.kept_checkpoints`` tells which of them count. ``keep_checkpoints`` holds the
+    newest only.
     """
     df.write.mode("append").json(f"{checkpoint_dir}/{_CHECKPOINT_TABLE}")
 
 
-def append_samples(df: DataFrame, log_dir: str) -> None:
+def keep_checkpoints(df: DataFrame, checkpoint_dir: str, save_freq: int = 100, keep: int = 5) -> int:
+    """Take in checkpoint rows and hold the newest ``keep`` saved steps of every run; returns the new version.
+
+    The rows held so far and the new ones make a new version of the table, in a folder of its own; a reader
+    takes the last version, so it sees the table as it was before or as it is after. Versions before the last
+    one are deleted. A step saved again replaces its row.
+    """
+    spark, home = df.sparkSession, f"{checkpoint_dir}/{_KEPT_TABLE}"
+    rows = df if "experiment" in df.columns else df.withColumn("experiment", F.lit(None).cast("string"))
+    rows = rows.selectExpr("experiment", "CAST(step AS BIGINT) AS step", "CAST(timestamp AS STRING) AS timestamp", "metrics")
+    last = _last_version(spark, home)
+    held = [] if last is None else [spark.read.schema(_CHECKPOINT).parquet(f"{home}/version={last}").withColumn("_new", F.lit(0))]
+    both = reduce(DataFrame.unionByName, [rows.withColumn("_new", F.lit(1)), *held])
+    saved = both.where((F.col("step") > 0) & (F.col("step") % save_freq == 0))
+    newest = saved.groupBy("experiment", "step").agg(F.max_by(F.struct("timestamp", "metrics"), F.struct("_new", "timestamp")).alias("row"))
+    kept = first_rows(newest, ["experiment"], [F.col("step").desc()], keep, "_age")
+    version = 0 if last is None else last + 1
+    # a folder of that name can only be a lost writer's
+    kept.select("experiment", "step", "row.*").write.mode("overwrite").parquet(f"{home}/version={version}")
+    for old in _versions(spark, home):
+        if old < version - 1:
+            _path(spark, f"{home}/version={old}", lambda fs, path: fs.delete(path, True))
+    return version
+
+
+def _path(spark: SparkSession, path: str, act: Callable):
+    """Do something with a path on its Hadoop file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return act(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
+
+
+def _versions(spark: SparkSession, home: str) -> list[int]:
+    """Versions written to their end."""
+
+    def listed(fs, path) -> list[int]:
+        if not fs.exists(path):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        ended = (n for n in names if n.startswith("version=") and fs.exists(path.suffix(f"/{n}/_SUCCESS")))
+        return sorted(int(n.removeprefix("version=")) for n in ended)
+
+    return _path(spark, home, listed)
+
+
+def _last_version(spark: SparkSession, home: str) -> int | None:
+    return max(_versions(spark, home), default=None)
+
+
+def append_samples(df: DataFrame, log_dir: str, max_samples: int | None = None, order: Sequence[str] = ("step",)) -> None:
+    """Append samples; with ``max_samples`` a run's log takes no more once it holds that many.
+
+    What a log holds is counted in the log itself, so the limit also holds after a restart. Rows of this append
+    are taken in the order of ``order``. Without a column experiment all rows are one run's.
+    """
     cols = ("step", "timestamp", "prompt", "response", "reward", "ground_truth", "extra")
     kept = [c for c in ("experiment", *cols) if c in df.columns]
-    df.select(*kept).write.mode("append").json(f"{log_dir}/samples.jsonl")
+    rows = df.select(*dict.fromkeys([*kept, *order]))
+    if max_samples is not None:
+        spark, by = df.sparkSession, ["experiment"] if "experiment" in df.columns else []
+        rows = first_rows(rows, by, [F.col(c) for c in order], max_samples, "_place")
+        held = _or_none(lambda: spark.read.schema("experiment string").json(f"{log_dir}/samples.jsonl"))
+        if held is not None and by:  # at most max_samples rows of each run
+            rows = join_left(rows, held.groupBy(*by).agg(F.count("*").alias("_held")), by)
+            rows = rows.where(F.col("_place") + F.coalesce("_held", F.lit(0)) <= max_samples)
+        elif held is not None:
+            rows = rows.where(F.col("_place") <= max_samples - held.count())
+    rows.select(*kept).write.mode("append").json(f"{log_dir}/samples.jsonl")
 
 
 # --- exports ---------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rubrica.functions.display import chat_prompt, sample_text
 from rubrica.operators import evaluation, judging, prep
+from rubrica.sources.scores import ScoreCache
 from rubrica.sources import datasets
 
 
@@ -169,3 +170,67 @@ def test_judge_calls_retry_and_cache(spark, tmp_path):
     assert judging.unscored(df, judging.fresh(cache, now=200.0)).count() == 1
     assert judging.unscored(df, judging.fresh(cache, now=9000.0)).count() == 2
     assert judging.with_cached(df, judging.fresh(cache, now=200.0)).where("cached_score = 0.7").count() == 2
+
+
+def test_second_run_asks_nothing(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def client(body):
+        with open(log, "a") as file:
+            file.write("x")
+        if "broken" in body and len(log.read_text()) < 9:
+            raise RuntimeError
+        return json.dumps({"choices": [{"message": {"content": '{"score": 7}'}}]})
+
+    data = [("math", "p", "fine", "1"), ("math", "p", "fine", "1"), (None, "p", "other", None), (None, "p", "broken", None)]
+    df = spark.createDataFrame(data, "preset string, prompt string, response string, ground_truth string").coalesce(1)
+    store = ScoreCache(spark, str(tmp_path / "scores"), buckets=3)
+
+    def run(now):
+        out = judging.score_with_cache(df, store, client, now=now, tries=2, pause=0.0).collect()
+        return sorted((r.response, r.score) for r in out), len(log.read_text())
+
+    first = [("broken", 0.5), ("fine", 0.7), ("fine", 0.7), ("other", 0.7)]
+    assert run(100.0) == (first, 4)  # the broken one twice
+    assert run(200.0) == (first, 6)
+    store.compact(now=200.0)
+    log.write_text("x" * 10)
+    last = [("broken", 0.7), ("fine", 0.7), ("fine", 0.7), ("other", 0.7)]
+    assert run(300.0) == (last, 11)
+    assert run(400.0) == (last, 11)  # all is known
+    assert run(3800.0) == (last, 13)  # two are too old, the third is not
+    store.compact(now=3800.0)
+    assert store.rows().count() == 3 and ScoreCache(spark, str(tmp_path / "scores")).fresh(now=3800.0).count() == 3
+
+
+@pytest.mark.parametrize("limit, slice_rows", [(10**6, 10**5), (10**6, 4), (10, 4)])
+def test_context_replies(spark, limit, slice_rows):
+    turns = [(c, t, "assistant" if t % 2 else "user", f"{c}-{t}") for c in range(3) for t in range(1 + 12 * c)]
+    df = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string").repartition(4)
+    for width in (None, 1, 3, 9):
+        out = prep.context_replies(df, context_turns=width, limit=limit, slice_rows=slice_rows)
+        got = {(r.conv_id, r.turn): ([m.content for m in r.context], r.reply) for r in out.collect()}
+        want = {(c, t): ([f"{c}-{k}" for k in range(0 if width is None else max(0, t - width), t)], x) for c, t, role, x in turns if role == "assistant"}
+        assert got == want
+
+
+def test_cut_texts_are_parts_of_the_text(spark):
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    texts = ["", None, "  one  two\tthree\n four ", "word", "don't stop-believing, 日本語 größe!  ok", "a b c d"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for offsets in (prep.word_offsets, prep.tokenizer_offsets(path), lambda t: [(k, k + 1) for k in range(len(t))]):
+        for limit in (0, 1, 2, 3, 50):
+            cuts = [prep.cut_tokens(limit, mode, offsets)(F.col("text")).alias(mode) for mode in ("right", "left")]
+            for row in df.select("text", *cuts).collect():
+                if row.text is None:
+                    assert row.right is None and row.left is None
+                    continue
+                n = len(offsets(row.text))
+                assert row.text.startswith(row.right) and row.text.endswith(row.left)
+                assert (row.right, row.left) == (row.text, row.text) if n <= limit else True
+                assert len(offsets(row.right)) <= max(limit, 0) or n <= limit
+    assert df.select(prep.cut_tokens(2)(F.col("text"))).collect()[2][0] == "  one  two"
+    with pytest.raises(Exception, match="longer than 2"):
+        df.select(prep.cut_tokens(2, "error")(F.col("text"))).collect()
+    with pytest.raises(ValueError):
+        prep.cut_tokens(2, "middle")

@@ -192,6 +192,44 @@ def test_written_summaries_samples_checkpoints(spark, tmp_path):
     assert logs.read_samples(spark, folder).count() == 100
 
 
+def test_sample_log_ends_at_its_limit(spark, tmp_path):
+    folder = str(tmp_path)
+    schema = "experiment string, step int, response string"
+    rows = [("a", k, f"r{k}") for k in range(70)] + [("b", k, "x") for k in range(8)] + [(None, k, "n") for k in range(12)]
+    for k in range(0, 70, 20):
+        part = [r for r in rows if k <= r[1] < k + 20]
+        logs.append_samples(spark.createDataFrame(part, schema).repartition(3), folder, max_samples=50)
+    held = spark.read.schema(schema).json(f"{folder}/samples.jsonl").collect()
+    assert sorted((r for r in held), key=repr) == sorted(((e, s, t) for e, s, t in rows if e != "a" or s < 50), key=repr)
+    one = str(tmp_path / "one")
+    for k in (0, 30):
+        logs.append_samples(spark.createDataFrame([(k + j,) for j in range(30)], "step int"), one, max_samples=40)
+    assert sorted(r.step for r in spark.read.json(f"{one}/samples.jsonl").collect()) == list(range(40))
+
+
+def test_kept_checkpoints_are_the_newest(spark, tmp_path):
+    folder = str(tmp_path)
+    schema = "experiment string, step int, timestamp string, metrics map<string, double>"
+
+    def save(steps, value, run="a"):
+        return logs.keep_checkpoints(spark.createDataFrame([(run, s, "t", {"m": value}) for s in steps], schema), folder)
+
+    def held():
+        return sorted((r.experiment, r.step, r.metrics["m"]) for r in logs.read_checkpoints(spark, folder).collect())
+
+    assert save([0, 50, 100, 200, 300], 1.0) == 0
+    assert held() == [("a", s, 1.0) for s in (100, 200, 300)]
+    save([400, 500, 300], 2.0)
+    assert held() == [("a", 100, 1.0), ("a", 200, 1.0), ("a", 300, 2.0), ("a", 400, 2.0), ("a", 500, 2.0)]
+    assert save([600, 100], 3.0, "b") == 2
+    assert save(range(600, 1300, 100), 4.0) == 3
+    assert held() == [*[("a", s, 4.0) for s in range(800, 1300, 100)], ("b", 100, 3.0), ("b", 600, 3.0)]
+    table = tmp_path / "kept_checkpoints"
+    assert sorted(p.name for p in table.glob("version=*")) == ["version=2", "version=3"]
+    (table / "version=4").mkdir()  # a writer lost before its end
+    assert len(held()) == 7 and save([1300], 5.0, "b") == 4
+
+
 def test_lines_as_trainers_write_them(spark):
     rows = ['{"loss": 1.5, "kl": 0.1}', '{"loss": NaN, "kl": Infinity}', '{"loss": 2, "loss": 0.5}', '{"a": 1} x', '{"a": 1}{"b": 2}',
             '{"a": 1}, {"b": 2}', "[1]", "", None, '{"a": [1, {"b": NaN}]} ']
