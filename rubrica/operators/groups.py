@@ -119,14 +119,16 @@ def group_advantages(
     group: str,
     reward: str = "score",
     by_std: bool = True,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Reward relative to its group: (r - mean) / sample std, or r - mean without ``by_std``.
 
-    0 where the std is NULL (one response) or below 1e-12 (equal rewards).
+    0 where the std is NULL (one response) or below 1e-12 (equal rewards). ``sizes`` is a cheaper table with
+    the same groups to measure.
     """
     r = F.nanvl(F.col(reward), F.lit(None).cast("double"))
     stats = {"group_mean": F.avg(r), "group_std": F.stddev_samp(r)}
-    return _with_advantage(with_group_values(df, [group], stats), reward, by_std)
+    return _with_advantage(with_group_values(df, [group], stats, sizes=sizes), reward, by_std)
 
 
 def _with_advantage(out: DataFrame, reward: str, by_std: bool = True) -> DataFrame:

@@ -135,11 +135,17 @@ def first_rows(
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= n)
 
 
-def with_group_values(df: DataFrame, by: Sequence[str], values: dict[str, Column]) -> DataFrame:
-    """Add group aggregates to every row.
+def with_group_values(
+    df: DataFrame, by: Sequence[str], values: dict[str, Column], limit: int = GROUP_LIMIT, sizes: DataFrame | None = None
+) -> DataFrame:
+    """Add group aggregates to every row; ``df`` is computed once.
 
-    The aggregates are added up before their shuffle and joined back, one row per group: a group of any
-    size is split by the adaptive skew join.
+    ``sizes`` is a cheaper table with the same groups. Where it shows that every group fits into a task, a
+    window does it. Else the rows are written, the aggregates are added up before their shuffle and joined back,
+    one row per group: a group of any size is split by the adaptive skew join.
     """
     by = list(by)
+    if sizes is not None and group_bound(sizes, by, limit) <= limit:
+        return df.withColumns({n: c.over(Window.partitionBy(*by)) for n, c in values.items()})
+    df = settle(df, "rows")
     return join_left(df, df.groupBy(*by).agg(*[c.alias(n) for n, c in values.items()]), by)

@@ -60,9 +60,8 @@ def _staged(df: DataFrame, sources: dict[str, list[str]], answer: Callable) -> D
     """Add _match (NULL without an answer), _share (qa only) and _parses (code only)."""
     rule, text = F.col("_rule"), F.col("_text")
     staged = _text(df).withColumn("_rule", rule_of(F.col("data_source"), sources))
-    # only code rows leave the JVM
-    code = staged.where(rule == "code").withColumn("_parses", r.parses_as_python(text))
-    staged = staged.where(rule != "code").withColumn("_parses", F.lit(None).cast("boolean")).unionByName(code)
+    # one pass over all rows; only the texts of code rows leave the JVM
+    staged = staged.withColumn("_parses", r.parses_as_python(F.when(rule == "code", text)))
     staged = once(
         staged,
         _answer=F.when(rule.isin("math", "default"), answer(text)),

@@ -173,6 +173,28 @@ def history_files(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def history_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Run histories exported as Parquet, CSV and JSON lines, read as the metric table."""
+    path = fresh_path(spark, "history")
+    rows = run_queries.steps(spark, sf).selectExpr("experiment AS run", "step AS _step", "reward_mean", "kl_divergence AS `loss/kl`", "'note' AS note")
+    rows.write.parquet(f"{path}.parquet")
+    rows.write.option("header", True).csv(f"{path}.csv")
+    rows.write.json(f"{path}.jsonl")
+    out = None
+    for kind in ("parquet", "csv", "jsonl"):
+        found = logs.history_metrics(spark, f"{path}.{kind}").select(
+            F.lit(kind).alias("kind"), "experiment", "step", F.col("metrics")["reward_mean"].alias("reward"), F.col("metrics")["loss/kl"].alias("kl"), F.size("metrics").alias("n")
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_TABLE = f"{run_queries._STEPS} " + " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, experiment, step, reward_mean AS reward, kl_divergence AS kl,"
+    " ((reward_mean IS NOT NULL)::INTEGER + (kl_divergence IS NOT NULL)::INTEGER)::INTEGER AS n FROM steps"
+    for k in ("parquet", "csv", "jsonl")
+)
+
 _HISTORY = f"{run_queries._STEPS} " + " UNION ALL ".join(
     f"SELECT experiment, count(*) AS n, arg_max(reward_mean, step) AS latest, '{k}' AS kind FROM steps GROUP BY experiment"
     for k in ("parquet", "csv", "jsonl")
@@ -290,6 +312,7 @@ QUERIES = {
     "bounded_samples": bounded_samples,
     "pruned_checkpoints": pruned_checkpoints,
     "history_files": history_files,
+    "history_table": history_table,
     "appended_logs": appended_logs,
     "tailed_lines": tailed_lines,
     "rotated_log": rotated_log,
@@ -309,6 +332,7 @@ SQL = {
     "bounded_samples": _BOUNDED,
     "pruned_checkpoints": _CHECKPOINTS,
     "history_files": _HISTORY,
+    "history_table": _TABLE,
     "appended_logs": _APPENDED,
     "tailed_lines": _TAILED,
     "rotated_log": _TAILED,

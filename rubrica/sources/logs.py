@@ -162,7 +162,12 @@ def experiments(lines: DataFrame) -> DataFrame:
 
 
 def list_experiments(spark: SparkSession, log_dir: str) -> DataFrame:
-    return experiments(_run_lines(spark, log_dir))
+    """The runs that have a log, empty ones too: the files are listed, none is read."""
+    found = _or_none(lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{log_dir}/*_metrics.jsonl"))
+    if found is None:
+        return spark.createDataFrame([], "experiment string")
+    file = F.regexp_replace("path", _PARTS, "")
+    return experiments(found.select(run_name(file).alias("experiment")))
 
 
 def _or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
@@ -385,6 +390,34 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
 
 
+#: Names under which exports hold the fixed columns of the metric table, and those columns' types.
+_EXPORTED = {"experiment": ("experiment", "run", "name"), "step": ("step", "_step", "global_step"), "epoch": ("epoch",), "timestamp": ("timestamp", "_timestamp")}
+_FIXED = {"experiment": "string", "step": "bigint", "epoch": "bigint", "timestamp": "double"}
+
+
+def history_metrics(spark: SparkSession, path: str, experiment: str | None = None) -> DataFrame:
+    """An exported history as the metric table: experiment, step, epoch, timestamp, and all its numbers in the map ``metrics``.
+
+    Types are not inferred from a CSV: a cell is a number if it reads as one. NULL and empty cells are no
+    metrics; text, nested and boolean columns are left out. ``experiment`` names the run where the export does not.
+    """
+    if path.endswith(".csv"):
+        rows = spark.read.option("header", True).csv(path)
+    else:
+        rows = read_history(spark, path)
+    kinds = dict(rows.dtypes)
+    source = {name: next((c for c in names if c in kinds), None) for name, names in _EXPORTED.items()}
+    fixed = [
+        (F.col(f"`{source[name]}`").try_cast(kind) if source[name] else F.lit(experiment if name == "experiment" else None).cast(kind)).alias(name)
+        for name, kind in _FIXED.items()
+    ]
+    numeric = ["double", "float", "bigint", "int", "smallint", "tinyint", *(["string"] if path.endswith(".csv") else [])]
+    names = [c for c, kind in kinds.items() if c not in source.values() and (kind in numeric or kind.startswith("decimal"))]
+    entries = [x for c in names for x in (F.lit(c), F.col(f"`{c}`").try_cast("double"))]
+    metrics = F.create_map(*entries) if entries else F.create_map().cast("map<string, double>")
+    return rows.select(*fixed, F.map_filter(metrics, lambda _, v: v.isNotNull()).alias("metrics"))
+
+
 def pivot_scalars(scalars: DataFrame, tags: Sequence[str], step: str = "step") -> DataFrame:
     """Exported scalar events (step, tag, value) to one column per tag."""
     keys = [c for c in scalars.columns if c not in ("tag", "value", step)]
