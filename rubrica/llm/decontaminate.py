@@ -6,12 +6,13 @@ either side; a document's normalised text runs through it once, whatever the num
 Each hit is mapped from the normalised text to words, and from words to characters of the original.
 
 Windows are broadcast, at most ``MAX_BYTES`` of them at a time: a larger benchmark is cut by window
-hash into parts of bounded size that scan the documents one after the other, and the hits of the
-parts are united per document. So the automaton fits any executor and no benchmark is too large.
+hash into parts of bounded size, and every row passes the parts one after the other, each adding what it
+finds to the row's own hits. So the automaton fits any executor, no benchmark is too large, and the number
+of parts changes no row.
 
-Null or empty texts have no words; an item without words matches nothing; repeated items count once
-per item_id; repeated documents are scanned alike; an empty benchmark leaves every document clean;
-a long text is scanned whole. Extra columns are ignored whatever their names, and ``drop_contaminated``
+Null or empty texts have no words; an item without words matches nothing; an item without an id hits words
+but is not listed; repeated items count once per item_id; repeated documents are scanned alike and all given
+back; an empty benchmark leaves every document clean; a long text is scanned whole. Extra columns are ignored whatever their names, and ``drop_contaminated``
 and ``cut_contaminated`` keep those of the documents.
 """
 
@@ -22,10 +23,11 @@ from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rubrica.llm.common import LOWER, UPPER, read
+from rubrica.llm.common import LOWER, UPPER, ascii_lower, read, text_of, written
 
 WINDOW = 10
 #: Most bytes of window text in one automaton.
@@ -39,19 +41,15 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").translate(_LOWERED))
 
 
-def item_windows(text: str | None, width: int = WINDOW) -> list[str]:
-    """The distinct windows of an item; one of fewer words than ``width`` is a window itself."""
-    own = words(text)
-    if not own:
-        return []
-    return list(dict.fromkeys(" ".join(own[k : k + width]) for k in range(max(1, len(own) - width + 1))))
-
-
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """(window, items): each distinct window with the items that hold it."""
-    cut = F.udf(lambda t: item_windows(t, width), "array<string>")
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.explode(cut(F.col(text))).alias("window"))
-    return rows.where("item IS NOT NULL").groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    """(window, items): each distinct window with the items that hold it; an item of fewer words than
+    ``width`` is a window itself."""
+    own = F.regexp_extract_all(ascii_lower(text_of(text)), F.lit(f"({WORD.pattern})"), F.lit(1))
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), own.alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0)))
+    cut = F.transform(starts, lambda k: F.array_join(F.slice("w", k + 1, F.lit(width)), " "))
+    windows = rows.select("item", F.explode(F.array_distinct(cut)).alias("window"))
+    return windows.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 class Matcher:
@@ -77,19 +75,13 @@ class Matcher:
             return len(own), [], []
         # the blank behind word k of the normalised text tells which word ends there
         ends = np.cumsum([len(w) + 1 for w in own])
-        runs: list[list[int]] = []
         found: set[str] = set()
         spans = []
         for end, number in hits:
             last = int(np.searchsorted(ends, end)) + 1
             spans.append((last - self.widths[number], last))
             found.update(self.items[number])
-        for first, last in sorted(spans):
-            if runs and first <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], last)
-            else:
-                runs.append([first, last])
-        return len(own), [(a, b) for a, b in runs], sorted(found)
+        return len(own), united(spans), sorted(found)
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
@@ -97,30 +89,57 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in WORD.finditer(text.translate(_LOWERED))]
 
 
-def _scan_part(docs: DataFrame, keep: Sequence[str], windows: Sequence[tuple[str, list[str]]], text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-    source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    extra = ["n_words bigint", "_spans array<struct<a:bigint,b:bigint>>", "_items array<string>", "_chars array<struct<a:bigint,b:bigint>>"]
-    pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs that may overlap, as runs that do not."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(runs):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
+_PAIRS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+#: What a part adds to: words, hit runs of words, items; and with the last part the runs in characters.
+_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("_spans", _PAIRS), T.StructField("_items", T.ArrayType(T.StringType()))]
+_PLACED = [*_FOUND, T.StructField("_chars", _PAIRS)]
+
+
+def _scan_part(rows: DataFrame, keep: Sequence[str], windows: Sequence[tuple[str, list[str]]], last: bool) -> DataFrame:
+    """Add a part's hits to each row's own: (keep, n_words, _spans, _items) and the text, or with the last part its hits in characters."""
+    shared = rows.sparkSession.sparkContext.broadcast(windows)
+    before = "_spans" in rows.columns
+    found = _PLACED if last else _FOUND
+    carried = [*keep] if last else [*keep, "_text"]
+    schema = T.StructType([*rows.select(*carried).schema.fields, *found])
+    pairs = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    kinds = {"n_words": pa.int64(), "_spans": pairs, "_items": pa.list_(pa.string()), "_chars": pairs}
+    names = [f.name for f in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(shared)
         for batch in batches:
-            n, spans, items, chars = [], [], [], []
+            out: dict[str, list] = {name: [] for name in names}
+            earlier = zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()) if before else None
             for value in batch.column("_text"):
-                t = value.as_py()
-                count, runs, found = matcher.scan(t)
-                n.append(count)
-                spans.append([{"a": a, "b": b} for a, b in runs])
-                items.append(found)
-                at = word_spans(t) if runs else []
-                chars.append([{"a": at[a][0], "b": at[b - 1][1]} for a, b in runs])
-            columns = [batch.column(c) for c in keep]
-            columns += [pa.array(n, pa.int64()), pa.array(spans, pair), pa.array(items, pa.list_(pa.string())), pa.array(chars, pair)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_words", "_spans", "_items", "_chars"])
-
-    return source.mapInArrow(run, ", ".join([*own, *extra]))
+                text = value.as_py()
+                count, runs, items = matcher.scan(text)
+                if earlier is not None:
+                    spans, known = next(earlier)
+                    runs = united([*runs, *((s["a"], s["b"]) for s in spans)])
+                    items = sorted({*items, *known})
+                out["n_words"].append(count)
+                out["_spans"].append([{"a": a, "b": b} for a, b in runs])
+                out["_items"].append(items)
+                if last:
+                    at = word_spans(text) if runs else []
+                    out["_chars"].append([{"a": at[a][0], "b": at[b - 1][1]} for a, b in runs])
+            columns = [batch.column(c) for c in carried]
+            columns += [pa.array(out[name], kinds[name]) for name in names]
+            yield pa.RecordBatch.from_arrays(columns, names=[*carried, *names])
+
+    return rows.mapInArrow(run, schema)
 
 
 #: The windows last used by this worker and their automaton. The windows are held too: an address alone could come to be
@@ -139,6 +158,7 @@ def _matcher(shared) -> Matcher:
 
 def _parts(windows: DataFrame, most: int) -> Iterator[list[tuple[str, list[str]]]]:
     """The windows in parts of at most about ``most`` bytes, chosen by hash; each is collected alone."""
+    windows = written(windows, "windows")  # read once for every part
     weight = F.octet_length("window") + F.lit(16) * F.size("items")
     total = windows.agg(F.sum(weight)).first()[0] or 0
     count = -(-int(total) // most)
@@ -157,49 +177,34 @@ def scan(
 ) -> DataFrame:
     """Add ``n_words``, ``n_hit`` (words inside any occurrence of a window), ``items`` (sorted, found)
     and ``spans`` (start, end in characters of the original) to the columns in ``keep``.
-
-    With several parts, the rows of ``keep`` must tell documents apart; repeated rows are given back once.
     """
-    windows = benchmark_windows(benchmark, width=width)
-    parts = [_scan_part(docs, keep, part, text) for part in _parts(windows, max_bytes)]
-    if len(parts) == 1:
-        df = parts[0]
-    else:
-        both = parts[0]
-        for more in parts[1:]:
-            both = both.unionAll(more)
-        df = both.groupBy(*keep).agg(
-            F.max("n_words").alias("n_words"),
-            _united("_spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
-            _united("_chars"),
-        )
+    rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    df = _scanned(rows, keep, benchmark_windows(benchmark, width=width), max_bytes)
     hit = F.aggregate("_spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["b"] - s["a"])
     spans = F.transform("_chars", lambda s: F.struct(s["a"].alias("start"), s["b"].alias("end")))
     return df.select(*keep, "n_words", hit.alias("n_hit"), F.col("_items").alias("items"), spans.alias("spans"))
 
 
-def _united(column: str) -> F.Column:
-    """Union of runs collected from several parts, as runs that do not overlap."""
-    runs = F.sort_array(F.flatten(F.collect_list(column)))
-    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-
-    def add(acc: F.Column, run: F.Column) -> F.Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.struct(last["a"].alias("a"), F.greatest(last["b"], run["b"]).alias("b"))
-        return F.when(F.coalesce(run["a"] <= last["b"], F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(
-            F.concat(acc, F.array(run))
-        )
-
-    return F.aggregate(runs, none, add).alias(column)
+def _scanned(rows: DataFrame, keep: Sequence[str], windows: DataFrame, max_bytes: int) -> DataFrame:
+    """(keep, n_words, _spans, _items, _chars) of rows of (keep, _text). Between parts the rows are written, so that a task
+    holds one automaton at a time."""
+    parts = _parts(windows, max_bytes)
+    part = next(parts)
+    for following in parts:
+        rows = written(_scan_part(rows, keep, part, last=False), "scanned")
+        part = following
+    return _scan_part(rows, keep, part, last=True)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The documents without any hit, with all their columns; one part of the benchmark after the other
     drops what it finds."""
-    for part in _parts(benchmark_windows(benchmark, width=width), max_bytes):
-        docs = _drop_part(docs, part, text)
-    return docs
+    parts = _parts(benchmark_windows(benchmark, width=width), max_bytes)
+    part = next(parts)
+    for following in parts:
+        docs = written(_drop_part(docs, part, text), "clean")
+        part = following
+    return _drop_part(docs, part, text)
 
 
 def _drop_part(docs: DataFrame, windows: Sequence[tuple[str, list[str]]], text: str) -> DataFrame:
@@ -217,34 +222,25 @@ def _drop_part(docs: DataFrame, windows: Sequence[tuple[str, list[str]]], text:
 def cut_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The documents with every hit passage cut out; other columns and clean texts stay as they are.
 
-    One part of the benchmark after the other cuts what it holds.
+    Passages are found by all parts of the benchmark before any is cut.
     """
-    for part in _parts(benchmark_windows(benchmark, width=width), max_bytes):
-        docs = _cut_part(docs, part, text)
-    return docs
 
-
-def _cut_part(docs: DataFrame, windows: Sequence[tuple[str, list[str]]], text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-
-    def clean(matcher: Matcher, value: str | None) -> str | None:
-        runs = matcher.scan(value)[1]
-        if not runs:
-            return value
-        at, parts, end = word_spans(value), [], 0
-        for a, b in runs:
-            parts.append(value[end : at[a][0]])
-            end = at[b - 1][1]
-        return "".join(parts) + value[end:]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(shared)
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            field = batch.schema.field(at)
-            yield batch.set_column(at, field, pa.array([clean(matcher, v.as_py()) for v in batch.column(at)], field.type))
-
-    return docs.mapInArrow(run, docs.schema)
+    @F.pandas_udf(T.StringType())
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for value, spans in zip(texts, found):
+            parts, end = [], 0
+            for span in spans:
+                parts.append(value[end : span["a"]])
+                end = span["b"]
+            out.append("".join(parts) + value[end:] if len(spans) else value)
+        return pd.Series(out, dtype=object)
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(f"`{text}`").cast("string").alias("_text"))
+    found = _scanned(rows, ["row"], benchmark_windows(benchmark, width=width), max_bytes)
+    found = found.withColumn("_cut", cut(F.col(f"row.`{text}`").cast("string"), "_chars"))
+    return found.select(*[F.col("_cut").cast(docs.schema[text].dataType).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,3 +169,27 @@ def test_decontamination_on_awkward_rows(spark, awkward, nothing):
     assert decontaminate.scan(awkward, empty, ["doc_id"]).where("n_hit > 0").count() == 0
     assert decontaminate.scan(nothing, bench, ["doc_id"]).count() == 0
     assert decontaminate.drop_contaminated(awkward, bench).columns == awkward.columns
+
+
+@pytest.mark.parametrize("max_bytes", [700, 32 << 20])
+def test_parts_change_no_row(spark, max_bytes):
+    """Repeated ids with other texts, repeated rows, items without an id, passages of items that overlap."""
+    words = [f"w{k}" for k in range(40)]
+    items = [(1, " ".join(words[:20])), (2, " ".join(words[15:35])), (None, "x1 x2 x3 x4 x5"), (1, "short item"), (3, None), (3, ""), (4, "  --  ")]
+    docs = [(1, "A " + " ".join(words) + " z"), (1, "nothing here"), (1, "A " + " ".join(words) + " z"), (2, "x1, X2 x3 x4 x5 x6; short ITEM."), (None, "short item"), (3, None)]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    d = spark.createDataFrame([(*r, "s") for r in docs], "doc_id int, text string, `_text` string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans]) for r in decontaminate.scan(d, bench, ["doc_id"], max_bytes=max_bytes).collect()), key=repr)
+    long = (1, 42, 35, ["1", "2"], [(2, 2 + len(" ".join(words[:35])))])
+    want = [long, long, (1, 2, 0, [], []), (2, 8, 7, ["1"], [(0, 15), (20, 30)]), (None, 2, 2, ["1"], [(0, 10)]), (3, 0, 0, [], [])]
+    assert got == sorted(want, key=repr)
+    cut = decontaminate.cut_contaminated(d, bench, max_bytes=max_bytes)
+    rest = "A  " + " ".join(words[35:]) + " z"
+    assert cut.columns == d.columns and sorted([r.text for r in cut.collect()], key=repr) == sorted([rest, rest, "nothing here", " x6; .", "", None], key=repr)
+    clean = decontaminate.drop_contaminated(d, bench, max_bytes=max_bytes)
+    assert sorted([r.text for r in clean.collect()], key=repr) == sorted(["nothing here", None], key=repr)
+
+
+def test_windows_need_no_python(spark):
+    plan = decontaminate.benchmark_windows(spark.createDataFrame([(1, "a b c")], "item_id int, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
