@@ -19,7 +19,7 @@ and ``cut_contaminated`` keep those of the documents.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -32,6 +32,8 @@ from rubrica.llm.common import LOWER, UPPER, ascii_lower, read, text_of, written
 WINDOW = 10
 #: Most bytes of window text in one automaton.
 MAX_BYTES = 32 << 20
+#: Most parts that a task passes in one go.
+CHAINED = 6
 #: Words of lowered text.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWERED = str.maketrans(UPPER, LOWER)
@@ -185,26 +187,32 @@ def scan(
     return df.select(*keep, "n_words", hit.alias("n_hit"), F.col("_items").alias("items"), spans.alias("spans"))
 
 
-def _scanned(rows: DataFrame, keep: Sequence[str], windows: DataFrame, max_bytes: int) -> DataFrame:
-    """(keep, n_words, _spans, _items, _chars) of rows of (keep, _text). Between parts the rows are written, so that a task
-    holds one automaton at a time."""
-    parts = _parts(windows, max_bytes)
-    part = next(parts)
+def _through(rows: DataFrame, parts: Iterator[list], step: Callable[[DataFrame, list, bool], DataFrame]) -> DataFrame:
+    """Let rows pass part after part; ``step`` is told which one is the last. The rows are written before a task would
+    hold automata over more than ``MAX_BYTES`` of windows, or many of them, at a time."""
+    part, chained, held = next(parts), 0, 0
     for following in parts:
-        rows = written(_scan_part(rows, keep, part, last=False), "scanned")
+        rows, chained, held = step(rows, part, False), chained + 1, held + _weight(part)
+        if chained == CHAINED or held + _weight(following) > MAX_BYTES:
+            rows, chained, held = written(rows, "scanned"), 0, 0
         part = following
-    return _scan_part(rows, keep, part, last=True)
+    return step(rows, part, True)
+
+
+def _weight(part: list) -> int:
+    return sum(len(window) + 16 for window, _ in part)
+
+
+def _scanned(rows: DataFrame, keep: Sequence[str], windows: DataFrame, max_bytes: int) -> DataFrame:
+    """(keep, n_words, _spans, _items, _chars) of rows of (keep, _text)."""
+    return _through(rows, _parts(windows, max_bytes), lambda df, part, last: _scan_part(df, keep, part, last))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The documents without any hit, with all their columns; one part of the benchmark after the other
     drops what it finds."""
     parts = _parts(benchmark_windows(benchmark, width=width), max_bytes)
-    part = next(parts)
-    for following in parts:
-        docs = written(_drop_part(docs, part, text), "clean")
-        part = following
-    return _drop_part(docs, part, text)
+    return _through(docs, parts, lambda df, part, _: _drop_part(df, part, text))
 
 
 def _drop_part(docs: DataFrame, windows: Sequence[tuple[str, list[str]]], text: str) -> DataFrame:
