@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -53,6 +54,35 @@ def test_every_match_satisfies_its_query():
     assert all(any(number >= 3 for _, number, _ in spans) for spans in found)
 
 
+def test_web_tokens_equal_the_plain_pattern():
+    rng = random.Random(8)
+    plain_token = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+    parts = ["eyJ", "eyJ", ".", ".", "abcdefghij", "k-_", "0123456789", " ", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 40))) for _ in range(30000)]
+    number = next(k for k, r in enumerate(secrets.RULES) if r.kind == "web_token")
+    some = 0
+    for text, spans in zip(texts, secrets.Scanner().scan(texts)):
+        want = [m.span() for m in plain_token.finditer(text)]
+        assert [(a, b) for a, k, b in spans if k == number] == want, text
+        some += len(want)
+    assert some > 100
+
+
+LONG = ["eyJ", "eyJaaaaaaaaaa.", "eyJ.eyJ", "://a:", "://", "password ", "token=", "api_key", "AKIA", "ghp_", "xoxb-", "AIza", "sk_live_", "deadbeef ",
+        "-----BEGIN ", "-----BEGIN PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY-----\\n \t", "A ", "MIICabcd\n", " ", "-", '"\\n'] + [f"-----BEGIN PRIVATE KEY----- {c}" for c in "a-\n"]
+
+
+@pytest.mark.parametrize("part", LONG)
+def test_every_rule_takes_linear_time(part):
+    """A quadratic rule takes minutes on these."""
+    tail = " ghp_ xoxb- AIza sk_live_ ://a:b@c AKIA .eyJ eyJa -----BEGIN PRIVATE KEY----- password"
+    scanner = secrets.Scanner()
+    for start in ("", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----", "password", "://"):
+        begin = time.process_time()
+        scanner.scan([start + part * (500_000 // len(part)) + tail])
+        assert time.process_time() - begin < 5
+
+
 KEY = ["MIIEowIBAAKCAQEAx" + "Zz0+/" * 9, "Qk" * 32, "+a/b" * 16, "c2hvcnQ="]
 
 
