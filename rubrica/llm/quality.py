@@ -4,9 +4,10 @@ A fixed cutoff is wrong for some language or source: code has long words, German
 than English. Every document is measured; each measure is summarised per (language, source) cell
 by a histogram of exponentially growing buckets, a quantile sketch that merges by adding counts,
 does not depend on the order of rows and never misses a bucket boundary by more than 1/32 of the
-value. A threshold is the cell's median plus ``SPREADS`` times its interquartile range. Cells of
-fewer than ``min_rows`` documents take the merged sketch of their language, languages of fewer the
-merged sketch of all documents.
+value. A threshold is the cell's median plus ``SPREADS`` times its interquartile range. Quartiles are
+shrunk: a cell's own count for their rows, those of its language for ``prior_rows`` more, and a
+language's likewise towards those of all documents. So a small cell follows its language, a large one
+itself, and no single row moves a threshold far.
 
 Everything runs on built-in functions; the only shuffles carry bucket counts.
 
@@ -33,12 +34,12 @@ MEASURES = {
     "symbol_share": (20, False),
     "upper_share": (40, False),
     "dup_line_share": (70, False),
-    "repeat_share": (35, False),
+    "repeat_share": (30, False),
 }
 #: Interquartile ranges between the median and a threshold.
 SPREADS = 6
-#: Fewest documents that give a cell thresholds of its own.
-MIN_ROWS = 200
+#: Documents that the quartiles of a cell's language count for beside the cell's own.
+PRIOR_ROWS = 200
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -166,7 +167,7 @@ def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def thresholds(sketches: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def thresholds(sketches: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """Lowest and highest accepted value per (language, source) and measure: (lang, source,
     low_<measure>, high_<measure>), one row per cell."""
     cell = quartiles(sketches, ["lang", "source"])
@@ -179,12 +180,12 @@ def thresholds(sketches: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
         lang_stats, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("measure") == F.col("_m")), "left"
     ).join(all_stats, F.col("measure") == F.col("_a"), "left")
 
+    def shrunk(own: Column, rows: Column, towards: Column) -> Column:
+        return F.call_function("div", rows * own + F.lit(prior_rows) * towards, rows + F.lit(prior_rows))
+
     def pick(stat: str) -> Column:
-        return (
-            F.when(F.col("total") >= min_rows, F.col(stat))
-            .when(F.col("l_total") >= min_rows, F.col(f"l_{stat}"))
-            .otherwise(F.col(f"a_{stat}"))
-        )
+        by_lang = shrunk(F.col(f"l_{stat}"), F.col("l_total"), F.col(f"a_{stat}"))
+        return shrunk(F.col(stat), F.col("total"), by_lang)
 
     df = df.select("lang", "source", "measure", *[pick(s).alias(s) for s in ("q1", "q2", "q3")])
     fences = []
@@ -222,14 +223,17 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 def filter_documents(docs: DataFrame, limits: DataFrame | None = None, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass the fixed rules and their cell's thresholds, with all their columns.
 
-    ``limits`` are thresholds learnt before, by default those of ``docs`` itself.
+    ``limits`` are thresholds learnt before. By default they are those of ``docs`` itself: the rows that
+    pass the fixed rules are then written once with their measures, which both steps read back.
     """
-    limits = learn(docs, text, lang, source) if limits is None else limits
     rows = docs.select(
         F.struct("*").alias("_row"), F.col(text).alias("_t"), F.col(lang).alias("_l"), F.col(source).alias("_s")
     )
-    judged = judge(measure(rows, "_t", ["_row", "_l", "_s"]), limits, "_l", "_s")
-    return judged.where("kept").select("_row.*")
+    measured = measure(rows, "_t", ["_row", "_l", "_s"])
+    if limits is None:
+        measured = written(measured.where(~base_failed()), "measured")
+        limits = written(thresholds(sketch(measured, "_l", "_s")), "thresholds")
+    return judge(measured, limits, "_l", "_s").where("kept").select("_row.*")
 
 
 def judged_documents(docs: DataFrame) -> DataFrame:
@@ -293,9 +297,10 @@ WITH texts AS (
     min(b) FILTER (upto * 4 >= total * 2) AS q2, min(b) FILTER (upto * 4 >= total * 3) AS q3
   FROM counted GROUP BY m, l, s
 ), chosen AS (
-  SELECT c.m, c.l, c.s, CASE WHEN c.total >= {MIN_ROWS} THEN c.q1 WHEN g.total >= {MIN_ROWS} THEN g.q1 ELSE a.q1 END AS q1,
-    CASE WHEN c.total >= {MIN_ROWS} THEN c.q2 WHEN g.total >= {MIN_ROWS} THEN g.q2 ELSE a.q2 END AS q2,
-    CASE WHEN c.total >= {MIN_ROWS} THEN c.q3 WHEN g.total >= {MIN_ROWS} THEN g.q3 ELSE a.q3 END AS q3
+  SELECT c.m, c.l, c.s,
+    (c.total * c.q1 + {PRIOR_ROWS} * ((g.total * g.q1 + {PRIOR_ROWS} * a.q1) // (g.total + {PRIOR_ROWS}))) // (c.total + {PRIOR_ROWS}) AS q1,
+    (c.total * c.q2 + {PRIOR_ROWS} * ((g.total * g.q2 + {PRIOR_ROWS} * a.q2) // (g.total + {PRIOR_ROWS}))) // (c.total + {PRIOR_ROWS}) AS q2,
+    (c.total * c.q3 + {PRIOR_ROWS} * ((g.total * g.q3 + {PRIOR_ROWS} * a.q3) // (g.total + {PRIOR_ROWS}))) // (c.total + {PRIOR_ROWS}) AS q3
   FROM quarters c JOIN quarters g ON g.m = c.m AND g.l = c.l AND g.s IS NULL
   JOIN quarters a ON a.m = c.m AND a.l IS NULL WHERE c.s IS NOT NULL
 ), fences AS (

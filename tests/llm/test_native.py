@@ -146,6 +146,43 @@ def test_quality(spark, awkward, nothing):
     assert quality.filter_documents(nothing).count() == 0
 
 
+def test_each_measure_rejects_what_the_fixed_rules_keep(spark):
+    rng = random.Random(6)
+
+    def prose(n):
+        return [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}" for _ in range(n)]
+
+    odd = {
+        "word_length": " ".join("y" * (20 + k) for k in range(40)),
+        "symbol_share": " ".join(f"{w}#*" for w in prose(100)),
+        "upper_share": " ".join(prose(100)).upper(),
+        "dup_line_share": "\n--\n".join(" ".join(prose(9)) for _ in range(12)),
+    }
+    again = prose(9)
+    odd["repeat_share"] = " ".join([*again, *prose(38), *again, *prose(38)])
+    texts = [" ".join(prose(100)) for _ in range(400)] + list(odd.values())
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    rows = {r.doc_id: r for r in quality.judged_documents(docs).collect()}
+    assert all(rows[k].kept for k in range(400))
+    for k, name in enumerate(odd, 400):
+        assert not rows[k].base_failed and rows[k].failed == name and not rows[k].kept
+    assert {r.text for r in quality.filter_documents(docs).collect()} == set(texts[:400])
+
+
+def test_small_cells_lean_on_their_language(spark):
+    """Thresholds move little by little with the rows of a cell, not at one row."""
+    rows = [("en", "big", "word_length", 5000, 10_000), ("en", "small", "word_length", 9000, 0)]
+    highs = []
+    for n in (1, 199, 200, 201, 20_000):
+        cells = [(*r[:4], r[4] or n) for r in rows]
+        df = spark.createDataFrame(cells, "lang string, source string, measure string, bucket bigint, n bigint")
+        found = {r.source: r.high_word_length for r in quality.thresholds(df).collect()}
+        assert abs(found["big"] - 8000) < 100
+        highs.append(found["small"])
+    assert highs == sorted(highs) and highs[3] - highs[1] < 30
+    assert highs[0] < 8100 and highs[2] == pytest.approx(10_000, abs=60) and highs[4] > 11_900
+
+
 def test_sketches_merge_and_stay_close(spark):
     rng = random.Random(4)
     values = [int(rng.lognormvariate(7, 1)) for _ in range(5000)]
