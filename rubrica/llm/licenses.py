@@ -1,18 +1,20 @@
 """Licence scan over a positional index of rare words.
 
-Every template (a licence notice) is posted whole: each of its words with its position. A file looks
-up its own licence words of highest inverse document frequency in the scanned corpus, ``LOOKUPS`` of
-them, and the words of the mandatory key phrases it holds. Each posting votes for a relative position
-(place in the file minus place in the template); a template whose postings intersect in at least
-``AGREE`` votes for one relative position is a candidate there, and is reported where the file also
-holds all its key phrases. As a phrase's words agree with each other, no file with all phrases of a
-template is missed, however rare or common its words. The score is the share of the whole template's
-weight found in its place. Phrases are tried first, and only files with a template's phrases vote.
+Templates are whole licence notices. Of each, the rarer half of its words, by document frequency in the
+scanned corpus, and the ``AGREE`` rarest words of every mandatory key phrase are posted with their
+positions. A file looks up the ``LOOKUPS`` posted words of highest inverse document frequency that it
+holds, and the posted words of key phrases. Each posting votes, wherever the word stands in the file, for
+a relative position (place in the file minus place in the template); where postings meet in ``AGREE``
+votes or more for one relative position, the template is a candidate there. Only then is text compared:
+a candidate's key phrases are read at the places it puts them, and the file has the licence where each of
+the phrases is confirmed by one of the template's candidates. As the posted words of a phrase agree with
+each other wherever it stands, no file with all phrases of a template is missed. The score is the
+largest share of a whole template's weight found in place at a candidate of a confirmed template.
 
 Beside that, the fixed phrases of ``PHRASES`` are counted wherever their words stand consecutively.
 
 Built-in functions only and no shuffle but of word counts: postings travel in the plan, as their
-number depends on the templates alone. Null text is empty and has no words; repeated rows are scanned
+number depends on the templates alone. A file's votes grow with its posted words, not with its pairs. Null text is empty and has no words; repeated rows are scanned
 alike; long texts are scanned whole, in time proportional to their words; an empty table gives no
 rows; ties in rarity fall to the word first in the alphabet. Extra columns are ignored by the scan
 whatever their names.
@@ -31,23 +33,47 @@ from rubrica.llm.common import NO_WORD_RUN, ascii_lower, read, text_of
 from rubrica.session import once
 
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-#: Licence words looked up per file beside those of its phrases, and votes for one relative position that make a candidate.
+#: Rarest posted words looked up per file beside those of key phrases, and votes for one relative position that make a candidate.
 LOOKUPS, AGREE = 16, 2
+#: A vote in one number: the template's number above ``_SHIFT`` bits, below them the relative position plus ``_ZERO``.
+_SHIFT, _ZERO = 40, 1 << 20
+
+_WARRANTY = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+    "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors "
+    "or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or "
+    "otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
 
 #: Label, notice, mandatory key phrases; all lower case.
 TEMPLATES = [
     (
         "mit-notice",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-        "associated documentation files the software to deal in the software without restriction",
+        "associated documentation files the software to deal in the software without restriction including without "
+        "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
+        "software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the software " + _WARRANTY,
         ["permission is hereby granted free of charge"],
     ),
     ("mit-release", "released under the mit license", ["the mit license"]),
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with "
+        "the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by "
+        "applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific "
+        "language governing permissions and limitations under the license",
+        ["apache license version 2 0"],
+    ),
     (
         "gpl-notice",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu "
-        "general public license as published by the free software foundation",
+        "general public license as published by the free software foundation either version 3 of the license or at your "
+        "option any later version this program is distributed in the hope that it will be useful but without any "
+        "warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu "
+        "general public license for more details",
         ["gnu general public license", "free software"],
     ),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
@@ -55,22 +81,37 @@ TEMPLATES = [
     (
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted provided "
-        "that the following conditions are met",
+        "that the following conditions are met redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer redistributions in binary form must reproduce the above "
+        "copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+        "materials provided with the distribution",
         ["redistribution and use in source and binary forms"],
     ),
     (
         "isc",
         "permission to use copy modify and or distribute this software for any purpose with or without fee is "
-        "hereby granted",
+        "hereby granted provided that the above copyright notice and this permission notice appear in all copies the "
+        "software is provided as is and the author disclaims all warranties with regard to this software including all "
+        "implied warranties of merchantability and fitness in no event shall the author be liable for any special direct "
+        "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether "
+        "in an action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software",
         ["permission to use copy modify and or distribute this software"],
     ),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not "
+        "distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        ["mozilla public license"],
+    ),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
     (
         "unlicense",
-        "this is free and unencumbered software released into the public domain",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish "
+        "use compile sell or distribute this software either in source code form or as a compiled binary for any "
+        "purpose commercial or non commercial and by any means",
         ["free and unencumbered software"],
     ),
 ]
@@ -95,26 +136,53 @@ def document_frequencies(docs: DataFrame, words: Sequence[str], text: str = "tex
 
 @dataclass(frozen=True)
 class Index:
-    """The words of all templates from the rarest on, and per template all its (word, position,
-    share of the template's weight)."""
+    """``ranked``: the posted words from the rarest on; ``postings``: their (template, position); ``keys``: the posted
+    words of key phrases; ``templates``: per label all its (word, position, share of the template's weight)."""
 
     ranked: list[str]
+    postings: dict[str, list[tuple[int, int]]]
+    keys: list[str]
     templates: list[tuple[str, list[tuple[str, int, float]]]]
 
 
 def build_index(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> Index:
+    """Count the templates' words in all documents and post the rarer ones.
+
+    A key phrase must stand in its notice and have ``AGREE`` different words, or it could not be found.
+    """
     vocabulary = sorted({w for _, notice, _ in templates for w in notice.split()})
     frequency = document_frequencies(docs, vocabulary, text)
     most = max([1, *frequency.values()])
-    posted = []
-    for label, notice, _ in templates:
+
+    def rarest(words: Sequence[str]) -> list[str]:
+        return sorted(set(words), key=lambda w: (frequency[w], w))
+
+    postings: dict[str, list[tuple[int, int]]] = {}
+    keys, weighted = set(), []
+    for number, (label, notice, phrases) in enumerate(templates):
         words = notice.split()
+        own = rarest(words)
+        chosen = set(own[: (len(own) + 1) // 2])
+        for phrase in phrases:
+            if len(set(phrase.split())) < AGREE or not _starts(words, phrase.split()):
+                raise ValueError(f"{label}: no phrase of {AGREE} different words of its notice: {phrase}")
+            keys.update(rarest(phrase.split())[:AGREE])
+            chosen.update(rarest(phrase.split())[:AGREE])
+        for k, word in enumerate(words):
+            if word in chosen:
+                postings.setdefault(word, []).append((number, k))
         weights = [math.log2(2 + most / max(1, frequency[w])) for w in words]
-        posted.append((label, [(w, k, x / sum(weights)) for k, (w, x) in enumerate(zip(words, weights))]))
-    return Index(sorted(vocabulary, key=lambda w: (frequency[w], w)), posted)
+        weighted.append((label, [(w, k, x / sum(weights)) for k, (w, x) in enumerate(zip(words, weights))]))
+    return Index(rarest(list(postings)), postings, sorted(keys), weighted)
+
 
+def _starts(words: Sequence[str], phrase: Sequence[str]) -> list[int]:
+    return [k for k in range(len(words) - len(phrase) + 1) if list(words[k : k + len(phrase)]) == list(phrase)]
 
-def scan(docs: DataFrame, index: Index, keep: Sequence[str] = (), templates=TEMPLATES, text: str = "text") -> DataFrame:
+
+def scan(
+    docs: DataFrame, index: Index, keep: Sequence[str] = (), templates=TEMPLATES, text: str = "text", lookups: int = LOOKUPS
+) -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels and score to ``keep``."""
     df = once(docs.select(*keep, text_of(text).alias("_text")), _norm=_words(F.col("_text")))
     df = once(
@@ -133,26 +201,24 @@ def scan(docs: DataFrame, index: Index, keep: Sequence[str] = (), templates=TEMP
         firsts.append(F.when(has, _spaces(F.get(cut, F.lit(0)))))
         lasts.append(F.when(has, F.col("n_words") - after - F.lit(size)))
         names.append(F.when(has, F.lit(label)))
-    held = [reduce(lambda a, b: a & b, [F.contains(F.col("_padded"), F.lit(f" {p} ")) for p in phrases]) for _, _, phrases in templates]
     df = once(
         df,
         n_base=reduce(lambda a, b: a + b, counts),
         first_word=F.least(*firsts),
         last_word=F.greatest(*lasts),
         _base=F.array_compact(F.array(*names)),
-        _held=F.array_compact(F.array(*[F.when(has, F.lit(number)) for number, has in enumerate(held)])),
     )
-    votes = F.size("_held") > 0
-    df = once(df, _chosen=F.when(votes, _lookups(F.col("_list"), F.col("_held"), index, templates)))
-    df = once(df, _votes=F.when(votes, _votes(F.col("_list"), F.col("_chosen"), F.col("_held"), index)))
-    df = once(df, _found=F.when(votes, _candidates(F.col("_votes"))))
+    df = _with_candidates(df, index, lookups)
     labels, scores = [], []
-    for number, (label, places) in enumerate(index.templates):
+    for number, ((label, places), (_, notice, phrases)) in enumerate(zip(index.templates, templates)):
         own = F.filter("_found", _of(number))
-        sure = F.size(own) > 0
-        labels.append(F.when(sure, F.lit(label)))
-        scores.append(F.when(sure, F.array_max(F.transform(own, _share(F.col("_list"), places)))))
-    found = F.array_compact(F.array(*labels))
+        held = [F.exists(own, _stands(F.col("_list"), _starts(notice.split(), p.split()), p.split())) for p in phrases]
+        labels.append(F.when(reduce(lambda a, b: a & b, held), F.lit(label)))
+        scores.append(F.array_max(F.transform(own, _share(F.col("_list"), places))))
+    some = F.size("_found") > 0
+    df = once(df, _labels=F.when(some, F.array(*labels)))
+    scores = [F.when(F.get("_labels", F.lit(k)).isNotNull(), score) for k, score in enumerate(scores)]
+    found = F.coalesce(F.array_compact("_labels"), F.array().cast("array<string>"))
     based = F.when(F.size("_base") > 0, 1.0).otherwise(0.0)
     return df.select(
         *keep,
@@ -166,62 +232,76 @@ def scan(docs: DataFrame, index: Index, keep: Sequence[str] = (), templates=TEMP
     )
 
 
-def _of(number: int):
-    return lambda candidate: candidate["t"] == number
+def candidates(docs: DataFrame, index: Index, keep: Sequence[str] = (), text: str = "text", lookups: int = LOOKUPS) -> DataFrame:
+    """``keep``, the template's label, and the relative position at which its postings met: a row per candidate."""
+    df = once(docs.select(*keep, text_of(text).alias("_text")), _list=F.split(_words(F.col("_text")), " "))
+    df = _with_candidates(df, index, lookups).select(*keep, F.explode("_found").alias("_one"))
+    names = F.array(*[F.lit(label) for label, _ in index.templates])
+    return df.select(*keep, F.get(names, F.shiftright("_one", _SHIFT).cast("int")).alias("label"), _at(F.col("_one")).alias("at"))
 
 
-def _share(words: Column, places: Sequence[tuple[str, int, float]]):
-    """The share of a template's weight that a file holds in place, for a candidate."""
+def _with_candidates(df: DataFrame, index: Index, lookups: int) -> DataFrame:
+    """Add ``_found``: the candidates among the words ``_list``, as votes, sorted."""
+    none = F.array().cast("array<bigint>")
+    if not index.postings:
+        return df.withColumn("_found", none)
 
-    def share(candidate: Column) -> Column:
-        held = [F.when(F.get(words, candidate["at"] + k) == word, float(weight)).otherwise(0.0) for word, k, weight in places]
-        return reduce(lambda a, b: a + b, held)
+    def hit(word: Column, place: Column) -> Column:
+        return F.when(word.isin(list(index.postings)), F.struct(word.alias("w"), place.cast("bigint").alias("i")))
 
-    return share
+    df = once(df, _hits=F.array_compact(F.transform("_list", hit)))
+    held = F.array_distinct(F.transform("_hits", lambda h: h["w"]))
+    df = once(df, _rarest=F.slice(F.array_intersect(F.array(*[F.lit(w) for w in index.ranked]), held), 1, lookups))
 
+    def posted(word: Column) -> Column:
+        chain = F
+        for key in reversed(index.ranked):  # the commonest are asked for first
+            own = [F.lit((number << _SHIFT) + _ZERO - k).cast("bigint") for number, k in index.postings[key]]
+            chain = chain.when(word == key, F.array(*own))
+        return chain.otherwise(none)
 
-def _lookups(words: Column, held: Column, index: Index, templates) -> Column:
-    """The words a file looks up: its rarest licence words and those of the phrases it holds."""
-    rarest = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in index.ranked]), words), 1, LOOKUPS)
-    own = [
-        F.when(F.array_contains(held, number), F.array(*[F.lit(w) for p in phrases for w in p.split()]))
-        for number, (_, _, phrases) in enumerate(templates)
-    ]
-    return F.array_union(rarest, F.flatten(F.array_compact(F.array(*own))))
+    looked_up = F.filter("_hits", lambda h: h["w"].isin(index.keys) | F.array_contains("_rarest", h["w"]))
+    votes = F.flatten(F.transform(looked_up, lambda h: F.transform(posted(h["w"]), lambda p: p + h["i"])))
+    df = once(df, _votes=F.sort_array(votes))
 
+    def met(vote: Column, k: Column) -> Column:
+        # votes come sorted, so those that agree are neighbours
+        first = (k == 0) | (F.get("_votes", k - 1) != vote)
+        return F.when(first & (F.get("_votes", k + F.lit(AGREE - 1)) == vote), vote)
 
-def _votes(words: Column, chosen: Column, held: Column, index: Index) -> Column:
-    """Votes (template, relative position) of the chosen words for the held templates, sorted."""
-    by_word: dict[str, list[tuple[int, int]]] = {}
-    for number, (_, places) in enumerate(index.templates):
-        for word, position, _ in places:
-            by_word.setdefault(word, []).append((number, position))
+    return once(df, _found=F.array_compact(F.transform("_votes", met)))
+
+
+def _of(number: int):
+    return lambda vote: F.shiftright(vote, _SHIFT) == number
 
-    def postings(word: Column, place: Column) -> Column:
-        chain = None
-        for key, posted in sorted(by_word.items()):
-            own = F.array(*[F.struct(F.lit(t).alias("t"), (place - F.lit(k)).alias("at")) for t, k in posted])
-            chain = F.when(word == key, own) if chain is None else chain.when(word == key, own)
-        return F.when(F.array_contains(chosen, word), chain)
 
-    cast = F.flatten(F.array_compact(F.transform(words, postings)))
-    return F.sort_array(F.filter(cast, lambda v: F.array_contains(held, v["t"])))
+def _at(vote: Column) -> Column:
+    """The relative position of a vote."""
+    return (vote.bitwiseAND(F.lit((1 << _SHIFT) - 1)) - F.lit(_ZERO)).cast("int")
 
 
-def _candidates(votes: Column) -> Column:
-    """(template, relative position) with enough votes. Votes come sorted by template and position,
-    so those that agree are neighbours."""
+def _stands(words: Column, starts: Sequence[int], phrase: Sequence[str]):
+    """Whether a phrase stands where a candidate puts it, at one of its places in the template."""
 
-    def at(vote: Column, k: Column) -> Column:
-        first = (k == 0) | ~_same(F.get(votes, k - 1), vote)
-        enough = _same(F.get(votes, k + F.lit(AGREE - 1)), vote)
-        return F.when(first & F.coalesce(enough, F.lit(False)), vote)
+    def stands(vote: Column) -> Column:
+        at = _at(vote)
+        places = [reduce(lambda a, b: a & b, [F.get(words, at + F.lit(k + j)) == w for j, w in enumerate(phrase)]) for k in starts]
+        return F.coalesce(reduce(lambda a, b: a | b, places), F.lit(False))
 
-    return F.array_compact(F.transform(votes, at))
+    return stands
 
 
-def _same(a: Column, b: Column) -> Column:
-    return (a["t"] == b["t"]) & (a["at"] == b["at"])
+def _share(words: Column, places: Sequence[tuple[str, int, float]]):
+    """The share of a template's weight that a file holds in place, for a candidate."""
+    listed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"), F.lit(float(x)).alias("x")) for w, k, x in places])
+
+    def share(vote: Column) -> Column:
+        at = _at(vote)
+        own = lambda total, p: total + F.when(F.get(words, at + p["k"]) == p["w"], p["x"]).otherwise(0.0)
+        return F.aggregate(listed, F.lit(0.0), own)
+
+    return share
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

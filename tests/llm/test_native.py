@@ -1,5 +1,6 @@
 """URL filter, licence scan and quality rules."""
 
+import dataclasses
 import random
 import re
 from collections import Counter
@@ -110,6 +111,41 @@ def test_every_file_with_all_key_phrases_has_the_licence(spark):
             assert 0 < r.score <= 1
 
 
+def brute_candidates(text, index, lookups):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+    looked_up = {*[w for w in index.ranked if w in words][:lookups], *index.keys}
+    votes = Counter((t, place - k) for place, w in enumerate(words) if w in looked_up for t, k in index.postings.get(w, []))
+    return {(index.templates[t][0], at) for (t, at), n in votes.items() if n >= licenses.AGREE}
+
+
+@pytest.mark.parametrize("lookups", [0, 3, licenses.LOOKUPS])
+def test_licence_candidates_come_from_the_postings(spark, lookups):
+    rng = random.Random(9)
+    texts = [None, "", "cc"]
+    for _ in range(60):
+        words = [w for _, notice, _ in rng.sample(licenses.TEMPLATES, 2) for w in notice.split()]
+        cut = rng.randint(0, len(words))
+        texts.append(" ".join([*words[cut:], "x", *rng.sample(words, min(9, len(words))), *words[:cut]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    index = licenses.build_index(docs)
+    rows = [(r.doc_id, r.label, r["at"]) for r in licenses.candidates(docs, index, ["doc_id"], lookups=lookups).collect()]
+    assert sorted(rows) == sorted((k, *c) for k, t in enumerate(texts) for c in brute_candidates(t or "", index, lookups))
+    assert len(rows) > 60
+
+
+def test_no_licence_without_postings_or_in_another_place(spark):
+    """Labels come through the index alone, and a phrase counts where a candidate puts it."""
+    notices = [notice for _, notice, _ in licenses.TEMPLATES]
+    docs = spark.createDataFrame(list(enumerate(notices)), "doc_id bigint, text string")
+    index = licenses.build_index(docs)
+    bare = dataclasses.replace(index, postings={})
+    assert all(r.labels == r.base_labels for r in licenses.scan(docs, bare, ["doc_id"]).collect())
+    moved = dataclasses.replace(index, postings={w: [(t, k + 1 + i % 2) for i, (t, k) in enumerate(p)] for w, p in index.postings.items()})
+    assert all(r.labels == r.base_labels for r in licenses.scan(docs, moved, ["doc_id"]).collect())
+    with pytest.raises(ValueError):
+        licenses.build_index(docs, [("x", "some words", ["words"])])
+
+
 def test_licence_score_is_the_share_of_the_whole_notice(spark):
     _, notice, (phrase,) = next(t for t in licenses.TEMPLATES if t[0] == "bsd")
     docs = spark.createDataFrame([(1, f"x {notice} y"), (2, f"{notice.split()[-1]} {phrase}")], "doc_id bigint, text string")
