@@ -22,6 +22,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -209,16 +210,21 @@ def scan(
         _base=F.array_compact(F.array(*names)),
     )
     df = _with_candidates(df, index, lookups)
-    labels, scores = [], []
-    for number, ((label, places), (_, notice, phrases)) in enumerate(zip(index.templates, templates)):
-        own = F.filter("_found", _of(number))
-        held = [F.exists(own, _stands(F.col("_list"), _starts(notice.split(), p.split()), p.split())) for p in phrases]
-        labels.append(F.when(reduce(lambda a, b: a & b, held), F.lit(label)))
-        scores.append(F.array_max(F.transform(own, _share(F.col("_list"), places))))
-    some = F.size("_found") > 0
-    df = once(df, _labels=F.when(some, F.array(*labels)))
-    scores = [F.when(F.get("_labels", F.lit(k)).isNotNull(), score) for k, score in enumerate(scores)]
-    found = F.coalesce(F.array_compact("_labels"), F.array().cast("array<string>"))
+    checks, needed = [], []
+    for number, (_, notice, phrases) in enumerate(templates):
+        needed.append(list(range(sum(map(len, needed)), sum(map(len, needed)) + len(phrases))))
+        for p, phrase in zip(needed[-1], phrases):
+            checks += [{"t": number, "p": p, "k": k, "words": phrase.split()} for k in _starts(notice.split(), phrase.split())]
+    checks = _constant(checks, "array<struct<t:int,p:int,k:int,words:array<string>>>")
+    df = once(df, _held=F.array_distinct(F.flatten(F.transform("_found", _confirmed(F.col("_list"), checks)))))
+    sure = [reduce(lambda a, b: a & b, [F.array_contains("_held", p) for p in own]) for own in needed]
+    df = once(df, _sure=F.array_compact(F.array(*[F.when(s, F.lit(number)) for number, s in enumerate(sure)])))
+    names = _constant([label for label, _ in index.templates], "array<string>")
+    found = F.transform("_sure", lambda number: F.get(names, number))
+    places = [[{"w": w, "k": k, "x": x} for w, k, x in own] for _, own in index.templates]
+    places = _constant(places, "array<array<struct<w:string,k:int,x:double>>>")
+    own = F.filter("_found", lambda vote: F.array_contains("_sure", _template(vote)))
+    shares = F.array_max(F.transform(own, _share(F.col("_list"), places)))
     based = F.when(F.size("_base") > 0, 1.0).otherwise(0.0)
     return df.select(
         *keep,
@@ -228,7 +234,7 @@ def scan(
         "last_word",
         F.array_join(F.array_sort(F.array_distinct("_base")), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat("_base", found))), ",").alias("labels"),
-        F.round(F.least(F.lit(1.0), F.greatest(based, *scores)), 6).alias("score"),
+        F.round(F.least(F.lit(1.0), F.greatest(based, shares)), 6).alias("score"),
     )
 
 
@@ -236,8 +242,8 @@ def candidates(docs: DataFrame, index: Index, keep: Sequence[str] = (), text: st
     """``keep``, the template's label, and the relative position at which its postings met: a row per candidate."""
     df = once(docs.select(*keep, text_of(text).alias("_text")), _list=F.split(_words(F.col("_text")), " "))
     df = _with_candidates(df, index, lookups).select(*keep, F.explode("_found").alias("_one"))
-    names = F.array(*[F.lit(label) for label, _ in index.templates])
-    return df.select(*keep, F.get(names, F.shiftright("_one", _SHIFT).cast("int")).alias("label"), _at(F.col("_one")).alias("at"))
+    names = _constant([label for label, _ in index.templates], "array<string>")
+    return df.select(*keep, F.get(names, _template(F.col("_one"))).alias("label"), _at(F.col("_one")).alias("at"))
 
 
 def _with_candidates(df: DataFrame, index: Index, lookups: int) -> DataFrame:
@@ -251,17 +257,12 @@ def _with_candidates(df: DataFrame, index: Index, lookups: int) -> DataFrame:
 
     df = once(df, _hits=F.array_compact(F.transform("_list", hit)))
     held = F.array_distinct(F.transform("_hits", lambda h: h["w"]))
-    df = once(df, _rarest=F.slice(F.array_intersect(F.array(*[F.lit(w) for w in index.ranked]), held), 1, lookups))
-
-    def posted(word: Column) -> Column:
-        chain = F
-        for key in reversed(index.ranked):  # the commonest are asked for first
-            own = [F.lit((number << _SHIFT) + _ZERO - k).cast("bigint") for number, k in index.postings[key]]
-            chain = chain.when(word == key, F.array(*own))
-        return chain.otherwise(none)
-
+    df = once(df, _rarest=F.slice(F.array_intersect(_constant(index.ranked, "array<string>"), held), 1, lookups))
+    # a map is searched from its start on: the commonest words come first
+    posted = {w: [(number << _SHIFT) + _ZERO - k for number, k in index.postings[w]] for w in reversed(index.ranked)}
+    posted = _constant(posted, "map<string,array<bigint>>")
     looked_up = F.filter("_hits", lambda h: h["w"].isin(index.keys) | F.array_contains("_rarest", h["w"]))
-    votes = F.flatten(F.transform(looked_up, lambda h: F.transform(posted(h["w"]), lambda p: p + h["i"])))
+    votes = F.flatten(F.transform(looked_up, lambda h: F.transform(F.element_at(posted, h["w"]), lambda p: p + h["i"])))
     df = once(df, _votes=F.sort_array(votes))
 
     def met(vote: Column, k: Column) -> Column:
@@ -272,8 +273,13 @@ def _with_candidates(df: DataFrame, index: Index, lookups: int) -> DataFrame:
     return once(df, _found=F.array_compact(F.transform("_votes", met)))
 
 
-def _of(number: int):
-    return lambda vote: F.shiftright(vote, _SHIFT) == number
+def _constant(value, kind: str) -> Column:
+    """A value as one literal of the plan; the optimizer parses it once."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+
+
+def _template(vote: Column) -> Column:
+    return F.shiftright(vote, _SHIFT).cast("int")
 
 
 def _at(vote: Column) -> Column:
@@ -281,25 +287,27 @@ def _at(vote: Column) -> Column:
     return (vote.bitwiseAND(F.lit((1 << _SHIFT) - 1)) - F.lit(_ZERO)).cast("int")
 
 
-def _stands(words: Column, starts: Sequence[int], phrase: Sequence[str]):
-    """Whether a phrase stands where a candidate puts it, at one of its places in the template."""
+def _confirmed(words: Column, checks: Column):
+    """The numbers of the key phrases that stand where a candidate puts them."""
+
+    def confirmed(vote: Column) -> Column:
+        def stands(c: Column) -> Column:
+            at = _at(vote) + c["k"]
+            return (c["t"] == _template(vote)) & (at >= 0) & (F.slice(words, at + 1, F.size(c["words"])) == c["words"])
 
-    def stands(vote: Column) -> Column:
-        at = _at(vote)
-        places = [reduce(lambda a, b: a & b, [F.get(words, at + F.lit(k + j)) == w for j, w in enumerate(phrase)]) for k in starts]
-        return F.coalesce(reduce(lambda a, b: a | b, places), F.lit(False))
+        return F.transform(F.filter(checks, stands), lambda c: c["p"])
 
-    return stands
+    return confirmed
 
 
-def _share(words: Column, places: Sequence[tuple[str, int, float]]):
+def _share(words: Column, places: Column):
     """The share of a template's weight that a file holds in place, for a candidate."""
-    listed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"), F.lit(float(x)).alias("x")) for w, k, x in places])
 
     def share(vote: Column) -> Column:
-        at = _at(vote)
-        own = lambda total, p: total + F.when(F.get(words, at + p["k"]) == p["w"], p["x"]).otherwise(0.0)
-        return F.aggregate(listed, F.lit(0.0), own)
+        def add(total: Column, p: Column) -> Column:
+            return total + F.when(F.get(words, _at(vote) + p["k"]) == p["w"], p["x"]).otherwise(0.0)
+
+        return F.aggregate(F.get(places, _template(vote)), F.lit(0.0), add)
 
     return share
 
