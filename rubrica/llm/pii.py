@@ -78,6 +78,12 @@ def _digits(text: str) -> str:
     return "".join(_DIGITS.findall(text))
 
 
+def _is_byte(part: str) -> bool:
+    """At most 255, however many zeros stand in front."""
+    rest = part.lstrip("0")
+    return len(rest) < 3 or len(rest) == 3 and rest <= "255"
+
+
 def base_spans(text: str) -> list[Span]:
     """Matches of the fixed patterns by start, then kind."""
     found: list[Span] = []
@@ -90,7 +96,7 @@ def base_spans(text: str) -> list[Span]:
             if start < m.start():
                 end = m.end()
                 found.append((start, 0, end))
-    found += [(*m.span()[:1], 1, m.end()) for m in _IP.finditer(text) if all(len(p) < 4000 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(*m.span()[:1], 1, m.end()) for m in _IP.finditer(text) if all(_is_byte(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = _digits(m[0])
         if 14 <= len(digits) <= 19 and luhn(digits):

@@ -28,6 +28,12 @@ def test_base_spans_equal_the_plain_patterns():
         assert pii.base_spans(text) == plain(text), text
 
 
+def test_address_parts_of_any_length():
+    zeros = "0" * 5000
+    for text, found in ((f"{zeros}1.0.{zeros}.255", True), (f"1.0.0.{zeros}256", False), (f"1.0.0.1{zeros}", False)):
+        assert pii.base_spans(text) == ([(0, 1, len(text))] if found else [])
+
+
 def test_linear_on_long_runs():
     for text in ("1" * 300_000, "a" * 300_000 + "@", "+1" + "(" * 300_000, "1.2." * 50_000):
         pii.base_spans(text)
