@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rubrica.operators import prep, runs
 from rubrica.plans import run_queries, sqltext as q
@@ -40,13 +40,12 @@ def json_array_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """
     path = fresh_path(spark, "blocks")
     rows = _docs(spark, sf).withColumn("file", F.floor(F.col("doc_id") / 50_000))
-    firsts = rows.groupBy("file").agg(F.min("doc_id").alias("first"))
     element = F.to_json(F.struct("doc_id", F.concat("text", F.lit(_NOISE)).alias("text"), "lang"))
-    opened = F.when(F.col("doc_id") == F.col("first"), "[").otherwise(",")
-    lines = rows.join(firsts, "file").select("file", "doc_id", F.concat(opened, element).alias("value"))
-    closed = firsts.select("file", F.lit((1 << 63) - 1).alias("doc_id"), F.lit("]").alias("value"))
-    ordered = lines.unionByName(closed).repartition("file").sortWithinPartitions("file", "doc_id")
-    ordered.select("file", "value").write.partitionBy("file").text(path)
+    # brackets come from the rows' places: a union with rows of brackets may reach the files in several tasks
+    along = Window.partitionBy("file").orderBy("doc_id")
+    opened = F.when(F.row_number().over(along) == 1, "[").otherwise(",")
+    closed = F.when(F.lead(F.lit(True)).over(along).isNull(), "]").otherwise("")
+    rows.select("file", F.concat(opened, element, closed).alias("value")).write.partitionBy("file").text(path)
     return datasets.read_json(spark, f"{path}/file=*", _DOCS, split=True)
 
 
