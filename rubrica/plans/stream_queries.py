@@ -46,10 +46,7 @@ def _to_table(stream: DataFrame, mode: str, label: str) -> DataFrame:
 
 def stream_sink(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "metrics")
-    stream = _metrics(spark, sf)
-    # a file per run and task would be many: rows of a run meet in one task, large runs in several
-    spread = stream.withColumn("_salt", F.col("seq") % 4).repartition("experiment", "_salt").drop("_salt")
-    _finish(live.metric_sink(spread, path, fresh_path(spark, "checkpoint")))
+    _finish(live.metric_sink(_metrics(spark, sf), path, fresh_path(spark, "checkpoint"), "seq"))
     return spark.read.parquet(path).groupBy("experiment").agg(
         F.count("*").alias("n"), F.max_by("reward_mean", "seq").alias("latest")
     )
@@ -126,7 +123,7 @@ def _arrivals(spark: SparkSession, sf: str, again: bool = True) -> DataFrame:
 def stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
     """Rows delivered late and more than once, each kept once."""
     path = fresh_path(spark, "distinct")
-    _finish(live.metric_sink(live.distinct_metrics(_arrivals(spark, sf), "ts", ["seq"], _LATE), path, fresh_path(spark, "checkpoint")))
+    _finish(live.metric_sink(live.distinct_metrics(_arrivals(spark, sf), "ts", ["seq"], _LATE), path, fresh_path(spark, "checkpoint"), "seq"))
     found = spark.read.schema("seq bigint, reward_mean double, experiment string").parquet(path).where("experiment LIKE 'run%'")
     return found.groupBy("experiment").agg(F.count("*").alias("n"), F.max_by("reward_mean", "seq").alias("latest"))
 

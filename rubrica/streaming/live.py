@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -44,12 +44,22 @@ def on_each_line(lines: DataFrame, callback: Callable[[DataFrame], None], checkp
     return writer.option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
 
 
-def metric_sink(metrics: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Append metric rows to a Parquet table laid out by run."""
-    writer = metrics.writeStream.format("parquet").partitionBy("experiment").outputMode("append")
+def metric_sink(metrics: DataFrame, path: str, checkpoint: str, order: str | None = None, buckets: int = 16) -> DataStreamWriter:
+    """Append metric rows to a Parquet table laid out by ``bucket``, the bucket of the run.
+
+    A micro-batch writes a few files per bucket, however many runs there are (``run_bucket`` tells where a run
+    is). With ``order``, such as the step, a run's rows are dealt over up to four tasks.
+    """
+    keys = ["bucket", F.pmod(F.xxhash64(order), F.lit(4))] if order else ["bucket"]
+    dealt = metrics.withColumn("bucket", run_bucket(F.col("experiment"), buckets)).repartition(*keys)
+    writer = dealt.writeStream.format("parquet").partitionBy("bucket").outputMode("append")
     return writer.option("path", path).option("checkpointLocation", checkpoint)
 
 
+def run_bucket(experiment: Column, buckets: int = 16) -> Column:
+    return F.pmod(F.xxhash64(experiment), F.lit(buckets)).cast("int")
+
+
 def distinct_metrics(metrics: DataFrame, event_time: str, keys: list[str], lateness: str = "1 hour") -> DataFrame:
     """Drop re-delivered rows; the watermark bounds what has to be remembered."""
     return metrics.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(keys)

@@ -251,3 +251,16 @@ def test_a_refresh_writes_the_changed_runs(spark, tmp_path):
     want = runs.summary_stats(spark.createDataFrame(seen, SCHEMA), "epoch", ["eval_reward"])
     newest = live.newest_summary(spark, path, compact_every=3)
     assert sorted(newest.select(*want.columns).collect()) == sorted(want.collect())
+
+
+def test_metric_sink_writes_few_files_for_many_runs(spark, tmp_path):
+    rows = [(f"r{k}/=%", k % 7, float(k)) for k in range(500)] + [("", 1, 0.5), (None, 2, 0.25)]
+    spark.createDataFrame(rows, SCHEMA).write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).json(f"{tmp_path}/in")
+    for order in (None, "epoch"):
+        out = f"{tmp_path}/out{order}"
+        live.metric_sink(stream, out, fresh_path(spark, "checkpoint"), order).trigger(availableNow=True).start().awaitTermination()
+        found = spark.read.parquet(out)
+        assert sorted((tuple(r) for r in found.select("experiment", "epoch", "eval_reward").collect()), key=repr) == sorted(rows, key=repr)
+        assert len(list((tmp_path / f"out{order}").rglob("part-*.parquet"))) <= 16 * 4
+        assert found.where(F.col("bucket") != live.run_bucket(F.col("experiment"))).count() == 0
