@@ -137,8 +137,8 @@ class _PerRun(StatefulProcessor):
         # a run's rows of one micro-batch; maxFilesPerTrigger or the like bounds them
         yield self.fold(key[0], pd.concat(list(rows)).dropna(subset=[self.metric]).sort_values(self.order))
 
-    def fold(self, run: str, rows: pd.DataFrame) -> pd.DataFrame:
-        """Take in rows that follow all rows before; returns what to give out."""
+    def fold(self, run: str, rows: pd.DataFrame | dict[str, Sequence]) -> pd.DataFrame:
+        """Take in rows that follow all rows before, by columns; returns what to give out."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -148,44 +148,92 @@ class _PerRun(StatefulProcessor):
 class _Released(StatefulProcessor):
     """Rows in any order, released in order of their event time (``MILLIS``) when the watermark has passed.
 
-    Arriving rows are put away as they come, frame by frame, under the bucket of their event time; a timer
-    stands at the end of every bucket. When it fires, the bucket's rows are sorted and folded, and forgotten.
-    So a task holds one bucket of one run, and the state holds what is later than the watermark.
+    The rows of a run that wait are held in one value, so that a micro-batch costs a run a few calls to the
+    state store. Where they are more than ``HELD``, they are put away frame by frame under the bucket of their
+    event time. A timer stands at the end of the first open bucket; when it fires, the buckets that the watermark
+    has passed are sorted and folded in turn, and forgotten. So a task holds one bucket of one run, or ``HELD`` rows,
+    and the state holds what is later than the watermark.
     """
 
+    #: Waiting rows of a run that are held in one value, and rows folded at once.
+    HELD = 4096
+
     def __init__(self, fold: _PerRun, bucket_ms: int) -> None:
         self.inner, self.bucket_ms = fold, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.inner.init(handle)
         self.handle = handle
-        self.parts = handle.getMapState("parts", "bucket bigint", "n bigint")
-        self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", "times array<bigint>, orders array<bigint>, values array<double>")
+        rows = "times array<bigint>, orders array<bigint>, values array<double>"
+        # rows in hand; buckets put away and their parts; the next timer, -1 if there is none
+        self.held = handle.getValueState("held", f"{rows}, buckets array<bigint>, parts array<bigint>, timer bigint")
+        self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", rows)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.held.get()
+        hand, away, timer = self._opened(known)
         for frame in rows:
-            frame = frame.dropna(subset=[self.inner.metric])
-            for bucket, own in frame.groupby(frame[MILLIS] // self.bucket_ms):
-                bucket = int(bucket)
-                known = self.parts.getValue((bucket,)) if self.parts.containsKey((bucket,)) else None
-                part = known[0] if known else 0
-                columns = own[MILLIS].tolist(), own[self.inner.order].tolist(), own[self.inner.metric].astype(float).tolist()
-                self.waiting.updateValue((bucket, part), columns)
-                self.parts.updateValue((bucket,), (part + 1,))
-                if not part:
-                    self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+            frame = frame[frame[self.inner.metric].notna()]
+            columns = frame[MILLIS].tolist(), frame[self.inner.order].tolist(), frame[self.inner.metric].astype(float).tolist()
+            hand += zip(*columns)
+            if len(hand) > self.HELD:
+                for bucket, own in self._by_bucket(hand).items():
+                    self.waiting.updateValue((bucket, away.get(bucket, 0)), tuple(map(list, zip(*own))))
+                    away[bucket] = away.get(bucket, 0) + 1
+                hand = []
+        if known or hand or away:
+            self._keep(hand, away, timer)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        bucket = expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms - 1
-        (count,) = self.parts.getValue((bucket,))
-        found = []
-        for part in range(count):
-            found += zip(*self.waiting.getValue((bucket, part)))
-            self.waiting.removeKey((bucket, part))
-        self.parts.removeKey((bucket,))
-        found.sort()
-        yield self.inner.fold(key[0], pd.DataFrame(found, columns=[MILLIS, self.inner.order, self.inner.metric]))
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        known = self.held.get()
+        if known is None:
+            raise RuntimeError("the checkpoint is of an earlier layout of waiting rows")
+        hand, away, _ = self._opened(known)
+        ready, found = self._by_bucket(hand), []
+        for bucket in sorted({*ready, *away}):
+            if (bucket + 1) * self.bucket_ms > passed:
+                break
+            own = ready.pop(bucket, [])
+            for part in range(away.pop(bucket, 0)):
+                own += zip(*self.waiting.getValue((bucket, part)))
+                self.waiting.removeKey((bucket, part))
+            found += sorted(own)
+            if len(found) > self.HELD:
+                yield from self._folded(key[0], found)
+                found = []
+        yield from self._folded(key[0], found)
+        self._keep([row for own in ready.values() for row in own], away, -1)
+
+    def _opened(self, known: tuple | None) -> tuple[list[tuple], dict[int, int], int]:
+        """Rows in hand, parts of each bucket put away, and the next timer."""
+        if known is None:
+            return [], {}, -1
+        times, orders, values, buckets, parts, timer = known
+        return list(zip(times, orders, values)), dict(zip(buckets, parts)), timer
+
+    def _by_bucket(self, rows: list[tuple]) -> dict[int, list[tuple]]:
+        found: dict[int, list[tuple]] = {}
+        for row in rows:
+            found.setdefault(int(row[0] // self.bucket_ms), []).append(row)
+        return found
+
+    def _keep(self, hand: list[tuple], away: dict[int, int], timer: int) -> None:
+        """Write what waits, with a timer at the end of its first bucket."""
+        first = min([*away, *(int(row[0] // self.bucket_ms) for row in hand)], default=None)
+        if first is not None and (timer < 0 or (first + 1) * self.bucket_ms < timer):
+            timer = (first + 1) * self.bucket_ms
+            self.handle.registerTimer(timer)
+        columns = map(list, zip(*hand)) if hand else ([], [], [])
+        self.held.update((*columns, list(away), list(away.values()), timer))
+
+    def _folded(self, run: str, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            times, orders, values = zip(*rows)
+            out = self.inner.fold(run, {self.inner.order: orders, self.inner.metric: values})
+            if len(out):
+                yield out
 
     def close(self) -> None:
         self.inner.close()
@@ -202,10 +250,8 @@ class EarlyStop(_PerRun):
         self.patience, self.min_delta = patience, min_delta
         self.sign = 1.0 if mode == "max" else -1.0
 
-    def fold(self, run: str, rows: pd.DataFrame) -> pd.DataFrame:
-        best, best_row, n, stop = float("-inf"), 0, 0, -1
-        if self.state.exists():
-            best, best_row, n, stop = self.state.get()
+    def fold(self, run: str, rows: pd.DataFrame | dict[str, Sequence]) -> pd.DataFrame:
+        best, best_row, n, stop = self.state.get() or (float("-inf"), 0, 0, -1)
         for value in rows[self.metric]:
             n += 1
             if value * self.sign > best + self.min_delta:
@@ -235,8 +281,8 @@ class Stagnation(_PerRun):
         super().__init__(order, metric)
         self.window = window
 
-    def fold(self, run: str, rows: pd.DataFrame) -> pd.DataFrame:
-        best, best_row, n = self.state.get() if self.state.exists() else (float("-inf"), 0, 0)
+    def fold(self, run: str, rows: pd.DataFrame | dict[str, Sequence]) -> pd.DataFrame:
+        best, best_row, n = self.state.get() or (float("-inf"), 0, 0)
         found = []
         for step, value in zip(rows[self.order], rows[self.metric]):
             n += 1

@@ -264,3 +264,83 @@ def test_metric_sink_writes_few_files_for_many_runs(spark, tmp_path):
         assert sorted((tuple(r) for r in found.select("experiment", "epoch", "eval_reward").collect()), key=repr) == sorted(rows, key=repr)
         assert len(list((tmp_path / f"out{order}").rglob("part-*.parquet"))) <= 16 * 4
         assert found.where(F.col("bucket") != live.run_bucket(F.col("experiment"))).count() == 0
+
+
+class _Store:
+    """A state variable of one run, counting its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.rows = calls, None, {}
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def containsKey(self, key):
+        self.calls.append("containsKey")
+        return key in self.rows
+
+    def getValue(self, key):
+        self.calls.append("getValue")
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.calls.append("updateValue")
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.calls.append("removeKey")
+        del self.rows[key]
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def getValueState(self, *_):
+        return _Store(self.calls)
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls.append("registerTimer")
+        self.timers.add(at)
+
+
+class _Now:
+    def __init__(self, at):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+
+@pytest.mark.parametrize("held", [4096, 5])
+def test_waiting_rows_cost_a_run_few_calls(held):
+    import pandas as pd
+
+    rng = random.Random(3)
+    rows = [(k * 10, k, rng.uniform(0, 1)) for k in range(300)]
+    want = live.EarlyStop("m", 6, 0.01, "max", "step")
+    want.init(_Handle())
+    last = want.fold("r", {"step": [r[1] for r in rows], "m": [r[2] for r in rows]})
+    shuffled_rows = rng.sample(rows, len(rows))
+    released, handle, out = live._Released(live.EarlyStop("m", 6, 0.01, "max", "step"), 100), _Handle(), []
+    released.HELD = held
+    released.init(handle)
+    for part in range(3):
+        frame = pd.DataFrame(shuffled_rows[part::3], columns=[live.MILLIS, "step", "m"])
+        list(released.handleInputRows(("r",), iter([frame]), _Now(0)))
+    for watermark in (1_000, 10_000):
+        while due := [at for at in handle.timers if at < watermark]:
+            handle.timers.discard(min(due))
+            now = _Now(watermark)
+            now.getExpiryTimeInMs = lambda at=min(due): at
+            out += list(released.handleExpiredTimer(("r",), now, now))
+    assert out[-1].equals(last)
+    assert held == 5 or len(handle.calls) < 30  # 30 buckets
