@@ -35,8 +35,11 @@ def assemble(
     Ends with the shorter side. A further item column named id or response takes the place of
     the computed one. ``hidden`` item columns only serve the order.
     """
-    left = number_rows(items, [], item_order, "_pos", limit)
-    right = number_rows(responses, [], response_order, "_pos", limit)
+    sizes = items.count(), responses.count()
+    left = number_rows(items, [], item_order, "_pos", limit, bound=sizes[0])
+    right = number_rows(responses, [], response_order, "_pos", limit, bound=sizes[1])
+    # what finds no partner need not cross the join
+    left, right = (side.where(F.col("_pos") <= min(sizes)) for side in (left, right))
     right = right.select("_pos", F.col(response).alias("_response"))
     paired = left.join(right, "_pos")
     columns = {

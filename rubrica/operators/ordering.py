@@ -42,8 +42,8 @@ def number_rows(
     ``sizes`` is a cheaper table with the same groups to measure, by default ``df``; ``bound`` is
     the size of the largest group where the caller knows it. With a group above ``limit`` the
     table is range-partitioned on (group, order), which cuts inside a group; each range numbers
-    its own rows and adds the rows of earlier ranges. The ranges come from a sample, so they are
-    written once before two branches read them.
+    its own rows as it is sorted and adds the rows of earlier ranges. The ranges come from a sample,
+    so they are written once, with the places, before two branches read them.
     """
     by, order = list(by), list(order)
     limit = limit if by else min(limit, SLICE_ROWS)
@@ -52,12 +52,17 @@ def number_rows(
     if bound <= limit:
         window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
         return df.withColumn(out, F.row_number().over(window).cast("bigint"))
-    ranged = df.repartitionByRange(*[F.col(c) for c in by], *order)
-    ranged = ranged.withColumn("_range", F.spark_partition_id())
-    ranged = with_carry(ranged, by, "_range", [("sum", F.count(F.lit(1)), "_before", "bigint")])
-    local = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
-    position = (local + F.coalesce("_before", F.lit(0))).cast("bigint")
-    return ranged.withColumn(out, position).drop("_range", "_before")
+    # a row's place within its range is its place in the sorted partition, so the rows cross one shuffle
+    ranged = df.repartitionByRange(*[F.col(c) for c in by], *order).sortWithinPartitions(*by, *order)
+    placed = settle(ranged.withColumn("_place", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("_range", F.shiftright("_place", 33))
+    summary = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.select(*by, "_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if not by:  # a row per range; else a shuffle of the rows would begin before its size is known
+        summary = F.broadcast(summary)
+    position = F.col("_place") - F.col("_first") + F.col("_before") + 1
+    return join_left(placed, summary, [*by, "_range"]).withColumn(out, position).drop("_place", "_range", "_first", "_before")
 
 
 def sliced_rows(
