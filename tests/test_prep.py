@@ -203,6 +203,62 @@ def test_second_run_asks_nothing(spark, tmp_path):
     assert store.rows().count() == 3 and ScoreCache(spark, str(tmp_path / "scores")).fresh(now=3800.0).count() == 3
 
 
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_cached_scores_stay_in_place(spark, tmp_path):
+    def client(body):
+        if "broken" in body:
+            raise RuntimeError
+        return json.dumps({"choices": [{"message": {"content": '{"score": 7}'}}]})
+
+    def second(body):
+        return json.dumps({"choices": [{"message": {"content": '{"score": 9}'}}]})
+
+    responses = [f"{'broken' if n % 5 == 0 else 'fine'} {n % 100}" for n in range(300)]
+    data = [(n, "math", "p", text, "1") for n, text in enumerate(responses)]
+    schema = "n int, preset string, prompt string, response string, ground_truth string"
+    df = spark.createDataFrame(data, schema).repartition(3)
+    store = ScoreCache(spark, str(tmp_path / "scores"), buckets=8)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        judging.score_with_cache(df, store, client, now=100.0, tries=1, pause=0.0)
+        store.compact(now=200.0)
+        out = judging.score_with_cache(df, store, second, now=200.0, tries=1, pause=0.0)
+        assert _exchanges(store.fresh(now=200.0)) == 0  # a snapshot and an append
+        assert _exchanges(out.select("n", "score")) == 1  # the requests', to the scores
+        assert out.columns == ["request_key", *df.columns, "score"]
+        assert {r.n: r.score for r in out.collect()} == {n: 0.9 if n % 5 == 0 else 0.7 for n in range(300)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert store.rows().count() == 100
+
+
+def test_scores_of_other_layouts(spark, tmp_path):
+    path = str(tmp_path / "it's scores")
+    schema = "request_key string, score double, scored_at double, bucket int"
+    old = [(k, 0.1, at, b) for b, (k, at) in enumerate([("a", 10.0), ("b", 20.0), (None, 30.0)])]
+    spark.createDataFrame(old, schema).write.partitionBy("bucket").parquet(f"{path}/kind=append/id=1")
+    kept = [("a", 0.2, 5.0, 0), ("c", 0.2, 5.0, 1)]
+    spark.createDataFrame(kept, schema).write.partitionBy("bucket").parquet(f"{path}/kind=snapshot/id=0")
+    def scores(buckets, now):
+        return {r.request_key: r.cached_score for r in ScoreCache(spark, path, buckets).fresh(now, 100.0).collect()}
+
+    assert scores(3, 20.0) == {"a": 0.1, "b": 0.1, "c": 0.2, None: 0.1}
+    new = spark.createDataFrame([("b", 0.3, 40.0), ("d", 0.3, 110.0)], "request_key string, score double, scored_at double")
+    ScoreCache(spark, path, 3).append(new)
+    want = {"a": 0.1, "b": 0.3, "c": 0.2, "d": 0.3, None: 0.1}
+    assert scores(3, 50.0) == scores(4, 50.0) == want
+    for buckets in (3, 4, 4):  # compacted again and again, with nothing new in between
+        ScoreCache(spark, path, buckets).compact(now=105.0, ttl=100.0)
+        assert scores(3, 50.0) == scores(4, 50.0) == want
+        assert ScoreCache(spark, path, 3).rows().count() == 5
+    ScoreCache(spark, path, 4).compact(now=130.0, ttl=100.0)
+    assert scores(3, 50.0) == scores(4, 50.0) == {"b": 0.3, "d": 0.3, None: 0.1}
+
+
 @pytest.mark.parametrize("limit, slice_rows", [(10**6, 10**5), (10**6, 4), (10, 4)])
 def test_context_replies(spark, limit, slice_rows):
     turns = [(c, t, "assistant" if t % 2 else "user", f"{c}-{t}") for c in range(3) for t in range(1 + 12 * c)]
