@@ -25,6 +25,9 @@ texts travel only for documents that are compared, large lists and large pivot g
 a salt, and the driver sees only counts and the common shingles, whose number is bounded: the
 mark for common is doubled until ``MOST_COMMON`` hold.
 
+The texts of a batch are hashed together, from the column's bytes. Counts and index entries are grouped by
+shingle as blocks of numpy rows, one block for each batch and part of the hashes.
+
 Null or wordless texts have an empty set and link with nothing; fewer than four words make one shingle;
 repeated rows are one node; a NULL id takes part through a row with an equal set only; an empty table
 gives no rows; long texts are hashed whole, piece by piece. Extra columns are ignored whatever their
@@ -57,6 +60,10 @@ FEW = 2
 #: Members of a pivot group compared by one task.
 GROUP = 4096
 PIECE = 1 << 20
+#: Rows that are grouped by shingle travel in blocks, one for each of so many parts of the hashes.
+PARTS = 1 << 14
+#: Bytes of text hashed at once; a longer text is hashed by itself.
+BLOCK = 1 << 16
 
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -72,6 +79,12 @@ _BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
 _PLACES = np.cumprod(np.concatenate([[np.uint64(1)], np.full(1023, _ODD[1])]), dtype=np.uint64)
 _IN_WORD = np.ones(256, np.int8)
 _IN_WORD[[0x20, *range(0x09, 0x0E)]] = 0
+#: For blocks: the same numbers with A-Z taken as a-z, the multiplier's powers and those of its inverse.
+_FOLDED = _BYTES[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
+_UP, _DOWN = (
+    np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK, m, np.uint64)]), dtype=np.uint64)
+    for m in (_ODD[1], np.uint64(pow(int(_ODD[1]), -1, 1 << 64)))
+)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -98,13 +111,76 @@ def word_hashes(text: str) -> np.ndarray:
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text."""
     words = np.concatenate([word_hashes(piece) for piece in cut_text(text or "", PIECE)])
-    if not len(words):
-        return words
-    span = min(width, len(words))
-    total = np.full(len(words) - span + 1, span, np.uint64)
+    return _distinct(_folded(words, min(width, len(words)))) if len(words) else words
+
+
+def _folded(words: np.ndarray, span: int) -> np.ndarray:
+    """Hash of each run of ``span`` words."""
+    total = np.full(max(len(words) - span + 1, 0), span, np.uint64)
     for k in range(span):
         total = total * _ODD[3] + words[k : k + len(total)]
-    return _distinct(_mixed(total))
+    return _mixed(total)
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """``shingles`` of every text of a column, from its bytes, many texts at a time."""
+    texts = texts.fill_null("")
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, ends, data = texts.buffers()
+    bounds = np.zeros(1, np.int64)
+    if len(texts):
+        bounds = np.frombuffer(ends, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        to = int(np.searchsorted(bounds, bounds[at] + BLOCK, "right")) - 1
+        if to > at:
+            yield from _block_sets(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
+        else:
+            to = at + 1
+            yield shingles(texts[at].as_py())
+        at = to
+
+
+def _block_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts that ``bounds`` cut ``data`` into, as ``word_hashes`` has them, and
+    the place of each text's first word. A word's sum is the difference of two running sums, scaled to its start."""
+    inside = (data != 0x20) & (data - np.uint8(0x09) > 4)
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    full = bounds[1:] > bounds[:-1]
+    first, last = bounds[:-1][full], bounds[1:][full] - 1
+    opens[first], closes[last] = inside[first], inside[last]
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    sizes = ends - starts
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_FOLDED.take(data) * _UP[: len(data)], out=sums[1:])
+    hashed = _mixed((sums[ends] - sums[starts]) * _DOWN[starts] + sizes.astype(np.uint64) * _ODD[2])
+    for k in np.flatnonzero(sizes > len(_PLACES)):
+        hashed[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes().lower())
+    return hashed, np.searchsorted(starts, bounds)
+
+
+def _block_sets(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH) -> Iterator[np.ndarray]:
+    words, at = _block_words(data, bounds)
+    counts = np.diff(at)
+    hashed = _folded(words, width)
+    # a run that begins in a text's last words reaches into the next text
+    over = (at[1:][counts > 0][:, None] - np.arange(1, width)).ravel()
+    whole = np.ones(len(words), bool)
+    whole[over[over >= 0]] = False
+    hashed = hashed[whole[: len(hashed)]]
+    cuts = np.concatenate([[0], np.cumsum(np.maximum(counts - width + 1, 0))])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        hashed[a:b].sort()
+    first = np.ones(len(hashed), bool)
+    np.not_equal(hashed[1:], hashed[:-1], out=first[1:])
+    first[cuts[:-1][cuts[:-1] < cuts[1:]]] = True
+    cuts = np.concatenate([[0], np.cumsum(first)])[cuts].tolist()
+    hashed = hashed[first]
+    for k, n in enumerate(counts.tolist()):
+        yield _folded(words[at[k] : at[k + 1]], n) if 0 < n < width else hashed[cuts[k] : cuts[k + 1]]
 
 
 def _distinct(values: np.ndarray) -> np.ndarray:
@@ -142,7 +218,11 @@ def _marked(own: np.ndarray, common: np.ndarray) -> np.ndarray:
 def prefix(own: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first shingles of a set in the order (common, hash), and which of them are common."""
     size = len(own) - least_overlap(len(own)) + 1
-    marked = _marked(own, common)
+    marked = _marked(own[: 2 * size], common)
+    if len(marked) - np.count_nonzero(marked) < size:
+        marked = _marked(own, common)
+    else:  # the rest doesn't matter
+        own = own[: 2 * size]
     rare = own[~marked][:size]
     more = own[marked][: size - len(rare)]
     return np.concatenate([rare, more]), np.arange(size) >= len(rare)
@@ -158,7 +238,7 @@ def _over_texts(docs: DataFrame, each: Callable[[Iterable[tuple[int | None, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("_doc").to_pylist()
-            out = each((d, shingles(t.as_py())) for d, t in zip(ids, batch.column("_text")))
+            out = each(zip(ids, shingle_sets(batch.column("_text"))))
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in schema.items()], names=list(schema))
 
     names = {pa.int64(): "bigint", pa.int32(): "int", pa.bool_(): "boolean"}
@@ -179,8 +259,56 @@ def memberships(docs: DataFrame) -> DataFrame:
     return _over_texts(docs, each, {"doc": pa.int64(), "node": pa.int64(), "n": pa.int64()})
 
 
-def _counted(docs: DataFrame, choose: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(h, times) of the shingles that ``choose`` takes from each distinct set of a batch."""
+def _gathered(docs: DataFrame, each: Callable, kind: list[tuple[str, type]], close: Callable[[np.ndarray], np.ndarray], schema: str) -> DataFrame:
+    """Run ``close`` over all the rows of a part together. ``each`` makes the parts and the rows, of numpy's
+    type ``kind``, of an Arrow batch of texts; a batch's rows of one part are shuffled as one block of bytes."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, rows = each(zip(batch.column("_doc").to_pylist(), shingle_sets(batch.column("_text"))))
+            order = np.argsort(part, kind="stable")
+            part, rows = part[order], rows[order]
+            at = np.flatnonzero(np.concatenate([np.ones(min(len(part), 1), bool), part[1:] != part[:-1]]))
+            blocks = [x.tobytes() for x in np.split(rows, at[1:])] if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array(blocks, pa.binary())], names=["part", "rows"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed() -> pa.RecordBatch:
+            rows = close(np.frombuffer(b"".join(held), kind))
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in names], names=names)
+
+        held, last = [], None
+        for batch in batches:
+            for part, block in zip(batch.column("part").to_pylist(), batch.column("rows").to_pylist()):
+                if held and part != last:
+                    yield closed()
+                    held = []
+                last = part
+                held.append(block)
+        if held:
+            yield closed()
+
+    blocks = docs.mapInArrow(deal, "part int, rows binary")
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(gather, schema)
+
+
+def _firsts(rows: np.ndarray, names: list[str]) -> np.ndarray:
+    """Which of sorted rows differ from the row before."""
+    first = np.zeros(len(rows), bool)
+    first[:1] = True
+    for c in names:
+        first[1:] |= rows[c][1:] != rows[c][:-1]
+    return first
+
+
+def _part(mixed: np.ndarray) -> np.ndarray:
+    return (mixed >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int32)
+
+
+def _counted(docs: DataFrame, choose: Callable[[np.ndarray], np.ndarray], least: int) -> DataFrame:
+    """(h, times) of the shingles that ``choose`` takes from each distinct set of a batch, where more than ``least``."""
+    kind = [("h", np.int64), ("times", np.int64)]
 
     def each(rows):
         seen, parts = set(), [np.zeros(0, np.uint64)]
@@ -189,10 +317,18 @@ def _counted(docs: DataFrame, choose: Callable[[np.ndarray], np.ndarray]) -> Dat
                 seen.add(name)
                 parts.append(choose(own))
         h, times = np.unique(np.concatenate(parts), return_counts=True)
-        return {"h": _signed(h), "times": times}
+        out = np.empty(len(h), kind)
+        out["h"], out["times"] = _signed(h), times
+        return _part(h), out
 
-    rows = _over_texts(docs, each, {"h": pa.int64(), "times": pa.int64()})
-    return rows.groupBy("h").agg(F.sum("times").alias("times"))
+    def close(rows):
+        rows = rows[np.argsort(rows["h"])]
+        at = np.flatnonzero(_firsts(rows, ["h"]))
+        out = rows[at]
+        out["times"] = np.add.reduceat(rows["times"], at)
+        return out[out["times"] > least]
+
+    return _gathered(docs, each, kind, close, "h bigint, times bigint")
 
 
 def common_shingles(docs: DataFrame, least: int = COMMON, most: int = MOST_COMMON) -> np.ndarray:
@@ -203,7 +339,7 @@ def common_shingles(docs: DataFrame, least: int = COMMON, most: int = MOST_COMMO
     def collect(counted: DataFrame, before: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, times) of what was collected before and of ``counted``, under one mark for both."""
         nonlocal least
-        often = written(counted.where(F.col("times") > least), "common")
+        often = written(counted, "common")
         while np.count_nonzero(before[1] > least) + often.where(F.col("times") > least).count() > most:
             least *= 2
         rows = often.where(F.col("times") > least).select("h", "times").toArrow()
@@ -211,7 +347,7 @@ def common_shingles(docs: DataFrame, least: int = COMMON, most: int = MOST_COMMO
         kept = before[1] > least
         return np.concatenate([before[0][kept], h.view(np.uint64)]), np.concatenate([before[1][kept], times])
 
-    found = collect(_counted(docs, lambda own: own[own < LOW]), none)
+    found = collect(_counted(docs, lambda own: own[own < LOW], least), none)
     shared = spark.sparkContext.broadcast(np.sort(found[0]))
 
     def beyond(own: np.ndarray) -> np.ndarray:
@@ -220,7 +356,7 @@ def common_shingles(docs: DataFrame, least: int = COMMON, most: int = MOST_COMMO
         enough = rare >= len(own) - least_overlap(len(own)) + 1
         return own[:0] if enough else own[own >= LOW]
 
-    return np.sort(collect(_counted(docs, beyond), found)[0])
+    return np.sort(collect(_counted(docs, beyond, least), found)[0])
 
 
 def block_of(n: Column) -> Column:
@@ -232,11 +368,13 @@ def index_entries(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """The index lists that can yield a pair: (h, node, doc, n, pos, most), ``most`` being the largest
     partner that the entry's position allows. A node's entries are made once however many copies it has."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    kinds = {"h": pa.int64(), "node": pa.int64(), "doc": pa.int64(), "n": pa.int32(), "pos": pa.int32(), "most": pa.int32(), "hot": pa.bool_()}
+    # a common shingle's list is spread over all partitions, by node so that copies still meet
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = [("h", np.int64), ("node", np.int64), ("doc", np.int64), ("n", np.int32), ("pos", np.int32), ("most", np.int32), ("salt", np.int32)]
 
     def each(rows):
         seen: dict[int, int] = {}
-        parts: list[tuple] = []
+        parts: list[tuple] = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5, np.zeros(0, bool))]
         for d, own in rows:
             if not len(own) or d is None:
                 continue
@@ -250,27 +388,26 @@ def index_entries(docs: DataFrame, common: np.ndarray) -> DataFrame:
             use = most >= least_overlap(n)
             k = int(np.count_nonzero(use))
             parts.append((h[use], np.full(k, name), np.full(k, d), np.full(k, n), np.flatnonzero(use), most[use], hot[use]))
-        if not parts:
-            return {k: [] for k in kinds}
         h, node, doc, n, pos, most, hot = (np.concatenate(c) for c in zip(*parts))
-        small = {"n": n.astype(np.int32), "pos": pos.astype(np.int32), "most": most.astype(np.int32)}
-        return {"h": _signed(h), "node": node, "doc": doc, **small, "hot": hot}
-
-    # a common shingle's list is spread over all partitions, by node so that copies still meet
-    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _over_texts(docs, each, kinds)
-    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod("node", F.lit(salts))).otherwise(F.lit(-1)).cast("int"))
-    rows = rows.repartition("h", "salt")
-    rows = rows.groupBy("h", "salt", "node", "n", "pos", "most").agg(F.min("doc").alias("doc"))
-    sizes = F.count(F.lit(1)).over(_by("h", "salt"))
-    rows = rows.withColumn("size", sizes).where((F.col("size") > 1) | (F.col("salt") >= 0))
-    return rows.select("h", "node", "doc", "n", "pos", "most", block_of(F.col("n")).alias("block"))
-
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
+        salt = np.where(hot, node % salts, -1)
+        out = np.empty(len(h), kind)
+        for c, values in zip(out.dtype.names, (_signed(h), node, doc, n, pos, most, salt)):
+            out[c] = values
+        return _part(np.where(hot, _mixed(h + (salt + 1).astype(np.uint64) * _ODD[0]), h)), out
+
+    def close(rows):
+        rows = rows[np.argsort(rows["h"])]
+        first = _firsts(rows, ["h"])
+        rows = rows[~(first & np.append(first[1:], True)) | (rows["salt"] >= 0)]
+        # of a node's equal entries, the one of the least id
+        own = ["h", "salt", "node", "n", "pos", "most"]
+        rows = rows[np.lexsort([rows[c] for c in ["doc", *own[::-1]]])]
+        rows = rows[_firsts(rows, own)]
+        of = np.cumsum(_firsts(rows, ["h", "salt"])) - 1
+        return rows[(np.bincount(of)[of] > 1) | (rows["salt"] >= 0)]
+
+    rows = _gathered(docs, each, kind, close, "h bigint, node bigint, doc bigint, n int, pos int, most int")
+    return rows.withColumn("block", block_of(F.col("n")))
 
 
 def pivot_pairs(entries: DataFrame) -> DataFrame:
@@ -321,10 +458,9 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[list[int]] = [[] for _ in names]
             columns = [batch.column(c).to_pylist() for c in ("a", "a_doc", "salt", "role", "node", "doc")]
-            for a, a_doc, salt, role, node, doc, text in zip(*columns, batch.column("_text")):
+            for a, a_doc, salt, role, node, doc, own in zip(*columns, shingle_sets(batch.column("_text"))):
                 if (role, a, salt, node) == last:  # repeated rows of one document
                     continue
-                own = shingles(text.as_py())
                 if digest(own) != node:  # another row with the same id
                     continue
                 last = (role, a, salt, node)
@@ -379,10 +515,11 @@ def components(edges: DataFrame) -> DataFrame:
 def remaining_pairs(entries: DataFrame, known: DataFrame, compared: DataFrame) -> DataFrame:
     """All pairs that share a list, may link by size and position, lie in different components and are
     not settled by answers computed before."""
-    rows = entries.join(known.withColumnsRenamed({"doc": "_doc"}), F.col("doc") == F.col("_doc"), "left")
+    rows = entries.join(_bounded(known.withColumnsRenamed({"doc": "_doc"})), F.col("doc") == F.col("_doc"), "left")
     rows = rows.select("h", "node", "doc", "n", "most", "block", F.coalesce("component", "doc").alias("component"))
     mixed = rows.groupBy(F.col("h").alias("_h")).agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    rows = rows.join(mixed.where("x < y").select("_h"), F.col("h") == F.col("_h"), "left_semi")
+    # lists and pairs are used several times below
+    rows = written(rows.join(mixed.where("x < y").select("_h"), F.col("h") == F.col("_h"), "left_semi"), "lists")
     probe = rows.select(*[F.col(c).alias(f"x_{c}") for c in ("h", "node", "doc", "n", "most", "component", "block")])
     last = block_of(F.greatest(F.col("x_most"), F.col("x_n")))
     probe = probe.where("x_most >= x_n").withColumn("x_block", F.explode(F.sequence("x_block", last)))
@@ -390,7 +527,8 @@ def remaining_pairs(entries: DataFrame, known: DataFrame, compared: DataFrame) -
         & (F.col("n") >= F.col("x_n")) & (F.col("n") <= F.col("x_most")) & (F.col("x_n") <= F.col("most"))
         & ((F.col("n") > F.col("x_n")) | (F.col("doc") > F.col("x_doc")))
         & (F.col("component") != F.col("x_component")))
-    pairs = met.select(F.col("x_node").alias("a"), F.col("x_doc").alias("a_doc"), F.col("node").alias("b"), F.col("doc").alias("b_doc")).distinct()
+    pairs = met.select(F.col("x_node").alias("a"), F.col("x_doc").alias("a_doc"), F.col("node").alias("b"), F.col("doc").alias("b_doc"))
+    pairs = written(pairs.distinct(), "pairs")
     # compared before
     done = compared.select(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y"))
     pairs = pairs.join(done, (F.least("a", "b") == F.col("_x")) & (F.greatest("a", "b") == F.col("_y")), "left_anti")

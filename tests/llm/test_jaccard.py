@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import ascii_lower
 from pyspark.sql import functions as F
@@ -76,6 +77,37 @@ def test_components_equal_all_pairs(spark, monkeypatch, seed, common):
     assert got == brute(rows)
 
 
+def test_blocks_of_texts_hash_like_single_texts(monkeypatch):
+    """Texts of a batch are hashed together, long ones alone; words and shingles never cross texts."""
+    single, alone = jaccard.shingles, []
+    monkeypatch.setattr(jaccard, "BLOCK", 4096)
+    monkeypatch.setattr(jaccard, "shingles", lambda text: alone.append(text) or single(text))
+    rng = random.Random(3)
+    bits = ["a", "B", "é", "Ä", "\u3000", "\xa0", " ", " ", "\n", "\x0b", "\t", "\x1c", "one ", "TWO\x0c", "four\r", "x" * 1025 + " ", "y" * 1024, "😀"]
+    for _ in range(60):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(bits, k=rng.choice([0, 1, 2, 5, 9, 30]))) for _ in range(rng.randint(0, 25))]
+        texts += rng.choice([[], ["long word " * 1000, "one", None]])
+        for kind in (pa.string(), pa.large_string()):
+            got = list(jaccard.shingle_sets(pa.array([*texts[:1], *texts], kind)[len(texts[:1]) :]))
+            assert [g.tolist() for g in got] == [single(t).tolist() for t in texts]
+    assert alone and all(len(t.encode()) > 4096 for t in alone)
+
+
+def test_remaining_pairs_read_the_lists_once(spark, monkeypatch):
+    """The joins that settle pairs start from the few lists and pairs left, not from all entries anew."""
+    rng = random.Random(8)
+    texts = [t for _ in range(6) for t in family(rng, 9, 9, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_doc bigint, _text string").repartition(4)
+    entries = jaccard.written(jaccard.index_entries(docs, jaccard.common_shingles(docs)), "entries")
+    compared = jaccard.written(jaccard.compare(docs, jaccard.pivot_pairs(entries)), "compared")
+    known = jaccard.written(jaccard.components(jaccard._edges(compared)), "components")
+    plans, real = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, label: plans.append(df) or real(df, label))
+    plans.append(jaccard.remaining_pairs(entries, known, compared))
+    scans = [p._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for p in plans]
+    assert len(scans) == 3 and all(0 < n <= 6 for n in scans)
+
+
 def test_marks_double_until_few_shingles_are_common(spark):
     docs = spark.createDataFrame([(k, "a b c d e f g h") for k in range(20)], "_doc bigint, _text string").repartition(20)
     assert len(jaccard.common_shingles(docs, least=1, most=2)) == 0
